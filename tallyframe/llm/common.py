@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters at which ``str.split`` cuts though they are no separators here.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 
 
 def words_of(text: str | None) -> list[str]:

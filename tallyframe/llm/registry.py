@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
+from .fst_tokens import token_counts
+
+
+def op2_token_counts(spark, sf_dir):
+    return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op4_exact_dedup(spark, sf_dir):
@@ -24,7 +31,10 @@ FROM n
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4_exact_dedup}
+    return {
+        "op2_token_counts": op2_token_counts,
+        "op4_exact_dedup": op4_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
