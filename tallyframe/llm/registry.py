@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
 from .fst_tokens import token_counts
+from .packing import pack
 
 
 def op2_token_counts(spark, sf_dir):
@@ -30,10 +33,26 @@ FROM n
 """
 
 
+def op6_byte_bpe(spark, sf_dir):
+    tokens = bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def packed_pieces(docs):
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark, sf_dir):
+    return packed_pieces(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op8_packing": op8_packing,
     }
 
 
