@@ -18,6 +18,7 @@ last, unfinished window of a block is carried into the next one.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections import deque
 from functools import lru_cache
 
@@ -113,7 +114,10 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray,
 
 
 def cheapest_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
-    """Ends of the windows, the last of them the last candidate, at least total cost."""
+    """Ends of the windows, the last of them the last candidate, at least total cost.
+
+    The last window costs nothing: it is carried on or cut into powers of two.
+    """
     places, costs = [0, *at.tolist()], [0, *penalty.tolist()]
     best, back = [0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])  # places of increasing f(i) + i
@@ -127,7 +131,9 @@ def cheapest_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]
         while queue and best[queue[-1]] + places[queue[-1]] >= value:
             queue.pop()
         queue.append(k)
-    cuts, k = [], len(places) - 1
+    last = len(places) - 1
+    within = range(bisect_left(places, places[last] - window), last)
+    cuts, k = [places[last]], min(within, key=lambda i: (best[i], -i))
     while k:
         cuts.append(places[k])
         k = back[k]

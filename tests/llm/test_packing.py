@@ -22,7 +22,7 @@ def cost(cuts, at, penalty, window):
     for c in cuts:
         if c - before > window:
             return None
-        total, before = total + window - (c - before) + price[c], c
+        total, before = total + (window - (c - before) + price[c] if c != cuts[-1] else 0), c
     return total
 
 
