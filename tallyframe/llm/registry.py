@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import quality
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -12,6 +13,11 @@ from .fst_tokens import token_counts
 from .packing import pack
 
 
+def op1_quality_rules(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -49,6 +55,7 @@ def op8_packing(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
