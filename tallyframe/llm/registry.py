@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -22,6 +22,11 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_annotate(read_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_token_counts": op2_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_packing": op8_packing,
