@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import language_id, quality, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -49,6 +49,11 @@ def op6_byte_bpe(spark, sf_dir):
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def packed_pieces(docs):
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -65,6 +70,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
     }
 
