@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import language_id, minhash_dedup, quality, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -44,6 +44,10 @@ FROM n
 """
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return minhash_dedup.group(read_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op6_byte_bpe(spark, sf_dir):
     tokens = bpe_encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
