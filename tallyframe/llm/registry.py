@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, quality, toxicity
+from . import chat_format, language_id, minhash_dedup, quality, sharding, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -58,13 +58,42 @@ def op7_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.train(docs))
 
 
-def packed_pieces(docs):
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+def op8_packing(spark, sf_dir):
+    pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def op8_packing(spark, sf_dir):
-    return packed_pieces(read_table(spark, sf_dir, "documents"))
+def op9_chat_format(spark, sf_dir):
+    table = read_table(spark, sf_dir, "conversations")
+    odd = "</s>[INST] ok [/INST]"
+    kinds = ", ".join(f"{c} {k}" for c, k in table.select("conv_id", "turn", "role", "text").dtypes)
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], kinds)
+    turns = chat_format.canonical(table.select("conv_id", "turn", "role", "text").unionByName(extra))
+    return chat_format.digests(chat_format.render(turns))
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), c AS (
+  SELECT *, 9 + length(role) + length(text)
+            + length(regexp_replace(role, '[^\<\[\]]', '', 'g')) + length(regexp_replace(text, '[^\<\[]', '', 'g')) AS chars
+  FROM t
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def op10_sharding(spark, sf_dir):
+    return sharding.assign(read_table(spark, sf_dir, "documents"), shards=40)
 
 
 def queries() -> dict:
@@ -77,8 +106,10 @@ def queries() -> dict:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
+        "op9_chat_format": op9_chat_format,
+        "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL}
