@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-ROUNDS, BUCKET_ROWS = 4, 5000
+#: Most rounds (they end when all groups are settled; a group that fills k shards takes about k); rows of a ranking bucket.
+ROUNDS, BUCKET_ROWS = 32, 5000
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -68,13 +69,14 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, text_col: st
     settled = None
     room = [quota] * shards
     waiting = units
+    heard = votes.groupBy("group", "label").agg(F.sum("votes").alias("votes"))  # all parts of a group vote together
     for _ in range(rounds):
-        wish = waiting.join(votes, ["group", "part"]).select("group", "part", "n", "label", "votes")
+        wish = waiting.join(heard, "group").select("group", "part", "n", "label", "votes")
         if settled is not None:
             drawn = waiting.join(settled.select("group", F.col("shard").alias("label"), F.col("n").alias("votes")), "group").select("group", "part", "n", "label", "votes")
             wish = wish.unionByName(drawn)
         tallied = wish.groupBy("group", "part", "n", "label").agg(F.sum("votes").alias("votes"))
-        tie = F.xxhash64("group", "part", "label")
+        tie = F.xxhash64("group", "label")
         fitting = tallied.where(F.col("n") <= _pick(room, F.col("label")))
         chosen = fitting.groupBy("group", "part", "n").agg(F.max_by("label", F.struct("votes", tie.alias("tie"))).alias("shard"))
         roomiest = max(range(shards), key=lambda k: room[k])
@@ -88,8 +90,8 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, text_col: st
         settled = admitted if settled is None else cut(settled.unionByName(admitted))
         waiting = asked.where(~F.col("in")).select("group", "part", "n")
         taken = {r.shard: r.n for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [quota - taken.get(k, 0) for k in range(shards)]
-        if waiting.isEmpty():
+        before, room = room, [quota - taken.get(k, 0) for k in range(shards)]
+        if room == before or waiting.isEmpty():  # nothing fits any more, or nothing waits
             break
 
     placed = base.join(groups, "group", "left").withColumn("part", F.coalesce(F.pmod(F.shiftright("h", 20), F.col("parts")), F.lit(0)).cast("int"))
