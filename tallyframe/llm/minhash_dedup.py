@@ -5,11 +5,12 @@
    bitmap of the samples. Documents with equal sets are one class, represented by
    the smallest id.
 2. Class representatives meet in band buckets. In a first step each member is
-   compared with its bucket's pivot (its smallest id) only, so a bucket costs as
-   many pairs as it has members; the links found join most of a group of copies.
+   compared with its bucket's pivot only, so a bucket costs as many pairs as it has
+   members; the links found join most of a group of copies.
 3. In a second step only buckets of three and more that still hold different
    components are compared in full, only across components, and large ones in
-   blocks spread over tasks. No bucket is capped or skipped.
+   blocks spread over tasks, by finer sketches that candidates alone get. No
+   bucket is capped or skipped.
 4. In both steps a pair must be near enough in size and, by the XOR population
    count of its sketches, in estimated similarity (with a margin of six standard
    deviations); the pairs left are confirmed on the full shingle sets.
@@ -32,18 +33,18 @@ from .common import cut, words_of
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
-#: Estimated similarity from which a pair is confirmed exactly.
-SURELY_BELOW = 0.65
-#: Members of a bucket compared by a join, and of a block of a larger bucket.
-SMALL, BLOCK = 24, 256
+#: Samples a band and bits of the fine sketches, which candidates for the second step get.
+FINE_ROWS, FINE_BITS = 50, 4096
+#: Members of a bucket compared by a join, and of a block of a larger bucket; pivots a group of copies may get.
+SMALL, BLOCK, PIVOTS = 24, 512, 4
 MOST_KEPT = 400_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U64 = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240607))
 _PLACE = _random.integers(1, 1 << 63, 16, dtype=np.uint64) * _U64(2) + _U64(1)
 _SEEDS = _random.integers(0, 1 << 32, BANDS, dtype=np.uint32)
-_FACTORS = _random.integers(0, 1 << 31, ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_OFFSETS = _random.integers(0, 1 << 32, ROWS, dtype=np.uint32)
+_FACTORS = _random.integers(0, 1 << 31, FINE_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSETS = _random.integers(0, 1 << 32, FINE_ROWS, dtype=np.uint32)
 
 
 class WordHashes(dict):
@@ -76,16 +77,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(total + _U64(n)))
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
+def samples(hashes: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """MinHash samples, one row a band."""
-    least = np.full((ROWS, BANDS), 0xFFFFFFFF, np.uint32)
+    least = np.full((rows, BANDS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 8192):
         x = (hashes[at : at + 8192] >> _U64(32)).astype(np.uint32)[:, None] ^ _SEEDS
         x *= np.uint32(0x85EBCA6B)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0xC2B2AE35)
         x ^= x >> np.uint32(16)
-        for k in range(ROWS):
+        for k in range(rows):
             np.minimum(least[k], (x * _FACTORS[k] + _OFFSETS[k]).min(axis=0), out=least[k])
     return least.T
 
@@ -97,17 +98,25 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
+def odd_sketch(sample: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of (place, sample) pairs, as longs."""
     flat = sample.ravel().astype(np.uint64)
-    bit = _mix(flat + np.arange(len(flat), dtype=np.uint64) * _PLACE[15]) % _U64(SKETCH_BITS)
-    parity = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
+    bit = _mix(flat + np.arange(len(flat), dtype=np.uint64) * _PLACE[15]) % _U64(bits)
+    parity = np.bincount(bit.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-#: Differing bits up to which a pair may be similar: the expected count at SURELY_BELOW.
-_CHANGED = 2 * BANDS * ROWS * (1 - SURELY_BELOW)
-MOST_BITS = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * _CHANGED / SKETCH_BITS)))
+def most_bits(rows: int, bits: int, similarity: float = 0.8, deviations: float = 6.0) -> int:
+    """Differing bits of two sketches beyond which a pair is surely less similar.
+
+    A pair's differing samples are binomial, and each flips one bit of either
+    sketch; the limit is the expected count for a similarity that lies
+    ``deviations`` standard deviations below the one asked for.
+    """
+    n = BANDS * rows
+    low = similarity - deviations * (similarity * (1 - similarity) / n) ** 0.5
+    differ = 2 * n * (1 - low)
+    return int(bits / 2 * (1 - np.exp(-2 * differ / bits)) + 2 * (bits / 4) ** 0.5 * (1 - np.exp(-4 * differ / bits)) ** 0.5)
 
 
 def _bits(a: str, b: str) -> Column:
@@ -144,15 +153,18 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """(id, members, fine): the whole shingle set, and a finer odd sketch."""
+
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [shingles(t, size).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "members"])
+                found = [shingles(t, size) for t in batch.column("text").to_pylist()]
+                fine = [odd_sketch(samples(f, FINE_ROWS), FINE_BITS) for f in found]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(fine, pa.list_(pa.int64()))], names=["id", "members", "fine"])
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, members binary")
+    return rows.mapInArrow(run, f"id {kind}, members binary, fine array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,6 +198,7 @@ def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
         "key", "id", "n", "component", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     kind = dict(items.dtypes)["id"]
+    limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)
 
     def run(table: pa.Table) -> pa.Table:
         n, component, block = (table[c].to_numpy() for c in ("n", "component", "block"))
@@ -200,7 +213,7 @@ def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
                 near = near[near > k]
             if len(near):
                 bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1)
-                near = near[bits <= MOST_BITS]
+                near = near[bits <= limit]
                 left += [k] * len(near)
                 right += near.tolist()
         ids = table["id"].combine_chunks()
@@ -224,13 +237,15 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
         profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sketch"), "id").alias("r")).select("digest", "r.*")
     )
     bands = classes.select("id", "n", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # a bucket's pivot is its member of smallest hash, under one of a few hashes, so that a group of copies meets several pivots
+    drawn = F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))).alias("draw"), "id", "n")
+    buckets = bands.groupBy("key").agg(F.min(drawn).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = cut(bands.join(buckets, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "size"))
 
-    near = hits.where((F.col("id") != F.col("pivot")) & _near_size("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    near = hits.where((F.col("id") != F.col("pivot")) & _near_size("n", "pivot_n", percent)).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sketches = classes.select("id", "sketch")
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    near = cut(near.where(_bits("x", "y") <= MOST_BITS).select("a", "b"))
+    near = cut(near.where(_bits("x", "y") <= most_bits(ROWS, SKETCH_BITS, percent / 100)).select("a", "b"))
 
     several = hits.where("size > 2").select("id")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
@@ -241,11 +256,11 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
     label = lambda df: df.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = label(hits.where("size > 2").select("key", "id", "n", "size"))
     open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    items = cut(members.join(open_, "key", "left_semi").join(sketches, "id"))
+    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id"))
     small = items.where(F.col("size") <= SMALL)
     side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
     joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
-    joined = joined.where(_bits("sketch_a", "sketch_b") <= MOST_BITS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    joined = joined.where(_bits("sketch_a", "sketch_b") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     blocks = _across_blocks(items.where(F.col("size") > SMALL), percent)
     more = joined.unionByName(blocks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     more = cut(_confirmed(more, sets, percent))

@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from .common import _ODD_SPACE
 
 #: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
-SENTENCE, ELSEWHERE, GRID = 8, 24, 32
+SENTENCE, ELSEWHERE, GRID = 8, 24, 48
 #: Tokens of a block; words remembered by a task.
-BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 400_000, 64
+BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 900_000, 64
 MARK = "\x02"
 
 
