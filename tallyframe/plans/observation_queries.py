@@ -161,10 +161,10 @@ def detector_vote(spark, sf_dir):
 
 
 @query(f"""WITH {NOISY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, obj_id ORDER BY confidence DESC, ord) AS n FROM noisy),
-w AS (SELECT video_id, obj_id, class_noisy AS class, sum(confidence * confidence * CASE WHEN n = 1 THEN 3 ELSE 1 END) AS w FROM r WHERE n <= 10 GROUP BY ALL)
+w AS (SELECT video_id, obj_id, class_noisy AS class, sum(quantity * quantity * CASE WHEN n = 1 THEN 3 ELSE 1 END) AS w FROM r WHERE n <= 10 GROUP BY ALL)
 SELECT video_id, obj_id, class, round(w / sum(w) OVER (PARTITION BY video_id, obj_id), 6) AS probability FROM w""")
 def classifier_vote_top10(spark, sf_dir):
-    return voting.weighted_probabilities(noisy(spark, sf_dir), ["video_id", "obj_id"], "class_noisy", "confidence", ["ord"]).withColumn("probability", _r(F.col("probability")))
+    return voting.weighted_probabilities(noisy(spark, sf_dir), ["video_id", "obj_id"], "class_noisy", "quantity", ["ord"]).withColumn("probability", _r(F.col("probability")))
 
 
 @query(f"""WITH {DET}, c AS (SELECT video_id, class_name, count(*) AS n FROM det GROUP BY ALL)
