@@ -190,12 +190,15 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 
 
 def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large buckets: blocks of members, and every two blocks as a group of their own."""
+    """Pairs of large buckets: blocks of members, and every two blocks as a group of their own.
+
+    A pair that shares several buckets is given by the first of them only.
+    """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = items.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("key", "id", "n", "component", "sketch", "block", other).select(
-        "key", "id", "n", "component", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = placed.select("key", "id", "n", "component", "sketch", "bands", "block", other).select(
+        "key", "id", "n", "component", "sketch", "bands", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     kind = dict(items.dtypes)["id"]
     limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)
@@ -203,6 +206,7 @@ def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         n, component, block = (table[c].to_numpy() for c in ("n", "component", "block"))
         sketch = np.stack(table["sketch"].combine_chunks().to_numpy(zero_copy_only=False)).view(np.uint64)
+        bands, key = np.stack(table["bands"].combine_chunks().to_numpy(zero_copy_only=False)), table["key"][0].as_py()
         one = table["low"][0].as_py() == table["high"][0].as_py()
         first = np.arange(len(n)) if one else np.flatnonzero(block == table["low"][0].as_py())
         second = np.arange(len(n)) if one else np.flatnonzero(block != table["low"][0].as_py())
@@ -214,6 +218,8 @@ def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
             if len(near):
                 bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1)
                 near = near[bits <= limit]
+                shared = (bands[near] == bands[k]).argmax(axis=1)
+                near = near[bands[k][shared] == key]
                 left += [k] * len(near)
                 right += near.tolist()
         ids = table["id"].combine_chunks()
@@ -256,7 +262,7 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
     label = lambda df: df.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = label(hits.where("size > 2").select("key", "id", "n", "size"))
     open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id"))
+    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id").join(classes.select("id", "bands"), "id"))
     small = items.where(F.col("size") <= SMALL)
     side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
     joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
