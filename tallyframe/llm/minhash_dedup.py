@@ -5,13 +5,15 @@
    bitmap of the samples. Documents with equal sets are one class, represented by
    the smallest id.
 2. Class representatives meet in band buckets. In a first step each member is
-   compared with its bucket's pivot only, so a bucket costs as many pairs as it has
-   members; the links found join most of a group of copies.
+   compared with the pivots of its buckets only, and of these with the few that it
+   shares most buckets with, so a group of copies costs a few pairs a member; the
+   links found join most of a group.
 3. In a second step only buckets of three and more that still hold different
    components are compared in full, only across components, and large ones in
-   blocks spread over tasks, by finer sketches that candidates alone get. No
-   bucket is capped or skipped.
-4. In both steps a pair must be near enough in size and, by the XOR population
+   blocks spread over tasks, by finer sketches that candidates alone get. It runs
+   twice: first the nearest pair of every two components is confirmed, then every
+   pair of the components that this left apart. No bucket is capped or skipped.
+4. In all steps a pair must be near enough in size and, by the XOR population
    count of its sketches, in estimated similarity (with a margin of six standard
    deviations); the pairs left are confirmed on the full shingle sets.
 
@@ -37,6 +39,8 @@ BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
 FINE_ROWS, FINE_BITS = 50, 4096
 #: Members of a bucket compared by a join, and of a block of a larger bucket; pivots a group of copies may get.
 SMALL, BLOCK, PIVOTS = 24, 512, 4
+#: Pivots a member is compared with in the first step; what they leave apart meets in the second.
+NEAREST = 3
 MOST_KEPT = 400_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U64 = np.uint64
@@ -189,10 +193,14 @@ def _near_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
+_PAIR = ("a", "b", "component_a", "component_b", "bits")
+
+
+def _across_blocks(items: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs of large buckets: blocks of members, and every two blocks as a group of their own.
 
-    A pair that shares several buckets is given by the first of them only.
+    A pair that shares several buckets is given by the first of them only; with
+    ``nearest`` a group of blocks gives the nearest pair of every two components.
     """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = items.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -204,28 +212,54 @@ def _across_blocks(items: DataFrame, percent: int) -> DataFrame:
     limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)
 
     def run(table: pa.Table) -> pa.Table:
-        n, component, block = (table[c].to_numpy() for c in ("n", "component", "block"))
+        n, block = (table[c].to_numpy() for c in ("n", "block"))
+        component = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
         sketch = np.stack(table["sketch"].combine_chunks().to_numpy(zero_copy_only=False)).view(np.uint64)
         bands, key = np.stack(table["bands"].combine_chunks().to_numpy(zero_copy_only=False)), table["key"][0].as_py()
         one = table["low"][0].as_py() == table["high"][0].as_py()
         first = np.arange(len(n)) if one else np.flatnonzero(block == table["low"][0].as_py())
         second = np.arange(len(n)) if one else np.flatnonzero(block != table["low"][0].as_py())
-        left, right = [], []
+        left, right, apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in first:
             near = second[(component[second] != component[k]) & (100 * np.minimum(n[second], n[k]) >= percent * np.maximum(n[second], n[k]))]
             if one:
                 near = near[near > k]
             if len(near):
                 bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1)
-                near = near[bits <= limit]
-                shared = (bands[near] == bands[k]).argmax(axis=1)
-                near = near[bands[k][shared] == key]
-                left += [k] * len(near)
-                right += near.tolist()
-        ids = table["id"].combine_chunks()
-        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, f"a {kind}, b {kind}")
+                good = bits <= limit
+                if not nearest:
+                    good &= bands[k][(bands[near] == bands[k]).argmax(axis=1)] == key
+                left.append(np.full(good.sum(), k))
+                right.append(near[good])
+                apart.append(bits[good].astype(np.int64))
+        left, right, apart = map(np.concatenate, (left, right, apart))
+        if nearest:
+            both = np.minimum(component[left], component[right]) * len(n) + np.maximum(component[left], component[right])
+            order = np.lexsort((apart, both))
+            chosen = order[np.flatnonzero(np.diff(both[order], prepend=-1))]
+            left, right, apart = left[chosen], right[chosen], apart[chosen]
+        ids, labels = table["id"].combine_chunks(), table["component"].combine_chunks()
+        x, y = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        return pa.table(dict(zip(_PAIR, (ids.take(x), ids.take(y), labels.take(x), labels.take(y), pa.array(apart, pa.int64())))))
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, f"a {kind}, b {kind}, component_a {kind}, component_b {kind}, bits long")
+
+
+def _across_components(hits: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidates (a, b) from buckets that hold several components: all, or the nearest of every two components."""
+    members = hits.where("size > 2").select("key", "id", "n", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
+    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id").join(classes.select("id", "bands"), "id"))
+    small = items.where(F.col("size") <= SMALL)
+    side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
+    joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
+    joined = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b", _bits("sketch_a", "sketch_b").cast("long").alias("bits"))
+    joined = joined.where(F.col("bits") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0))
+    pairs = joined.unionByName(_across_blocks(items.where(F.col("size") > SMALL), percent, nearest))
+    if nearest:
+        low, high = F.least("component_a", "component_b"), F.greatest("component_a", "component_b")
+        pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -248,7 +282,10 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
     buckets = bands.groupBy("key").agg(F.min(drawn).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = cut(bands.join(buckets, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "size"))
 
-    near = hits.where((F.col("id") != F.col("pivot")) & _near_size("n", "pivot_n", percent)).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    met = hits.where((F.col("id") != F.col("pivot")) & _near_size("n", "pivot_n", percent)).repartition("id").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    ranked = F.sort_array(F.collect_list(F.struct(-F.col("shared"), "pivot")))  # at most a pivot a band
+    met = met.groupBy("id").agg(F.slice(ranked, 1, NEAREST)["pivot"].alias("pivots")).select("id", F.explode("pivots").alias("pivot"))
+    near = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     sketches = classes.select("id", "sketch")
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     near = cut(near.where(_bits("x", "y") <= most_bits(ROWS, SKETCH_BITS, percent / 100)).select("a", "b"))
@@ -257,22 +294,13 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
     sets = cut(_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shingle_words))
     links = cut(_confirmed(near, sets, percent))
-    first = components(links)
-
-    label = lambda df: df.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = label(hits.where("size > 2").select("key", "id", "n", "size"))
-    open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id").join(classes.select("id", "bands"), "id"))
-    small = items.where(F.col("size") <= SMALL)
-    side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
-    joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
-    joined = joined.where(_bits("sketch_a", "sketch_b") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    blocks = _across_blocks(items.where(F.col("size") > SMALL), percent)
-    more = joined.unionByName(blocks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    more = cut(_confirmed(more, sets, percent))
-    final = first if more.isEmpty() else components(links.unionByName(more))
+    labels = components(links)
+    for nearest in (True, False):
+        more = cut(_confirmed(_across_components(hits, labels, classes, sets, percent, nearest), sets, percent))
+        if not more.isEmpty():
+            labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
-    owner = classes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    owner = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     own = F.coalesce("component", "id")
     return profile.select("id", "n", "digest").join(owner, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
