@@ -151,6 +151,7 @@ def profiles(rows: DataFrame, size: int) -> DataFrame:
                     [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                     names=["id", "n", "digest", "bands", "sketch"],
                 )
+        _words.clear()  # Python workers are used again, by other operators too
 
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, sketch array<long>")
@@ -166,6 +167,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
                 found = [shingles(t, size) for t in batch.column("text").to_pylist()]
                 fine = [odd_sketch(samples(f, FINE_ROWS), FINE_BITS) for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(fine, pa.list_(pa.int64()))], names=["id", "members", "fine"])
+        _words.clear()
 
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(run, f"id {kind}, members binary, fine array<long>")
@@ -176,14 +178,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, keep = whole.slice(at, 500), []
+                for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    common = int((x[place] == y).sum())
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
     return both.select("a", "b", "left", "right").mapInArrow(run, f"a {kind}, b {kind}")

@@ -34,7 +34,7 @@ from .common import _ODD_SPACE
 #: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
 SENTENCE, ELSEWHERE, GRID = 8, 24, 48
 #: Tokens of a block; words remembered by a task.
-BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 900_000, 64
+BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 400_000, 64
 MARK = "\x02"
 
 
@@ -53,6 +53,10 @@ class WordIds(dict):
         ends = [self.ids(c)[-1] for c in ".!?"]
         self.sentence_ends = np.array(sorted(set(ends)), np.uint32)
 
+    def forget(self) -> None:
+        self.clear()
+        self.known.clear()
+
     def ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -228,5 +232,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         out.extend(packer.pack(True))
         if out:
             yield table()
+        words.forget()  # Python workers are used again, by other operators too
 
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -24,7 +24,7 @@ SAMPLE, BITS, KEEP_FROM = 3000, 18, 0.5
 #: Limits of the plain rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 
