@@ -34,7 +34,7 @@ from .common import _ODD_SPACE
 #: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
 SENTENCE, ELSEWHERE, GRID = 8, 24, 48
 #: Tokens of a block; words remembered by a task.
-BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 400_000, 64
+BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 900_000, 64
 MARK = "\x02"
 
 
@@ -192,7 +192,7 @@ class Packer:
         self.size -= at
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id", remember: bool = True) -> DataFrame:
     """Pieces of documents and their places in sequences of at most ``window`` ids.
 
     Rows: doc_id, start and length (which of the document's ids), doc_tokens,
@@ -201,7 +201,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     document is one id. Documents keep the order in which their partition is read;
     repeated rows are packed each; an empty table gives no rows; other columns are
     ignored. A sequence is shorter than ``window`` where that cost least, or a
-    power of two at a partition's end.
+    power of two at a partition's end. With ``remember`` a Python worker keeps its
+    bounded memory of words for later tasks; without, it gives it back to others.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -232,6 +233,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
         out.extend(packer.pack(True))
         if out:
             yield table()
-        words.forget()  # Python workers are used again, by other operators too
+        if not remember:
+            words.forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
