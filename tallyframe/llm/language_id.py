@@ -2,9 +2,11 @@
 
 Counting is distributed: tasks count the character four-grams of padded words
 over all training rows, one shuffle adds them up, and grouped aggregates derive
-the continuation counts of the lower orders. A language's model is four pairs of
-sorted hash arrays (discounted probabilities by n-gram, back-off weights by
-context), looked up by binary search. A text gets the language of lowest
+the continuation counts of the lower orders; every n-gram of every language is
+kept. Small models are loaded: four pairs of sorted hash arrays a language
+(discounted probabilities by n-gram, back-off weights by context), looked up by
+binary search. Larger ones stay tables on Spark, and the distinct n-grams of the
+texts are joined with them, by the same formula. A text gets the language of lowest
 cross-entropy per character; a logistic curve over the distance to the runner-up
 turns it into the probability of being right, and texts below one half are
 marked as rejected.
@@ -18,15 +20,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held_out
 from .learning import fit_logistic, sigmoid
 
 ORDER, DISCOUNT = 4, 0.75
-#: N-grams and contexts kept of a language and order; languages; rows that calibrate; score below which a text is rejected.
-MOST_GRAMS, MOST_LANGUAGES, CALIBRATION, REJECT_BELOW = 40_000, 64, 2000, 0.5
+#: Table rows and languages up to which models are loaded (beyond, they are joined); rows that calibrate; score below which a text is rejected.
+MOST_LOADED, MOST_LANGUAGES, CALIBRATION, REJECT_BELOW = 1_500_000, 64, 2000, 0.5
 #: Words whose scores a task remembers.
 MOST_KEPT = 300_000
 UNKNOWN = "und"
@@ -83,17 +85,39 @@ def tables(counts: DataFrame) -> DataFrame:
         context = F.shiftrightunsigned("code", 16)
         total = now.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         cut = DISCOUNT if size > 1 else 0.0
-        probability = now.withColumn("context", context).join(total, ["lang", "context"]).select("lang", F.lit(size).alias("size"), F.lit(0).alias("part"), "code", ((F.col("n") - cut) / F.col("total")).alias("value"), F.col("n").alias("weight"))
+        probability = now.withColumn("context", context).join(total, ["lang", "context"]).select("lang", F.lit(size).alias("size"), F.lit(0).alias("part"), "code", ((F.col("n") - cut) / F.col("total")).alias("value"))
         found.append(probability)
         if size > 1:
-            found.append(total.select("lang", F.lit(size).alias("size"), F.lit(1).alias("part"), F.col("context").alias("code"), (DISCOUNT * F.col("kinds") / F.col("total")).alias("value"), F.col("total").alias("weight")))
+            found.append(total.select("lang", F.lit(size).alias("size"), F.lit(1).alias("part"), F.col("context").alias("code"), (DISCOUNT * F.col("kinds") / F.col("total")).alias("value")))
             shorter = F.col("code").bitwiseAND(F.lit((1 << (16 * (size - 1))) - 1))
             now = now.groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n"))
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("lang", "size", "part").orderBy(F.desc("weight"), "code"))
-    return every.withColumn("place", place).where(F.col("place") <= MOST_GRAMS).select("lang", "size", "part", "code", "value")
+    return every
+
+
+def text_grams(rows: DataFrame) -> DataFrame:
+    """(key, code, n): the four-grams of rows (key, text)."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                found = [np.unique(grams((text or "").lower().split())[0], return_counts=True) for text in batch.column("text").to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(codes) for codes, _ in found])
+                code, n = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(code), pa.array(n)], names=["key", "code", "n"])
+
+    return rows.select("key", "text").mapInArrow(run, "key binary, code long, n long")
+
+
+def curve(gap: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the probability of being right at a distance."""
+    # no distance means no knowledge: one pseudo-row of either kind
+    x, y = np.concatenate([gap, [0.0, 0.0]]), np.concatenate([right, [0.0, 1.0]])
+    slope, intercept = fit_logistic(x[:, None], y, l2=1e-2)
+    return max(float(slope[0]), 0.0), float(intercept)
 
 
 @dataclass
@@ -194,23 +218,75 @@ class Models:
             return
         best, gap, known = self.margins([t for _, t in rows])
         right = [self.languages[b] == lang for b, (lang, _) in zip(best, rows)]
-        # no distance means no knowledge: one pseudo-row of either kind
-        x = np.concatenate([gap[known], [0.0, 0.0]])
-        y = np.concatenate([np.array(right, float)[known], [0.0, 1.0]])
-        slope, intercept = fit_logistic(x[:, None], y, l2=1e-2)
-        self.slope, self.intercept = max(float(slope[0]), 0.0), intercept
+        self.slope, self.intercept = curve(gap[known], np.array(right, float)[known])
+
+
+#: Steps of one nat in which log-probabilities are added, so that a sum does not depend on its order.
+STEPS = 2.0**32
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Models:
+@dataclass
+class Joined:
+    """Models that stay tables on Spark (``table``: lang, size, part, code, value)."""
+
+    table: DataFrame
+    slope: float = 0.0
+    intercept: float = 0.0
+
+    def log_probabilities(self, codes: DataFrame) -> DataFrame:
+        """(code, lang, log_p) of every language for four-grams (code)."""
+        found = codes.crossJoin(self.table.select("lang").distinct()).withColumn("p", F.lit(1e-6))
+        for size in range(1, ORDER + 1):
+            short = F.col("code").bitwiseAND(F.lit((1 << (16 * size)) - 1 if size < ORDER else -1))
+            one = self.table.where(F.col("size") == size)
+            own = one.where("part = 0").select("lang", F.col("code").alias("short"), F.col("value").alias("own"))
+            found = found.withColumn("short", short).join(own, ["lang", "short"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+            if size == 1:
+                found = found.select("code", "lang", F.greatest("own", "p").alias("p"))
+            else:
+                weights = one.where("part = 1").select("lang", F.col("code").alias("context"), F.col("value").alias("weight"))
+                found = found.withColumn("context", F.shiftrightunsigned("short", 16)).join(weights, ["lang", "context"], "left")
+                found = found.select("code", "lang", (F.col("own") + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        return found.select("code", "lang", F.log("p").alias("log_p"))
+
+    def margins(self, texts: DataFrame) -> DataFrame:
+        """(key, best, gap) as ``Models.margins``, for distinct texts (key, text) with any letter."""
+        parts = cut(text_grams(texts))
+        logs = self.log_probabilities(parts.select("code").distinct())
+        sums = parts.join(logs, "code").groupBy("key", "lang").agg(F.sum(F.col("n") * F.round(F.col("log_p") * STEPS).cast("long")).alias("logs"), F.sum("n").alias("n"))
+        entropy = F.struct((-F.col("logs") / STEPS / F.col("n")).alias("entropy"), "lang")
+        ranked = sums.groupBy("key").agg(F.sort_array(F.collect_list(entropy)).alias("r"), F.max("n").alias("n"))
+        apart = F.when(F.size("r") > 1, F.get("r", F.lit(1))["entropy"] - F.col("r")[0]["entropy"]).otherwise(1.0)
+        return ranked.select("key", F.col("r")[0]["lang"].alias("best"), (apart * F.sqrt("n")).alias("gap"))
+
+    def calibrate(self, rows: DataFrame) -> None:
+        rows = cut(rows.select("lang", "text", text_key("text").alias("key")))
+        found = rows.join(self.margins(rows.select("key", "text").dropDuplicates(["key"])), "key").select("gap", (F.col("best") == F.col("lang")).cast("double").alias("right")).toPandas()
+        if len(found):
+            self.slope, self.intercept = curve(found["gap"].to_numpy(), found["right"].to_numpy())
+
+
+def text_key(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Models | Joined:
     """Models from every row with text and language that is not held out.
 
-    What comes to the driver is bounded: ``MOST_GRAMS`` n-grams a language and
-    order, ``MOST_LANGUAGES`` languages (the most frequent), ``CALIBRATION`` rows.
+    What comes to the driver is bounded: tables of ``MOST_LOADED`` rows and
+    ``MOST_LANGUAGES`` languages, else none (``Joined``); ``CALIBRATION`` rows.
     """
     learnable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = cut(counted(learnable, text_col, lang_col))
-    few = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    table = tables(counts.join(F.broadcast(few.select("lang")), "lang", "left_semi")).toArrow()
+    rows = learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = rows.orderBy(F.xxhash64("id"), "id").select("lang", "text").limit(CALIBRATION)
+    full = cut(tables(counts))
+    extent = full.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages")).first()
+    if extent.n > MOST_LOADED or extent.languages > MOST_LANGUAGES:
+        joined = Joined(full)
+        joined.calibrate(rows)
+        return joined
+    table = full.toArrow()
     lang = np.array(table["lang"].to_pylist(), object)
     size, part = table["size"].to_numpy(), table["part"].to_numpy()
     key, value = mixed(table["code"].to_numpy().view(np.uint64)), table["value"].to_numpy()
@@ -226,14 +302,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             arrays[k] = tuple(both)
         models.arrays.append(arrays)
     models._forget()
-    rows = learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    rows = rows.orderBy(F.xxhash64("id"), "id").select("lang", "text").limit(CALIBRATION)
     models.calibrate([(r.lang, r.text) for r in rows.collect()])
     models._forget()
     return models
 
 
-def identify(docs: DataFrame, models: Models, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, models: Models | Joined, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a row of ``docs``: doc_id, held_out, lang_pred, score, rejected.
 
     Texts that are null or have no letter are ``und`` with score 0, as is every
@@ -242,6 +316,12 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text", id_col: st
     gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    if isinstance(models, Joined):
+        rows = rows.withColumn("key", text_key("text"))
+        found = models.margins(rows.select("key", "text").dropDuplicates(["key"]))
+        score = F.coalesce(1 / (1 + F.exp(-(models.slope * F.col("gap") + models.intercept))), F.lit(0.0))
+        known = rows.drop("text").join(found, "key", "left").withColumn("score", score)
+        return known.select("doc_id", "held_out", F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"), "score", (F.col("score") < REJECT_BELOW).alias("rejected"))
 
     def run(batches):
         for whole in batches:

@@ -63,3 +63,36 @@ def test_odd_rows(spark):
     empty = language_id.train(docs.limit(0))
     assert [r.lang_pred for r in language_id.identify(docs, empty).collect()] == ["und"] * 8
     assert language_id.identify(docs.limit(0), models).count() == 0
+
+
+def test_every_gram_of_a_large_alphabet_is_kept(spark):
+    draw = np.random.default_rng(5).integers(0x4E00, 0x5E00, (15000, 4))
+    text = " ".join("".join(map(chr, word)) for word in draw)
+    counts = language_id.counted(spark.createDataFrame([(text, "zh")], "text string, lang string"), "text", "lang")
+    whole = counts.count()
+    assert whole > 60000
+    kept = language_id.tables(counts).where("size = 4 and part = 0")
+    assert kept.count() == whole
+
+
+def test_more_languages_than_are_loaded_are_all_predicted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] * 2 + letters[k // 26] * 3
+    docs = spark.createDataFrame([(1, f"{word(k)} " * (80 - k), f"l{k:02}") for k in range(70)], "doc_id long, text string, lang string")
+    found = language_id.identify(docs, language_id.train(docs)).join(docs.withColumnRenamed("lang", "of"), "doc_id").where("lang_pred = of")
+    assert found.select("lang_pred").distinct().count() == 70
+
+
+def test_joined_models_say_what_loaded_models_say(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(None, None, "en"), (-1, "12 !", "de"), (-2, "und", None), (-2, "und", None)], docs.schema))
+    loaded = language_id.identify(docs, language_id.train(docs)).collect()
+    monkeypatch.setattr(language_id, "MOST_LOADED", 0)
+    models = language_id.train(docs)
+    assert isinstance(models, language_id.Joined)
+    joined = language_id.identify(docs, models)
+    assert joined.schema.simpleString() == language_id.identify(docs, models).schema.simpleString()
+    key = lambda r: (str(r.doc_id), r.lang_pred, r.score)
+    pairs = list(zip(sorted(loaded, key=key), sorted(joined.collect(), key=key), strict=True))
+    assert all((a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected) for a, b in pairs)
+    assert np.allclose([a.score for a, _ in pairs], [b.score for _, b in pairs], atol=1e-3)
