@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.naming import class_index
+from ..functions.session import cut
 from .filters import DENSITY_THRESHOLDS
+from .voting import CLASSES
 
 
 def grid(det: DataFrame, least_seen: list[int], policies: list[str], confidences: list[float], true_least: int) -> DataFrame:
@@ -28,35 +33,98 @@ def grid(det: DataFrame, least_seen: list[int], policies: list[str], confidences
     return scored.groupBy("least_seen", "policy", "confidence_from").agg(F.sum(error).alias("l1"), F.max(error).alias("worst"), F.count_if(error == 0).alias("exact"))
 
 
-def errors_by_threshold(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], least: int = 4) -> dict[float, int]:
-    """For each candidate threshold of one class: the sum of count errors over videos. One job for all candidates.
+def _pairs(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both directions of all pairs of points at most ``eps`` apart, each point with itself among them."""
+    cells = pd.DataFrame({"at": np.arange(len(x)), "cx": np.floor(x / eps).astype(np.int64), "cy": np.floor(y / eps).astype(np.int64)})
+    found = []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            both = cells.merge(cells.assign(cx=cells["cx"] + i, cy=cells["cy"] + j), on=["cx", "cy"])
+            a, b = both["at_x"].to_numpy(), both["at_y"].to_numpy()
+            near = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= eps * eps
+            found.append((a[near], b[near]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    An object counts at a threshold if its ``least``-th most confident sighting
-    reaches it, so one pass over the detections serves every candidate.
+
+def _counts(kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Clusters by voted class, of points in order with their pairs: as ``density_clusters`` and ``detector_vote``."""
+    n = len(kind)
+    core = np.bincount(a, minlength=n) >= least
+    a, b = a[core[b]], b[core[b]]  # from whatever lies around to cores
+    inner = core[a]
+    label = np.where(core, np.arange(n), n)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, a[inner], label[b[inner]])
+        lower[core] = lower[lower[core]]
+        if (lower == label).all():
+            break
+        label = lower
+    np.minimum.at(label, a[~inner], label[b[~inner]])
+    member = label < n
+    votes = np.zeros((n, CLASSES))
+    np.add.at(votes, (label[member], kind[member]), weight[member])
+    votes = votes.round(9)  # equal weights stay equal in whatever order they were added
+    return np.bincount(votes.argmax(axis=1)[votes.sum(axis=1) > 0], minlength=CLASSES)
+
+
+def threshold_errors(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> dict[float, tuple[int, int]]:
+    """For each candidate threshold of one class: the sums of count errors over videos, of all classes and of this one.
+
+    The detections (video_id, ord, class_name, confidence, and rx, ry in reference
+    coordinates) that reach their class's threshold are clustered by density and
+    classed by vote anew for every candidate; classes without a threshold are
+    dropped. One job for all candidates; a video is one group, whose pairs are
+    found once, and candidates between which no confidence lies are counted once.
     """
-    own = det.where(F.col("class_name") == f"type{kind}")
-    ranked = own.groupBy("video_id", "obj_id").agg(F.sort_array(F.collect_list("confidence"), asc=False).alias("c")).where(F.size("c") >= least)
-    reach = ranked.select("video_id", F.col("c")[least - 1].alias("reach"))
-    counts = reach.groupBy("video_id").agg(*(F.count_if(F.col("reach") >= c).alias(f"c{k}") for k, c in enumerate(candidates)))
-    both = truth.select("video_id", F.col(f"type{kind}").alias("t")).join(counts, "video_id", "left")
-    row = both.agg(*(F.sum(F.abs(F.col("t") - F.coalesce(f"c{k}", F.lit(0)))).alias(f"e{k}") for k in range(len(candidates)))).first()
-    return {c: row[f"e{k}"] for k, c in enumerate(candidates)}
+    class_, confidence = class_index(F.col("class_name")), F.col("confidence")
+    limits = {k: thresholds[f"type{k}"] for k in range(1, CLASSES + 1) if k != kind and f"type{k}" in thresholds} | {kind: min(candidates)}
+    kept = det.select("video_id", "ord", class_.alias("kind"), confidence.cast("double").alias("confidence"), F.col("rx").alias("x"), F.col("ry").alias("y"))
+    kept = kept.where(" or ".join(f"kind = {k - 1} and confidence >= {limit!r}D" for k, limit in limits.items()))
+    names = [f"p{k}" for k in range(1, CLASSES + 1)]
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord")
+        kinds, said = frame["kind"].to_numpy(np.int64), frame["confidence"].to_numpy()
+        a, b = _pairs(frame["x"].to_numpy(), frame["y"].to_numpy(), distance)
+        own, known, rows = kinds == kind - 1, {}, []
+        for at, candidate in enumerate(candidates):
+            alive = ~own | (said >= candidate)
+            size = int(alive.sum())
+            if size not in known:
+                place, both = np.cumsum(alive) - 1, alive[a] & alive[b]
+                known[size] = _counts(kinds[alive], said[alive] ** 2, place[a[both]], place[b[both]], least)
+            rows.append((frame["video_id"].iloc[0], at, *known[size]))
+        return pd.DataFrame(rows, columns=["video_id", "at", *names])
+
+    found = kept.groupBy("video_id").applyInPandas(fold, f"video_id {dict(det.dtypes)['video_id']}, at int, " + ", ".join(f"{n} long" for n in names))
+    places = det.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("at"))
+    both = truth.crossJoin(F.broadcast(places)).join(found, ["video_id", "at"], "left")
+    error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
+    sums = both.groupBy("at").agg(F.sum(sum(error[1:], error[0])).alias("every"), F.sum(error[kind - 1]).alias("own")).collect()
+    by_place = {r["at"]: (r["every"], r["own"]) for r in sums}
+    return {c: by_place.get(at, (0, 0)) for at, c in enumerate(candidates)}
+
+
+def errors_by_threshold(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], least: int = 4, distance: float = 40.0) -> dict[float, int]:
+    """``threshold_errors`` of one class's detections alone."""
+    return {c: own for c, (_, own) in threshold_errors(det, truth, kind, candidates, {}, least, distance).items()}
 
 
-def descend(det: DataFrame, truth: DataFrame, start: dict[str, float] | None = None, step: float = 0.01, rounds: int = 3, least: int = 4) -> DataFrame:
-    """(class_name, threshold, error): each class's threshold in turn moves to the best candidate if that is strictly better; stops when a round changes nothing."""
+def descend(det: DataFrame, truth: DataFrame, start: dict[str, float] | None = None, step: float = 0.01, rounds: int = 3, least: int = 4, distance: float = 40.0) -> DataFrame:
+    """(class_name, threshold, error): each class's threshold in turn moves to the best candidate if the error of all classes is strictly smaller; stops when a round changes nothing."""
     now = dict(start or DENSITY_THRESHOLDS)
+    truth = cut(truth)
     candidates = [round(k * step, 6) for k in range(1, int(1 / step) + 1) if k * step < 1]
-    error: dict[str, int] = {}
     for _ in range(rounds):
         changed = False
-        for kind in range(1, 6):
+        for kind in range(1, CLASSES + 1):
             name = f"type{kind}"
-            found = errors_by_threshold(det, truth, kind, [now[name], *candidates], least)
-            best = min(candidates, key=lambda c: (found[c], c))
-            error[name] = found[now[name]]
-            if found[best] < error[name]:
-                now[name], error[name], changed = best, found[best], True
+            found = threshold_errors(det, truth, kind, list(dict.fromkeys([now[name], *candidates])), now, least, distance)
+            best = min(candidates, key=lambda c: (found[c][0], c))
+            if found[best][0] < found[now[name]][0]:
+                now[name], changed = best, True
         if not changed:
             break
+    error = {f"type{k}": threshold_errors(det, truth, k, [now[f"type{k}"]], now, least, distance)[now[f"type{k}"]][1] for k in range(1, CLASSES + 1)}
     return det.sparkSession.createDataFrame([(n, float(now[n]), int(error[n] or 0)) for n in sorted(now)], "class_name string, threshold double, error long")

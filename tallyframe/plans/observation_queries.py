@@ -278,7 +278,10 @@ def param_grid_topk(spark, sf_dir):
 
 @query()
 def coordinate_descent(spark, sf_dir):
-    return search.descend(detections(spark, sf_dir).where(~F.col("frame_id").isin(7, 19)), counted(spark, sf_dir), start={f"type{k}": 0.1 for k in range(1, 6)}, step=0.01)
+    both = filters.registered(detections(spark, sf_dir), registrations(spark, sf_dir))
+    x, y = g.project(_h(), *g.center(*_box()))
+    points = both.select("video_id", "ord", "class_name", "confidence", x.alias("rx"), y.alias("ry"))
+    return search.descend(points, counted(spark, sf_dir), start={f"type{k}": 0.1 for k in range(1, 6)}, step=0.01)
 
 
 @query(r"""WITH n AS (SELECT DISTINCT l_suppkey AS v, l_orderkey % 30 AS f, l_linenumber AS k FROM lineitem), s AS (SELECT v, f, k, CASE WHEN k = 7 THEN 'screw' ELSE ' Type-_' || k END AS raw FROM n)

@@ -108,3 +108,31 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "video_id long, frame_id long, signal double, total long")
     assert sampling.gate(none, "video_id", 1.0).count() == 0
     assert sampling.uniform(none, "video_id", "total", 5).count() == 0
+
+
+def test_threshold_search_merges_and_votes_without_a_planted_id(spark):
+    from tallyframe.operators import search
+
+    # four sightings at 0.9 with two of another class at 0.6 in the middle, and four that only those two connect
+    rows = [(1, k, "type1", 0.9, 100.0 + k, 100.0) for k in range(4)] + [(1, 4 + k, "type2", 0.6, 130.0 + 2 * k, 100.0) for k in range(2)] + [(1, 6 + k, "type1", 0.5, 160.0 + k, 100.0) for k in range(4)]
+    det = spark.createDataFrame(rows, "video_id long, ord long, class_name string, confidence double, rx double, ry double")
+    truth = spark.createDataFrame([(1, 2, 0, 0, 0, 0), (2, 0, 0, 1, 0, 0)], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    found = search.threshold_errors(det, truth, 2, [0.1, 0.7], {"type1": 0.1, "type3": 0.1})
+    assert found == {0.1: (2, 0), 0.7: (1, 0)}
+    assert search.errors_by_threshold(det, truth, 1, [0.1, 0.6, 0.95]) == {0.1: 0, 0.6: 1, 0.95: 2}
+
+
+def test_counts_of_the_search_are_those_of_the_clusterer(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import clustering, search, voting
+
+    draw = np.random.default_rng(2)
+    rows = [(v, k, f"type{draw.integers(1, 6)}", float(draw.integers(1, 100)) / 100, float(draw.integers(0, 300)), float(draw.integers(0, 300))) for v in (1, 2, 3) for k in range(90)]
+    det = spark.createDataFrame(rows, "video_id long, ord long, class_name string, confidence double, rx double, ry double")
+    points = det.select("video_id", "ord", F.col("rx").alias("x"), F.col("ry").alias("y"))
+    sightings = det.join(clustering.density_clusters(points, "video_id", 25.0, 4), ["video_id", "ord"]).withColumn("w", F.col("confidence") * F.col("confidence"))
+    truth = voting.dense_counts(voting.detector_vote(sightings, ["video_id", "cluster_id"], "w"), det)
+    assert truth.agg(F.sum("type1") + F.sum("type2")).first()[0] > 3
+    assert search.threshold_errors(det, truth, 1, [0.0], {f"type{k}": 0.0 for k in range(2, 6)}, 4, 25.0) == {0.0: (0, 0)}
