@@ -136,7 +136,7 @@ def lap_durations(spark, sf_dir):
 
 @query()
 def model_detections(spark, sf_dir):
-    frames = frame_signal(spark, sf_dir).where("frame_id < 5").select("video_id", "frame_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+    frames = frame_signal(spark, sf_dir).select("video_id", "frame_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
     return models.detect(frames, models.GridDetector)
 
 

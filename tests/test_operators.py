@@ -136,3 +136,22 @@ def test_counts_of_the_search_are_those_of_the_clusterer(spark):
     truth = voting.dense_counts(voting.detector_vote(sightings, ["video_id", "cluster_id"], "w"), det)
     assert truth.agg(F.sum("type1") + F.sum("type2")).first()[0] > 3
     assert search.threshold_errors(det, truth, 1, [0.0], {f"type{k}": 0.0 for k in range(2, 6)}, 4, 25.0) == {0.0: (0, 0)}
+
+
+def test_the_detector_sees_every_frame(spark, sf_dir):
+    from tallyframe.operators import models
+    from tallyframe.plans import catalog
+
+    sizes = {r.user_id: r["count"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().collect()}
+    want = []
+    for video, total in sizes.items():
+        for frame in range(total):
+            for c in range(16):
+                draw = (video * 31 + frame * 7 + c * 13) % 101 / 101
+                if draw < 0.3:
+                    x, y = c % 4 * 1920 / 4, c // 4 * 1080 / 4
+                    want.append((video, frame, x, y, x + 480, y + 270, 1 - draw, f"type{c % 5 + 1}"))
+    found = catalog.QUERIES["model_detections"](spark, sf_dir)
+    assert found.columns == [f.split()[0] for f in models.DETECTION.split(", ")]
+    assert max(sizes.values()) > 5
+    assert sorted(map(tuple, found.collect())) == sorted(want)
