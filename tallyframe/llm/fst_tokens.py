@@ -13,8 +13,8 @@ each neighbouring pair is the encoding of its own bytes, so one last token at
 each position decides everything to the right.
 
 Texts are cut into chunks of fixed width. A chunk's state map is constant from
-its first reset on (white space after another character always starts a
-pretoken, whatever came before) and passes its entry state through before it.
+its first reset on (ASCII white space after a character that is no white space always
+starts a pretoken, whatever came before) and passes its entry state through before it.
 Composing these maps from left to right is a prefix scan, a running maximum over
 reset positions; it leaves spans with known entry states, which then advance in
 lock-step, one table lookup for all of them at a time.
@@ -37,6 +37,8 @@ BATCH_CHARS, MAX_STATES, MAX_SYMBOLS = 3_000_000, 120_000, 128
 
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0" + chr(0x1680) + "".join(map(chr, range(0x2000, 0x200B))) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000))
 
+_OTHER_WHITE = np.array(sorted(ord(c) for c in WHITE if ord(c) > 32), np.uint32)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -298,6 +300,8 @@ def spans(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     full = ends > begins
     white = (points == 32) | ((points >= 9) & (points <= 13))
     resets = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+    # after other white space it may stand within a run that is one pretoken
+    resets = resets[~np.isin(points[resets - 1], _OTHER_WHITE)]
     # the state map of a chunk is constant from its first reset; a running maximum composes the maps
     chunk = resets // CHUNK
     first = resets[np.flatnonzero(np.diff(chunk, prepend=-1))]

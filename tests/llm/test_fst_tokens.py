@@ -52,3 +52,12 @@ def test_nulls_empties_repeats_and_clashing_columns(spark):
 @pytest.mark.parametrize("text", ["a'rex 'lly don't we'll 've x'd", "\n\n 'r", "  \t x"])
 def test_contractions(text):
     assert list(count_tokens([text], VOCAB)) == library([text])
+
+
+@pytest.mark.parametrize("other", [0xA0, 0x3000, 0x2003, 0x85])
+def test_runs_of_mixed_white_space_at_chunk_boundaries(other):
+    run = (" " + chr(other)) * 40
+    texts = ["x" * k + run + "y z" for k in range(fst_tokens.CHUNK - 90, fst_tokens.CHUNK + 10)]
+    for text in [*texts, run * 40, "a b " * 300 + run * 20 + "c"]:
+        assert list(count_tokens([text], VOCAB)) == library([text])
+    assert list(count_tokens(texts, VOCAB)) == library(texts)
