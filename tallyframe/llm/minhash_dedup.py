@@ -212,7 +212,7 @@ def _across_blocks(items: DataFrame, percent: int, nearest: bool) -> DataFrame:
         "key", "id", "n", "component", "sketch", "bands", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     kind = dict(items.dtypes)["id"]
-    limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0)
+    limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100)
 
     def run(table: pa.Table) -> pa.Table:
         n, block = (table[c].to_numpy() for c in ("n", "block"))
@@ -250,14 +250,14 @@ def _across_blocks(items: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 def _across_components(hits: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Candidates (a, b) from buckets that hold several components: all, or the nearest of every two components."""
-    members = hits.where("size > 2").select("key", "id", "n", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = hits.select("key", "id", "n", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
     items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id").join(classes.select("id", "bands"), "id"))
     small = items.where(F.col("size") <= SMALL)
     side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
     joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
     joined = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b", _bits("sketch_a", "sketch_b").cast("long").alias("bits"))
-    joined = joined.where(F.col("bits") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100, 4.0))
+    joined = joined.where(F.col("bits") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100))
     pairs = joined.unionByName(_across_blocks(items.where(F.col("size") > SMALL), percent, nearest))
     if nearest:
         low, high = F.least("component_a", "component_b"), F.greatest("component_a", "component_b")
@@ -293,7 +293,7 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
     near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     near = cut(near.where(_bits("x", "y") <= most_bits(ROWS, SKETCH_BITS, percent / 100)).select("a", "b"))
 
-    several = hits.where("size > 2").select("id")
+    several = hits.select("id")
     wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
     sets = cut(_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shingle_words))
     links = cut(_confirmed(near, sets, percent))

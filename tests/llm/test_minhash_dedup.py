@@ -68,3 +68,16 @@ def test_deduplicate_and_odd_rows(spark):
     assert left.columns == docs.columns
     assert sorted(r.n for r in left.collect()) == [1, 3, 4, 5, 6]
     assert group(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_buckets_of_two_are_compared_in_the_second_step(spark):
+    fine = [0] * (minhash_dedup.FINE_BITS // 64)
+    hits = spark.createDataFrame([(5, 1, 10, 2), (5, 2, 10, 2)], "key long, id long, n long, size long")
+    labels = spark.createDataFrame([], "id long, component long")
+    classes = spark.createDataFrame([(1, [5]), (2, [5])], "id long, bands array<long>")
+    far = [-1] * 64
+    for other, want in ((fine, [(1, 2)]), (far, [])):
+        sets = spark.createDataFrame([(1, fine), (2, other)], "id long, fine array<long>")
+        for nearest in (True, False):
+            found = minhash_dedup._across_components(hits, labels, classes, sets, 80, nearest)
+            assert [tuple(r) for r in found.collect()] == want
