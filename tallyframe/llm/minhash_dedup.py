@@ -2,23 +2,23 @@
 
 1. One pass over the texts gives each document its shingle count, a digest of its
    shingle set, band keys of its MinHash samples and an odd sketch: the parity
-   bitmap of the samples. Documents with equal sets are one class, represented by
-   the smallest id.
-2. Class representatives meet in band buckets. In a first step each member is
-   compared with the pivots of its buckets only, and of these with the few that it
-   shares most buckets with, so a group of copies costs a few pairs a member; the
-   links found join most of a group.
-3. In a second step only buckets of three and more that still hold different
-   components are compared in full, only across components, and large ones in
-   blocks spread over tasks, by finer sketches that candidates alone get. It runs
-   twice: first the nearest pair of every two components is confirmed, then every
-   pair of the components that this left apart. No bucket is capped or skipped.
-4. In all steps a pair must be near enough in size and, by the XOR population
+   bitmap of the samples. Documents with equal sets are one class.
+2. Classes meet in band buckets. A class's popularity is the total size of its
+   buckets, and the most popular member of a bucket is its hub: of the variants of
+   one text the hub is the one nearest to all others. Each member is compared with
+   the hubs of its buckets only, so a group of copies costs a few pairs a member,
+   and the links found join nearly all of it.
+3. Buckets that still hold several components are compared whole, but only across
+   components and only by finer sketches: a bucket's largest component against the
+   rest of it, and the rest among itself, in blocks spread over tasks. A pair is
+   given by the first band it shares, if it passes. No bucket is capped or skipped.
+4. In both steps a pair must be near enough in size and, by the XOR population
    count of its sketches, in estimated similarity (with a margin of six standard
    deviations); the pairs left are confirmed on the full shingle sets.
 
 With 40 bands of 5 samples a pair at similarity 0.8 shares no bucket with a
-probability of 1e-7.
+probability of 1e-7. Step 3 compares as many pairs as a bucket's members outside
+its largest component times its size; rows moved grow with that over ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -31,16 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, shuffle_width, words_of, written
 from .components import components
 
 BANDS, ROWS, SKETCH_BITS = 40, 5, 1024
 #: Samples a band and bits of the fine sketches, which candidates for the second step get.
 FINE_ROWS, FINE_BITS = 50, 4096
-#: Members of a bucket compared by a join, and of a block of a larger bucket; pivots a group of copies may get.
-SMALL, BLOCK, PIVOTS = 24, 512, 4
-#: Pivots a member is compared with in the first step; what they leave apart meets in the second.
-NEAREST = 3
+#: Members of a block of a large bucket; members of small buckets that one task compares; pairs compared at a time.
+BLOCK, BUNDLE, PAIRS = 4096, 20_000, 20_000
 MOST_KEPT = 400_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U64 = np.uint64
@@ -127,142 +125,208 @@ def _bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _sliced(batches, size: int = 500):
+    for whole in batches:
+        for at in range(0, whole.num_rows, size):
+            yield whole.slice(at, size)
+
+
 def profiles(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, digest, bands, sketch) of the rows (id, text)."""
+    """(id, mark, n, digest, bands, sketch) of the rows (id, mark, text)."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                n, digest, bands, sketch = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    found = shingles(text, size)
-                    n.append(len(found))
-                    if len(found):
-                        sample = samples(found)
-                        digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(sample))
-                        sketch.append(odd_sketch(sample))
-                    else:
-                        digest.append(None)
-                        bands.append(None)
-                        sketch.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "bands", "sketch"],
-                )
+        for batch in _sliced(batches):
+            n, digest, bands, sketch = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                found = shingles(text, size)
+                n.append(len(found))
+                if len(found):
+                    sample = samples(found)
+                    digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    bands.append(band_keys(sample))
+                    sketch.append(odd_sketch(sample))
+                else:
+                    digest.append(None)
+                    bands.append(None)
+                    sketch.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["id", "mark", "n", "digest", "bands", "sketch"],
+            )
         _words.clear()  # Python workers are used again, by other operators too
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, f"id {kind}, mark long, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(id, members, fine): the whole shingle set, and a finer odd sketch."""
+    """(class, members): the whole shingle set of the rows (class, text)."""
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [shingles(t, size) for t in batch.column("text").to_pylist()]
-                fine = [odd_sketch(samples(f, FINE_ROWS), FINE_BITS) for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(fine, pa.list_(pa.int64()))], names=["id", "members", "fine"])
+        for batch in _sliced(batches):
+            found = [shingles(t, size).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.binary())], names=["class", "members"])
         _words.clear()
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, members binary, fine array<long>")
+    return rows.select("class", "text").mapInArrow(run, "class long, members binary")
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """(class, fine): finer odd sketches of shingle sets."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            fine = [odd_sketch(samples(np.frombuffer(m, np.uint64), FINE_ROWS), FINE_BITS) for m in batch.column("members").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(fine, pa.list_(pa.int64()))], names=["class", "fine"])
+
+    return sets.mapInArrow(run, "class long, fine array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
+    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("members").alias("right")), "b").join(sets.select(F.col("class").alias("a"), F.col("members").alias("left")), "a")
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch, keep = whole.slice(at, 500), []
-                for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                    x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    common = int((x[place] == y).sum())
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in _sliced(batches):
+            keep = []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int((x[place] == y).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "left", "right").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-_PAIR = ("a", "b", "component_a", "component_b", "bits")
-
-
-def _across_blocks(items: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of large buckets: blocks of members, and every two blocks as a group of their own.
-
-    A pair that shares several buckets is given by the first of them only; with
-    ``nearest`` a group of blocks gives the nearest pair of every two components.
-    """
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = items.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("key", "id", "n", "component", "sketch", "bands", "block", other).select(
-        "key", "id", "n", "component", "sketch", "bands", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
-    kind = dict(items.dtypes)["id"]
+def _cells(keys: DataFrame) -> DataFrame:
+    """(key, main, rest, parts, bundle) of open buckets: the largest component, blocks of the others and of it; small buckets share a bundle."""
+    rest = F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int")
+    return keys.select("key", "main", rest.alias("rest"), F.ceil(F.col("largest") / BLOCK).cast("int").alias("parts"), (F.col("size") <= BLOCK).alias("bundled"))
+
+
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray):
+    """Index pairs of all segments of at most 32 rows, segments of one size at a time."""
+    for m in np.unique(sizes):
+        i, j = np.triu_indices(m, 1)
+        of = starts[sizes == m]
+        step = max(1, PAIRS // len(i))
+        for at in range(0, len(of), step):
+            some = of[at : at + step, None]
+            yield (some + i).ravel(), (some + j).ravel()
+
+
+def _pairs_across(first: np.ndarray, second: np.ndarray):
+    """Index pairs of two sides."""
+    step = max(1, PAIRS // max(1, len(second)))
+    for at in range(0, len(first), step):
+        some = first[at : at + step]
+        yield np.repeat(some, len(second)), np.tile(second, len(some))
+
+
+def _pairs_among(first: np.ndarray):
+    for k in range(len(first) - 1):
+        yield np.full(len(first) - 1 - k, first[k]), first[k + 1 :]
+
+
+def _candidates(table: pa.Table, percent: int, limit: int) -> pa.Table:
+    """Pairs (a, b) of different components in the same bucket, by size, first shared band and sketch."""
+    table = table.sort_by("key")
+    key, ids, n, component, block = (table[c].to_numpy() for c in ("key", "class", "n", "component", "block"))
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    fine = np.stack(table["fine"].combine_chunks().to_numpy(zero_copy_only=False)).view(np.uint64)
+    bands = np.stack(table["bands"].combine_chunks().to_numpy(zero_copy_only=False))
+    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+
+    def every():
+        if low < high:
+            yield from _pairs_across(np.flatnonzero(block == low), np.flatnonzero(block == high))
+        elif low >= 0:
+            yield from _pairs_among(np.arange(len(key)))
+        else:
+            yield from _pairs_within(starts[sizes <= 32], sizes[sizes <= 32])
+            for start, size in zip(starts[sizes > 32], sizes[sizes > 32]):
+                names, at, times = np.unique(component[start : start + size], return_inverse=True, return_counts=True)
+                main = at == times.argmax()
+                rest = start + np.flatnonzero(~main)
+                yield from _pairs_across(rest, start + np.flatnonzero(main))
+                yield from _pairs_among(rest)
+
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in every():
+        good = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[good], b[good]
+        good = bands[a, (bands[a] == bands[b]).argmax(axis=1)] == key[a]
+        a, b = a[good], b[good]
+        good = np.bitwise_count(fine[a] ^ fine[b]).sum(axis=1) <= limit
+        left.append(ids[a[good]])
+        right.append(ids[b[good]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+
+def _across_components(hits: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) from buckets that hold several components."""
+    spark = hits.sparkSession
+    members = hits.join(labels, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("times"))
+    largest = F.max(F.struct("times", "component")).alias("top")
+    keys = counts.groupBy("key").agg(largest, F.sum("times").alias("size"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    items = cut(members.join(_cells(keys.select("key", "size", F.col("top.times").alias("largest"), F.col("top.component").alias("main"))), "key"))
+    bundles = max(shuffle_width(spark), items.count() // BUNDLE)
+    block = F.when(F.col("component") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("class"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest"))).cast("int")
+    # a block of the largest component meets the blocks of the others, these meet all
+    last = F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("parts")).otherwise(F.col("rest")) - 1
+    other = F.explode(F.when(F.col("bundled"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last))).alias("other")
+    dealt = items.withColumn("block", F.when(F.col("bundled"), -1).otherwise(block)).select("*", other)
+    group = F.when(F.col("bundled"), F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key")).alias("group")
+    dealt = dealt.select(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "class", "n", "component", "block")
+    fine = _fine(sets.join(items.select("class").distinct(), "class", "left_semi"))
+    whole = dealt.join(fine.join(classes.select("class", "bands"), "class"), "class")
     limit = most_bits(FINE_ROWS, FINE_BITS, percent / 100)
+    return whole.groupBy("group", "low", "high").applyInArrow(lambda t: _candidates(t, percent, limit), "a long, b long")
+
+
+def _linked(docs: DataFrame, shingle_words: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+    """(id, mark, n, component, own) a row; ``mark`` tells texts of one id apart."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    profile = written(profiles(rows, shingle_words))
+    first = F.min_by(F.struct("id", "mark", "n", "bands", "sketch"), F.struct("id", "mark")).alias("r")
+    classes = profile.where("n > 0 and id is not null").groupBy("digest").agg(first).select(F.monotonically_increasing_id().alias("class"), "digest", "r.*")
+    classes = written(classes)  # the numbers of the classes hold from here on
+    bands = classes.select("class", "n", F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    hits = cut(bands.join(sizes, "key").select("key", "class", "n", "size"))
+
+    popular = hits.groupBy("class").agg(F.sum("size").alias("popularity"))
+    ranked = hits.join(popular, "class").select("key", "class", "n", "popularity")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("popularity", F.xxhash64("class").alias("draw"), "class", "n")).alias("h"))
+    hubs = hubs.select("key", F.col("h.class").alias("hub"), F.col("h.n").alias("hub_n"))
+    met = hits.join(hubs, "key").where((F.col("class") != F.col("hub")) & _near_size("n", "hub_n", percent))
+    near = met.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
+    sketches = classes.select("class", "sketch")
+    near = near.join(sketches.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a")
+    near = near.where(_bits("x", "y") <= most_bits(ROWS, SKETCH_BITS, percent / 100)).select("a", "b")
+
+    wanted = classes.select("class", "id", "mark").join(hits.select("class").distinct(), "class", "left_semi")
+    texts = rows.join(wanted, ["id", "mark"]).groupBy("id", "mark", "class").agg(F.first("text").alias("text"))
+    sets = written(_sets(texts, shingle_words))
+    links = cut(_confirmed(near, sets, percent))
+    labels = components(links)
+    more = cut(_confirmed(_across_components(hits, labels, classes, sets, percent), sets, percent))
+    if not more.isEmpty():
+        labels = components(more.unionByName(labels.select(F.col("class").alias("a"), F.col("component").alias("b"))))
 
-    def run(table: pa.Table) -> pa.Table:
-        n, block = (table[c].to_numpy() for c in ("n", "block"))
-        component = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
-        sketch = np.stack(table["sketch"].combine_chunks().to_numpy(zero_copy_only=False)).view(np.uint64)
-        bands, key = np.stack(table["bands"].combine_chunks().to_numpy(zero_copy_only=False)), table["key"][0].as_py()
-        one = table["low"][0].as_py() == table["high"][0].as_py()
-        first = np.arange(len(n)) if one else np.flatnonzero(block == table["low"][0].as_py())
-        second = np.arange(len(n)) if one else np.flatnonzero(block != table["low"][0].as_py())
-        left, right, apart = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in first:
-            near = second[(component[second] != component[k]) & (100 * np.minimum(n[second], n[k]) >= percent * np.maximum(n[second], n[k]))]
-            if one:
-                near = near[near > k]
-            if len(near):
-                bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1)
-                good = bits <= limit
-                if not nearest:
-                    good &= bands[k][(bands[near] == bands[k]).argmax(axis=1)] == key
-                left.append(np.full(good.sum(), k))
-                right.append(near[good])
-                apart.append(bits[good].astype(np.int64))
-        left, right, apart = map(np.concatenate, (left, right, apart))
-        if nearest:
-            both = np.minimum(component[left], component[right]) * len(n) + np.maximum(component[left], component[right])
-            order = np.lexsort((apart, both))
-            chosen = order[np.flatnonzero(np.diff(both[order], prepend=-1))]
-            left, right, apart = left[chosen], right[chosen], apart[chosen]
-        ids, labels = table["id"].combine_chunks(), table["component"].combine_chunks()
-        x, y = pa.array(left, pa.int64()), pa.array(right, pa.int64())
-        return pa.table(dict(zip(_PAIR, (ids.take(x), ids.take(y), labels.take(x), labels.take(y), pa.array(apart, pa.int64())))))
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, f"a {kind}, b {kind}, component_a {kind}, component_b {kind}, bits long")
-
-
-def _across_components(hits: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidates (a, b) from buckets that hold several components: all, or the nearest of every two components."""
-    members = hits.select("key", "id", "n", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    items = cut(members.join(open_, "key", "left_semi").join(sets.select("id", F.col("fine").alias("sketch")), "id").join(classes.select("id", "bands"), "id"))
-    small = items.where(F.col("size") <= SMALL)
-    side = lambda s: small.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "sketch")))
-    joined = side("a").join(side("b"), "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size("n_a", "n_b", percent))
-    joined = joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b", _bits("sketch_a", "sketch_b").cast("long").alias("bits"))
-    joined = joined.where(F.col("bits") <= most_bits(FINE_ROWS, FINE_BITS, percent / 100))
-    pairs = joined.unionByName(_across_blocks(items.where(F.col("size") > SMALL), percent, nearest))
-    if nearest:
-        low, high = F.least("component_a", "component_b"), F.greatest("component_a", "component_b")
-        pairs = pairs.groupBy(low.alias("low"), high.alias("high")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    names = labels.join(classes.select("class", "id"), "class")
+    names = names.join(names.groupBy("component").agg(F.min("id").alias("least")), "component").select("class", "least")
+    owner = classes.select("class", "digest", "id").join(names, "class", "left").select("digest", F.coalesce("least", "id").alias("component"))
+    own = F.coalesce("component", "id")
+    return profile.select("id", "mark", "n", "digest").join(owner, "digest", "left").select("id", "mark", "n", own.alias("component"))
 
 
 def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -270,45 +334,17 @@ def group(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col:
 
     Two documents are linked when 100 times the intersection of their shingle sets
     reaches ``percent`` times the union; component_id is the smallest id reachable.
-    A document without words (null or empty text) is linked with nothing. Rows that
-    repeat an id share its component. A null id takes its class's smallest id if
-    there is one. An empty table gives no rows; other columns are ignored.
+    A document without words (null or empty text) is linked with nothing. Each row
+    is a document of its own, also where an id repeats: equal rows get equal
+    results, other texts of an id their own. A null id takes its class's smallest
+    id if there is one. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    profile = cut(profiles(rows, shingle_words))
-    classes = cut(
-        profile.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sketch"), "id").alias("r")).select("digest", "r.*")
-    )
-    bands = classes.select("id", "n", F.explode("bands").alias("key"))
-    # a bucket's pivot is its member of smallest hash, under one of a few hashes, so that a group of copies meets several pivots
-    drawn = F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))).alias("draw"), "id", "n")
-    buckets = bands.groupBy("key").agg(F.min(drawn).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hits = cut(bands.join(buckets, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "size"))
-
-    met = hits.where((F.col("id") != F.col("pivot")) & _near_size("n", "pivot_n", percent)).repartition("id").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    ranked = F.sort_array(F.collect_list(F.struct(-F.col("shared"), "pivot")))  # at most a pivot a band
-    met = met.groupBy("id").agg(F.slice(ranked, 1, NEAREST)["pivot"].alias("pivots")).select("id", F.explode("pivots").alias("pivot"))
-    near = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    sketches = classes.select("id", "sketch")
-    near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    near = cut(near.where(_bits("x", "y") <= most_bits(ROWS, SKETCH_BITS, percent / 100)).select("a", "b"))
-
-    several = hits.select("id")
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(several).distinct()
-    sets = cut(_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), shingle_words))
-    links = cut(_confirmed(near, sets, percent))
-    labels = components(links)
-    for nearest in (True, False):
-        more = cut(_confirmed(_across_components(hits, labels, classes, sets, percent, nearest), sets, percent))
-        if not more.isEmpty():
-            labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-
-    owner = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    own = F.coalesce("component", "id")
-    return profile.select("id", "n", "digest").join(owner, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    found = _linked(docs, shingle_words, percent, text_col, id_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that represent their group, all columns as they were; rows without id stay."""
-    gone = group(docs, shingle_words, percent, text_col, id_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs`` that represent their group, all columns as they were and in their order; rows without id stay."""
+    found = _linked(docs, shingle_words, percent, text_col, id_col)
+    gone = found.where("id is not null and id != component").select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_mark"]), "left_anti")

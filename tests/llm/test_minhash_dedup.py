@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from tallyframe.llm import minhash_dedup
 from tallyframe.llm.minhash_dedup import deduplicate, group
 
@@ -50,9 +52,49 @@ def same(spark, rows, size):
     assert got == brute(rows, size)
 
 
-def test_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "SMALL", 4)  # so that both ways of comparing a bucket run
-    rows = made(1, 24, 14, 90) + [(9000, None), (9001, ""), (9002, " "), (9003, "One two"), (9004, "one  TWO"), (9005, "One"), (9006, "x " * 3000), (9007, "x " * 2000)]
+ODD = [(9000, None), (9001, ""), (9002, " "), (9003, "One two"), (9004, "one  TWO"), (9005, "One"), (9006, "x " * 3000), (9007, "x " * 2000)]
+
+
+def test_against_all_pairs(spark):
+    same(spark, made(1, 24, 14, 90) + ODD, 4)
+
+
+def test_against_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)  # so that most open buckets are dealt out in blocks
+    same(spark, made(5, 16, 14, 90) + ODD, 4)
+
+
+def star(seed, members, edits, words=120):
+    """Variants of one text with up to ``edits`` new words each: few of them are near one another, the least changed are near many."""
+    rnd = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for at in range(members):
+        text = list(base)
+        for _ in range(rnd.randrange(1, edits + 1)):
+            text[rnd.randrange(words)] = f"n{at}x{rnd.randrange(10**6)}"
+        rows.append((at, " ".join(text)))
+    return rows
+
+
+def test_one_huge_group_of_variants(spark, monkeypatch):
+    rows = star(3, 300, 6) + [(1000 + i, t) for i, t in star(4, 40, 3, 60)]
+    same(spark, rows, 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 50)
+    same(spark, rows, 4)
+
+
+def test_links_that_hubs_do_not_find(spark):
+    """Chains whose ends differ: members near only one or two others, beside popular texts that share their buckets."""
+    rnd, rows = random.Random(9), []
+    for g in range(6):
+        words = [f"c{g}w{k}" for k in range(100)]
+        for step in range(12):
+            rows.append((100 * g + step, " ".join(words)))
+            at = rnd.randrange(100)
+            words = [*words]
+            words[at] = f"c{g}s{step}"
+        rows += [(100 * g + 50 + k, " ".join(words[:60] + [f"o{g}{k}v{j}" for j in range(40)])) for k in range(5)]
     same(spark, rows, 4)
 
 
@@ -70,14 +112,42 @@ def test_deduplicate_and_odd_rows(spark):
     assert group(docs.limit(0)).count() == 0
 
 
-def test_pairs_of_buckets_of_two_are_compared_in_the_second_step(spark):
+def test_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(7, one, 1), (7, two, 2), (3, one + " more", 3), (7, two, 4), (9, two + " end", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").select("text", "n", "doc_id")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in group(docs).collect())
+    assert found == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False)]
+    left = deduplicate(docs)
+    assert left.columns == ["text", "n", "doc_id"]
+    assert sorted(r.n for r in left.collect()) == [2, 3, 4]
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(2, text, 1, 2, "x", 3), (5, text, 1, 2, "y", 3)], "doc_id long, text string, id int, mark int, class string, component int")
+    assert sorted((r.doc_id, r.component_id) for r in group(docs).collect()) == [(2, 2), (5, 2)]
+    left = deduplicate(docs)
+    assert left.columns == docs.columns
+    assert [r["class"] for r in left.collect()] == ["x"]
+
+
+def candidates(items, limit=600):
     fine = [0] * (minhash_dedup.FINE_BITS // 64)
-    hits = spark.createDataFrame([(5, 1, 10, 2), (5, 2, 10, 2)], "key long, id long, n long, size long")
-    labels = spark.createDataFrame([], "id long, component long")
-    classes = spark.createDataFrame([(1, [5]), (2, [5])], "id long, bands array<long>")
-    far = [-1] * 64
-    for other, want in ((fine, [(1, 2)]), (far, [])):
-        sets = spark.createDataFrame([(1, fine), (2, other)], "id long, fine array<long>")
-        for nearest in (True, False):
-            found = minhash_dedup._across_components(hits, labels, classes, sets, 80, nearest)
-            assert [tuple(r) for r in found.collect()] == want
+    kinds = pa.list_(pa.int64())
+    columns = {k: pa.array([r[at] for r in items], pa.int64()) for at, k in enumerate(("key", "class", "n", "component"))}
+    columns |= {"block": pa.array([r[4] for r in items], pa.int32()), "bands": pa.array([r[5] for r in items], kinds), "fine": pa.array([fine] * len(items), kinds)}
+    blocks = sorted({r[4] for r in items})
+    columns |= {"low": pa.array([blocks[0]] * len(items), pa.int32()), "high": pa.array([blocks[-1]] * len(items), pa.int32())}
+    found = minhash_dedup._candidates(pa.table(columns), 80, limit)
+    return sorted(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+
+
+def test_candidates_of_buckets(spark):
+    two = [(5, 1, 10, 1, -1, [5, 8]), (5, 2, 10, 2, -1, [5, 8]), (8, 1, 10, 1, -1, [5, 8]), (8, 2, 10, 2, -1, [5, 8])]
+    assert candidates(two) == [(1, 2)]  # once, by the first band
+    assert candidates([(5, 1, 10, 1, -1, [5, 8]), (5, 2, 20, 2, -1, [5, 8])]) == []  # too different in size
+    many = [(5, k, 10, k // 30, -1, [5, 8]) for k in range(40)]  # two components of one bucket
+    assert candidates(many) == [(a, b) for a in range(30) for b in range(30, 40)]
+    blocks = [(5, k, 10, k, k // 3, [5, 8]) for k in range(6)]
+    assert candidates(blocks) == [(a, b) for a in range(3) for b in range(3, 6)]
