@@ -8,6 +8,9 @@ its bytes exactly if each neighbouring pair is the encoding of its own bytes, an
 it is enough to see that for the pairs at the window's two edges. Decoding
 concatenates halves up the same tree.
 
+Which characters are letters, numbers or white space is the library's own table,
+asked once a worker, since the tables of two regular-expression engines differ.
+
 White space after another character always starts a piece, so a text is the
 concatenation of independent units (white space and the word behind it), which
 are encoded once per task and remembered within a bound.
@@ -23,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,25 @@ _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _END = 1 << 62
 
 
+#: A character of each class that both engines know, and that no pattern names.
+_STAND_INS = {r"\p{L}": "\u00e9", r"\p{N}": "9", r"\s": "\u2003"}
+
+
+@lru_cache(maxsize=1)
+def disputed() -> dict[int, str]:
+    """Code points that the library puts into another class than the ``regex`` package, and a stand-in of the library's class."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes((b,)): b for b in range(256)}
+    theirs: dict[str, str] = {}
+    wrong: set[str] = set()
+    for kind, stand_in in _STAND_INS.items():  # text between matches is left out, so the ids are those of the class alone
+        probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        members = set(bytes(probe.encode_ordinary(every)).decode())
+        wrong |= members.symmetric_difference(regex.findall(kind, every))
+        theirs |= dict.fromkeys(members, stand_in)
+    return {ord(c): theirs.get(c, "!") for c in wrong}
+
+
 class ByteBpe(dict):
     """Encoder for one rank file; as a dict it maps units to their ids, packed little-endian."""
 
@@ -50,7 +73,8 @@ class ByteBpe(dict):
         for token, rank in self.ranks.items():
             self.table[rank] = token
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
-        self.pieces = regex.compile(pattern).findall
+        self.matches = regex.compile(pattern)
+        self.disputed = disputed()
         self._pair: dict[tuple[bytes, bytes], bool] = {}
         self._piece: dict[str, bytes] = {}
 
@@ -142,6 +166,12 @@ class ByteBpe(dict):
                 self._piece[piece] = ids
         return ids
 
+    def pieces(self, text: str) -> list[str]:
+        """The pattern's matches as the library finds them."""
+        if text.isascii() or self.disputed.keys().isdisjoint(map(ord, set(text))):
+            return self.matches.findall(text)
+        return [text[m.start() : m.end()] for m in self.matches.finditer(text.translate(self.disputed))]
+
     def encode_unit(self, unit: str) -> bytes:
         return b"".join(map(self.encode_piece, self.pieces(unit)))
 

@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -53,3 +54,12 @@ def test_frames(spark, sf_dir):
     assert all(ints(r.ids) == lib.encode_ordinary(want[r.doc_id]) and r.n_tokens == len(r.ids) // 4 for r in rows)
     assert all(r.decoded.decode() == want[r.doc_id] for r in decode(tokens, FILE, PATTERN).collect())
     assert encode(docs.limit(0), FILE, PATTERN).count() == 0
+
+
+def test_every_code_point():
+    bpe, lib = ByteBpe(FILE, PATTERN), library()
+    for template in ("it{c}'s {c}'re", "a{c}1", "{c}{c} {c}", "1{c}!{c} "):
+        texts = [template.format(c=chr(k)) for k in (*range(0xD800), *range(0xE000, 0x110000)) if k < 0x32000 or k % 61 == 0 or k > 0xE0000 and k < 0xE0200]
+        for text, want in zip(texts, lib.encode_ordinary_batch(texts)):
+            got = np.frombuffer(b"".join(map(bpe.encode_piece, bpe.pieces(text))), "<u4").tolist()
+            assert got == want, text.encode("unicode_escape")
