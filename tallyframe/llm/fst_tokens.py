@@ -14,24 +14,29 @@ each position decides everything to the right.
 
 Texts are cut into chunks of fixed width. A chunk's state map is constant from
 its first reset on (ASCII white space after a character that is no white space always
-starts a pretoken, whatever came before) and passes its entry state through before it.
-Composing these maps from left to right is a prefix scan, a running maximum over
-reset positions; it leaves spans with known entry states, which then advance in
-lock-step, one table lookup for all of them at a time.
+starts a pretoken, whatever came before), so resets give spans with known entry
+states, which advance in lock-step, one table lookup for all of them at a time.
+Where a stretch holds no reset for long, its chunks get state maps: from the entry
+states that a short run-up makes likely to (exit state, count). Neighbouring maps
+are composed pairwise up a tree, all pairs of a level at once; an exit that is not
+in the next map's domain extends that map by running its chunk from it, so the
+composition is exact whatever the guesses were.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 CHUNK = 512
+#: Length of a span from which its chunks get state maps, and of the run-up that guesses their entry states.
+LONG, RUN_UP = 4 * CHUNK, 64
 #: Code points handled together, and states kept before the compiled part is dropped and built anew.
 BATCH_CHARS, MAX_STATES, MAX_SYMBOLS = 3_000_000, 120_000, 128
 
@@ -47,11 +52,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+_split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+
+@lru_cache(maxsize=None)
 def char_class(c: str) -> str:
+    """White space, letter, number or other, as the library's own pattern takes it: by what it joins."""
     if c in WHITE:
         return "W"
-    kind = unicodedata.category(c)[0]
-    return kind if kind in "LN" else "O"
+    if len(_split("a" + c)) == 1:
+        return "L"
+    return "N" if len(_split("1" + c)) == 1 else "O"
 
 
 #: At a position where no token can begin any more.
@@ -261,9 +272,21 @@ class Transducer:
         symbol = self._columns(points)
         starts, owner = spans(points, ends)
         lengths = np.diff(np.append(starts, len(points)))
+        counts = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(lengths <= LONG)
+        if len(short):
+            state, n = self.advance(points, symbol, starts[short], lengths[short], np.full(len(short), self.start))
+            counts[short] = n + self.last[state]
+        for k in np.flatnonzero(lengths > LONG):
+            counts[k] = self.scanned(points, symbol, int(starts[k]), int(lengths[k]))
+        np.add.at(total, owner, counts)
+        return total
+
+    def advance(self, points: np.ndarray, symbol: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and counts of spans from their entry states, all in lock-step."""
         order = np.argsort(-lengths, kind="stable")
-        starts, owner, lengths = starts[order], owner[order], lengths[order]
-        state, counts = np.full(len(starts), self.start, np.int64), np.zeros(len(starts), np.int64)
+        starts, lengths, state = starts[order], lengths[order], entries[order].astype(np.int64)
+        counts = np.zeros(len(starts), np.int64)
         live_at = len(starts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         for k, live in enumerate(live_at):
             now, at = state[:live], starts[:live] + k
@@ -288,9 +311,50 @@ class Transducer:
                 after = self.next.take(cell)
             now[some] = after
             counts[:live][some] += self.delta.take(cell)
-        counts += self.last[state]
-        np.add.at(total, owner, counts)
-        return total
+        back = np.argsort(order)
+        return state[back], counts[back]
+
+    def scanned(self, points: np.ndarray, symbol: np.ndarray, start: int, length: int) -> int:
+        """Tokens of one long span: its chunks' state maps, composed pairwise up a tree."""
+        edges = np.arange(start, start + length, CHUNK)
+        sizes = np.minimum(CHUNK, start + length - edges)
+        guesses, _ = self.advance(points, symbol, edges[1:] - RUN_UP, np.full(len(edges) - 1, RUN_UP), np.full(len(edges) - 1, self.start))
+        entries = [self.start, *guesses.tolist()]
+        #: by level and node: entry state to (exit state, count); a node covers two of the level below
+        levels: list[list[dict[int, tuple[int, int]]]] = [[{} for _ in edges]]
+        while len(levels[-1]) > 1:
+            levels.append([{} for _ in range((len(levels[-1]) + 1) // 2)])
+        alike: dict[tuple[bytes, int], tuple[int, int]] = {}  # chunks of the same characters
+
+        def extend(level: int, wanted: list[tuple[int, int]]) -> None:
+            maps = levels[level]
+            missing = list(dict.fromkeys((k, e) for k, e in wanted if e not in maps[k]))
+            if not missing:
+                return
+            if not level:
+                text = {k: points[edges[k] : edges[k] + sizes[k]].tobytes() for k, _ in missing}
+                new = list({(text[k], e): k for k, e in missing if (text[k], e) not in alike}.items())
+                if new:
+                    at = np.array([k for _, k in new])
+                    found = self.advance(points, symbol, edges[at], sizes[at], np.array([e for (_, e), _ in new]))
+                    alike.update(zip((key for key, _ in new), zip(*(f.tolist() for f in found))))
+                for k, e in missing:
+                    maps[k][e] = alike[text[k], e]
+                return
+            below = levels[level - 1]
+            extend(level - 1, [(2 * k, e) for k, e in missing])
+            extend(level - 1, [(2 * k + 1, below[2 * k][e][0]) for k, e in missing if 2 * k + 1 < len(below)])
+            for k, e in missing:
+                out, n = below[2 * k][e]
+                if 2 * k + 1 < len(below):
+                    out, more = below[2 * k + 1][out]
+                    n += more
+                maps[k][e] = out, n
+
+        for level, nodes in enumerate(levels):
+            extend(level, [(k, entries[k << level]) for k in range(len(nodes))])
+        out, n = levels[-1][0][self.start]
+        return n + int(self.last[out])
 
 
 def spans(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +366,7 @@ def spans(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     resets = np.flatnonzero(white[1:] & ~white[:-1]) + 1
     # after other white space it may stand within a run that is one pretoken
     resets = resets[~np.isin(points[resets - 1], _OTHER_WHITE)]
-    # the state map of a chunk is constant from its first reset; a running maximum composes the maps
+    # the state map of a chunk is constant from its first reset
     chunk = resets // CHUNK
     first = resets[np.flatnonzero(np.diff(chunk, prepend=-1))]
     marks = np.zeros(len(points), bool)

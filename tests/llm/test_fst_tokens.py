@@ -61,3 +61,25 @@ def test_runs_of_mixed_white_space_at_chunk_boundaries(other):
     for text in [*texts, run * 40, "a b " * 300 + run * 20 + "c"]:
         assert list(count_tokens([text], VOCAB)) == library([text])
     assert list(count_tokens(texts, VOCAB)) == library(texts)
+
+
+def test_every_code_point():
+    lib = Tokenizer.from_file(VOCAB)
+    for template in ("it{c}'s {c}'re", "a{c}1", "{c}{c} {c}"):
+        texts = [template.format(c=chr(k)) for k in (*range(0xD800), *range(0xE000, 0x110000)) if k < 0x32000 or k % 61 == 0 or k > 0xE0000 and k < 0xE0200]
+        for at in range(0, len(texts), 20000):
+            some = texts[at : at + 20000]
+            got, want = count_tokens(some, VOCAB), [len(e.ids) for e in lib.encode_batch(some, add_special_tokens=False)]
+            assert [t.encode("unicode_escape") for t, a, b in zip(some, got, want) if a != b] == []
+
+
+def test_long_texts_without_resets_through_state_maps(monkeypatch):
+    calls = []
+    scanned = fst_tokens.Transducer.scanned
+    monkeypatch.setattr(fst_tokens.Transducer, "scanned", lambda self, *a: calls.append(a[-1]) or scanned(self, *a))
+    rnd = random.Random(7)
+    letters = "".join(rnd.choices("etaoinshrdlu", k=1_000_000))
+    mixed = "".join(rnd.choices("ethe'sre09.,-", k=40_000))
+    texts = [letters, mixed, "a" * 30_000, "ab" * 9_000, "'" * 7_000, "9" * 5_000, (" " + chr(0xA0)) * 4_000, chr(0x6F22) * 3_000 + "x", "short one", "x" * (fst_tokens.LONG + 1) + " y " + "z" * 5000]
+    assert list(count_tokens(texts, VOCAB)) == library(texts)
+    assert len(calls) == 10 and max(calls) == 1_000_000
