@@ -1,9 +1,10 @@
 """Chat formatting: field-path fingerprints select the mapping to canonical turns.
 
-A record's layout is recognised by the hash of the nested field paths it has, out
-of those that any mapping names; the hash looks up a declarative mapping, which
-says where roles and texts stand. Tables have one fingerprint, from their schema;
-JSON records have one each. Canonical turns are rendered by one template:
+A layout is recognised by hashes of nested field paths: of a record's paths those
+that a mapping names are hashed, and the first mapping whose own fingerprint comes
+out says where roles and texts stand; other paths do not matter. Tables have one
+fingerprint, from their schema; JSON records have one each, over all elements of
+their lists. Canonical turns are rendered by one template:
 
     <s>[role]text</s><s>[role]text</s>...
 
@@ -34,8 +35,8 @@ class Mapping:
     """Where the turns of one layout stand.
 
     ``list_path`` names an array of turns with ``role`` and ``text`` below it;
-    otherwise ``turns`` gives (role, path) in order, and paths in one group of
-    parentheses are joined by an empty line. ``rows`` marks a table with one row
+    ``turns`` gives (role, path) in order, before any list, and paths in one group
+    of parentheses are joined by an empty line. ``rows`` marks a table with one row
     a turn: the columns of the conversation, the order, the role and the text.
     """
 
@@ -47,28 +48,39 @@ class Mapping:
     rows: tuple[str, str, str, str] | None = None
 
 
+#: In order of precedence: a mapping stands before those whose paths it includes.
 MAPPINGS = (
     Mapping(("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Mapping(("messages[].content", "messages[].role", "system"), list_path="messages", role="role", text="content", turns=(("system", ("system",)),)),
     Mapping(("messages[].content", "messages[].role"), list_path="messages", role="role", text="content"),
+    Mapping(("conversations[].from", "conversations[].value", "system"), list_path="conversations", role="from", text="value", turns=(("system", ("system",)),)),
     Mapping(("conversations[].from", "conversations[].value"), list_path="conversations", role="from", text="value"),
+    Mapping(("input", "instruction", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping(("instruction", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping(("input", "instruction", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping(("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping(("prompt", "response", "system"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping(("prompt", "response"), turns=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping(("completion", "prompt", "system"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping(("completion", "prompt"), turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping(("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping(("input", "instruction", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Mapping(("instruction", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping(("input", "instruction", "output", "system"), turns=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
 )
-KNOWN = tuple(sorted({p for m in MAPPINGS for p in m.paths}))
+KNOWN = tuple(sorted({p for m in MAPPINGS if not m.rows for p in m.paths}))
 
 
-def fingerprint(paths) -> int:
-    """Spark's xxhash64 of the known paths, sorted, a line each."""
-    text = "\n".join(sorted(set(paths) & set(KNOWN)))
+def fingerprint(paths, named) -> int:
+    """Spark's xxhash64 of those paths that are ``named``, sorted, a line each."""
+    text = "\n".join(sorted(set(paths) & set(named)))
     h = xxhash.xxh64_intdigest(text.encode(), seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
+#: A mapping's own fingerprint: that of exactly the paths it names.
+BY_FINGERPRINT = {fingerprint(m.paths, m.paths): m for m in MAPPINGS}
+
+
+def mapping_of(paths) -> Mapping | None:
+    """The first mapping whose fingerprint the paths have."""
+    return next((m for code, m in BY_FINGERPRINT.items() if fingerprint(paths, m.paths) == code), None)
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -109,10 +121,11 @@ def canonical(table: DataFrame) -> DataFrame:
     """(conv_id, turns): the conversations of a table with one row a turn, in turn order.
 
     The layout is chosen by the fingerprint of the table's schema; other columns
-    are ignored. Null roles and texts count as empty; rows that share a turn are
+    are ignored, whatever their names. A conversation is one row of the result, so
+    its turns meet in one task. Null roles and texts count as empty; rows that share a turn are
     ordered by role and text; rows without conv_id form one conversation.
     """
-    mapping = BY_FINGERPRINT.get(fingerprint(field_paths(table.schema)))
+    mapping = mapping_of(field_paths(table.schema))
     if mapping is None or mapping.rows is None:
         raise ValueError("no mapping for this layout of rows")
     conv, turn, role, text = mapping.rows
@@ -124,28 +137,41 @@ def canonical(table: DataFrame) -> DataFrame:
 def canonical_records(records: DataFrame, json_col: str = "record", id_col: str = "conv_id") -> DataFrame:
     """(conv_id, fingerprint, turns) of JSON records of any known layout, each row its own.
 
-    Records that do not parse, or whose fingerprint no mapping has, get null turns.
+    A path is there if it holds text, in a list if any of its elements has it.
+    ``fingerprint`` is the chosen mapping's. Records that do not parse, or whose
+    paths no mapping fits, get null turns.
     """
     v = F.try_parse_json(F.col(json_col))
 
-    def has(path: str) -> Column:
-        return F.try_variant_get(v, "$." + path.replace("[]", "[0]"), "string").isNotNull()
+    def elements(m: Mapping) -> Column:
+        return F.try_variant_get(F.try_parse_json(F.col("json")), f"$.{m.list_path}", f"array<struct<{m.role}:string,{m.text}:string>>")
 
-    paths = F.array_compact(F.array(*(F.when(has(p), F.lit(p)) for p in KNOWN)))
-    rows = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), F.xxhash64(F.array_join(paths, "\n")).alias("fingerprint"))
+    def has(path: str) -> Column:
+        if "[]." not in path:
+            return F.try_variant_get(v, "$." + path, "string").isNotNull()
+        outer, inner = path.split("[].")
+        return F.exists(F.try_variant_get(v, f"$.{outer}", f"array<struct<{inner}:string>>"), lambda x: x[inner].isNotNull())
+
+    there = F.array_compact(F.array(*(F.when(has(p), F.lit(p)) for p in KNOWN)))
+    rows = records.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), there.alias("paths"))
+    fitting = F.lit(None).cast("long")
+    for code, m in reversed(BY_FINGERPRINT.items()):
+        if not m.rows:
+            own = F.xxhash64(F.array_join(F.array_intersect("paths", F.array(*map(F.lit, m.paths))), "\n"))
+            fitting = F.when(own == code, F.lit(code)).otherwise(fitting)
+    rows = rows.select("conv_id", "json", fitting.alias("fingerprint"))
 
     def get(path: str) -> Column:
         return F.try_variant_get(F.try_parse_json("json"), "$." + path, "string")
 
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for code, m in BY_FINGERPRINT.items():
-        if m.list_path:
-            kind = f"array<struct<{m.role}:string,{m.text}:string>>"
-            found = F.transform(F.try_variant_get(F.try_parse_json("json"), f"$.{m.list_path}", kind), _reader(m))
-        elif m.turns:
-            found = F.array(*(_turn(F.lit(role), F.array_join(F.filter(F.array(*(get(p) for p in paths)), lambda x: x != ""), "\n\n")) for role, paths in m.turns))
-        else:
+        if m.rows:
             continue
+        told = [_turn(F.lit(role), F.array_join(F.filter(F.array(*(get(p) for p in paths)), lambda x: x != ""), "\n\n")) for role, paths in m.turns]
+        found = F.array(*told) if told else F.array().cast("array<struct<role:string,text:string>>")
+        if m.list_path:
+            found = F.concat(found, F.transform(elements(m), _reader(m)))
         turns = F.when(F.col("fingerprint") == code, found).otherwise(turns)
     return rows.select("conv_id", "fingerprint", turns.alias("turns"))
 

@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from tallyframe.llm.chat_format import canonical, canonical_records, digests, fingerprint, loss_text, read_back, render
+from tallyframe.llm.chat_format import KNOWN, canonical, canonical_records, digests, fingerprint, loss_text, mapping_of, read_back, render
 from pyspark.sql import functions as F
 
 TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "\\l \\e \\b \\\\", "<s>[user]x</s>", "a]b[c<d\\", "\n" + chr(0x1F600) + "<"]
@@ -53,7 +53,35 @@ def test_layouts_of_records(spark):
     }
 
 
+def test_records_with_more_than_a_mapping_names(spark):
+    records = [
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}], "system": "s", "prompt": "other"},
+        {"messages": [{"content": "no role"}, {"role": "user", "content": "u"}], "output": "other", "instruction": "x"},
+        {"conversations": [{"from": "system"}, {"from": "human", "value": "u", "messages": 3}], "response": "r"},
+        {"prompt": "p", "response": "r", "completion": "c", "input": "i", "role": "user", "text": "t", "turn": 1, "conv_id": 5},
+        {"instruction": "i", "output": "o", "prompt": "p", "messages": []},
+        {"messages": [{"role": "user"}, {"role": "assistant"}]},
+    ]
+    rows = [(k, json.dumps(r)) for k, r in enumerate(records)]
+    found = {r.conv_id: r.turns and [(t.role, t.text) for t in r.turns] for r in canonical_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert found == {
+        0: [("system", "s"), ("user", ""), ("assistant", "a")],
+        1: [("", "no role"), ("user", "u")],
+        2: [("system", ""), ("user", "u")],
+        3: [("user", "p"), ("assistant", "r")],
+        4: [("user", "i"), ("assistant", "o")],
+        5: None,
+    }
+
+
 def test_table_layout_is_chosen_by_its_paths(spark):
     with pytest.raises(ValueError):
         canonical(spark.createDataFrame([(1, "x")], "conv_id long, words string"))
-    assert fingerprint(["turn", "text", "role", "conv_id", "other"]) == fingerprint(["conv_id", "role", "text", "turn"])
+    with pytest.raises(ValueError):
+        canonical(spark.createDataFrame([("x", "y")], "prompt string, response string"))  # one row a record, not a turn
+    others = [c for c in (*KNOWN, "other") if "[" not in c]
+    table = spark.createDataFrame([(1, k, "user", str(k), *[None] * len(others), [("assistant", "x")]) for k in range(3)], "conv_id long, turn int, role string, text string, " + ", ".join(f"{c} string" for c in others) + ", messages array<struct<role:string,content:string>>")
+    assert [[t.text for t in r.turns] for r in canonical(table).collect()] == [["0", "1", "2"]]
+    assert mapping_of(["turn", "text", "role", "conv_id", "other"]).rows
+    assert mapping_of(["prompt", "response", "input"]).paths == ("prompt", "response")
+    assert fingerprint(["b", "a", "c"], ["a", "b"]) == fingerprint(["a", "b"], ["a", "b", "d"])
