@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -63,12 +65,15 @@ def op8_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Both texts of conversation -7, which comes as a record of another layout.
+ODD_TEXT = "</s>[INST] ok [/INST]"
+
+
 def op9_chat_format(spark, sf_dir):
     table = read_table(spark, sf_dir, "conversations")
-    odd = "</s>[INST] ok [/INST]"
-    kinds = ", ".join(f"{c} {k}" for c, k in table.select("conv_id", "turn", "role", "text").dtypes)
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], kinds)
-    turns = chat_format.canonical(table.select("conv_id", "turn", "role", "text").unionByName(extra))
+    odd = json.dumps({"prompt": ODD_TEXT, "response": ODD_TEXT})
+    record = spark.createDataFrame([(-7, odd)], f"conv_id {dict(table.dtypes)['conv_id']}, record string")
+    turns = chat_format.canonical(table).unionByName(chat_format.canonical_records(record).select("conv_id", "turns"))
     return chat_format.digests(chat_format.render(turns))
 
 
