@@ -212,13 +212,22 @@ class Models:
         score = np.where(known, sigmoid(self.slope * gap + self.intercept), 0.0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score
 
-    def calibrate(self, rows: list[tuple[str, str]]) -> None:
-        rows = [r for r in rows if r[0] in self.languages]
-        if not rows:
+    def calibrate(self, rows: DataFrame) -> None:
+        """Fit the curve on rows (lang, text); the margins are taken in tasks, two numbers a row come back."""
+        if not self.languages:
             return
-        best, gap, known = self.margins([t for _, t in rows])
-        right = [self.languages[b] == lang for b, (lang, _) in zip(best, rows)]
-        self.slope, self.intercept = curve(gap[known], np.array(right, float)[known])
+
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 200):
+                    batch = whole.slice(at, 200)
+                    best, gap, known = self.margins(batch.column("text").to_pylist())
+                    right = [float(self.languages[b] == lang) for b, lang in zip(best, batch.column("lang").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(gap[known]), pa.array(np.array(right)[known])], names=["gap", "right"])
+
+        found = rows.mapInArrow(run, "gap double, right double").toArrow().sort_by([("gap", "ascending"), ("right", "ascending")])
+        if found.num_rows:
+            self.slope, self.intercept = curve(found["gap"].to_numpy(), found["right"].to_numpy())
 
 
 #: Steps of one nat in which log-probabilities are added, so that a sum does not depend on its order.
@@ -235,7 +244,8 @@ class Joined:
 
     def log_probabilities(self, codes: DataFrame) -> DataFrame:
         """(code, lang, log_p) of every language for four-grams (code)."""
-        found = codes.crossJoin(self.table.select("lang").distinct()).withColumn("p", F.lit(1e-6))
+        languages = [r.lang for r in self.table.select("lang").distinct().collect()]  # a name a language
+        found = codes.select("code", F.explode(F.array(*map(F.lit, sorted(languages)))).alias("lang"), F.lit(1e-6).alias("p"))
         for size in range(1, ORDER + 1):
             short = F.col("code").bitwiseAND(F.lit((1 << (16 * size)) - 1 if size < ORDER else -1))
             one = self.table.where(F.col("size") == size)
@@ -274,12 +284,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Models from every row with text and language that is not held out.
 
     What comes to the driver is bounded: tables of ``MOST_LOADED`` rows and
-    ``MOST_LANGUAGES`` languages, else none (``Joined``); ``CALIBRATION`` rows.
+    ``MOST_LANGUAGES`` languages, else none (``Joined``), and two numbers for each
+    of ``CALIBRATION`` rows, which are chosen by a hash of the id among those that
+    have one.
     """
     learnable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = cut(counted(learnable, text_col, lang_col))
-    rows = learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    rows = rows.orderBy(F.xxhash64("id"), "id").select("lang", "text").limit(CALIBRATION)
+    rows = learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("id is not null")
+    rows = rows.withColumn("mark", F.xxhash64("lang", "text"))
+    chosen = rows.select("id", "mark").orderBy(F.xxhash64("id"), "id", "mark").limit(CALIBRATION).distinct()
+    rows = rows.join(F.broadcast(chosen), ["id", "mark"]).groupBy("id", "mark").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).select("lang", "text")
     full = cut(tables(counts))
     extent = full.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages")).first()
     if extent.n > MOST_LOADED or extent.languages > MOST_LANGUAGES:
@@ -287,23 +301,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         joined.calibrate(rows)
         return joined
     table = full.toArrow()
-    lang = np.array(table["lang"].to_pylist(), object)
+    names = pa.chunked_array([table["lang"].combine_chunks()]).combine_chunks().dictionary_encode()
+    lang, names = names.indices.to_numpy(), names.dictionary.to_pylist()
     size, part = table["size"].to_numpy(), table["part"].to_numpy()
     key, value = mixed(table["code"].to_numpy().view(np.uint64)), table["value"].to_numpy()
-    models = Models(sorted(set(lang)))
+    models = Models(sorted(names))
     for name in models.languages:
         arrays = {}
         for k in range(1, ORDER + 1):
             both = []
             for p in (0, 1):
-                mine = np.flatnonzero((lang == name) & (size == k) & (part == p))
+                mine = np.flatnonzero((lang == names.index(name)) & (size == k) & (part == p))
                 order = np.argsort(key[mine])
                 both += [key[mine][order], value[mine][order].astype(np.float32)]
             arrays[k] = tuple(both)
         models.arrays.append(arrays)
     models._forget()
-    models.calibrate([(r.lang, r.text) for r in rows.collect()])
-    models._forget()
+    models.calibrate(rows)
     return models
 
 

@@ -96,3 +96,40 @@ def test_joined_models_say_what_loaded_models_say(spark, sf_dir, monkeypatch):
     pairs = list(zip(sorted(loaded, key=key), sorted(joined.collect(), key=key), strict=True))
     assert all((a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected) for a, b in pairs)
     assert np.allclose([a.score for a, _ in pairs], [b.score for _, b in pairs], atol=1e-3)
+
+
+def test_predictions_and_scores_follow_the_definition(spark):
+    """Language, score and rejection against cross-entropies by the definition."""
+    rng = np.random.default_rng(3)
+    kinds = {"aa": "abcdeab", "bb": "cdefghef", "cc": "ghabijij"}
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 6)))
+    rows = [(k, " ".join(word(kinds[lang]) for _ in range(8)), lang) for k, lang in enumerate(sorted(kinds) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs)
+    out = {r.doc_id: r for r in language_id.identify(docs, models).collect()}
+    corpus = {lang: [w for k, text, of in rows if of == lang and not out[k].held_out for w in text.split()] for lang in kinds}
+    known = {}
+
+    def entropy(text, lang):
+        logs = []
+        for w in text.split():
+            s = "\x01\x01\x01" + w + "\x01"
+            for j in range(3, len(s)):
+                key = lang, s[j - 3 : j + 1]
+                if key not in known:
+                    known[key] = math.log(brute_probability(corpus[lang], key[1]))
+                logs.append(known[key])
+        return -sum(logs) / len(logs), len(logs)
+
+    checked = 0
+    for k, text, _ in rows[::2]:
+        found = sorted((entropy(text, lang)[0], lang) for lang in kinds)
+        if found[1][0] - found[0][0] < 1e-4:
+            continue
+        checked += 1
+        gap = (found[1][0] - found[0][0]) * math.sqrt(entropy(text, "aa")[1])
+        score = 1 / (1 + math.exp(-(models.slope * gap + models.intercept)))
+        assert out[k].lang_pred == found[0][1]
+        assert abs(out[k].score - score) < 1e-3
+        assert out[k].rejected == (out[k].score < language_id.REJECT_BELOW)
+    assert checked > 20
