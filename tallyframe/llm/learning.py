@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(doc_id, y, text) of at most ``limit`` labelled documents, chosen by a hash of the id.
 
     Rows without id, label or text are left out; of several labels of an id the
-    larger counts. The chosen ids, at most ``limit`` longs, are what is broadcast.
+    larger counts, of several texts the smallest. The chosen ids, at most ``limit``
+    longs, are what is broadcast.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
     if only_training:
@@ -22,7 +27,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     chosen = chosen.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a whole bounded sample, in one task; only its result comes to the driver."""
+
+    def run(batches):
+        table = pa.Table.from_batches(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(lambda b: run(b) if (b := list(b)) else iter(()), "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(sample.limit(0).toArrow())
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

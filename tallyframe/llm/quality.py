@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, words_of
-from .learning import fit_logistic, labelled_sample, sigmoid
+from .learning import fit_logistic, fitted, labelled_sample, sigmoid
 
 #: Rows of the labelled sample, table size, probability from which a text is kept.
 SAMPLE, BITS, KEEP_FROM = 3000, 18, 0.5
@@ -158,9 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
             )
 
     kind = dict(chosen.dtypes)["doc_id"]
-    table = chosen.select("doc_id", "y", "text").mapInArrow(extract, f"doc_id {kind}, y int, buckets array<int>, values array<float>").toArrow()
-    table = table.sort_by("doc_id")
-    return fit([(y, np.asarray(b, np.int32), np.asarray(v, np.float32)) for y, b, v in zip(table["y"].to_pylist(), table["buckets"].to_numpy(), table["values"].to_numpy())])
+    found = chosen.select("doc_id", "y", "text").mapInArrow(extract, f"doc_id {kind}, y int, buckets array<int>, values array<float>")
+
+    def learn(table: pa.Table) -> Model | None:
+        table = table.sort_by("doc_id")
+        return fit([(y, np.asarray(b, np.int32), np.asarray(v, np.float32)) for y, b, v in zip(table["y"].to_pylist(), table["buckets"].to_numpy(), table["values"].to_numpy())])
+
+    return fitted(found, learn)
 
 
 def _judged(model: Model | None, texts: list[str | None], threshold: float) -> dict[str, np.ndarray]:

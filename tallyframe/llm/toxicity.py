@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers share one pass over a clause's words. The insult and threat
-transducers emit the weight of a matched pattern (a whole word, or the start of
-a word); the target transducer remembers that somebody is addressed; negation
-opens a span of a few words, reported speech one to the end of the clause.
-Composed, they give each match a reading -- plain, aimed, negated or reported --
-and a clause the weights of its matches by reading. A text's score is a calibrated
-function of its matched clauses, never of isolated words.
-
-The word lists below are the grammar's fixed part. The insult transducer is
-completed from labelled training rows: patterns that occur in toxic texts far
-beyond chance, counted once for each group of near copies.
+Six transducers are built as tables and composed. The lexicon reads a word's
+characters, down a trie, and emits its kinds (insult, threat, target, negation,
+reported speech) and a weight. Five transducers read a clause's word kinds: the
+insult and threat transducers emit matches, the target transducer whether somebody
+is addressed, the negation transducer whether a negation stands a few words
+before, the reported-speech transducer whether the clause reports. Their product
+is one table from (state, kinds) to (state, reading): plain, aimed, negated,
+reported or threat. A clause gives the weights of its matches by reading, and a
+text's score is a calibrated function of its matched clauses, never of isolated
+words. Clauses are found in one pass over a text.
+
+The word lists below are the grammar's start. The insult transducer is completed
+from labelled training rows: patterns that occur in toxic texts far beyond chance,
+counted once for each group of near copies.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, held_out
-from .learning import fit_logistic, labelled_sample, sigmoid
+from .learning import fit_logistic, fitted, labelled_sample, sigmoid
 
 #: Rows of the labelled sample; most patterns learned; score from which a text counts as toxic.
 SAMPLE, MOST_PATTERNS, TOXIC_FROM = 6000, 4000, 0.3
@@ -36,7 +39,7 @@ SAMPLE, MOST_PATTERNS, TOXIC_FROM = 6000, 4000, 0.3
 CHANCE = 1e-6
 NEGATION_SPAN = 3
 
-# The grammar's own word lists (English, German, French, Spanish).
+# The grammar's own word lists (English, German, French, Spanish).
 INSULTS = {
     "idiot", "moron", "stupid", "pathetic", "worthless", "loser", "scum", "trash", "clown", "disgusting",
     "dumb", "imbecile", "filth", "vermin", "dummkopf", "trottel", "abschaum", "imbécile", "crétin", "ordure",
@@ -54,6 +57,115 @@ _CLAUSE = re.compile(r"[.!?;:\n|]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: Kinds of a word, as bits: the alphabet of the clause transducers is their sums.
+INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8, 16
+KINDS = 32
+#: Words whose kinds and weights a task remembers.
+MOST_KEPT = 200_000
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer over word kinds: by state and kinds the next state, and what is emitted; it starts in state 0."""
+
+    next: list[list[int]]
+    out: list[list[tuple]]
+
+    @classmethod
+    def of(cls, states: int, move, emit) -> Transducer:
+        each = [[(s, k) for k in range(KINDS)] for s in range(states)]
+        return cls([[move(s, k) for s, k in row] for row in each], [[(emit(s, k),) for s, k in row] for row in each])
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both side by side on the same word kinds, their outputs joined: the reachable part of the product."""
+        ids, todo, after, out = {(0, 0): 0}, [(0, 0)], [], []
+        for a, b in todo:  # grows as states are met
+            row = []
+            for k in range(KINDS):
+                pair = self.next[a][k], other.next[b][k]
+                if pair not in ids:
+                    ids[pair] = len(ids)
+                    todo.append(pair)
+                row.append(ids[pair])
+            after.append(row)
+            out.append([x + y for x, y in zip(self.out[a], other.out[b])])
+        return Transducer(after, out)
+
+
+def _flag(kind: int) -> Transducer:
+    """Emits from the first word of ``kind`` to the end of the clause."""
+    on = lambda s, k: int(bool(s or k & kind))
+    return Transducer.of(2, on, on)
+
+
+insult_matches = Transducer.of(1, lambda s, k: 0, lambda s, k: int(bool(k & INSULT)))
+threat_matches = Transducer.of(1, lambda s, k: 0, lambda s, k: int(bool(k & THREAT)))
+addressed, reported = _flag(TARGET), _flag(REPORT)
+negated = Transducer.of(NEGATION_SPAN + 1, lambda s, k: NEGATION_SPAN if k & NEGATION else max(0, s - 1), lambda s, k: int(s > 0))
+
+
+def _reading(insult: int, threat: int, aimed: int, denied: int, told: int) -> int:
+    """Place in ``READINGS`` of what the five transducers say of a word, -1 for no match."""
+    if not (insult or threat):
+        return -1
+    name = "negated" if denied else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain"
+    return READINGS.index(name)
+
+
+_product = insult_matches.compose(threat_matches).compose(addressed).compose(negated).compose(reported)
+#: The composed transducer: next state and reading by state and word kinds.
+NEXT, READING = _product.next, [[_reading(*o) for o in row] for row in _product.out]
+
+
+class Lexicon:
+    """A trie over characters that emits a word's kinds and weight at its end, and the weight of word starts on the way."""
+
+    def __init__(self, words: dict[str, float], starts: dict[str, float], threats: dict[str, float]):
+        self.next: list[dict[str, int]] = [{}]
+        self.kinds, self.weight, self.threat, self.start = [0], [0.0], [0.0], [0.0]
+        for kind, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            for word in listed:
+                self.kinds[self._place(word)] |= kind
+        for side, given in ((self.weight, words), (self.start, starts), (self.threat, threats)):
+            for word, w in given.items():
+                side[self._place(word)] = w
+        self._known: dict[str, tuple[int, float]] = {}
+
+    def _place(self, word: str) -> int:
+        at = 0
+        for c in word:
+            if c not in self.next[at]:
+                self.next[at][c] = len(self.next)
+                self.next.append({})
+                for side in (self.kinds, self.weight, self.threat, self.start):
+                    side.append(0)
+            at = self.next[at][c]
+        return at
+
+    def read(self, word: str) -> tuple[int, float]:
+        """Kinds and weight; the heaviest matching pattern counts, and a threat only where no insult is."""
+        if (found := self._known.get(word)) is None:
+            at, weight, after = 0, 0.0, self.next
+            for c in word:
+                at = after[at].get(c, -1)
+                if at < 0:
+                    break
+                weight = max(weight, self.start[at])
+            kinds, threat = 0, 0.0
+            if at > 0:
+                kinds, weight, threat = self.kinds[at], max(weight, self.weight[at]), self.threat[at]
+            if kinds & NEGATION:
+                found = kinds, 0.0
+            elif weight:
+                found = kinds | INSULT, weight
+            else:
+                found = (kinds | THREAT, threat) if threat else (kinds, 0.0)
+            if len(self._known) >= MOST_KEPT:
+                self._known.clear()
+            self._known[word] = found
+        return found
+
+
 @dataclass
 class Grammar:
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(sorted(INSULTS), LISTED))
@@ -63,62 +175,44 @@ class Grammar:
     intercept: float = -2.5
 
     def __post_init__(self) -> None:
-        self._matcher = None
+        self._matcher = self._lexicon = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_matcher": None}
+        return self.__dict__ | {"_matcher": None, "_lexicon": None}
 
     @property
     def matcher(self):
         """All patterns in one automaton, which finds the clauses worth reading."""
         if self._matcher is None:
+            self._lexicon = Lexicon(self.words, self.starts, self.threats)
             self._matcher = ahocorasick.Automaton()
             for pattern in {*self.words, *self.starts, *self.threats}:
                 self._matcher.add_word(pattern, len(pattern))
             self._matcher.make_automaton()
         return self._matcher
 
-    def weight(self, word: str) -> float:
-        """What the insult transducer emits for a word."""
-        best = self.words.get(word, 0.0)
-        for n in range(3, min(len(word), 6) + 1):
-            best = max(best, self.starts.get(word[:n], 0.0))
-        return best
-
     def read(self, clause: str) -> list[tuple[str, float]]:
         """The composed transducer's run over one clause: readings and weights of its matches."""
-        found, negated, aimed, reported = [], 0, False, False
+        found, state, read = [], 0, self._lexicon.read
         for word in _LETTERS.findall(clause):
-            if word in NEGATIONS:
-                negated = NEGATION_SPAN
-                continue
-            aimed = aimed or word in TARGETS
-            reported = reported or word in REPORTS
-            weight, reading = self.weight(word), "plain"
-            if not weight and word in self.threats:
-                weight, reading = self.threats[word], "threat"
-            if weight:
-                if negated:
-                    reading = "negated"
-                elif reported:
-                    reading = "reported"
-                elif aimed and reading == "plain":
-                    reading = "aimed"
-                found.append((reading, weight))
-            negated = max(0, negated - 1)
+            kinds, weight = read(word)
+            if (reading := READING[state][kinds]) >= 0:
+                found.append((READINGS[reading], weight))
+            state = NEXT[state][kinds]
         return found
 
     def clauses(self, text: str) -> list[list[tuple[str, float]]]:
         """Readings of the clauses that match anything."""
         low = text.lower()
-        found, done = [], -1
+        marks = _CLAUSE.finditer(low)
+        mark, head, found, done = next(marks, None), 0, [], -1
         for end, size in self.matcher.iter(low):
             begin = end - size + 1
             if begin <= done or begin and low[begin - 1].isalpha():
                 continue
-            cut = _CLAUSE.search(low, end)
-            done = cut.start() if cut else len(low)
-            head = max(low.rfind(c, 0, begin) for c in ".!?;:\n|") + 1
+            while mark is not None and mark.start() < begin:
+                head, mark = mark.end(), next(marks, None)
+            done = mark.start() if mark else len(low)
             if matches := self.read(low[head:done]):
                 found.append(matches)
         return found
@@ -212,9 +306,13 @@ def fit(rows: list[tuple[int, str]]) -> Grammar:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> Grammar:
-    """The grammar from at most ``sample`` labelled rows, held-out rows excluded."""
-    rows = labelled_sample(docs, labels, "toxic", sample, text_col, id_col, only_training=True).toArrow().sort_by("doc_id")
-    return fit(list(zip(rows["y"].to_pylist(), rows["text"].to_pylist())))
+    """The grammar from at most ``sample`` labelled rows, held-out rows excluded; learned in one task."""
+
+    def learned(table: pa.Table) -> Grammar:
+        table = table.sort_by("doc_id")
+        return fit(list(zip(table["y"].to_pylist(), table["text"].to_pylist())))
+
+    return fitted(labelled_sample(docs, labels, "toxic", sample, text_col, id_col, only_training=True), learned)
 
 
 def score(docs: DataFrame, grammar: Grammar, threshold: float = TOXIC_FROM, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

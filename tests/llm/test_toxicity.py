@@ -1,4 +1,5 @@
 import random
+import re
 
 from tallyframe.llm import toxicity
 from tallyframe.llm.toxicity import Grammar
@@ -50,3 +51,53 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), grammar).count() == 0
     left = toxicity.keep_clean(docs, grammar)
     assert left.columns == docs.columns and sorted(r.score for r in left.collect()) == [1.0, 2.0, 5.0, 5.0]
+
+
+def test_composed_table_against_its_parts():
+    """The product against five plain state machines on random word kinds."""
+    rnd = random.Random(11)
+    for _ in range(300):
+        state, left, aimed, told = 0, 0, False, False
+        for _ in range(rnd.randrange(1, 40)):
+            kinds = rnd.choice([0, 0, 0, *range(toxicity.KINDS)])
+            aimed, told = aimed or bool(kinds & toxicity.TARGET), told or bool(kinds & toxicity.REPORT)
+            insult, threat = bool(kinds & toxicity.INSULT), bool(kinds & toxicity.THREAT)
+            want = "" if not (insult or threat) else "negated" if left else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain"
+            got = toxicity.READING[state][kinds]
+            assert (toxicity.READINGS[got] if got >= 0 else "") == want
+            left = toxicity.NEGATION_SPAN if kinds & toxicity.NEGATION else max(0, left - 1)
+            state = toxicity.NEXT[state][kinds]
+
+
+def test_grammar_against_a_plain_reading_of_every_clause():
+    rnd = random.Random(12)
+    grammar = Grammar(starts={"zur": 3.0, "idio": 5.0, "kill": 2.5})
+    words = [*toxicity.INSULTS, *toxicity.THREATS, *toxicity.TARGETS, *toxicity.NEGATIONS, *toxicity.REPORTS, "zurp", "azur", "zu", "idiotic", "killer", "sky", "blue", "", "9idiot", "x_trash"]
+
+    def plain(text):
+        found = []
+        for clause in re.split(r"[.!?;:\n|]+", text.lower()):
+            left, aimed, told, matches = 0, False, False, []
+            for word in re.findall(r"[^\W\d_]+", clause):
+                if word in toxicity.NEGATIONS:
+                    left = toxicity.NEGATION_SPAN
+                    continue
+                aimed, told = aimed or word in toxicity.TARGETS, told or word in toxicity.REPORTS
+                insult = max([grammar.words.get(word, 0.0), *(w for p, w in grammar.starts.items() if word.startswith(p))])
+                weight = insult or grammar.threats.get(word, 0.0)
+                if weight:
+                    matches.append(("negated" if left else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain", weight))
+                left = max(0, left - 1)
+            if matches:
+                found.append(matches)
+        return found
+
+    for _ in range(500):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ", ", ". ", "! ", "\n", "...", "|"]) for _ in range(rnd.randrange(40)))
+        assert grammar.clauses(text) == plain(text)
+
+
+def test_long_texts_take_linear_time():
+    grammar = Grammar()
+    assert len(grammar.clauses("you idiot. " * 900_000)) == 900_000
+    assert [len(c) for c in grammar.clauses("you idiot " * 100_000)] == [100_000]
