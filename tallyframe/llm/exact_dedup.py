@@ -84,10 +84,16 @@ def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct normalised text, all columns as they were."""
+    """The rows of ``docs`` that stay, one for each distinct normalised text, all columns as they were.
+
+    Null ids and texts count as in :func:`annotate`; of repeated rows with the
+    smallest id the one stays whose columns sort first (columns without an order
+    are left out of that); an empty table gives no rows.
+    """
     digest, nth = fresh(docs, "digest"), fresh(docs, "nth")
     best = winners(docs, text_col, id_col).select(F.col("digest").alias(digest), F.col("keep_id").alias("keep_id_")).distinct()
     keyed = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     hit = keyed.join(best, (keyed[digest] == best[digest]) & keyed[id_col].eqNullSafe(best["keep_id_"]), "left_semi")
-    one = Window.partitionBy(digest, F.col(id_col)).orderBy(F.lit(1))
+    ordered = [F.col(f.name) for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    one = Window.partitionBy(digest, F.col(id_col)).orderBy(*ordered)
     return hit.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(digest, nth)

@@ -32,3 +32,10 @@ def test_deduplicate_keeps_all_columns_and_one_row_a_text(spark):
     want = brute(ROWS)
     assert sorted(r.doc_id for r in left.collect()) == sorted(k for k, _ in want.values())
     assert deduplicate(docs.limit(0)).count() == 0 and annotate(docs.limit(0)).count() == 0
+
+
+def test_which_of_repeated_rows_stays_does_not_depend_on_their_order(spark):
+    rows = [(1, "a b", k, {"k": k}) for k in range(40)] + [(None, "c", k, None) for k in range(40)]
+    for seed in range(3):
+        docs = spark.createDataFrame(sorted(rows, key=lambda r: (r[2] * 7 + seed) % 11), "doc_id long, text string, n int, m map<string,int>").repartition(3 + seed)
+        assert sorted(r.n for r in deduplicate(docs).collect()) == [0, 0]
