@@ -5,12 +5,15 @@ id hashes to. In each round the documents of a group vote with their labels,
 joined with the labels of groups they were split from; a group asks for the shard
 with most votes that still has room, and each shard admits requests, the largest
 first, up to its quota. Groups too large for a shard are propagated in parts of a
-quarter shard, drawn to one another's shards. Settled groups keep their seats;
-documents without links fill every shard up to its exact number of rows, so sizes
-differ by one row at most.
+quarter shard, drawn to one another's shards; of these groups there are at most
+four a shard, so their parts are seated first, on the driver, what is known of
+them is broadcast, and their rows are never brought together. Rounds go on while anything that waits fits somewhere. Settled
+groups keep their seats; documents without links fill every shard up to its exact
+number of rows, so sizes differ by one row at most.
 
 All per-row work is a hash join, an aggregate, or a rank inside a hash bucket of a
-few thousand rows; what comes to the driver is one number a shard.
+few thousand rows; what comes to the driver is one number a shard, and a row for
+each part of a large group and each of its votes.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Most rounds (they end when all groups are settled; a group that fills k shards takes about k); rows of a ranking bucket.
-ROUNDS, BUCKET_ROWS = 32, 5000
+#: Rows of a ranking bucket.
+BUCKET_ROWS = 5000
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -39,7 +42,31 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list, weight: Colu
     return df.withColumn("inside_", F.sum(weight).over(inside)).join(offsets, [*by, bucket]).withColumn(name, F.col("inside_") + F.col("offset_")).drop("inside_", "offset_")
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _seat_large(parts: list, heard: list, room: list[int]) -> list[tuple]:
+    """Seats of the parts of large groups, at most a few a shard, while whole shards are free; ``room`` shrinks.
+
+    A part goes where it fits and its group has most votes, those of its seated
+    parts among them; parts that fit nowhere are left to the rounds.
+    """
+    votes: dict[bytes, dict[int, int]] = {}
+    for r in heard:
+        votes.setdefault(bytes(r.group), {})[r.label] = r.votes
+    whole: dict[bytes, int] = {}
+    for r in parts:
+        whole[bytes(r.group)] = whole.get(bytes(r.group), 0) + r.n
+    seats = []
+    for r in sorted(parts, key=lambda r: (-whole[bytes(r.group)], bytes(r.group), -r.n, r.part)):
+        own = votes[bytes(r.group)]
+        fitting = [k for k in range(len(room)) if room[k] >= r.n]
+        if fitting:
+            k = max(fitting, key=lambda k: (own.get(k, 0), room[k], -k))
+            own[k] = own.get(k, 0) + r.n
+            room[k] -= r.n
+            seats.append((bytes(r.group), r.part, r.n, k))
+    return seats
+
+
+def assign(docs: DataFrame, shards: int = 40, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row a row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 16, null text counts as empty; the law
@@ -61,20 +88,24 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, text_col: st
     quota = total // shards
     most = max(2, quota // 4)
 
-    groups = base.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.withColumn("parts", F.ceil(F.col("n") / most).cast("int")).select("group", "parts")
-    linked = base.select("group", "h", "label").join(groups, "group").withColumn("part", F.pmod(F.shiftright("h", 20), F.col("parts")).cast("int"))
-    votes = cut(linked.groupBy("group", "part", "label").agg(F.count(F.lit(1)).alias("votes")))
+    groups = cut(base.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # a large group has over ``most`` rows, so there are fewer than 1 + total / most of them, and twice as many parts
+    large = groups.where(F.col("n") > most).select("group", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = base.join(F.broadcast(large), "group", "left").withColumn("part", F.coalesce(F.pmod(F.shiftright("h", 20), F.col("parts")), F.lit(0)).cast("int"))
+    votes = dealt.groupBy("group", "part", "label").agg(F.count(F.lit(1)).alias("votes"))
+    votes = cut(votes.join(groups.select("group"), "group", "left_semi"))
     units = votes.groupBy("group", "part").agg(F.sum("votes").alias("n"))
-    settled = None
-    room = [quota] * shards
-    waiting = units
     heard = votes.groupBy("group", "label").agg(F.sum("votes").alias("votes"))  # all parts of a group vote together
-    for _ in range(rounds):
+    room = [quota] * shards
+    of_large = lambda df, how: df.join(F.broadcast(large.select("group")), "group", how)
+    seated = _seat_large(of_large(units, "left_semi").collect(), of_large(heard, "left_semi").collect(), room)
+    kinds = "`group` binary, part int, n long, shard int"
+    settled = docs.sparkSession.createDataFrame(seated, kinds)
+    waiting = units.join(F.broadcast(settled.select("group", "part")), ["group", "part"], "left_anti")
+    while True:
         wish = waiting.join(heard, "group").select("group", "part", "n", "label", "votes")
-        if settled is not None:
-            drawn = waiting.join(settled.select("group", F.col("shard").alias("label"), F.col("n").alias("votes")), "group").select("group", "part", "n", "label", "votes")
-            wish = wish.unionByName(drawn)
+        drawn = waiting.join(settled.select("group", F.col("shard").alias("label"), F.col("n").alias("votes")), "group").select("group", "part", "n", "label", "votes")
+        wish = wish.unionByName(drawn)
         tallied = wish.groupBy("group", "part", "n", "label").agg(F.sum("votes").alias("votes"))
         tie = F.xxhash64("group", "label")
         fitting = tallied.where(F.col("n") <= _pick(room, F.col("label")))
@@ -83,19 +114,25 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, text_col: st
         asked = waiting.select("group", "part", "n").join(chosen.select("group", "part", "shard"), ["group", "part"], "left").withColumn("shard", F.coalesce("shard", F.lit(roomiest)))
         width = max(1, math.ceil(total / shards / BUCKET_ROWS))
         large_first = (F.lit(64) - F.floor(F.log2("n"))).cast("long")
+        asked = asked.withColumn("fits", F.col("n") <= _pick(room, F.col("shard")))  # what fits nowhere now must not stand before others
         asked = asked.withColumn("bucket", large_first * width + F.pmod(F.xxhash64("group", "part"), F.lit(width)))
-        asked = running(asked, ["shard"], "bucket", [F.desc("n"), "group", "part"], F.col("n"), "upto")
-        asked = cut(asked.withColumn("in", F.col("upto") <= _pick(room, F.col("shard"))).select("group", "part", "n", "shard", "in"))
+        asked = running(asked, ["shard"], "bucket", [F.desc("n"), "group", "part"], F.when(F.col("fits"), F.col("n")).otherwise(0), "upto")
+        asked = cut(asked.withColumn("in", F.col("fits") & (F.col("upto") <= _pick(room, F.col("shard")))).select("group", "part", "n", "shard", "in"))
         admitted = asked.where("in").select("group", "part", "n", "shard")
-        settled = admitted if settled is None else cut(settled.unionByName(admitted))
+        settled = cut(settled.unionByName(admitted))
         waiting = asked.where(~F.col("in")).select("group", "part", "n")
         taken = {r.shard: r.n for r in settled.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         before, room = room, [quota - taken.get(k, 0) for k in range(shards)]
         if room == before or waiting.isEmpty():  # nothing fits any more, or nothing waits
             break
 
-    placed = base.join(groups, "group", "left").withColumn("part", F.coalesce(F.pmod(F.shiftright("h", 20), F.col("parts")), F.lit(0)).cast("int"))
-    placed = placed.join(settled.select("group", "part", "shard"), ["group", "part"], "left")
+    seats = settled.select("group", "part", "shard")
+    large_seats = seats.join(F.broadcast(large.select("group")), "group", "left_semi").select("group", "part", F.col("shard").alias("large_shard"))
+    small_seats = seats.join(F.broadcast(large.select("group")), "group", "left_anti").select(F.col("group").alias("own"), F.col("shard").alias("small_shard"))
+    # rows of large groups go by a key of their own, which no seat has, and so to no task in common
+    own = F.when(F.col("parts").isNull(), F.col("group")).otherwise(F.unhex(F.hex("h"))).alias("own")
+    placed = dealt.join(F.broadcast(large_seats), ["group", "part"], "left").select("doc_id", "size", "text_crc32", "h", "label", "large_shard", own).join(small_seats, "own", "left")
+    placed = placed.withColumn("shard", F.coalesce("large_shard", "small_shard"))
     placed = placed.select("doc_id", "size", "text_crc32", "h", F.coalesce("shard", "label").alias("label"), F.col("shard").isNull().alias("loose"))
     width = max(1, math.ceil(total / shards / BUCKET_ROWS))
     placed = placed.withColumn("bucket", F.col("loose").cast("long") * width + F.pmod(F.shiftright("h", 8), F.lit(width)))

@@ -1,5 +1,8 @@
+import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import product
 
 from tallyframe.llm.sharding import assign
 
@@ -45,3 +48,44 @@ def test_few_and_no_rows(spark):
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check(assign(docs, 40).collect(), [(r.doc_id, r.text) for r in docs.collect()], 40)
+
+
+def split_pairs(groups):
+    """Links cut: pairs of equal texts in different shards."""
+    return sum(sum(g.values()) ** 2 - sum(n * n for n in g.values()) for g in groups.values()) // 2
+
+
+def least_split_pairs(sizes, shards):
+    """The least number of cut pairs over all ways of filling shards of sizes at most one apart."""
+    total = sum(sizes)
+    room = tuple(sorted(total // shards + (k < total % shards) for k in range(shards)))
+
+    @lru_cache(None)
+    def best(at, left):
+        if at == len(sizes):
+            return 0
+        found = None
+        for parts in product(*(range(min(sizes[at], r) + 1) for r in left)):
+            if sum(parts) == sizes[at]:
+                cost = (sizes[at] ** 2 - sum(p * p for p in parts)) // 2 + best(at + 1, tuple(sorted(r - p for r, p in zip(left, parts))))
+                found = cost if found is None else min(found, cost)
+        return found
+
+    return best(0, room)
+
+
+def test_cut_edges_against_the_best_of_all_assignments(spark):
+    rnd = random.Random(2)
+    for shards, sizes in ((3, [4, 3, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1]), (2, [5, 4, 3, 1, 1, 1, 1]), (3, [2] * 6 + [1] * 3), (2, [9, 1, 1, 1])):
+        rows = [(i, f"t{g}") for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+        rnd.shuffle(rows)
+        got = split_pairs(check(assign(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect(), rows, shards))
+        best = least_split_pairs(tuple(sorted(sizes, reverse=True)), shards)
+        assert best <= got <= best + max(sizes), (sizes, got, best)
+
+
+def test_half_of_the_rows_in_one_group(spark):
+    docs = [(k, "hot" if k % 2 else f"t{k // 6}") for k in range(4000)]
+    groups = check(assign(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect(), docs, 8)
+    assert len(groups["hot"]) <= 6
+    assert sum(len(g) > 1 for t, g in groups.items() if t != "hot") <= 8  # threes that no longer fit where a shard fills up
