@@ -33,8 +33,8 @@ from .common import _ODD_SPACE
 
 #: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
 SENTENCE, ELSEWHERE, GRID = 8, 24, 48
-#: Tokens of a block; words remembered by a task.
-BLOCK, MOST_KEPT, LONGEST_KEPT = 1 << 20, 900_000, 64
+#: Tokens of a block; words remembered by a task, and by one that gives them back at its end.
+BLOCK, MOST_KEPT, MOST_LENT, LONGEST_KEPT = 1 << 20, 900_000, 200_000, 64
 MARK = "\x02"
 
 
@@ -49,6 +49,7 @@ class WordIds(dict):
         super().__init__()
         self.known: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(vocabulary)
+        self.most = MOST_KEPT
         self.mark = self.ids(MARK)[0]
         ends = [self.ids(c)[-1] for c in ".!?"]
         self.sentence_ends = np.array(sorted(set(ends)), np.uint32)
@@ -83,7 +84,7 @@ class WordIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         for memory in (self, self.known):
-            if len(memory) > MOST_KEPT:
+            if len(memory) > self.most:
                 memory.clear()
         split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
         new = {w: self.parts(w) for w in set().union(*split).difference(self)}
@@ -209,6 +210,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
 
     def run(batches):
         words = word_ids(vocabulary)
+        words.most = MOST_KEPT if remember else MOST_LENT
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(words.sentence_ends, window, TaskContext.get().partitionId() << 33)
         out: list[tuple] = []
