@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
@@ -34,31 +34,67 @@ def components(edges: DataFrame, key: str, most_rounds: int = 60) -> DataFrame:
         near = edges.join(labels.withColumnRenamed("ord", "b"), [key, "b"]).groupBy(key, F.col("a").alias("ord")).agg(F.min("component").alias("near"))
         lower = labels.join(near, [key, "ord"]).select(key, "ord", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = lower.select(key, F.col("ord").alias("component"), F.col("component").alias("root"))
-        after = cut(lower.join(jump, [key, "component"]).select(key, "ord", F.least("component", "root").alias("component"), "before"))
-        labels = after.select(key, "ord", "component")
-        if after.where("component != before").isEmpty():
+        after = lower.join(jump, [key, "component"]).select(key, "ord", F.least("component", "root").alias("component"), "before")
+        changed = Observation()
+        labels = cut(after.observe(changed, F.count_if(F.col("component") != F.col("before")).alias("n"))).select(key, "ord", "component")
+        if not changed.get["n"]:
             return labels
     raise RuntimeError("components did not settle")
 
 
+def _around(cells: DataFrame, far: int = 2) -> DataFrame:
+    """The cells with ``nx``, ``ny`` of every cell that can hold points within reach, themselves among them."""
+    steps = [(i, j) for i in range(-far, far + 1) for j in range(-far, far + 1)]
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
+    return cells.withColumn("s", F.explode(steps)).withColumn("nx", F.col("cx") + F.col("s.i")).withColumn("ny", F.col("cy") + F.col("s.j")).drop("s")
+
+
 def density_clusters(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
     """(key, ord, cluster_id) of points (key, ord, x, y); noise is dropped.
 
     A point with at least ``least`` points within ``eps``, itself among them, is a
     core; connected cores are a cluster; another point joins the first cluster
     within reach. Clusters are numbered from 0 by their first core.
+
+    Points are gathered in square cells whose diagonal is ``eps``, so points of a
+    cell are within reach of one another: a cell of ``least`` points is all cores,
+    its cores are connected, and components are found over cells, not points. Only
+    points of sparser cells are counted by distance, and only those pairs of cells
+    are compared point by point whose boxes of cores leave it open.
     """
-    pairs = cut(within(points, points, key, eps))
-    cores = pairs.groupBy(key, "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(key, "a")
-    reach = cut(pairs.join(cores, [key, "a"], "left_semi"))  # from cores to whatever lies around
-    cores_b = cores.withColumnRenamed("a", "b")
-    linked = components(reach.join(cores_b, [key, "b"], "left_semi"), key)
-    around = reach.join(linked.withColumnRenamed("ord", "a"), [key, "a"])
-    own = linked.select(key, F.col("ord").alias("b"), F.col("component").alias("own"))
-    owner = around.groupBy(key, "b").agg(F.min("component").alias("component")).join(own, [key, "b"], "left")
-    numbered = owner.select(key, F.col("b").alias("ord"), F.coalesce("own", "component").alias("component"))
-    place = F.dense_rank().over(Window.partitionBy(key).orderBy("component")) - 1
-    return numbered.select(key, "ord", place.cast("long").alias("cluster_id"))
+    side, far = eps / 2**0.5 * (1 - 1e-12), eps * eps
+    cell = lambda v: F.floor(F.col(v) / side).cast("long")
+    at = [key, "cx", "cy"]
+    placed = cut(points.select(key, "ord", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")))
+    square = lambda a, b, c, d: (F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d))
+    crowd = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("crowd"))
+    counted = placed.join(crowd, at)
+    other = placed.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    sparse = _around(counted.where(F.col("crowd") < least)).join(other, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far)
+    reached = sparse.groupBy(key, "ord").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= least)
+    marked = counted.join(reached, [key, "ord"], "left").withColumn("core", (F.col("crowd") >= least) | F.col("near").isNotNull())
+    marked = cut(marked.select(key, "ord", "x", "y", "cx", "cy", "core"))
+
+    box = [f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))]
+    cells = cut(marked.where("core").groupBy(*at).agg(F.min("ord").alias("first"), *box))
+    there = cells.select(key, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("first").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("low_x", "high_x", "low_y", "high_y")))
+    pairs = _around(cells).join(there, [key, "nx", "ny"]).where("nx > cx or (nx = cx and ny > cy)")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b_low_{c}") - F.col(f"high_{c}"), F.col(f"low_{c}") - F.col(f"b_high_{c}"))
+    span = lambda c: F.greatest(F.col(f"b_high_{c}") - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"b_low_{c}"))
+    pairs = pairs.where(gap("x") * gap("x") + gap("y") * gap("y") <= far).withColumn("sure", span("x") * span("x") + span("y") * span("y") <= far * (1 - 1e-9))
+    pairs = cut(pairs.select(key, F.col("first").alias("a"), "b", "sure", "cx", "cy", "nx", "ny"))
+    core = marked.where("core").select(key, "x", "y", "cx", "cy")
+    beyond = core.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    met = pairs.where("not sure").join(core, at).join(beyond, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far).select(key, "a", "b").distinct()
+    edges = pairs.where("sure").select(key, "a", "b").unionByName(met).unionByName(cells.select(key, F.col("first").alias("a"), F.col("first").alias("b")))
+    names = cells.join(components(edges, key).withColumnRenamed("ord", "first"), [key, "first"]).select(*at, "component")
+
+    owned = marked.where("core").join(names, at).select(key, "ord", "x", "y", "cx", "cy", "component")
+    reach = owned.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "component")
+    border = _around(marked.where("not core")).join(reach, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far).groupBy(key, "ord").agg(F.min("component").alias("component"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("component")) - 1
+    numbers = names.select(key, "component").distinct().withColumn("cluster_id", place.cast("long"))
+    return owned.select(key, "ord", "component").unionByName(border).join(numbers, [key, "component"]).select(key, "ord", "cluster_id")
 
 
 def incremental_clusters(points: DataFrame, key: str, distance: float, least: int = 1) -> DataFrame:
