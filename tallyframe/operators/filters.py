@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import circularity
 from ..functions.naming import normalised
 
 #: Thresholds for density clustering and for incremental clustering.
@@ -45,3 +48,36 @@ def split_by_sharpness(df: DataFrame, least: float, column: str = "sharpness") -
     """Sharp rows and the rest; null counts as not sharp."""
     sharp = F.coalesce(F.col(column) >= least, F.lit(False))
     return df.where(sharp), df.where(~sharp)
+
+
+def usable(thresholds: dict[str, float], model_classes: list[str]) -> dict[str, float] | None:
+    """The thresholds, or none if they name no class of the model: then the default holds for all."""
+    known = {re.sub(r"[\W_]", "", c.lower()) for c in model_classes}
+    return thresholds if known & {re.sub(r"[\W_]", "", c.lower()) for c in thresholds} else None
+
+
+def coarse_threshold(thresholds: dict[str, float] | None, default: float = DEFAULT_CONFIDENCE) -> float:
+    """What a detector may drop before the classes are looked at."""
+    return min([default, *(thresholds or {}).values()])
+
+
+def crop_rows(rows: DataFrame, least_side: float, least_confidence: float) -> DataFrame:
+    """The rows with ``skip``: null, or why a crop is not exported -- ``size`` before ``confidence``."""
+    small = F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) < least_side
+    return rows.withColumn("skip", F.when(small, "size").when(F.col("confidence") < least_confidence, "confidence"))
+
+
+def blob(surface: Column, outline: Column, short_side: Column, roundest: float = 0.35) -> Column:
+    """Contours kept as detections: between 1 % and 25 % of the frame's short side squared, and round enough."""
+    low, high = short_side * 0.01, short_side * 0.25
+    return (surface >= low * low) & (surface <= high * high) & (F.coalesce(circularity(surface, outline), F.lit(0.0)) >= roundest)
+
+
+def checked_arguments(distance: float, least: int, uniform: int) -> None:
+    """Raises where a setting makes no sense."""
+    if not distance > 0:
+        raise ValueError("the distance must be positive")
+    if least < 1:
+        raise ValueError("a cluster has at least one sighting")
+    if not 2 <= uniform <= 300:
+        raise ValueError("between 2 and 300 keyframes can be asked for")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,97 @@ def status(reg: DataFrame, key: str, ratio: float = 0.25) -> DataFrame:
     return reg.groupBy(key).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(F.col("inlier_ratio") < ratio).alias("low_inlier"), F.round(F.avg(F.col("valid").cast("int")), 6).alias("rate")
     )
+
+
+IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def anchor_transforms(pairs: DataFrame, key: str, root: int) -> DataFrame:
+    """(key, frame_id, h, valid, inlier_ratio): the anchors' transforms to the root, composed outward along a tree.
+
+    ``pairs`` has the transforms between anchors (key, frame_id, anchor_id, h, valid,
+    inlier_ratio). Anchors are taken in order of their distance to the root; each
+    hangs on the nearest anchor before it that is valid and registers with it, and
+    without any it is invalid. A video's few anchors are one group.
+    """
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        local = {(r.frame_id, r.anchor_id): (np.array(r.h).reshape(3, 3), r.inlier_ratio) for r in frame.itertuples() if r.valid}
+        done = {root: (np.eye(3), 1.0)}
+        names = sorted({*frame["frame_id"], *frame["anchor_id"]} - {root}, key=lambda a: (abs(a - root), a))
+        for a in names:
+            near = sorted((b for b in done if (a, b) in local), key=lambda b: (abs(b - a), abs(b - root), b))
+            if near:
+                (h, ratio), (outer, least) = local[a, near[0]], done[near[0]]
+                done[a] = outer @ h, min(ratio, least)
+        rows = [(frame[key].iloc[0], a, done[a][0].ravel().tolist() if a in done else None, a in done, float(done[a][1]) if a in done else 0.0) for a in [root, *names]]
+        return pd.DataFrame(rows, columns=[key, "frame_id", "h", "valid", "inlier_ratio"])
+
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, frame_id {kinds['frame_id']}, h array<double>, valid boolean, inlier_ratio double")
+
+
+def multi_anchor(pairs: DataFrame, key: str, root: int) -> DataFrame:
+    """(key, frame_id, anchor_id, h, valid, inlier_ratio) of every frame through several anchors.
+
+    ``pairs`` has the transforms between frames and anchors, anchors being frames
+    too. A valid anchor keeps its own transform; another frame takes the first
+    anchor, by distance, by distance to the root, by number, that is valid and
+    registers with it; without any it is invalid.
+    """
+    anchors_ = pairs.select(key, F.col("anchor_id").alias("frame_id")).distinct()
+    to_root = anchor_transforms(pairs.join(anchors_, [key, "frame_id"], "left_semi"), key, root)
+    own = to_root.where("valid").select(key, F.col("frame_id").alias("anchor_id"), F.col("h").alias("ha"), F.col("inlier_ratio").alias("ia"))
+    both = pairs.where("valid").join(own, [key, "anchor_id"])
+    ordered = lambda near, out: F.struct(near.cast("long").alias("near"), out.cast("long").alias("out"), "anchor_id")
+    order = ordered(F.abs(F.col("frame_id") - F.col("anchor_id")), F.abs(F.col("anchor_id") - root))
+    found = both.select(key, "frame_id", order.alias("o"), F.struct("anchor_id", F.array(*compose(entries("ha"), entries("h"))).alias("h"), F.least("inlier_ratio", "ia").alias("inlier_ratio")).alias("r"))
+    itself = own.select(key, F.col("anchor_id").alias("frame_id"), ordered(F.lit(-1), F.lit(-1)).alias("o"), F.struct("anchor_id", F.col("ha").alias("h"), F.col("ia").alias("inlier_ratio")).alias("r"))
+    best = found.unionByName(itself).groupBy(key, "frame_id").agg(F.min_by("r", "o").alias("r"))
+    every = pairs.select(key, "frame_id").distinct().join(best, [key, "frame_id"], "left")
+    return every.select(key, "frame_id", "r.anchor_id", "r.h", F.col("r").isNotNull().alias("valid"), F.coalesce("r.inlier_ratio", F.lit(0.0)).alias("inlier_ratio"))
+
+
+def single_anchor(pairs: DataFrame, key: str, root: int, features: str = "features", least: int = 15) -> DataFrame:
+    """(key, frame_id, h, valid, inlier_ratio) of a sequence registered with one frame.
+
+    ``pairs`` has the transforms to the root (key, frame_id, h, valid, inlier_ratio)
+    and the number of features of each frame; if the root itself has too few, every
+    frame of the video is invalid, else the root is the identity.
+    """
+    fit = pairs.where((F.col("frame_id") == root) & (F.col(features) >= least)).select(key, F.lit(True).alias("fit")).distinct()
+    both = pairs.join(fit, key, "left")
+    is_root, fine = F.col("frame_id") == root, F.col("fit").isNotNull()
+    same = F.array(*map(F.lit, IDENTITY))
+    return both.select(
+        key, "frame_id", F.when(fine & is_root, same).when(fine & F.col("valid"), F.col("h")).alias("h"), (fine & (is_root | F.col("valid"))).alias("valid"),
+        F.when(fine & is_root, 1.0).when(fine, F.col("inlier_ratio")).otherwise(0.0).alias("inlier_ratio"),
+    )
+
+
+def zipped(frames: DataFrame, detections: DataFrame, registrations: DataFrame, key: str = "video_id") -> DataFrame:
+    """One row a frame with its detections and its transform, matched by position; a video whose three lists differ in length stops the job.
+
+    All three tables have (key, position); detections hold a list a position.
+    """
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    lengths = count(frames, "n1").join(count(detections, "n2"), key, "full").join(count(registrations, "n3"), key, "full")
+    same = F.col("n1").eqNullSafe(F.col("n2")) & F.col("n1").eqNullSafe(F.col("n3"))
+    checked = lengths.select(key, F.when(same, True).otherwise(F.raise_error(F.lit("frames, detections and registrations differ in length")).cast("boolean")).alias("checked"))
+    both = frames.join(detections, [key, "position"]).join(registrations, [key, "position"]).join(checked, key)
+    return both.where("checked").drop("checked")
+
+
+def outcomes(tries: DataFrame, key: str, least: int = 15, ratio: float = 0.25) -> DataFrame:
+    """By video: registrations tried, valid, with too few features or matches, with too few inliers, failed with an error, and the share that is valid.
+
+    ``tries`` has (key, features, matches, inlier_ratio, error); the first reason counts.
+    """
+    few = (F.col("features") < least) | (F.col("matches") < least)
+    failed = F.col("error").isNotNull()
+    low = F.col("inlier_ratio") < ratio
+    fine = ~failed & gates(F.col("features"), F.col("matches"), F.col("inlier_ratio"), least, ratio)
+    return tries.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(fine).alias("valid"), F.count_if(~failed & few).alias("few_matches"), F.count_if(~failed & ~few & low).alias("low_inlier"),
+        F.count_if(failed).alias("exceptions"), F.round(F.avg(fine.cast("int")), 6).alias("rate"),
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import class_index
+from ..functions.metrics import softmax
+from ..functions.naming import class_index, label
 
 CLASSES = 5
 
@@ -54,3 +55,41 @@ def cluster_summary(sightings: DataFrame, keys: list[str], order: str = "ord") -
         F.count_distinct("frame_id").alias("n_frames"),
         F.min("frame_id").alias("first_frame"),
     )
+
+
+def vector_vote(sightings: DataFrame, keys: list[str], probs: str, confidence: str, order: list, top: int = 10, exponent: float = 2.0, temperature: float = 1.0) -> DataFrame:
+    """(keys, class_probs, pred_class): weighted mean of the classifier's probability vectors, the first of the largest classes.
+
+    The ``top`` most confident sightings count by confidence to ``exponent``, the best
+    crop twice more by the highest confidence. A vector that is null is a sighting
+    without a crop; a cluster without any gets equal shares and class 0. With a
+    ``temperature`` the vectors are sharpened or flattened in log space first.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(confidence), *order))
+    ranked = sightings.withColumn("place_", place).where(F.col("place_") <= top)
+    logs = F.transform(probs, lambda v: F.log(F.greatest(F.least(v, F.lit(1.0)), F.lit(1e-10))))
+    vector = F.col(probs) if temperature == 1.0 else F.when(F.col(probs).isNotNull(), softmax(logs, temperature))
+    weight = F.pow(F.col(confidence), exponent) * F.when(F.col("place_") == 1, 3.0).otherwise(1.0)
+    ranked = ranked.withColumn("v_", vector).withColumn("w_", F.when(F.col(probs).isNotNull(), weight).otherwise(0.0))
+    sums = [F.sum(F.coalesce(F.col("v_")[k], F.lit(0.0)) * F.col("w_")).alias(f"s{k}") for k in range(CLASSES)]
+    summed = ranked.groupBy(*keys).agg(F.sum("w_").alias("w"), *sums)
+    shares = F.array(*(F.when(F.col("w") > 0, F.col(f"s{k}") / F.col("w")).otherwise(1 / CLASSES) for k in range(CLASSES)))
+    found = summed.select(*keys, shares.alias("class_probs"))
+    return found.withColumn("pred_class", (F.array_position("class_probs", F.array_max("class_probs")) - 1).cast("int"))
+
+
+def best_crops(sightings: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """The sighting of the sharpest, of the largest and of the surest crop; the first wins ties, null counts least."""
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    pick = lambda score: F.max_by(order, F.struct(F.coalesce(score, F.lit(-1.0)), -F.col(order)))
+    return sightings.groupBy(*keys).agg(pick(F.col("sharpness")).alias("sharpest"), pick(size).alias("largest"), pick(F.col("confidence")).alias("surest"))
+
+
+def summary(clusters: DataFrame) -> DataFrame:
+    """(label, n): clusters by label, the unclassified among them."""
+    return clusters.groupBy(label(F.col("pred_class")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def frames_of_clusters(sightings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame_ids): the distinct frames of each cluster, in order."""
+    return sightings.groupBy(*keys).agg(F.array_sort(F.collect_set("frame_id")).alias("frame_ids"))
