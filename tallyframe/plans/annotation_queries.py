@@ -74,14 +74,96 @@ def yolo_roundtrip(spark, sf_dir):
     return _boxes(a.read_yolo_table(spark, where, data.images, data.categories)).select("image_id", "category", *(F.rint(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
+#: Label lines, some of them not to be read: too short, out of range, not a number, or of no image.
+YOLO_LINES = ("{k} 0.5 0.25 0.125 0.5 0.75", "{k} 0.5 0.25 0.125 0.5", "9 0 1 1 0.25 high", "1 0.5 0.5 0.5", "1 1.5 0.5 0.5 0.5", "1 0.5 0.5 0 0.5", "1 0.5 0.5 0.5 1.01", "x 0.5 0.5 nan? 0.5", "")
+
+
+@query("""WITH i AS (SELECT doc_id AS image_id, doc_id % 4 AS k FROM documents)
+SELECT image_id, CASE k WHEN 0 THEN 'q0t0' WHEN 1 THEN 'q0t1' WHEN 2 THEN 'q1t0' ELSE 'q1t1' END AS category, 280.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, 360.0::DOUBLE AS x2, 240.0::DOUBLE AS y2, unnest([0.75, 1.0])::DOUBLE AS confidence FROM i
+UNION ALL SELECT image_id, 'class_9', -320.0, 420.0, 320.0, 540.0, 1.0 FROM i""")
+def yolo_scan(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    k = (F.col("image_id") % 4).cast("string")
+    lines = F.array(*(F.replace(F.lit(line), F.lit("{k}"), k) for line in YOLO_LINES))
+    rows = data.images.select(F.concat(F.lit("img"), F.col("image_id").cast("string")).alias("stem"), F.explode(lines).alias("value"))
+    lost = spark.createDataFrame([("none", "0 0.5 0.5 0.5 0.5")], "stem string, value string")
+    return a.parse_yolo(rows.unionByName(lost), data.images, data.categories).annotations
+
+
+@query("""SELECT doc_id AS image_id, 'img' || doc_id AS stem, CASE WHEN l.n > 0 THEN l.n ELSE 0 END AS n_lines FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id)""")
+def yolo_label_texts(spark, sf_dir):
+    """Every image has a label text, an empty one without boxes."""
+    found = a.yolo_labels(dataset(spark, sf_dir))
+    lines = F.when(F.col("value") == "", 0).otherwise(F.size(F.split("value", "\n"))).cast("long")
+    return found.select(F.regexp_extract("stem", r"(\d+)$", 1).cast("long").alias("image_id"), "stem", lines.alias("n_lines"))
+
+
+@query("SELECT 'img' || doc_id AS stem, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'both' ELSE 'image' END AS found FROM documents UNION ALL SELECT 'other', 'label'")
+def labels_by_stem(spark, sf_dir):
+    """Images and labels brought together by file stem, in both directions."""
+    data = dataset(spark, sf_dir)
+    images = data.images.select(a.stem(F.col("file_name")).alias("stem"))
+    labels = data.annotations.select(F.concat(F.lit("img"), F.col("image_id").cast("string")).alias("stem")).distinct().unionByName(spark.createDataFrame([("other",)], "stem string"))
+    both = images.join(labels.select("stem"), "stem", "left_semi").select("stem", F.lit("both").alias("found"))
+    return both.unionByName(a.dangling(images, labels, "stem").select("stem", F.lit("image").alias("found"))).unionByName(a.dangling(labels, images, "stem").select("stem", F.lit("label").alias("found")))
+
+
+@query("""SELECT (SELECT count(*) FROM documents) + 1 AS n_images, (SELECT count(*) FROM labels) + 2 AS n_boxes, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS empty_images,
+1::BIGINT AS lost_boxes, 2::BIGINT AS unknown_categories, 1::BIGINT AS repeated_images""")
+def validation_report(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    first = data.annotations.agg(F.min("image_id").alias("image_id"))
+    more = first.select("image_id", F.lit("odd").alias("category"), *(F.lit(v).alias(c) for v, c in ((0.0, "x1"), (0.0, "y1"), (1.0, "x2"), (1.0, "y2"))))
+    boxes = data.annotations.unionByName(more).unionByName(more.withColumn("image_id", F.lit(-1).cast("long")))
+    return a.report(a.Dataset(data.images.unionByName(data.images.join(first, "image_id", "left_semi")), boxes, data.categories))
+
+
+DIRTY = "SELECT doc_id AS image_id, unnest(['screw', 'nut']) AS category, unnest([1, 3])::DOUBLE AS x1, unnest([2, 4])::DOUBLE AS y1, unnest([11, 13])::DOUBLE AS x2, unnest([22, 24])::DOUBLE AS y2, unnest([0, 1]) AS place FROM documents"
+
+
+@query(DIRTY)
+def coco_dirty(spark, sf_dir):
+    """Boxes of unknown categories and without width or height are dropped; categories are numbered in the order of their ids."""
+    box = lambda k, c, w=10.0: F.struct(F.lit(k).alias("id"), F.col("doc_id").alias("image_id"), F.lit(c).alias("category_id"), F.array(F.lit(2.0 * c / 5 - 1), F.lit(2.0 * c / 5), F.lit(w), F.lit(20.0)).alias("bbox"), F.lit(w * 20).alias("area"))
+    boxes = F.array(box(1, 5), box(2, 10), box(3, 7), box(4, 5, 0.0))
+    kinds = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in ((10, "nut"), (5, "screw"))))
+    image = F.struct(F.col("doc_id").alias("id"), F.lit("x.jpg").alias("file_name"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+    text = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.array(image).alias("images"), boxes.alias("annotations"), kinds.alias("categories"))).alias("value"))
+    data = a.coco_tables(text)
+    return data.annotations.join(data.categories, "category").select("image_id", "category", "x1", "y1", "x2", "y2", "place")
+
+
+@query(DIRTY)
+def cvat_dirty(spark, sf_dir):
+    box = lambda label, x, y, w=10: f'<box label="{label}" xtl="{x}" ytl="{y}" xbr="{x + w}" ybr="{y + 20}"><attribute name="k">v</attribute><attribute name="l">w</attribute></box>'
+    body = box("screw", 1, 2) + box("odd", 1, 2) + box("nut", 3, 4) + box("nut", 3, 4, 0)
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.concat(F.lit('<image id="0" name="x" width="64" height="48">'), F.lit(body), F.lit("</image>")).alias("value"))
+    data = a.cvat_tables(text, names=["screw", "nut"])
+    return data.annotations.join(data.categories, "category").select("image_id", "category", "x1", "y1", "x2", "y2", "place")
+
+
+@query(DIRTY.replace("FROM documents", ", doc_id || '.jpg' AS file_name, 0 AS width FROM documents"))
+def voc_dirty(spark, sf_dir):
+    """Also a missing size and a missing file name."""
+    box = lambda label, x, y, w=10: f"<object><name>{label}</name><bndbox><xmin>{x}</xmin><ymin>{y}</ymin><xmax>{x + w}</xmax><ymax>{y + 20}</ymax></bndbox></object>"
+    body = "<annotation>" + box("screw", 1, 2) + box("odd", 1, 2) + box("nut", 3, 4) + box("nut", 3, 4, 0) + "</annotation>"
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.lit(body).alias("value"))
+    data = a.voc_tables(text, names=["screw", "nut"])
+    return data.annotations.join(data.categories, "category").join(data.images, "image_id").select("image_id", "category", "x1", "y1", "x2", "y2", "place", "file_name", "width")
+
+
 @query(BOXES)
 def coco_roundtrip(spark, sf_dir):
     return _boxes(a.coco_tables(a.to_coco(dataset(spark, sf_dir))))
 
 
-@query(BOXES)
+PLACED = f"""WITH b AS ({BOXES}), p AS (SELECT category, row_number() OVER (ORDER BY min(image_id)) - 1 AS place FROM b GROUP BY category) SELECT b.*, place FROM b JOIN p USING (category)"""
+
+
+@query(PLACED)
 def voc_roundtrip(spark, sf_dir):
-    return _boxes(a.voc_tables(a.to_voc(dataset(spark, sf_dir))))
+    data = a.voc_tables(a.to_voc(dataset(spark, sf_dir)))
+    return _boxes(data).join(data.categories, "category")
 
 
 @query(BOXES)
@@ -89,10 +171,10 @@ def coco_to_voc(spark, sf_dir):
     return _boxes(a.voc_tables(a.to_voc(a.coco_tables(a.to_coco(dataset(spark, sf_dir))))))
 
 
-@query(BOXES.replace("FROM labels", ", 'none' AS occluded FROM labels"))
+@query(PLACED.replace("SELECT b.*,", "SELECT b.*, 'none' AS occluded,"))
 def cvat_scan(spark, sf_dir):
     data = dataset(spark, sf_dir)
     box = F.format_string('<image id="%d" name="%s" width="640" height="480"><box label="%s" xtl="%.2f" ytl="%.2f" xbr="%.2f" ybr="%.2f"><attribute name="occluded">none</attribute><attribute name="k">v</attribute></box></image>', "image_id", "file_name", "category", "x1", "y1", "x2", "y2")
     text = data.annotations.join(data.images, "image_id").select("image_id", box.alias("value"))
     found = a.cvat_tables(text)
-    return found.annotations.select("image_id", "category", "x1", "y1", "x2", "y2", F.col("attributes")["occluded"].alias("occluded"))
+    return found.annotations.join(found.categories, "category").select("image_id", "category", "x1", "y1", "x2", "y2", F.col("attributes")["occluded"].alias("occluded"), "place")

@@ -23,13 +23,18 @@ def file_stem() -> Column:
     return stem(F.col("_metadata.file_path"))
 
 
-def read_yolo(spark: SparkSession, labels: str, images: DataFrame, categories: DataFrame) -> Dataset:
-    """Label files, one an image: ``class cx cy w h [confidence]``, normalised; rows out of range are dropped."""
-    lines = spark.read.text(labels).select(file_stem().alias("stem"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
+def parse_yolo(lines: DataFrame, images: DataFrame, categories: DataFrame) -> Dataset:
+    """Label lines (stem, value): ``class cx cy w h [confidence]``, normalised.
+
+    Lines of fewer than five fields, centres outside [0, 1], sizes outside (0, 1] and
+    stems without an image are dropped; a class without a name is ``class_<id>``, a
+    missing or unreadable confidence is 1.
+    """
+    fields = lines.select("stem", F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
     number = lambda k: F.try_element_at("f", F.lit(k + 1)).try_cast("double")
-    rows = lines.select("stem", F.try_element_at("f", F.lit(1)).try_cast("int").alias("place"), *(number(k).alias(c) for k, c in ((1, "cx"), (2, "cy"), (3, "w"), (4, "h"))), F.coalesce(number(5), F.lit(1.0)).alias("confidence"))
+    rows = fields.select("stem", F.try_element_at("f", F.lit(1)).try_cast("int").alias("place"), *(number(k).alias(c) for k, c in ((1, "cx"), (2, "cy"), (3, "w"), (4, "h"))), F.coalesce(number(5), F.lit(1.0)).alias("confidence"))
     fine = rows.where("cx between 0 and 1 and cy between 0 and 1 and w > 0 and w <= 1 and h > 0 and h <= 1")
-    placed = images.withColumn("stem", stem(F.col("file_name"))).join(fine, "stem").join(F.broadcast(categories), "place", "left")
+    placed = images.withColumn("stem", stem(F.col("file_name"))).join(fine, "stem").join(categories, "place", "left")
     name = F.coalesce("category", F.concat(F.lit("class_"), F.col("place").cast("string")))
     half_w, half_h = F.col("w") / 2, F.col("h") / 2
     boxes = placed.select(
@@ -39,24 +44,38 @@ def read_yolo(spark: SparkSession, labels: str, images: DataFrame, categories: D
     return Dataset(images, boxes, categories)
 
 
-def write_yolo(data: Dataset, path: str) -> None:
-    """(stem, line) partitions by image; centres clamped, sizes outside (0, 1] dropped, six decimals."""
-    both = data.annotations.join(data.images, "image_id").join(F.broadcast(data.categories), "category")
+def read_yolo(spark: SparkSession, labels: str, images: DataFrame, categories: DataFrame) -> Dataset:
+    """A folder of label files, one an image."""
+    return parse_yolo(spark.read.text(labels).select(file_stem().alias("stem"), "value"), images, categories)
+
+
+def yolo_labels(data: Dataset) -> DataFrame:
+    """(stem, value): the label text of every image, empty without boxes; centres clamped, sizes outside (0, 1] dropped, six decimals."""
+    both = data.annotations.join(data.images, "image_id").join(data.categories, "category")
     clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
     w, h = (F.col("x2") - F.col("x1")) / F.col("width"), (F.col("y2") - F.col("y1")) / F.col("height")
     cx, cy = clamp((F.col("x1") + F.col("x2")) / 2 / F.col("width")), clamp((F.col("y1") + F.col("y2")) / 2 / F.col("height"))
     rows = both.select(stem(F.col("file_name")).alias("stem"), "place", cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h")).where("w > 0 and w <= 1 and h > 0 and h <= 1")
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "place", "cx", "cy", "w", "h")
-    rows.select("stem", line.alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    told = rows.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("value"))
+    return data.images.select(stem(F.col("file_name")).alias("stem")).distinct().join(told, "stem", "left").select("stem", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def write_yolo(data: Dataset, path: str) -> None:
+    """The label texts of all images as one table of as many files as tasks, not a file an image."""
+    yolo_labels(data).write.mode("overwrite").parquet(path)
 
 
 def read_yolo_table(spark: SparkSession, path: str, images: DataFrame, categories: DataFrame) -> Dataset:
-    """What :func:`write_yolo` wrote; the stem is the partition's."""
-    lines = spark.read.format("text").load(path).select(F.col("stem").cast("string"), F.split("value", " ").alias("f"))
-    f = lambda k: F.col("f")[k].cast("double")
-    both = images.withColumn("stem", stem(F.col("file_name"))).join(lines, "stem").withColumn("place", F.col("f")[0].cast("int")).join(F.broadcast(categories), "place")
-    boxes = both.select("image_id", "category", ((f(1) - f(3) / 2) * F.col("width")).alias("x1"), ((f(2) - f(4) / 2) * F.col("height")).alias("y1"), ((f(1) + f(3) / 2) * F.col("width")).alias("x2"), ((f(2) + f(4) / 2) * F.col("height")).alias("y2"))
-    return Dataset(images, boxes, categories)
+    """What :func:`write_yolo` wrote."""
+    labels = spark.read.parquet(path).select("stem", F.explode(F.split("value", "\n")).alias("value"))
+    return parse_yolo(labels, images, categories)
+
+
+def first_seen(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(category, place): the categories in the order in which they first occur."""
+    first = rows.groupBy("category").agg(F.min(F.struct(*order)).alias("first"))
+    return first.select("category", (F.row_number().over(Window.orderBy("first")) - 1).alias("place"))  # a list of class names
 
 
 COCO = """struct<images:array<struct<id:bigint,file_name:string,width:int,height:int>>,
@@ -69,19 +88,24 @@ def coco_tables(text: DataFrame, column: str = "value") -> Dataset:
     images = doc.select(F.explode("d.images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
     kinds = doc.select(F.explode("d.categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("category")).distinct()
     places = kinds.withColumn("place", F.row_number().over(Window.orderBy("category_id")) - 1)  # a list of class names
-    boxes = doc.select(F.explode("d.annotations").alias("a")).select("a.*").where("bbox[2] > 0 and bbox[3] > 0").join(F.broadcast(kinds), "category_id")
+    boxes = doc.select(F.explode("d.annotations").alias("a")).select("a.*").where("bbox[2] > 0 and bbox[3] > 0").join(kinds, "category_id")
     corner = boxes.select("image_id", "category", F.col("bbox")[0].alias("x1"), F.col("bbox")[1].alias("y1"), (F.col("bbox")[0] + F.col("bbox")[2]).alias("x2"), (F.col("bbox")[1] + F.col("bbox")[3]).alias("y2"))
     return Dataset(images, corner, places.select("category", "place"))
 
 
-def to_coco(data: Dataset, parts: int = 8) -> DataFrame:
-    """JSON documents of the COCO layout, the images dealt into ``parts`` files; boxes and areas rounded to two places."""
+def to_coco(data: Dataset, each: int = 5000) -> DataFrame:
+    """JSON documents of the COCO layout, each of about ``each`` images; boxes and areas rounded to two places.
+
+    Box ids count from 1 within a document and are unique over all: the document's
+    number stands above the lower 32 bits.
+    """
+    parts = max(1, data.images.count() // each)
     deal = F.pmod(F.xxhash64("image_id"), F.lit(parts)).cast("int").alias("part")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     images = data.images.select(deal, F.struct(F.col("image_id").alias("id"), "file_name", "width", "height").alias("i")).groupBy("part").agg(F.collect_list("i").alias("images"))
     number = F.row_number().over(Window.partitionBy("part").orderBy("image_id", "x1", "y1", "x2", "y2", "place"))
-    boxes = data.annotations.join(F.broadcast(data.categories), "category").select(deal, "*").withColumn("n", number)
-    box = F.struct(F.col("n").cast("long").alias("id"), "image_id", (F.col("place") + 1).cast("long").alias("category_id"), F.array(*(F.round(v, 2) for v in (F.col("x1"), F.col("y1"), w, h))).alias("bbox"), F.round(w * h, 2).alias("area"))
+    boxes = data.annotations.join(data.categories, "category").select(deal, "*").withColumn("n", number)
+    box = F.struct((F.col("part").cast("long") * (1 << 32) + F.col("n")).alias("id"), "image_id", (F.col("place") + 1).cast("long").alias("category_id"), F.array(*(F.round(v, 2) for v in (F.col("x1"), F.col("y1"), w, h))).alias("bbox"), F.round(w * h, 2).alias("area"))
     boxes = boxes.select("part", box.alias("a")).groupBy("part").agg(F.collect_list("a").alias("annotations"))
     kinds = data.categories.agg(F.sort_array(F.collect_list(F.struct((F.col("place") + 1).cast("long").alias("id"), F.col("category").alias("name")))).alias("categories"))
     whole = images.join(boxes, "part", "left").crossJoin(F.broadcast(kinds))
@@ -100,28 +124,43 @@ def to_voc(data: Dataset) -> DataFrame:
     return both.select("image_id", F.to_xml(body, {"rowTag": "annotation"}).alias("value"))
 
 
-def voc_tables(text: DataFrame, column: str = "value") -> Dataset:
-    """XML texts of one image each; boxes without area are dropped; categories in first-seen name order."""
+def voc_tables(text: DataFrame, column: str = "value", names: list[str] | None = None) -> Dataset:
+    """XML texts of one image each; boxes without area are dropped, as are labels other than ``names``.
+
+    A missing size is 0, a missing file name ``<image_id>.jpg``; without ``names``
+    the categories are numbered as they are first seen.
+    """
     doc = text.select("image_id", F.from_xml(column, VOC, {"rowTag": "annotation"}).alias("d"))
-    images = doc.select("image_id", F.col("d.filename").alias("file_name"), F.coalesce("d.size.width", F.lit(0)).alias("width"), F.coalesce("d.size.height", F.lit(0)).alias("height"))
-    boxes = doc.select("image_id", F.explode("d.object").alias("o")).select("image_id", F.col("o.name").alias("category"), F.col("o.bndbox.xmin").alias("x1"), F.col("o.bndbox.ymin").alias("y1"), F.col("o.bndbox.xmax").alias("x2"), F.col("o.bndbox.ymax").alias("y2"))
+    file_name = F.coalesce("d.filename", F.concat(F.col("image_id").cast("string"), F.lit(".jpg")))
+    images = doc.select("image_id", file_name.alias("file_name"), F.coalesce("d.size.width", F.lit(0)).alias("width"), F.coalesce("d.size.height", F.lit(0)).alias("height"))
+    found = doc.select("image_id", F.posexplode("d.object").alias("at", "o"))
+    boxes = found.select("image_id", "at", F.col("o.name").alias("category"), F.col("o.bndbox.xmin").alias("x1"), F.col("o.bndbox.ymin").alias("y1"), F.col("o.bndbox.xmax").alias("x2"), F.col("o.bndbox.ymax").alias("y2"))
+    kinds = _named(boxes, names)
+    return Dataset(images, _within(boxes, names).drop("at"), kinds)
+
+
+def _named(boxes: DataFrame, names: list[str] | None) -> DataFrame:
+    if names is None:
+        return first_seen(boxes, ["image_id", "at"])
+    return boxes.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "category string, place int")
+
+
+def _within(boxes: DataFrame, names: list[str] | None) -> DataFrame:
     boxes = boxes.where("x2 > x1 and y2 > y1")
-    kinds = boxes.select("category").distinct()
-    return Dataset(images, boxes, kinds.withColumn("place", F.row_number().over(Window.orderBy("category")) - 1))
+    return boxes if names is None else boxes.where(F.col("category").isin(*names))
 
 
 CVAT = "struct<_name:string,_width:int,_height:int,box:array<struct<_label:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,attribute:array<struct<_name:string,_VALUE:string>>>>>"
 
 
-def cvat_tables(text: DataFrame, column: str = "value") -> Dataset:
-    """XML ``image`` elements with boxes and attributes."""
+def cvat_tables(text: DataFrame, column: str = "value", names: list[str] | None = None) -> Dataset:
+    """XML ``image`` elements with boxes and attributes; boxes without area and labels other than ``names`` are dropped."""
     doc = text.select("image_id", F.from_xml(column, CVAT, {"rowTag": "image"}).alias("d"))
     images = doc.select("image_id", F.col("d._name").alias("file_name"), F.col("d._width").alias("width"), F.col("d._height").alias("height"))
-    boxes = doc.select("image_id", F.explode("d.box").alias("b")).where("b._xbr > b._xtl and b._ybr > b._ytl")
+    boxes = doc.select("image_id", F.posexplode("d.box").alias("at", "b"))
     attributes = F.map_from_entries(F.transform("b.attribute", lambda a: F.struct(a["_name"], a["_VALUE"])))
-    rows = boxes.select("image_id", F.col("b._label").alias("category"), F.col("b._xtl").alias("x1"), F.col("b._ytl").alias("y1"), F.col("b._xbr").alias("x2"), F.col("b._ybr").alias("y2"), attributes.alias("attributes"))
-    kinds = rows.select("category").distinct()
-    return Dataset(images, rows, kinds.withColumn("place", F.row_number().over(Window.orderBy("category")) - 1))
+    rows = boxes.select("image_id", "at", F.col("b._label").alias("category"), F.col("b._xtl").alias("x1"), F.col("b._ytl").alias("y1"), F.col("b._xbr").alias("x2"), F.col("b._ybr").alias("y2"), attributes.alias("attributes"))
+    return Dataset(images, _within(rows, names).drop("at"), _named(rows, names))
 
 
 def dangling(annotations: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
@@ -138,3 +177,17 @@ def statistics(data: Dataset) -> DataFrame:
     counts = data.annotations.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     filled = data.categories.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
     return filled.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # one row a class
+
+
+def report(data: Dataset) -> DataFrame:
+    """One row of what a validator counts: images, boxes, images without boxes, boxes without image, boxes of unknown category, repeated image ids."""
+    images, boxes = data.images.select("image_id"), data.annotations
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        count(images, "n_images"), count(boxes, "n_boxes"), count(dangling(images.distinct(), boxes), "empty_images"), count(dangling(boxes, images), "lost_boxes"),
+        count(boxes.join(data.categories.select("category"), "category", "left_anti"), "unknown_categories"), count(duplicates(images, "image_id"), "repeated_images"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.join(part)  # one row each
+    return whole
