@@ -10,6 +10,15 @@ def middle_frame(total: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.floor(total / 2).cast("long"))
 
 
+def frame_rate(fps: Column, default: float = 30.0) -> Column:
+    return F.when(fps > 0, fps.cast("double")).otherwise(default)
+
+
+def frame_count(total: Column, estimate: Column) -> Column:
+    """The number of frames a file gives, or what a search for its end found, at least one."""
+    return F.when(total > 0, total).otherwise(F.greatest(F.lit(1), F.coalesce(estimate, F.lit(1)))).cast("long")
+
+
 def duration(total: Column, fps: Column) -> Column:
     return F.try_divide(total.cast("double"), fps.cast("double"))
 

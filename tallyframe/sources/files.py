@@ -12,11 +12,20 @@ VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "m4v", "wmv", "flv", "webm")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
 
 
+def of_kind(paths: DataFrame, suffixes: tuple[str, ...] = VIDEO_SUFFIXES) -> DataFrame:
+    """(path, name, stem, size) of the paths (path, size) with one of the suffixes, in any letter case."""
+    named = paths.select("path", F.substring_index("path", "/", -1).alias("name"), stem(F.col("path")).alias("stem"), "size")
+    return named.where(F.lower(F.substring_index("name", ".", -1)).isin(*suffixes) & F.col("name").contains("."))
+
+
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = VIDEO_SUFFIXES, recursive: bool = False, lower: bool = False) -> DataFrame:
-    """(path, name, stem, size) by path, or by lower-cased name; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", F.col("length").alias("size"))
-    named = found.select("path", F.substring_index("path", "/", -1).alias("name"), stem(F.col("path")).alias("stem"), "size")
-    kept = named.where(F.lower(F.substring_index("name", ".", -1)).isin(*suffixes) & F.col("name").contains("."))
+    """(path, name, stem, size) by path, or by lower-cased name; contents are not read.
+
+    By lower-cased name it must find something, else it raises.
+    """
+    kept = of_kind(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", F.col("length").alias("size")), suffixes)
+    if lower and kept.isEmpty():
+        raise FileNotFoundError(f"no such files in {folder}")
     return kept.orderBy(F.lower("name") if lower else "path")
 
 
@@ -64,3 +73,23 @@ def read_manifest(lines: DataFrame) -> DataFrame:
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Keys that should be there and are not."""
     return expected.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
+def require(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of ``found`` that are expected; raises where some are missing."""
+    lost = [r[0] for r in missing(expected, found, key).limit(5).collect()]
+    if lost:
+        raise FileNotFoundError(f"missing: {lost}")
+    return found.join(expected.select(key).distinct(), key, "left_semi")
+
+
+def frame_pairs(frames: DataFrame, wanted: DataFrame, column: str, shrink) -> DataFrame:
+    """(video_id, frame_id, high, low): the wanted frames, whole and shrunken."""
+    return frames_at(frames, wanted).select("video_id", "frame_id", F.col(column).alias("high"), shrink(F.col(column)).alias("low"))
+
+
+def manifest_entries(chosen: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, value, total_videos, total_frames): a JSON entry a video, and the totals of all."""
+    grouped = chosen.groupBy(key).agg(F.array_sort(F.collect_set("frame_id")).alias("frames")).withColumn("n_frames", F.size("frames").cast("long"))
+    totals = grouped.agg(F.count(F.lit(1)).alias("total_videos"), F.sum("n_frames").alias("total_frames"))
+    return grouped.select(key, F.to_json(F.struct("frames", "n_frames")).alias("value")).join(totals)  # one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TYPES = [f"type{k}" for k in range(1, 6)]
@@ -47,3 +47,46 @@ def preview(crops: DataFrame, kind: str, sharpness: str, path: str, most: int =
     best = crops.withColumn("place_", place).where(F.col("place_") <= most)
     item = F.struct("place_", F.format_string('<img src="%s">', F.col(path).cast("string")).alias("html"))
     return best.groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["html"]), "").alias("html"))
+
+
+def csv_rows(table: DataFrame) -> DataFrame:
+    """Lines of a CSV file; texts with a comma, a quote or a line break are quoted, null is empty."""
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return table.select(F.concat_ws(",", *map(cell, table.columns)).alias("value"))
+
+
+def save_results(results: DataFrame, path: str, key: str = "video_id") -> None:
+    validated(results, key).write.mode("overwrite").parquet(path)
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def faults(expected: DataFrame, written: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, fault): expected videos whose result (key, counts) is missing, not five counts, or negative."""
+    both = expected.select(key).distinct().join(written.select(key, "counts"), key, "left")
+    fault = F.when(F.col("counts").isNull(), "missing").when(F.size("counts") != len(TYPES), "not five counts").when(F.exists("counts", lambda c: c < 0), "negative")
+    return both.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def load_experiments(texts: DataFrame, column: str = "value") -> DataFrame:
+    """(name, score, mae, counts) of experiment results; unknown keys are ignored, texts that do not parse or have no name left out."""
+    found = texts.select(F.from_json(column, "struct<name:string,score:long,mae:double,counts:map<string,array<long>>>").alias("e"))
+    return found.select("e.*").where("name is not null and (score is not null or mae is not null or counts is not null)")
+
+
+def best_as_json(found: DataFrame, order: list[str], most: int) -> DataFrame:
+    """(place, value): the first ``most`` rows in order, each as a JSON text."""
+    best = found.orderBy(*order).limit(most)
+    return best.select(F.row_number().over(Window.orderBy(*order)).alias("place"), F.to_json(F.struct(*found.columns)).alias("value"))  # a few rows
+
+
+def modules(rows: DataFrame, module: str, video: str, seconds: str) -> DataFrame:
+    """(module, mean, whole, peak, videos, share, place), slowest first; there are few modules."""
+    found = rows.groupBy(module).agg(F.avg(seconds).alias("mean"), F.max(seconds).alias("peak"), F.count_distinct(video).alias("videos"), F.sum(seconds).alias("total"))
+    place = F.row_number().over(Window.orderBy(F.desc("mean"), module))
+    return found.select(module, "mean", F.floor("mean").alias("whole"), "peak", "videos", (F.col("total") / F.sum("total").over(Window.partitionBy())).alias("share"), place.alias("place"))
