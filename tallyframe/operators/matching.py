@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +32,55 @@ def anchor_chain(anchors: DataFrame, key: str, root: int) -> DataFrame:
     return chained.select(key, "anchor_id", F.when(~is_root, F.coalesce("inner", F.lit(root))).alias("parent_id"), F.when(is_root, 0).otherwise(F.col("depth")).alias("depth"))
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
+#: Queries and base vectors that one task compares.
+QUERY_BLOCK, BASE_BLOCK = 2048, 8192
+
+
+def neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(q, b, squared, place): the ``k`` nearest base vectors of each query by squared distance, others than itself.
 
-    The base is dealt into blocks, every query visits each of them, and a block
-    keeps its best ``k``; only those meet, so no query sees the whole base in one
-    place. Ties go to the smaller id.
+    Queries and base are dealt into blocks of a bounded size, every two blocks meet
+    in one task, and only a block's best ``k`` of each query go on, so no pair table
+    is made. A matrix product finds candidates, whose distances are then summed from
+    differences. Ties go to the smaller id.
     """
-    distance = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    q = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    b = base.select(F.col(id_col).alias("b"), F.col(vector).alias("bv"), block.alias("block"))
-    pairs = q.join(b, "block").where("q != b").select("q", "b", "block", distance.alias("squared"))
-    local = F.row_number().over(Window.partitionBy("q", "block").orderBy("squared", "b"))
-    best = pairs.withColumn("local", local).where(F.col("local") <= k)
+    parts = [max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (base, BASE_BLOCK))]
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(id_col), F.lit(parts[side])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - side] - 1)))
+        cell = (own.alias("qb"), other.alias("bb")) if side == 0 else (own.alias("bb"), other.alias("qb"))
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(side).alias("side"), *cell).select("id", "v", "side", "qb", "bb")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        v = np.stack(table["v"].combine_chunks().to_numpy(zero_copy_only=False))
+        q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rows: list[tuple[np.ndarray, ...]] = []
+        if len(q) and len(b):
+            b = b[np.argsort(ids[b], kind="stable")]
+            length = (v[b] ** 2).sum(axis=1)
+            for at in range(0, len(q), 256):
+                some = q[at : at + 256]
+                rough = length - 2 * v[some] @ v[b].T
+                keep = min(len(b), k + 8)
+                near = np.argpartition(rough, keep - 1, axis=1)[:, :keep]
+                # whatever rounding may have put behind the last one kept counts as well
+                bound = np.take_along_axis(rough, near, axis=1).max(axis=1) + 1e-9 * (length.max() + (v[some] ** 2).sum(axis=1))
+                for row, one in enumerate(some):
+                    found = np.flatnonzero(rough[row] <= bound[row])
+                    found = found[ids[b[found]] != ids[one]]
+                    squared = np.zeros(len(found))
+                    for d in range(v.shape[1]):  # summed in the order of the dimensions
+                        squared += (v[one, d] - v[b[found], d]) ** 2
+                    best = np.lexsort((ids[b[found]], squared))[:k]
+                    rows.append((np.full(len(best), ids[one]), ids[b[found[best]]], squared[best]))
+        parts_ = [np.concatenate([r[c] for r in rows]) if rows else np.empty(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table({"q": parts_[0], "b": parts_[1], "squared": parts_[2]})
+
+    local = dealt(queries, 0).unionByName(dealt(base, 1)).groupBy("qb", "bb").applyInArrow(nearest, "q long, b long, squared double")
     place = F.row_number().over(Window.partitionBy("q").orderBy("squared", "b"))
-    return best.withColumn("place", place).where(F.col("place") <= k).select("q", "b", "squared", "place")
+    return local.withColumn("place", place).where(F.col("place") <= k).select("q", "b", "squared", "place")
 
 
 def ratio_test(found: DataFrame, ratio: float = 0.75) -> DataFrame:

@@ -2,35 +2,79 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import center, project
 from ..functions.naming import class_index
 from ..functions.session import cut
-from .filters import DENSITY_THRESHOLDS
-from .voting import CLASSES
+from .clustering import density_clusters, incremental_clusters
+from .filters import DENSITY_THRESHOLDS, registered
+from .registration import anchors, entries, multi_anchor
+from .voting import CLASSES, detector_vote
+
 
+METHODS = {"density": density_clusters, "incremental": incremental_clusters}
 
-def grid(det: DataFrame, least_seen: list[int], policies: list[str], confidences: list[float], true_least: int) -> DataFrame:
-    """Every combination's object counts against those of ``true_least``, over all videos in one pass.
 
-    Objects are counted once for each confidence and policy; the sighting minimum
-    is applied to those counts, so the detections are not copied for it.
+def sequences(pairs: DataFrame, totals: DataFrame, features: list[str], middles: list[bool], counts: list[int], key: str = "video_id") -> DataFrame:
+    """Registrations (sequence, key, frame_id, h, valid, inlier_ratio) under every feature type, anchor strategy and number of anchors.
+
+    ``pairs`` has the transforms found between frames (feature, key, frame_id,
+    anchor_id, h, valid, inlier_ratio), ``totals`` the frames of each video (key,
+    total); the root is the middle frame or the first one. Videos of one root are
+    registered together, so there are as many steps as settings and roots.
+    """
+    found = None
+    for middle in middles:
+        roots = [r[0] for r in totals.select((F.floor(F.col("total") / 2) if middle else F.lit(0)).cast("long")).distinct().collect()]
+        for count in counts:
+            places = anchors(totals, key, "total", count, middle).withColumnRenamed("place", "anchor_id")
+            for feature in features:
+                mine = pairs.where(F.col("feature") == feature).join(places, [key, "anchor_id"])
+                for root in roots:
+                    of_root = totals.where((F.floor(F.col("total") / 2) if middle else F.lit(0)) == root).select(key)
+                    one = multi_anchor(mine.join(of_root, key, "left_semi"), key, root).withColumn("sequence", F.lit(f"{feature}-{'middle' if middle else 'first'}-{count}"))
+                    found = one if found is None else found.unionByName(one)
+    return found
+
+
+def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, names: list[str], ratios: list[float], matches: list[int], policies: list[str], methods: list[str], distances_: list[float], least_seen: list[int]) -> DataFrame:
+    """One row a setting: the sums of count errors over videos, the worst one, and the videos that are exact.
+
+    For every registered sequence of ``names`` (``reg``: sequence, video_id, frame_id,
+    h, inlier_ratio, matches), least inlier ratio, least number of matches and
+    policy the detections (video_id, frame_id, ord, class_name, w, and their boxes)
+    are projected anew, for every method, distance and least number of sightings
+    clustered anew, and classed by vote; the counts are held against ``truth``.
     """
-    spark = det.sparkSession
-    combos = spark.createDataFrame([(p, float(c)) for p in policies for c in confidences], "policy string, confidence_from double")
-    objects = det.crossJoin(F.broadcast(combos)).where((F.col("confidence") >= F.col("confidence_from")) & ((F.col("policy") == "identity") | ~F.col("frame_id").isin(7, 19)))
-    seen = objects.groupBy("policy", "confidence_from", "video_id", "obj_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = seen.groupBy("policy", "confidence_from", "video_id").agg(*(F.count_if(F.col("n") >= k).alias(f"n{k}") for k in least_seen))
-    found = counts.unpivot(["policy", "confidence_from", "video_id"], [f"n{k}" for k in least_seen], "least_seen", "p")
-    found = found.withColumn("least_seen", F.substr("least_seen", F.lit(2)).cast("int"))
-    truth = det.groupBy("video_id", "obj_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= true_least).groupBy("video_id").agg(F.count(F.lit(1)).alias("t"))
-    wanted = truth.crossJoin(F.broadcast(combos)).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in least_seen], "least_seen int")))
-    error = F.abs(F.col("t") - F.coalesce("p", F.lit(0)))
-    scored = wanted.join(found, ["policy", "confidence_from", "video_id", "least_seen"], "left")
-    return scored.groupBy("least_seen", "policy", "confidence_from").agg(F.sum(error).alias("l1"), F.max(error).alias("worst"), F.count_if(error == 0).alias("exact"))
+    points = None
+    for name, ratio, least, policy in itertools.product(names, ratios, matches, policies):
+        fine = reg.where(F.col("sequence") == name).select("video_id", "frame_id", "h", ((F.col("inlier_ratio") >= ratio) & (F.col("matches") >= least)).alias("valid"))
+        placed = registered(det, fine, policy)
+        x, y = project(entries("h"), *center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+        told = dict(sequence=name, ratio=float(ratio), matches=least, policy=policy)
+        one = placed.select(*(F.lit(v).alias(k) for k, v in told.items()), "video_id", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
+        points = one if points is None else points.unionByName(one)
+    side = ["sequence", "ratio", "matches", "policy"]
+    points = cut(points.withColumn("key", F.concat_ws("|", *side, "video_id")))
+    results = None
+    for method, distance, least in itertools.product(methods, distances_, least_seen):
+        clusters = METHODS[method](points.select("key", "ord", "x", "y"), "key", distance, least)
+        voted = detector_vote(points.join(clusters, ["key", "ord"]), [*side, "video_id", "cluster_id"], "w")
+        counts = voted.groupBy(*side, "video_id").agg(*(F.count_if(F.col("pred_class") == k).alias(f"p{k + 1}") for k in range(CLASSES)))
+        settings = det.sparkSession.createDataFrame(list(itertools.product(names, map(float, ratios), matches, policies)), "sequence string, ratio double, matches int, policy string")
+        wanted = truth.join(F.broadcast(settings))  # every setting of every video; settings are literals
+        error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
+        scored = wanted.join(counts, [*side, "video_id"], "left").select(*side, sum(error[1:], error[0]).alias("l1"), F.greatest(*error).alias("worst"))
+        told = scored.groupBy(*side).agg(F.sum("l1").alias("l1"), F.max("worst").alias("worst"), F.count_if(F.col("l1") == 0).alias("exact"))
+        told = told.select("sequence", "ratio", "matches", "policy", F.lit(method).alias("method"), F.lit(float(distance)).alias("distance"), F.lit(least).alias("least"), "l1", "worst", "exact")
+        results = told if results is None else results.unionByName(told)
+    return results
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:

@@ -263,17 +263,32 @@ def score_l1(spark, sf_dir):
     return scoring.distances(truth, perturbed(truth))
 
 
-@query(f"""WITH {DET}, {THRESHOLDS_SQL}, d AS (SELECT det.* FROM det JOIN thr USING (class_name) WHERE confidence >= least),
-grid AS (SELECT * FROM (VALUES (2), (4), (8)) o(least_seen), (VALUES ('skip'), ('identity')) p(policy), (VALUES (0.45), (0.6), (0.8)) c(confidence_from)),
-n AS (SELECT least_seen, policy, confidence_from, video_id, obj_id, count(*) AS n FROM grid JOIN d ON d.confidence >= confidence_from AND (policy = 'identity' OR frame_id NOT IN (7, 19)) GROUP BY ALL HAVING count(*) >= least_seen),
-t AS (SELECT video_id, obj_id, count(*) AS n FROM d GROUP BY ALL HAVING count(*) >= 4),
-tv AS (SELECT video_id, count(*) AS t FROM t GROUP BY ALL), pv AS (SELECT least_seen, policy, confidence_from, video_id, count(*) AS p FROM n GROUP BY ALL)
-SELECT g.least_seen, g.policy, g.confidence_from, sum(abs(coalesce(t, 0) - coalesce(p, 0)))::BIGINT AS l1, max(abs(coalesce(t, 0) - coalesce(p, 0))) AS worst, count(*) FILTER (WHERE coalesce(t, 0) = coalesce(p, 0)) AS exact
-FROM grid g CROSS JOIN tv LEFT JOIN pv ON pv.least_seen = g.least_seen AND pv.policy = g.policy AND pv.confidence_from = g.confidence_from AND pv.video_id = tv.video_id
-GROUP BY ALL ORDER BY l1, worst, exact DESC, least_seen, policy, confidence_from LIMIT 10""")
+@query(f"""WITH RECURSIVE {COUNTED_SQL}, d AS MATERIALIZED (SELECT det.* FROM det JOIN thr USING (class_name) WHERE confidence >= least),
+s AS (SELECT * FROM (VALUES (0.25), (0.05)) r(ratio), (VALUES ('skip'), ('identity')) p(policy)),
+q AS MATERIALIZED (SELECT ratio, policy, video_id, ord, class_name, quantity * quantity AS w, CASE WHEN frame_id IN (7, 19) AND ratio > 0.1 THEN rx - 8 * frame_id ELSE rx END AS x, ry AS y
+  FROM s JOIN d ON policy = 'identity' OR ratio < 0.1 OR frame_id NOT IN (7, 19)),
+p AS MATERIALIZED (SELECT a.ratio, a.policy, a.video_id, a.ord AS a, b.ord AS b FROM q a JOIN q b ON a.ratio = b.ratio AND a.policy = b.policy AND a.video_id = b.video_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600),
+n AS (SELECT ratio, policy, video_id, a, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT unnest([2, 4, 8]) AS least),
+core AS MATERIALIZED (SELECT least, ratio, policy, video_id, a FROM n JOIN m ON n >= least),
+e AS MATERIALIZED (SELECT c.least, p.* FROM p JOIN core c USING (ratio, policy, video_id, a) JOIN core o ON o.least = c.least AND o.ratio = p.ratio AND o.policy = p.policy AND o.video_id = p.video_id AND o.a = p.b),
+reach(least, ratio, policy, video_id, a, b) AS (SELECT least, ratio, policy, video_id, a, b FROM e UNION
+  SELECT r.least, r.ratio, r.policy, r.video_id, r.a, e.b FROM reach r JOIN e ON e.least = r.least AND e.ratio = r.ratio AND e.policy = r.policy AND e.video_id = r.video_id AND e.a = r.b),
+comp AS MATERIALIZED (SELECT least, ratio, policy, video_id, a, min(b) AS c FROM reach GROUP BY ALL),
+member AS (SELECT * FROM comp UNION ALL SELECT comp.least, p.ratio, p.policy, p.video_id, p.b, min(comp.c) FROM p JOIN comp USING (ratio, policy, video_id, a)
+  WHERE NOT EXISTS (SELECT 1 FROM core WHERE core.least = comp.least AND core.ratio = p.ratio AND core.policy = p.policy AND core.video_id = p.video_id AND core.a = p.b) GROUP BY comp.least, p.ratio, p.policy, p.video_id, p.b),
+w AS (SELECT least, member.ratio, member.policy, member.video_id, c, class_name, sum(w) AS w FROM member JOIN q ON q.ratio = member.ratio AND q.policy = member.policy AND q.video_id = member.video_id AND q.ord = member.a GROUP BY ALL),
+v AS (SELECT least, ratio, policy, video_id, c, arg_max(class_name, (w, 10 - right(class_name, 1)::INT)) AS class_name FROM w GROUP BY ALL),
+f AS (SELECT least, ratio, policy, video_id, {', '.join(f"count(*) FILTER (WHERE class_name = 'type{k}') AS p{k}" for k in range(1, 6))} FROM v GROUP BY ALL),
+x AS (SELECT m.least, s.ratio, s.policy, {' + '.join(f"abs(type{k} - coalesce(p{k}, 0))" for k in range(1, 6))} AS l1, greatest({', '.join(f"abs(type{k} - coalesce(p{k}, 0))" for k in range(1, 6))}) AS worst
+  FROM counted CROSS JOIN s CROSS JOIN m LEFT JOIN f ON f.video_id = counted.video_id AND f.least = m.least AND f.ratio = s.ratio AND f.policy = s.policy)
+SELECT ratio::DOUBLE AS ratio, policy, least, sum(l1)::BIGINT AS l1, max(worst) AS worst, count(*) FILTER (WHERE l1 = 0) AS exact FROM x GROUP BY ALL
+ORDER BY l1, worst, exact DESC, ratio, policy, least LIMIT 10""")
 def param_grid_topk(spark, sf_dir):
-    kept = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS)
-    return search.grid(kept, [2, 4, 8], ["skip", "identity"], [0.45, 0.6, 0.8], 4).orderBy("l1", "worst", F.desc("exact"), "least_seen", "policy", "confidence_from").limit(10)
+    """Settings of the counting path by their errors: every one projects, clusters and votes anew."""
+    det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
+    reg = registrations(spark, sf_dir).select("*", F.lit("given").alias("sequence"), F.lit(30).alias("matches"))
+    found = search.grid(det, reg, counted(spark, sf_dir), ["given"], [0.25, 0.05], [15], ["skip", "identity"], ["density"], [40.0], [2, 4, 8])
+    return found.orderBy("l1", "worst", F.desc("exact"), "ratio", "policy", "least").limit(10).select("ratio", "policy", "least", "l1", "worst", "exact")
 
 
 @query()

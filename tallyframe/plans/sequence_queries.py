@@ -122,12 +122,12 @@ def knn_ratio_test(spark, sf_dir):
     return matching.ratio_test(_knn(spark, sf_dir, 2), 0.95)
 
 
-@query(f"""WITH f AS (SELECT q, arg_min(b, (d, b)) AS b FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 = 1 WHERE q.{QUERY_ROWS}) GROUP BY q),
-r AS (SELECT b, arg_min(q, (d, q)) AS q FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 = 1 WHERE q.{QUERY_ROWS}) GROUP BY b)
+@query(f"""WITH f AS (SELECT q, arg_min(b, (d, b)) AS b FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 <> 0 WHERE q.{QUERY_ROWS}) GROUP BY q),
+r AS (SELECT b, arg_min(q, (d, q)) AS q FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 <> 0 WHERE q.{QUERY_ROWS}) GROUP BY b)
 SELECT f.q, f.b FROM f JOIN r ON r.q = f.q AND r.b = f.b""")
 def mutual_nn(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    one, two = e.where(QUERY_ROWS), e.where("vec_id % 50 = 1")  # two frames' descriptors
+    one, two = e.where(QUERY_ROWS), e.where(f"not ({QUERY_ROWS})")  # two frames' descriptors
     return matching.mutual(matching.neighbours(one, two, 1), matching.neighbours(two, one, 1))
 
 

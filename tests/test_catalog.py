@@ -49,3 +49,79 @@ def test_coordinate_descent_never_gets_worse(spark, sf_dir):
         before = search.errors_by_threshold(det, truth, k, [0.1])[0.1]
         assert found[f"type{k}"].error <= before
         assert search.errors_by_threshold(det, truth, k, [found[f"type{k}"].threshold]) == {found[f"type{k}"].threshold: found[f"type{k}"].error}
+
+
+def test_coordinate_descent_against_a_plain_one(spark):
+    """Every candidate of every class counted by clusters and votes by the definition."""
+    import numpy as np
+
+    from tallyframe.operators import search
+
+    from .test_operators import dbscan
+
+    draw = np.random.default_rng(4)
+    rows = [(v, k, f"type{draw.integers(1, 4)}", float(draw.integers(1, 20)) / 20, float(draw.integers(0, 160)), float(draw.integers(0, 160))) for v in (1, 2) for k in range(50)]
+    truth = {1: [2, 1, 3, 0, 0], 2: [1, 2, 2, 0, 0]}
+    candidates = [round(k * 0.1, 6) for k in range(1, 10)]
+
+    def total(limits):
+        error = 0
+        for v in (1, 2):
+            kept = [r for r in rows if r[0] == v and r[3] >= limits[r[2]]]
+            label = dbscan([(r[1], r[4], r[5]) for r in kept], 30.0, 3)
+            votes = {}
+            for r in kept:
+                if r[1] in label:
+                    own = votes.setdefault(label[r[1]], [0.0] * 5)
+                    own[int(r[2][-1]) - 1] += r[3] ** 2
+            counts = [0] * 5
+            for own in votes.values():
+                counts[own.index(max(own))] += 1
+            error += sum(abs(a - b) for a, b in zip(counts, truth[v]))
+        return error
+
+    now = {f"type{k}": 0.1 for k in range(1, 6)}
+    for _ in range(3):
+        before = dict(now)
+        for k in range(1, 6):
+            best = min(candidates, key=lambda c: (total({**now, f"type{k}": c}), c))
+            if total({**now, f"type{k}": best}) < total(now):
+                now[f"type{k}"] = best
+        if now == before:
+            break
+    det = spark.createDataFrame(rows, "video_id long, ord long, class_name string, confidence double, rx double, ry double")
+    frame = spark.createDataFrame([(v, *t) for v, t in truth.items()], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    found = {r.class_name: r.threshold for r in search.descend(det, frame, {f"type{k}": 0.1 for k in range(1, 6)}, step=0.1, least=3, distance=30.0).collect()}
+    assert found == now
+
+
+def test_grid_over_all_lists(spark, sf_dir):
+    """Registered sequences, methods and distances: each row is what the operators say one by one."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import clustering, filters, scoring, search, voting
+    from tallyframe.plans.fixtures import detections, registrations
+    from tallyframe.plans.observation_queries import counted
+    from tallyframe.plans.registration_queries import anchor_pairs
+
+    det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
+    shift = F.array(*(F.lit(v) for v in (1.0, 0.0)), (8.0 * (F.col("frame_id") - F.col("anchor_id"))), *(F.lit(v) for v in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("anchor_id")
+    pairs = registrations(spark, sf_dir).select("video_id", "frame_id", every).withColumn("h", shift).withColumn("valid", (F.col("frame_id") + F.col("anchor_id")) % 7 != 0)
+    pairs = pairs.withColumn("inlier_ratio", F.lit(0.5)).withColumn("feature", F.lit("orb"))
+    totals = registrations(spark, sf_dir).groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
+    reg = search.sequences(pairs, totals, ["orb"], [False, True], [3]).withColumn("matches", F.lit(20))
+    names = sorted(r.sequence for r in reg.select("sequence").distinct().collect())
+    assert names == ["orb-first-3", "orb-middle-3"]
+    truth = counted(spark, sf_dir)
+    found = search.grid(det, reg, truth, names, [0.25], [15], ["skip"], ["density", "incremental"], [40.0], [4]).collect()
+    assert len(found) == 4
+    for r in found:
+        one = reg.where((F.col("sequence") == r.sequence) & (F.col("inlier_ratio") >= 0.25))
+        x = (F.col("x1") + F.col("x2")) / 2 + F.col("h")[2]
+        points = det.join(one.select("video_id", "frame_id", "h"), ["video_id", "frame_id"]).select("video_id", "ord", "class_name", "w", x.alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+        make = clustering.density_clusters if r.method == "density" else clustering.incremental_clusters
+        voted = voting.detector_vote(points.join(make(points.select("video_id", "ord", "x", "y"), "video_id", 40.0, 4), ["video_id", "ord"]), ["video_id", "cluster_id"], "w")
+        want = scoring.distances(truth, voting.dense_counts(voted, truth)).agg(F.sum("l1_types"), F.max("max_error"), F.count_if("exact")).first()
+        assert (r.l1, r.worst, r.exact) == tuple(want)
+    assert anchor_pairs(spark, sf_dir).count() == totals.count() * 300
