@@ -44,10 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder, so that lost executors cost nothing upstream."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Compute once into the shared checkpoint folder, so that lost executors cost nothing upstream.
+
+    A ``small`` table, a few hundredths of the input, goes into an eighth as many
+    files as a shuffle has partitions.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(max(1, shuffle_width(df.sparkSession) // 8)) if small else df).checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -16,15 +16,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     width. Every round is written to the checkpoint folder, and counts on the way
     what it changed.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), small=True)
+    labels = cut(edges.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("component")), small=True)
     for _ in range(most_rounds):
         near = edges.join(labels.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "class", "left").select("class", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = lower.select(F.col("class").alias("component"), F.col("component").alias("root"))
         changed = Observation()
         after = lower.join(jump, "component", "left").select("class", F.least("component", "root").alias("component"), "before")
-        labels = cut(after.observe(changed, F.count_if(F.col("component") != F.col("before")).alias("n"))).select("class", "component")
+        labels = cut(after.observe(changed, F.count_if(F.col("component") != F.col("before")).alias("n")), small=True).select("class", "component")
         if not changed.get["n"]:
             return labels
     raise RuntimeError("components did not settle")

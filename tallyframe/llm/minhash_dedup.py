@@ -277,7 +277,7 @@ def _across_components(hits: DataFrame, labels: DataFrame, classes: DataFrame, s
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("times"))
     largest = F.max(F.struct("times", "component")).alias("top")
     keys = counts.groupBy("key").agg(largest, F.sum("times").alias("size"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    items = cut(members.join(_cells(keys.select("key", "size", F.col("top.times").alias("largest"), F.col("top.component").alias("main"))), "key"))
+    items = cut(members.join(_cells(keys.select("key", "size", F.col("top.times").alias("largest"), F.col("top.component").alias("main"))), "key"), small=True)
     bundles = max(shuffle_width(spark), items.count() // BUNDLE)
     block = F.when(F.col("component") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("class"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest"))).cast("int")
     # a block of the largest component meets the blocks of the others, these meet all
@@ -316,9 +316,10 @@ def _linked(docs: DataFrame, shingle_words: int, percent: int, text_col: str, id
     wanted = classes.select("class", "id", "mark").join(hits.select("class").distinct(), "class", "left_semi")
     texts = rows.join(wanted, ["id", "mark"]).groupBy("id", "mark", "class").agg(F.first("text").alias("text"))
     sets = written(_sets(texts, shingle_words))
-    links = cut(_confirmed(near, sets, percent))
+    few = max(1, shuffle_width(docs.sparkSession) // 8)  # files of the links
+    links = cut(_confirmed(near, sets, percent).repartition(few))
     labels = components(links)
-    more = cut(_confirmed(_across_components(hits, labels, classes, sets, percent), sets, percent))
+    more = cut(_confirmed(_across_components(hits, labels, classes, sets, percent), sets, percent).repartition(few))
     if not more.isEmpty():
         labels = components(more.unionByName(labels.select(F.col("class").alias("a"), F.col("component").alias("b"))))
 
