@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .clustering import density_clusters, incremental_clusters
 from .scoring import distances
-from .voting import dense_counts, detector_vote
+from .voting import dense_counts, detector_vote, vector_vote
 
 #: The experiments by name -- how sightings are merged, how they vote.
 EXPERIMENTS = {
@@ -17,6 +17,9 @@ EXPERIMENTS = {
     "density_equal_votes": {"merge": "density", "exponent": 0},
 }
 
+#: Ways to vote with the classifier's vectors: the weight's exponent and the temperature.
+VOTES = {"squared": (2.0, 1.0), "equal": (0.0, 1.0), "sharp": (2.0, 0.5)}
+
 
 def counts(points: DataFrame, merge: str, exponent: int, distance: float = 40.0, least: int = 4) -> DataFrame:
     """type1 to type5 by video for one experiment; ``points`` has x, y, class_name and the whole number ``quantity`` as confidence."""
@@ -40,3 +43,15 @@ def run(points: DataFrame, truth: DataFrame, names: list[str] | None = None) ->
         every = every.unionByName(part)
     return every
 
+
+
+def run_votes(sightings: DataFrame, truth: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
+    """(experiment, l1_types, max_error, exact_videos) of ways to vote, on sightings (keys, quantity, probs) of clusters that are given."""
+    every = None
+    for name in names or list(VOTES):
+        exponent, temperature = VOTES[name]
+        voted = vector_vote(sightings, keys, "probs", "quantity", ["ord"], exponent=exponent, temperature=temperature)
+        found = distances(truth, dense_counts(voted, truth))
+        one = found.agg(F.lit(name).alias("experiment"), F.sum("l1_types").alias("l1_types"), F.max("max_error").alias("max_error"), F.count_if("exact").alias("exact_videos"))
+        every = one if every is None else every.unionByName(one)
+    return every

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clustering import suppress
+
 DETECTION = "video_id long, frame_id long, x1 double, y1 double, x2 double, y2 double, confidence double, class_name string"
 
 
@@ -84,3 +86,10 @@ def slices(frames: DataFrame, side: int = 1280, overlap: float = 0.2) -> DataFra
     zero = F.array(F.lit(0))
     tiles = frames.withColumn("sx", F.explode(F.when(small, zero).otherwise(starts("width")))).withColumn("sy", F.explode(F.when(small, zero).otherwise(starts("height"))))
     return tiles.withColumn("ex", F.least(F.col("sx") + side, F.col("width"))).withColumn("ey", F.least(F.col("sy") + side, F.col("height")))
+
+
+def merge_tiles(boxes: DataFrame, limit: float, keys: tuple[str, ...] = ("video_id", "frame_id")) -> DataFrame:
+    """(keys, ord, score) and corners of boxes seen in tiles (keys, ord, score, sx, sy, x1, y1, x2, y2), moved to the frame; of overlapping ones the surest stays."""
+    moved = boxes.select(*keys, "ord", "score", *((F.col(c) + F.col(f"s{c[0]}")).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    kept = suppress(moved, list(keys), limit).select(*keys, "ord")
+    return moved.join(kept, [*keys, "ord"])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def thin_to(chosen: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def gate_step(state: tuple, frame: int, signal: float, least_gap: int, forced_gap: int, limit: float, cumulative: bool) -> tuple[tuple, bool]:
-    """One step of a gate: state (last chosen frame or None, summed signal, chosen so far)."""
+    """One step of a gate: state (last chosen frame or None, summed signal, chosen so far); a missing or infinite signal counts as none."""
     last, total, chosen = state
+    signal = signal if signal is not None and math.isfinite(signal) else 0.0
     if last is None:
         return (frame, 0.0, 1), True
     total = total + signal if cumulative else signal
@@ -81,7 +83,7 @@ def gate(signal: DataFrame, key: str, limit: float, least_gap: int = 5, forced_g
         for f, s in zip(frame["frame_id"].tolist(), frame["signal"].tolist()):
             if most is not None and state[2] >= most:
                 break
-            state, take = gate_step(state, f, s if np.isfinite(s) else 0.0, least_gap, forced_gap, limit, cumulative)
+            state, take = gate_step(state, f, s, least_gap, forced_gap, limit, cumulative)
             if take:
                 taken.append(f)
         end = int(frame["frame_id"].iloc[-1])

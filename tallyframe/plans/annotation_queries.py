@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import numbered
 from ..sources import annotations as a
 from .fixtures import table
 from .named import book
@@ -160,6 +161,24 @@ def coco_roundtrip(spark, sf_dir):
 PLACED = f"""WITH b AS ({BOXES}), p AS (SELECT category, row_number() OVER (ORDER BY min(image_id)) - 1 AS place FROM b GROUP BY category) SELECT b.*, place FROM b JOIN p USING (category)"""
 
 
+@query(BOXES)
+def coco_to_yolo(spark, sf_dir):
+    data = a.coco_tables(a.to_coco(dataset(spark, sf_dir)))
+    lines = a.yolo_labels(data).select("stem", F.explode(F.split("value", "\n")).alias("value"))
+    return _boxes(a.parse_yolo(lines, data.images, data.categories)).select("image_id", "category", *(F.rint(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(BOXES)
+def voc_to_coco(spark, sf_dir):
+    return _boxes(a.coco_tables(a.to_coco(a.voc_tables(a.to_voc(dataset(spark, sf_dir))))))
+
+
+@query("SELECT doc_id AS image_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents")
+def image_numbers(spark, sf_dir):
+    """Images numbered densely over the whole set."""
+    return numbered(dataset(spark, sf_dir).images.select("image_id"), ["image_id"])
+
+
 @query(PLACED)
 def voc_roundtrip(spark, sf_dir):
     data = a.voc_tables(a.to_voc(dataset(spark, sf_dir)))

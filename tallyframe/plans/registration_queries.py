@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import clustering, filters, matching, registration, voting
+from ..operators import clustering, experiments, filters, matching, models, registration, voting
 from .fixtures import DET, REG, detections, registrations
 from .named import book
-from .observation_queries import KEPT_SQL, objects, placed
+from .observation_queries import COUNTED_SQL, KEPT_SQL, counted, objects, placed
 
 QUERIES, ORACLE, query = book()
 
@@ -124,12 +124,12 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("probs", F.when(F.col("ord") % 3 != 0, F.array(*(r / whole for r in raw))))
 
 
-def _vector_sql(temperature: float, source: str, keys: str) -> str:
+def _vector_sql(temperature: float, source: str, keys: str, exponent: int = 2) -> str:
     raw = [f"((part + {7 * k} + ord) % 11 + 1)" for k in range(5)]
     power = [f"pow({r}, {1 / temperature})" for r in raw]
     whole = " + ".join(power)
     return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY quantity DESC, ord) AS n FROM {source}),
-w AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 0 ELSE quantity * quantity * CASE WHEN n = 1 THEN 3 ELSE 1 END END AS w, [{', '.join(f'{p} / ({whole})' for p in power)}] AS p FROM r WHERE n <= 10),
+w AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 0 ELSE pow(quantity, {exponent}) * CASE WHEN n = 1 THEN 3 ELSE 1 END END AS w, [{', '.join(f'{p} / ({whole})' for p in power)}] AS p FROM r WHERE n <= 10),
 s AS (SELECT {keys}, sum(w) AS w, [{', '.join(f'sum(p[{k}] * w)' for k in range(1, 6))}] AS s FROM w GROUP BY {keys}),
 q AS (SELECT {keys}, CASE WHEN w > 0 THEN list_transform(s, lambda x: x / w) ELSE [0.2, 0.2, 0.2, 0.2, 0.2]::DOUBLE[] END AS q FROM s)"""
 
@@ -191,3 +191,30 @@ def crop_manifest(spark, sf_dir):
     classes = parts.groupBy("class_name").agg(F.sum("n").alias("n")).where("n > 0").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "n")))).alias("classes"))
     whole = parts.agg(F.sum("n").alias("exported"), F.sum("size").alias("skipped_size"), F.sum("confidence").alias("skipped_confidence"), F.count_distinct("video_id").alias("videos"))
     return whole.join(F.broadcast(classes)).select(F.to_json(F.struct("exported", "skipped_size", "skipped_confidence", "videos", "classes")).alias("value"))  # one row each
+
+
+def _votes_sql() -> str:
+    parts = []
+    for name, (exponent, temperature) in experiments.VOTES.items():
+        parts.append(f"""SELECT '{name}' AS experiment, sum(l1)::BIGINT AS l1_types, max(worst) AS max_error, count(*) FILTER (WHERE l1 = 0) AS exact_videos FROM (
+WITH {_vector_sql(temperature, 'kept', 'video_id, obj_id', int(exponent))}, c AS (SELECT video_id, list_position(q, list_max(q)) AS c FROM q),
+n AS (SELECT t.video_id, {', '.join(f"abs(any_value(t.type{k}) - count(*) FILTER (WHERE c = {k})) AS e{k}" for k in range(1, 6))} FROM counted t LEFT JOIN c USING (video_id) GROUP BY t.video_id)
+SELECT e1 + e2 + e3 + e4 + e5 AS l1, greatest(e1, e2, e3, e4, e5) AS worst FROM n)""")
+    return f"WITH {COUNTED_SQL} " + " UNION ALL ".join(parts)
+
+
+@query(_votes_sql())
+def ablation_votes(spark, sf_dir):
+    """Exponents and temperatures of the vector vote, on the objects as clusters."""
+    kept = filters.registered(filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS), registrations(spark, sf_dir)).drop("h")
+    return experiments.run_votes(vectors(kept), counted(spark, sf_dir), ["video_id", "obj_id"])
+
+
+@query(f"""WITH {DET}, b AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id, x1, y1 ORDER BY quantity DESC, ord DESC) AS n FROM det)
+SELECT video_id, frame_id, ord + 100000 AS ord, quantity AS score, x1, y1 FROM b WHERE n = 1""")
+def tile_boxes(spark, sf_dir):
+    """Every box seen in two tiles, each in its own coordinates, merged into the frame's."""
+    det = detections(spark, sf_dir)
+    tile = lambda sx, sy, more: det.select("video_id", "frame_id", (F.col("ord") + more).alias("ord"), F.col("quantity").alias("score"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy"), *((F.col(c) - (sx if c[0] == "x" else sy)).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    merged = models.merge_tiles(tile(0.0, 0.0, 0).unionByName(tile(512.0, 256.0, 100000)), 0.99)
+    return merged.select("video_id", "frame_id", "ord", "score", "x1", "y1")

@@ -74,14 +74,14 @@ def _shared(spark: SparkSession) -> str:
     return os.path.join(base, f"stream-{uuid.uuid4().hex}")
 
 
-def _through_stream(rows: DataFrame, split: str, parts: int, transform) -> DataFrame:
-    """Writes the rows as ``parts`` files in order of ``split``, streams them one a batch, returns what was appended."""
+def _through_stream(rows: DataFrame, split: str, parts: int, transform, files: int = 4) -> DataFrame:
+    """Writes the rows in order of ``split``, each part dealt by video into ``files`` files, streams a part's worth of files a batch, returns what was appended."""
     spark = rows.sparkSession
     base = _shared(spark)
     schema = T.StructType(rows.drop(split).schema.fields)
     for k in range(parts):  # a file's modification time orders it
-        rows.where(F.col(split) == k).drop(split).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        rows.where(F.col(split) == k).drop(split).repartition(files, "video_id").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     run = transform(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -155,3 +155,68 @@ def test_the_detector_sees_every_frame(spark, sf_dir):
     assert found.columns == [f.split()[0] for f in models.DETECTION.split(", ")]
     assert max(sizes.values()) > 5
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_files_and_what_must_be_there(spark, tmp_path):
+    from tallyframe.sources import files
+
+    for name in ("b.MP4", "A.avi", "c.txt", "d"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "e.mov").write_text("e")
+    assert [r.name for r in files.list_files(spark, str(tmp_path)).collect()] == ["A.avi", "b.MP4"]
+    assert [r.stem for r in files.list_files(spark, str(tmp_path), recursive=True, lower=True).collect()] == ["A", "b", "e"]
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path), ("wmv",), lower=True)
+    found = spark.createDataFrame([(1,), (2,)], "video_id long")
+    assert files.require(found.where("video_id = 1"), found, "video_id").count() == 1
+    with pytest.raises(FileNotFoundError):
+        files.require(found, found.where("video_id = 1"), "video_id")
+
+
+def test_label_folder_of_files(spark, tmp_path):
+    from tallyframe.sources import annotations
+
+    (tmp_path / "x.txt").write_text("0 0.5 0.5 0.5 0.5\n7 0.5 0.5 1 1 0.25\nbad\n")
+    (tmp_path / "lost.txt").write_text("0 0.5 0.5 0.5 0.5\n")
+    images = spark.createDataFrame([(1, "x.jpg", 100, 50)], "image_id long, file_name string, width int, height int")
+    kinds = spark.createDataFrame([("screw", 0)], "category string, place int")
+    found = sorted(tuple(r) for r in annotations.read_yolo(spark, str(tmp_path), images, kinds).annotations.collect())
+    assert found == [(1, "class_7", 0.0, 0.0, 100.0, 50.0, 0.25), (1, "screw", 25.0, 12.5, 75.0, 37.5, 1.0)]
+
+
+def test_settings_are_checked():
+    filters.checked_arguments(1.0, 1, 2)
+    for wrong in ((0.0, 1, 30), (float("nan"), 1, 30), (1.0, 0, 30), (1.0, 1, 1), (1.0, 1, 301)):
+        with pytest.raises(ValueError):
+            filters.checked_arguments(*wrong)
+    assert filters.usable({"Type-1": 0.5}, ["type1"]) == {"Type-1": 0.5} and filters.usable({"nut": 0.5}, ["type1"]) is None
+    assert filters.coarse_threshold({"type1": 0.5}) == 0.1 and filters.coarse_threshold({"type1": 0.05}) == 0.05 and filters.coarse_threshold(None) == 0.1
+
+
+def test_lists_of_different_length_stop_the_job(spark):
+    from tallyframe.operators import registration
+
+    rows = lambda n, c: spark.createDataFrame([(1, k, k) for k in range(n)], f"video_id long, position long, {c} long")
+    assert registration.zipped(rows(3, "f"), rows(3, "d"), rows(3, "r")).count() == 3
+    with pytest.raises(Exception, match="differ in length"):
+        registration.zipped(rows(3, "f"), rows(2, "d"), rows(3, "r")).collect()
+
+
+def test_gate_and_its_stream_treat_missing_signals_alike(spark):
+    state, take = sampling.gate_step((0, 1.0, 1), 9, float("nan"), 5, 15, 2.0, True)
+    assert (state, take) == ((0, 1.0, 1), False)
+    assert sampling.gate_step((0, 1.0, 1), 9, None, 5, 15, 1.0, True)[1]
+
+
+def test_neighbours_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(matching, "BASE_BLOCK", 11)
+    test_neighbours_by_brute_force(spark)
+
+
+def test_votes_by_vectors(spark):
+    rows = [(1, 0, 0.5, [0.1, 0.6, 0.1, 0.1, 0.1]), (1, 1, 1.0, [0.6, 0.1, 0.1, 0.1, 0.1]), (2, 0, 0.9, None)]
+    found = {r.c: r for r in voting.vector_vote(spark.createDataFrame(rows, "c int, ord int, confidence double, probs array<double>"), ["c"], "probs", "confidence", ["ord"]).collect()}
+    assert found[1].pred_class == 0 and np.isclose(found[1].class_probs[0], (0.6 * 3 + 0.1 * 0.25) / 3.25)
+    assert found[2].pred_class == 0 and found[2].class_probs == [0.2] * 5
