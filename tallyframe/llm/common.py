@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
+
 #: The six ASCII white-space characters that separate words.
 SPACE_CLASS = r"\x20\x09-\x0D"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,12 +37,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="tallyframe-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    """The cluster's shared checkpoint folder; only a local run may go without one and gets a temporary folder."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame, small: bool = False) -> DataFrame:

@@ -63,3 +63,9 @@ def test_every_code_point():
         for text, want in zip(texts, lib.encode_ordinary_batch(texts)):
             got = np.frombuffer(b"".join(map(bpe.encode_piece, bpe.pieces(text))), "<u4").tolist()
             assert got == want, text.encode("unicode_escape")
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x", b"y")], "doc_id long, text string, n_tokens int, ids string, decoded binary")
+    row = encode(docs, FILE, PATTERN, decoded=True).first()
+    assert (row.doc_id, row.n_tokens, row.decoded) == (1, 2, b"a b")

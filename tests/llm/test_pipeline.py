@@ -75,3 +75,31 @@ def test_packing_covers_every_id_once(stages):
 
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     assert ids(corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct()) == ids(stages["packing"][1].select("doc_id").distinct())
+
+
+ODD_COLUMNS = ("id", "mark", "class", "component", "digest", "nth", "probability", "text_judged", "text_scored", "keep_id", "key", "start", "words")
+
+
+def test_odd_rows_through_every_stage(spark, sf_dir):
+    """Nulls, empties, repeats, a very long text and clashing columns; what each stage keeps, on its own input."""
+    labels = ", ".join(f"{c} int" for c in ODD_COLUMNS)
+    own = " ".join(f"plainword{k}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, " \t"), (None, own + " without id"), (4, own), (4, own), (5, own + " more"), (6, own.replace(" ", "  ")), (7, "you idiot " * 40), (8, " ".join(f"long{k}" for k in range(300_000)))]
+    docs = spark.createDataFrame([(*r, *range(len(ODD_COLUMNS))) for r in rows], f"doc_id long, text string, {labels}").repartition(3)
+    kept = {name: stage(spark, docs, sf_dir) for name, stage in corpus_pipeline.STAGES}
+    some = lambda name: sorted((r.doc_id for r in kept[name].collect()), key=str)
+    assert all(kept[n].columns == docs.columns for n in ("quality_rules", "toxicity", "exact_copies", "near_copies"))
+    assert not {1, 2, 3} & set(some("quality_rules"))
+    assert {1, 2, 3, 4, 5, 6, 8, None} <= set(some("toxicity"))
+    assert some("exact_copies") == [1, 3, 4, 5, 7, 8, None]
+    assert some("near_copies") == [1, 2, 3, 4, 4, 7, 8, None]
+    pieces = kept["packing"].collect()
+    assert sorted({r.doc_id for r in pieces}, key=str) == [1, 2, 3, 4, 5, 6, 7, 8, None]
+    assert [(r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id in (1, 2)] == [(0, 1, 1)] * 2
+
+
+def test_empty_table_through_every_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)

@@ -89,3 +89,11 @@ def test_half_of_the_rows_in_one_group(spark):
     groups = check(assign(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect(), docs, 8)
     assert len(groups["hot"]) <= 6
     assert sum(len(g) > 1 for t, g in groups.items() if t != "hot") <= 8  # threes that no longer fit where a shard fills up
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "word " * 400_000
+    docs = [(1, long), (2, long), (3, "x"), (4, long + "y")]
+    frame = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in docs], "doc_id long, text string, size int, label int, part int, own int")
+    groups = check(assign(frame, 2).collect(), docs, 2)
+    assert sum(groups[long].values()) == 2
