@@ -44,11 +44,15 @@ def mixed(codes: np.ndarray) -> np.ndarray:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed four-grams of the letter runs of words, 16 bits a character, and each one's word."""
+    """Packed four-grams of the letter runs of words, 16 bits a character, and each one's word.
+
+    A letter above U+FFFF counts as its two UTF-16 units, so none are mixed up.
+    """
     runs = [_LETTERS.findall(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [sum(len(r) + 4 for r in found) for found in runs])
     padded = "".join([f"{_EDGE}{_EDGE}{_EDGE}{r}{_EDGE}" for found in runs for r in found])
-    p = np.minimum(np.frombuffer(padded.encode("utf-32-le"), np.uint32), 0xFFFF).astype(np.uint64)
+    p = np.frombuffer(padded.encode("utf-16-le"), np.uint16).astype(np.uint64)
+    length = len if len(p) == len(padded) else lambda r: len(r.encode("utf-16-le")) // 2
+    owner = np.repeat(np.arange(len(words)), [sum(length(r) + 4 for r in found) for found in runs])
     if not len(p):
         return np.empty(0, np.uint64), owner
     codes = (p[:-3] << np.uint64(48)) | (p[1:-2] << np.uint64(32)) | (p[2:-1] << np.uint64(16)) | p[3:]

@@ -133,3 +133,14 @@ def test_predictions_and_scores_follow_the_definition(spark):
         assert abs(out[k].score - score) < 1e-3
         assert out[k].rejected == (out[k].score < language_id.REJECT_BELOW)
     assert checked > 20
+
+
+def test_letters_beyond_the_basic_plane_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    word = lambda first: "".join(map(chr, first + rng.integers(0, 26, 5)))
+    rows = [(k, " ".join(word(first) for _ in range(12)), lang) for k, (lang, first) in enumerate([("got", 0x10330), ("dsrt", 0x10428)] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert all(out[k].lang_pred == lang for k, _, lang in rows)
+    codes, owner = grams(["a" + chr(0x10330), "b"])
+    assert owner.tolist() == [0] * 4 + [1] * 2 and len(codes) == 6
