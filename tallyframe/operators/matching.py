@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 def nearest_anchor(frames: DataFrame, anchors: DataFrame, key: str, root: int) -> DataFrame:
     """(key, frame_id, anchor_id): the valid anchor nearest by frame, then nearest to the root, then first.
 
-    Anchors are few for a video, so the join stays within it.
+    It is the last anchor up to a frame or the first from it on, so two running
+    windows of a video find it; videos without a valid anchor give nothing.
     """
-    pairs = frames.select(key, "frame_id").join(anchors.where("valid").select(key, F.col("frame_id").alias("anchor_id")), key)
-    order = F.struct(F.abs(F.col("frame_id") - F.col("anchor_id")), F.abs(F.col("anchor_id") - root), "anchor_id")
-    return pairs.groupBy(key, "frame_id").agg(F.min_by("anchor_id", order).alias("anchor_id"))
+    found = anchors.where("valid").select(key, "frame_id", F.col("frame_id").alias("anchor"), F.lit(False).alias("asked"))
+    wanted = frames.select(key, "frame_id").distinct().select(key, "frame_id", F.lit(None).cast(dict(found.dtypes)["anchor"]).alias("anchor"), F.lit(True).alias("asked"))
+    at = Window.partitionBy(key).orderBy("frame_id")
+    before, after = F.max("anchor").over(at.rangeBetween(Window.unboundedPreceding, 0)), F.min("anchor").over(at.rangeBetween(0, Window.unboundedFollowing))
+    placed = wanted.unionByName(found).select(key, "frame_id", "asked", before.alias("before"), after.alias("after")).where("asked")
+    order = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("frame_id") - F.col(c)).alias("near"), F.abs(F.col(c) - root).alias("out"), F.col(c).alias("anchor_id")))
+    best = F.array_min(F.array_compact(F.array(order("before"), order("after"))))
+    return placed.select(key, "frame_id", best["anchor_id"].alias("anchor_id")).where("anchor_id is not null")
 
 
 def anchor_chain(anchors: DataFrame, key: str, root: int) -> DataFrame:
