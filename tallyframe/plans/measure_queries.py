@@ -205,3 +205,26 @@ SELECT video_id, '{{"frames":[' || ids || '],"n_frames":' || n || '}}' AS value,
 def manifest_json(spark, sf_dir):
     """The keyframe manifest as a JSON entry a video, with the totals of its head."""
     return files.manifest_entries(frame_signal(spark, sf_dir).where("frame_id % 9 = 0"))
+
+
+@query("""SELECT ['a', 'b', ''][doc_id % 3 + 1] AS video, 'x' || doc_id AS stem, ['/r/a/labels/', '/r/b/', '/r/'][doc_id % 3 + 1] || 'x' || doc_id || '.txt' AS path FROM documents""")
+def label_folders(spark, sf_dir):
+    """Label files by video: a folder with labels of its own, one without, and the root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"))
+    folders = {0: ("/r/a/labels/", "/r/a/"), 1: ("/r/b/", "/q/b/"), 2: ("/r/", "/rr/")}
+    every = F.when(F.col("doc_id") % 3 == 0, F.array(*map(F.lit, folders[0]))).when(F.col("doc_id") % 3 == 1, F.array(*map(F.lit, folders[1]))).otherwise(F.array(*map(F.lit, folders[2])))
+    paths = docs.select("name", F.explode(every).alias("folder")).select(F.concat("folder", "name").alias("path"))
+    return files.label_files(paths.unionByName(spark.createDataFrame([("/r/classes.txt",), ("/r/b/classes.txt",), ("/r/b/x.jpg",)], "path string")), "/r")
+
+
+@query("SELECT unnest([0, 1, 7])::BIGINT AS place, unnest(['screw', 'small nut', 'class_7']) AS category")
+def class_list(spark, sf_dir):
+    used = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2 * 7).alias("place"))
+    return files.class_names(spark.createDataFrame([("screw\r\nsmall nut \n\n",)], "value string"), used)
+
+
+@query("""SELECT user_id AS video_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS place FROM events) WHERE place <= 5""")
+def first_matches(spark, sf_dir):
+    """The best few matches of each video, for a look at them."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("value", "event_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), "event_id", place.alias("place")).where("place <= 5")

@@ -93,3 +93,25 @@ def manifest_entries(chosen: DataFrame, key: str = "video_id") -> DataFrame:
     grouped = chosen.groupBy(key).agg(F.array_sort(F.collect_set("frame_id")).alias("frames")).withColumn("n_frames", F.size("frames").cast("long"))
     totals = grouped.agg(F.count(F.lit(1)).alias("total_videos"), F.sum("n_frames").alias("total_frames"))
     return grouped.select(key, F.to_json(F.struct("frames", "n_frames")).alias("value")).join(totals)  # one row
+
+
+def label_files(paths: DataFrame, root: str) -> DataFrame:
+    """(video, stem, path) of the label files under ``root``: a folder is a video, files beside the folders are the video of the root itself.
+
+    Where a video has a folder ``labels`` only the files in it count; ``classes.txt``
+    names the classes and is no label file.
+    """
+    parts = F.split(F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30), "/")
+    named = paths.where(F.col("path").startswith(root.rstrip("/") + "/") & F.lower("path").endswith(".txt") & ~F.col("path").endswith("/classes.txt"))
+    placed = named.select("path", F.when(F.size(parts) > 1, parts[0]).otherwise("").alias("video"), (F.get(parts, F.size(parts) - 2) == "labels").alias("inside"))
+    placed = placed.withColumn("inside", F.coalesce("inside", F.lit(False)))
+    chosen = placed.groupBy("video").agg(F.bool_or("inside").alias("inside"))
+    return placed.join(chosen, ["video", "inside"]).select("video", stem(F.col("path")).alias("stem"), "path")
+
+
+def class_names(text: DataFrame, used: DataFrame, column: str = "value") -> DataFrame:
+    """(place, category): the lines of ``classes.txt`` in order, and ``class_<id>`` for ids (place) that are used beyond them."""
+    lines = text.select(F.posexplode(F.split(F.rtrim(column), r"\r?\n")).alias("place", "category")).where("trim(category) != ''")
+    named = lines.select(F.col("place").cast("long"), F.trim("category").alias("category"))
+    more = used.select(F.col("place").cast("long")).distinct().join(named, "place", "left_anti")
+    return named.unionByName(more.select("place", F.concat(F.lit("class_"), F.col("place").cast("string")).alias("category")))
