@@ -34,7 +34,7 @@ from .common import _ODD_SPACE
 #: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
 SENTENCE, ELSEWHERE, GRID = 8, 24, 48
 #: Tokens of a block; words remembered by a task, and by one that gives them back at its end.
-BLOCK, MOST_KEPT, MOST_LENT, LONGEST_KEPT = 1 << 20, 900_000, 200_000, 64
+BLOCK, MOST_KEPT, MOST_LENT, LONGEST_KEPT = 1 << 20, 1_200_000, 300_000, 64
 MARK = "\x02"
 
 
@@ -42,21 +42,24 @@ class WordIds(dict):
     """Ids of white-space separated words, packed; unknown words go to the library together.
 
     The vocabulary's normalizer and pattern never look across white space, so a
-    text's ids are those of its words, one after the other.
+    text's ids are those of its words, one after the other; a word with closing
+    marks is put together from its letters and its marks.
     """
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        self.known: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(vocabulary)
+        self.new: dict[str, None] = {}
         self.most = MOST_KEPT
         self.mark = self.ids(MARK)[0]
         ends = [self.ids(c)[-1] for c in ".!?"]
         self.sentence_ends = np.array(sorted(set(ends)), np.uint32)
 
+    def __missing__(self, word: str) -> None:
+        self.new[word] = None
+
     def forget(self) -> None:
         self.clear()
-        self.known.clear()
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -65,41 +68,39 @@ class WordIds(dict):
         """The word as (letters, closing marks) where their ids are those of the two, else (word, "")."""
         core = word.rstrip(".,!?;:")
         low = core.lower()
-        if low.isalpha() and "\u03c2" not in low and "\u03c3" not in low and unicodedata.is_normalized("NFC", core):
+        if low.isalpha() and (core.isascii() or "\u03c2" not in low and "\u03c3" not in low and unicodedata.is_normalized("NFC", core)):
             return low, word[len(core) :]
         return word, ""
 
-    def learn(self, parts: list[str]) -> None:
-        plain = [w for w in parts if w and MARK not in w]
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w and MARK not in w]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             ids = np.array(self.ids(f" {MARK} ".join(some)), "<u4")
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(some) - 1:
                 raise ValueError("the vocabulary joins words across the mark")
-            raw, edges = ids.tobytes(), [-1, *cut.tolist(), len(ids)]
-            self.known.update((w, raw[4 * a + 4 : 4 * b]) for w, a, b in zip(some, edges, edges[1:]))
-        self.known.update((w, np.array(self.ids(w), "<u4").tobytes()) for w in parts if MARK in w or not w)
+            raw, edges = ids.tobytes(), [0, *(4 * cut + 4).tolist(), 4 * len(ids) + 4]
+            self.update(zip(some, [raw[a : b - 4] for a, b in zip(edges, edges[1:])]))
+        self.update((w, np.array(self.ids(w), "<u4").tobytes()) for w in words if MARK in w or not w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        for memory in (self, self.known):
-            if len(memory) > self.most:
-                memory.clear()
+        if len(self) > self.most:
+            self.clear()
         split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = {w: self.parts(w) for w in set().union(*split).difference(self)}
-        unknown = {p for both in new.values() for p in both}.difference(self.known)
-        self.learn(sorted(unknown))
-        known = self.known
-        self.update((w, known[a] + known[b]) for w, (a, b) in new.items())
-        packed = [b"".join(map(self.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del self[word]
-        for part in unknown:
-            if len(part) > LONGEST_KEPT:
-                del known[part]
-        return packed
+        rows = [list(map(self.__getitem__, words)) for words in split]  # words that are not known yet give None
+        new, self.new = self.new, {}
+        if new:
+            unknown = {w for w in new if w.islower() and w.isascii() and w.isalpha()}
+            joined = {w: self.parts(w) for w in new if w not in unknown}
+            unknown.update(p for both in joined.values() for p in both if p not in self)
+            self.learn(list(unknown))
+            self.update([(w, self[a] + self[b]) for w, (a, b) in joined.items() if b or a != w])
+            rows = [[self[w] if x is None else x for w, x in zip(words, row)] if None in row else row for words, row in zip(split, rows)]
+            for word in [w for some in (new, unknown) for w in some if len(w) > LONGEST_KEPT]:
+                self.pop(word, None)
+        return list(map(b"".join, rows))
 
 
 @lru_cache(maxsize=2)
