@@ -7,7 +7,7 @@ import json
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, minhash_dedup, quality, sharding, toxicity
+from . import chat_format, filter_audit, language_id, minhash_dedup, quality, sharding, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -101,6 +101,51 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+       + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+       + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+       + CASE WHEN least < doc_id THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM m GROUP BY ALL
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step])::INT AS used, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE mask & used = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(x) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -113,8 +158,9 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op13_filter_audit": OP13_SQL}
