@@ -7,7 +7,7 @@ import json
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, filter_audit, language_id, minhash_dedup, quality, sharding, toxicity
+from . import chat_format, filter_audit, hard_negatives, language_id, minhash_dedup, quality, sharding, toxicity
 from .byte_bpe import encode as bpe_encode
 from .common import read_table
 from .exact_dedup import annotate as exact_annotate
@@ -101,6 +101,28 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_hard_negatives(spark, sf_dir):
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=wrong)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.id AS anchor_id, a.v, a.label, b.id AS positive_id, list_dot_product(a.v, b.v)::BIGINT AS positive_score
+  FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, b.id AS negative_id, positive_score, list_dot_product(p.v, b.v)::BIGINT AS negative_score FROM p JOIN v b ON b.label <> p.label
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank, negative_id, positive_score, negative_score
+FROM n WHERE 80 * positive_score <= 100 * negative_score AND 100 * negative_score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -158,9 +180,10 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
+        "op11_hard_negatives": op11_hard_negatives,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_audit": OP13_SQL}
