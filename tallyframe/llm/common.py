@@ -69,3 +69,22 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, spread: str, n: str = "n") -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row for each ``key`` and counts in ``n`` the rows it meets.
+
+    Keys that meet more than a fixed share of all rows, of which there can be no more
+    than four a shuffle partition, are broadcast, and their rows go on spread by a hash
+    of the column ``spread``; the rest is an ordinary join. ``table`` is written once.
+    """
+    table = cut(table)
+    most = 4 * shuffle_width(rows.sparkSession)
+    limit = (table.agg(F.sum(n)).first()[0] or 0) // most
+    others = [c for c in table.columns if c not in (key, n)]
+    side = lambda df, name: df.select(F.col(key).alias(f"{name}_key"), F.struct(*others).alias(name))
+    hot, light = side(table.where(F.col(n) > limit), "hot"), side(table.where(F.col(n) <= limit), "light").withColumn("light_salt", F.lit(0).cast("long"))
+    both = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    both = both.withColumn("salt", F.when(F.col("hot_key").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).cast("long"))
+    both = both.join(light, (F.col(key) == F.col("light_key")) & (F.col("salt") == F.col("light_salt")), "left")
+    return both.select(*rows.columns, *(F.coalesce(F.col(f"light.{c}"), F.col(f"hot.{c}")).alias(c) for c in others))

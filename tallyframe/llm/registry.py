@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, filter_audit, hard_negatives, language_id, minhash_dedup, quality, sharding, toxicity
+from . import chat_format, filter_audit, hard_negatives, language_id, minhash_dedup, quality, sharding, toxicity, warc
 from .byte_bpe import encode as bpe_encode
-from .common import read_table
+from .common import checkpoint_dir, read_table
 from .exact_dedup import annotate as exact_annotate
 from .fst_tokens import token_counts
 from .packing import pack
@@ -123,6 +124,29 @@ QUALIFY rank <= 5
 """
 
 
+def op12_warc(spark, sf_dir):
+    where = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.records(warc.decisions(read_table(spark, sf_dir, "pages"))), where)
+    found = warc.pages_of(warc.contents(spark, where, payloads=False))
+    sound = F.when(F.col("problem").isNull(), F.col("page_id")).otherwise(F.raise_error(F.col("problem")).cast("long"))
+    return found.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t FROM pages
+), b AS (
+  SELECT *, min(page_id) OVER (PARTITION BY t) AS least,
+         list_aggregate(list_transform(string_split(sha1(t), ''), lambda h: right((('0x' || h)::INT::BIT)::VARCHAR, 4)), 'string_agg', '') AS bits FROM p
+)
+SELECT page_id, strlen(t) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT << (4 - j)::INT))::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > least THEN least END AS refers_to
+FROM b
+"""
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -181,9 +205,10 @@ def queries() -> dict:
         "op9_chat_format": op9_chat_format,
         "op10_sharding": op10_sharding,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_warc": op12_warc,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": OP12_SQL, "op13_filter_audit": OP13_SQL}
