@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by key over all shuffle partitions, however few bytes there are: for groups that cost more than their size tells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
     """``name``: the place of each row in the whole order, from 0; ranges are numbered on their own and shifted by the sizes before them."""
     ranged = cut(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))

@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
-
-
-def within(left: DataFrame, right: DataFrame, key: str, eps: float) -> DataFrame:
-    """Pairs (key, a, b, squared) of points (key, ord, x, y) at most ``eps`` apart.
-
-    Points meet in grid cells of side ``eps``: the right side stands in the nine
-    cells around its own, so the join is an equi-join and no range predicate.
-    """
-    cell = lambda v: F.floor(F.col(v) / eps).cast("long")
-    a = left.select(key, F.col("ord").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    b = right.select(key, F.col("ord").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s"))
-    b = b.select(key, "b", "bx", "by", (F.floor(F.col("bx") / eps) + F.col("s.i")).cast("long").alias("cx"), (F.floor(F.col("by") / eps) + F.col("s.j")).cast("long").alias("cy"))
-    square = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    return a.join(b, [key, "cx", "cy"]).withColumn("squared", square).where(F.col("squared") <= eps * eps).select(key, "a", "b", "squared")
+from ..functions.session import by_key, cut
 
 
-def components(edges: DataFrame, key: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, key: str | list[str], most_rounds: int = 60) -> DataFrame:
     """(key, ord, component): smallest ord connected with each end of the edges (key, a, b), loops included."""
-    edges = cut(edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy(key, F.col("a").alias("ord")).agg(F.min("b").alias("component"))
+    keys = [key] if isinstance(key, str) else key
+    edges = cut(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = edges.groupBy(*keys, F.col("a").alias("ord")).agg(F.min("b").alias("component"))
     labels = cut(labels.withColumn("component", F.least("component", "ord")))
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("ord", "b"), [key, "b"]).groupBy(key, F.col("a").alias("ord")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, [key, "ord"]).select(key, "ord", F.least("component", "near").alias("component"), F.col("component").alias("before"))
-        jump = lower.select(key, F.col("ord").alias("component"), F.col("component").alias("root"))
-        after = lower.join(jump, [key, "component"]).select(key, "ord", F.least("component", "root").alias("component"), "before")
+        near = edges.join(labels.withColumnRenamed("ord", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("ord")).agg(F.min("component").alias("near"))
+        lower = labels.join(near, [*keys, "ord"]).select(*keys, "ord", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        jump = lower.select(*keys, F.col("ord").alias("component"), F.col("component").alias("root"))
+        after = lower.join(jump, [*keys, "component"]).select(*keys, "ord", F.least("component", "root").alias("component"), "before")
         changed = Observation()
-        labels = cut(after.observe(changed, F.count_if(F.col("component") != F.col("before")).alias("n"))).select(key, "ord", "component")
+        labels = cut(after.observe(changed, F.count_if(F.col("component") != F.col("before")).alias("n"))).select(*keys, "ord", "component")
         if not changed.get["n"]:
             return labels
     raise RuntimeError("components did not settle")
@@ -49,82 +37,203 @@ def _around(cells: DataFrame, far: int = 2) -> DataFrame:
     return cells.withColumn("s", F.explode(steps)).withColumn("nx", F.col("cx") + F.col("s.i")).withColumn("ny", F.col("cy") + F.col("s.j")).drop("s")
 
 
-def density_clusters(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
-    """(key, ord, cluster_id) of points (key, ord, x, y); noise is dropped.
+def _square(a: str, b: str, c: str, d: str) -> Column:
+    return (F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d))
 
-    A point with at least ``least`` points within ``eps``, itself among them, is a
-    core; connected cores are a cluster; another point joins the first cluster
-    within reach. Clusters are numbered from 0 by their first core.
 
-    Points are gathered in square cells whose diagonal is ``eps``, so points of a
-    cell are within reach of one another: a cell of ``least`` points is all cores,
-    its cores are connected, and components are found over cells, not points. Only
-    points of sparser cells are counted by distance, and only those pairs of cells
-    are compared point by point whose boxes of cores leave it open.
-    """
-    side, far = eps / 2**0.5 * (1 - 1e-12), eps * eps
-    cell = lambda v: F.floor(F.col(v) / side).cast("long")
-    at = [key, "cx", "cy"]
-    placed = cut(points.select(key, "ord", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")))
-    square = lambda a, b, c, d: (F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d))
-    crowd = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("crowd"))
-    counted = placed.join(crowd, at)
-    other = placed.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    sparse = _around(counted.where(F.col("crowd") < least)).join(other, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far)
-    reached = sparse.groupBy(key, "ord").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= least)
-    marked = counted.join(reached, [key, "ord"], "left").withColumn("core", (F.col("crowd") >= least) | F.col("near").isNotNull())
-    marked = cut(marked.select(key, "ord", "x", "y", "cx", "cy", "core"))
-
-    box = [f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))]
-    cells = cut(marked.where("core").groupBy(*at).agg(F.min("ord").alias("first"), *box))
-    there = cells.select(key, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("first").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("low_x", "high_x", "low_y", "high_y")))
-    pairs = _around(cells).join(there, [key, "nx", "ny"]).where("nx > cx or (nx = cx and ny > cy)")
+#: Product of two crowds up to which their points are compared one by one, and the parts of a cell's side beyond that.
+FEW_PAIRS, SUBCELLS = 4096, 16
+
+_BOX = ("low_x", "high_x", "low_y", "high_y")
+
+
+def _boxes() -> list[Column]:
+    return [f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))]
+
+
+def _reach() -> tuple[Column, Column]:
+    """Squares of the least and the largest distance that points of two boxes, the second one named ``b_``, can have."""
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b_low_{c}") - F.col(f"high_{c}"), F.col(f"low_{c}") - F.col(f"b_high_{c}"))
     span = lambda c: F.greatest(F.col(f"b_high_{c}") - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"b_low_{c}"))
-    pairs = pairs.where(gap("x") * gap("x") + gap("y") * gap("y") <= far).withColumn("sure", span("x") * span("x") + span("y") * span("y") <= far * (1 - 1e-9))
-    pairs = cut(pairs.select(key, F.col("first").alias("a"), "b", "sure", "cx", "cy", "nx", "ny"))
-    core = marked.where("core").select(key, "x", "y", "cx", "cy")
-    beyond = core.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    met = pairs.where("not sure").join(core, at).join(beyond, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far).select(key, "a", "b").distinct()
-    edges = pairs.where("sure").select(key, "a", "b").unionByName(met).unionByName(cells.select(key, F.col("first").alias("a"), F.col("first").alias("b")))
-    names = cells.join(components(edges, key).withColumnRenamed("ord", "first"), [key, "first"]).select(*at, "component")
-
-    owned = marked.where("core").join(names, at).select(key, "ord", "x", "y", "cx", "cy", "component")
-    reach = owned.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "component")
-    border = _around(marked.where("not core")).join(reach, [key, "nx", "ny"]).where(square("x", "y", "ox", "oy") <= far).groupBy(key, "ord").agg(F.min("component").alias("component"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("component")) - 1
-    numbers = names.select(key, "component").distinct().withColumn("cluster_id", place.cast("long"))
-    return owned.select(key, "ord", "component").unionByName(border).join(numbers, [key, "component"]).select(key, "ord", "cluster_id")
+    return gap("x") * gap("x") + gap("y") * gap("y"), span("x") * span("x") + span("y") * span("y")
 
 
-def incremental_clusters(points: DataFrame, key: str, distance: float, least: int = 1) -> DataFrame:
-    """(key, ord, cluster_id): in order, a point joins the nearest running mean within ``distance``, or founds a cluster.
+def _cell_pairs(cells: DataFrame, at: list[str]) -> DataFrame:
+    """(at, crowd, nx, ny, b_crowd, sure): every cell with each other one whose points can be within ``distance``; ``sure`` if all of them must be."""
+    outer, far = at[:-2], F.col("distance") * F.col("distance")
+    gap, span = _reach()
+    there = cells.select(*outer, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("crowd").alias("b_crowd"), *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    pairs = _around(cells).where("nx <> cx or ny <> cy").join(there, [*outer, "nx", "ny"]).where(gap <= far)
+    return pairs.select(*at, "crowd", "nx", "ny", "b_crowd", (span <= far * (1 - 1e-9)).alias("sure"))
+
+
+def _beyond(points: DataFrame, outer: list[str], **others: str) -> DataFrame:
+    """The points as the other side of a pair of cells."""
+    return points.select(*outer, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("x").alias("ox"), F.col("y").alias("oy"), *(F.col(c).alias(n) for n, c in others.items()))
 
-    Of equally near means the earliest counts. Clusters under ``least`` points are
-    dropped and leave gaps in the numbers. One video is one group, its points in
-    one pass.
+
+def _touching(pairs: DataFrame, points: DataFrame, at: list[str]) -> DataFrame:
+    """(at, nx, ny): of pairs of crowded cells that their boxes leave open, those with a point each that are within ``distance``.
+
+    The points of small crowds are compared. Of others the boxes of their sub-cells
+    are, at most ``SUBCELLS`` squared a cell, of which one sure pair is enough; only
+    points of sub-cells that leave a pair without such a witness open are compared, so
+    no table of two whole crowds is made. ``points`` has (at, x, y, px, py).
+    """
+    outer, far = at[:-2], F.col("distance") * F.col("distance")
+    gap, span = _reach()
+    both = [*at, "nx", "ny"]
+    few = F.col("crowd") * F.col("b_crowd") <= FEW_PAIRS
+    close = _square("x", "y", "ox", "oy") <= far
+    near = pairs.where(few).select(*both).join(points.select(*at, "x", "y"), at).join(_beyond(points, outer), [*outer, "nx", "ny"]).where(close).select(*both).distinct()
+    large = pairs.where(~few).select(*both)
+    ends = large.select(*at).unionByName(large.select(*outer, F.col("nx").alias("cx"), F.col("ny").alias("cy"))).distinct()
+    parts = points.join(ends, at, "left_semi").groupBy(*at, "px", "py").agg(*_boxes())
+    others = parts.select(*outer, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("px").alias("qx"), F.col("py").alias("qy"), *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    open_ = large.join(parts, at).join(others, [*outer, "nx", "ny"]).where(gap <= far)
+    open_ = open_.withColumn("sure", span <= far * (1 - 1e-9)).select(*both, "px", "py", "qx", "qy", "sure")
+    seen = open_.where("sure").select(*both).distinct()
+    rest = open_.join(seen, both, "left_anti").join(points, [*at, "px", "py"]).join(_beyond(points, outer, qx="px", qy="py"), [*outer, "nx", "ny", "qx", "qy"])
+    return near.unionByName(seen).unionByName(rest.where(close).select(*both).distinct())
+
+
+def density_levels(points: DataFrame, key: str, distances: list[float], leasts: list[int]) -> DataFrame:
+    """(key, distance, least, ord, component): density clusters of points (key, ord, x, y) under every distance and every least number.
+
+    At a distance and a least number a point with at least so many points within the
+    distance, itself among them, is a core; connected cores are a cluster, named by
+    its first core; another point joins the first cluster within reach, noise has no
+    row. Settings are rows, so there are as many jobs for a hundred of them as for one,
+    and what they have in common is found once:
+
+    * points are gathered in square cells whose diagonal is the distance, so points of
+      a cell are within reach of one another; which cells are within reach, in part or
+      as a whole, is told by the boxes of their points;
+    * one table counts the neighbours of the points of sparse cells; in a cell of as
+      many points as the largest least number all are cores at every one. Each least
+      number is a filter on these counts;
+    * two cells are linked as strongly as their best link, the smaller count of two
+      points within reach of one another: the clusters of a least number are the
+      components of the links that strong, whose nodes are cells and not points;
+    * points that are no cores take what they reach from the same pairs of cells.
+
+    Points are compared only where two boxes leave it open, which goes with the crowd
+    of a sparse cell, below the largest least number, times its neighbour's; how two
+    crowded cells are compared, :func:`_touching` says.
+    """
+    most, levels = max(leasts), sorted(set(leasts))
+    side = F.col("distance") / 2**0.5 * (1 - 1e-12)
+    outer, at = [key, "distance"], [key, "distance", "cx", "cy"]
+    close = _square("x", "y", "ox", "oy") <= F.col("distance") * F.col("distance")
+    spread = cut(points.select(key, "ord", "x", "y")).select("*", F.explode(F.array(*(F.lit(float(d)) for d in sorted(set(distances))))).alias("distance"))
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    part = lambda c, of: F.floor((F.col(c) / side - F.col(of)) * SUBCELLS).cast("int")
+    placed = spread.select(*outer, "ord", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    cells = cut(placed.groupBy(*at).agg(F.count(F.lit(1)).alias("crowd"), *_boxes()))
+    pairs = cut(_cell_pairs(cells, at))
+    thin = pairs.where(F.col("crowd") < most)
+    counted = placed.join(cells.select(*at, "crowd"), at)
+    whole = thin.where("sure").groupBy(*at).agg(F.sum("b_crowd").alias("whole"))
+    some = thin.where("not sure").select(*at, "nx", "ny").join(placed, at).join(_beyond(placed, outer), [*outer, "nx", "ny"]).where(close)
+    some = some.groupBy(*outer, "ord").agg(F.count(F.lit(1)).alias("some"))
+    near = F.col("crowd") + F.coalesce("whole", F.lit(0)) + F.coalesce("some", F.lit(0))
+    marked = counted.join(whole, at, "left").join(some, [*outer, "ord"], "left")
+    marked = cut(marked.select(*outer, "ord", "x", "y", "cx", "cy", "crowd", F.least(near, F.lit(most)).cast("int").alias("near")))
+
+    # of each cell: the strongest core, and the first core at each level
+    firsts = F.array(*(F.min(F.when(F.col("near") >= m, F.col("ord"))) for m in levels))
+    cores = cut(marked.where(F.col("near") >= levels[0]).groupBy(*at).agg(F.max("near").alias("near"), firsts.alias("firsts")))
+    there = cores.select(*outer, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("near").alias("there"), F.col("firsts").alias("others"))
+    sure = pairs.where("sure").select(*at, "nx", "ny").join(there.drop("others"), [*outer, "nx", "ny"])
+    inner = marked.where(F.col("crowd") < most).select(*outer, "ord", "x", "y", "cx", "cy", "near")
+    beyond = _beyond(marked.where(F.col("near") >= levels[0]), outer, there="near")
+    seen = thin.where("not sure").select(*at, "nx", "ny").join(inner, at).join(beyond, [*outer, "nx", "ny"]).where(close)
+    seen = cut(seen.groupBy(*at, "nx", "ny", "ord", "near").agg(F.max("there").alias("there")))  # what each point reaches of each cell
+    links = sure.join(cores.select(*at, "near"), at).select(*at, "nx", "ny", F.least("near", "there").alias("strength"))
+    links = links.unionByName(seen.groupBy(*at, "nx", "ny").agg(F.max(F.least("near", "there")).alias("strength")).where(F.col("strength") >= levels[0]))
+    crowded = placed.join(cells.where(F.col("crowd") >= most).select(*at), at, "left_semi").select(*at, "x", "y", part("x", "cx").alias("px"), part("y", "cy").alias("py"))
+    open_ = pairs.where(~F.col("sure") & (F.col("crowd") >= most) & (F.col("b_crowd") >= most) & ((F.col("nx") > F.col("cx")) | ((F.col("nx") == F.col("cx")) & (F.col("ny") > F.col("cy")))))
+    links = links.unionByName(_touching(open_, crowded, at).withColumn("strength", F.lit(most)))
+
+    level = F.posexplode(F.array(*map(F.lit, levels))).alias("place", "least")
+    first = lambda c: F.element_at(c, F.col("place") + 1)
+    ends = links.join(cores.select(*at, "firsts"), at).join(there.drop("there"), [*outer, "nx", "ny"])
+    edges = ends.select(*outer, "strength", "firsts", "others", level).where("strength >= least").select(*outer, "least", first("firsts").alias("a"), first("others").alias("b"))
+    nodes = cores.select(*at, "near", "firsts", level).where("near >= least").select(*at, "least", first("firsts").alias("ord"))
+    found = components(edges, [*outer, "least"])
+    names = nodes.join(found, [*outer, "least", "ord"], "left").select(*at, "least", F.coalesce("component", "ord").alias("component"))
+    names = cut(names)
+    own = marked.join(names, at).where("near >= least").select(*outer, "least", "ord", "component")
+    # whatever a point that is no core reaches: its own cell, cells as a whole, cells in part
+    apart = marked.where(F.col("near") < levels[-1])
+    around = apart.join(sure.select(*at, "nx", "ny", "there"), at).unionByName(apart.join(cores.select(*at, F.col("near").alias("there")), at).withColumn("nx", F.col("cx")).withColumn("ny", F.col("cy")))
+    around = around.select(*outer, "ord", "near", "nx", "ny", "there").unionByName(seen.where(F.col("near") < levels[-1]).select(*outer, "ord", "near", "nx", "ny", "there"))
+    border = around.join(names.withColumnsRenamed({"cx": "nx", "cy": "ny"}), [*outer, "nx", "ny"]).where("near < least and there >= least")
+    return own.unionByName(border.groupBy(*outer, "least", "ord").agg(F.min("component").alias("component")))
+
+
+def density_clusters(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
+    """(key, ord, cluster_id) of points (key, ord, x, y) by :func:`density_levels` at one setting; clusters are numbered from 0 by their first core."""
+    found = density_levels(points, key, [eps], [least]).select(key, "ord", "component")
+    return found.withColumn("cluster_id", (F.dense_rank().over(Window.partitionBy(key).orderBy("component")) - 1).cast("long")).drop("component")
+
+
+def running_means(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
+    """The cluster of each point, in order: the nearest running mean at most ``distance`` away, the earliest of several, or a new one.
+
+    Means are kept in square cells of that side and change their cell as they move, so
+    a point looks at the means of nine cells, however many clusters there are.
+    """
+    sums: list[list[float]] = []  # of x, of y, points
+    cells: dict[tuple[int, int], set[int]] = {}
+    found = np.empty(len(x), np.int64)
+    cell = lambda u, v: (math.floor(u / distance), math.floor(v / distance))
+    for k, (u, v) in enumerate(zip(x.tolist(), y.tolist())):
+        cx, cy = cell(u, v)
+        best, near = -1, math.inf
+        for at in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            for c in cells.get(at, ()):
+                sx, sy, n = sums[c]
+                away = math.sqrt((u - sx / n) ** 2 + (v - sy / n) ** 2)
+                if away <= distance and (away, c) < (near, best):
+                    best, near = c, away
+        if best < 0:
+            best, before = len(sums), None
+            sums.append([0.0, 0.0, 0])
+        else:
+            sx, sy, n = sums[best]
+            before = cell(sx / n, sy / n)
+        own = sums[best]
+        own[0], own[1], own[2] = own[0] + u, own[1] + v, own[2] + 1
+        after = cell(own[0] / own[2], own[1] / own[2])
+        if after != before:
+            if before is not None:
+                cells[before].discard(best)
+            cells.setdefault(after, set()).add(best)
+        found[k] = best
+    return found
+
+
+def incremental_levels(points: DataFrame, key: str, distances: list[float]) -> DataFrame:
+    """(key, distance, ord, cluster_id, size): :func:`running_means` of points (key, ord, x, y), in the order of ``ord``, at every distance.
+
+    One video and distance is one group, as its order is the operation; all of them are
+    one job. Every least number of sightings is a filter on ``size``.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        mean = np.empty((len(frame), 2))
-        size = np.zeros(len(frame), np.int64)
-        found, n = np.empty(len(frame), np.int64), 0
-        for k, point in enumerate(frame[["x", "y"]].to_numpy()):
-            if n:
-                apart = np.hypot(*(mean[:n] - point).T)
-                best = int(apart.argmin())
-            if not n or apart[best] > distance:
-                best, n = n, n + 1
-                mean[best] = 0.0
-            size[best] += 1
-            mean[best] += (point - mean[best]) / size[best]
-            found[k] = best
-        keep = size[found] >= least
-        return pd.DataFrame({key: frame[key], "ord": frame["ord"], "cluster_id": found})[keep]
+        found = running_means(frame["x"].to_numpy(np.float64), frame["y"].to_numpy(np.float64), float(frame["distance"].iloc[0]))
+        return pd.DataFrame({key: frame[key], "distance": frame["distance"], "ord": frame["ord"], "cluster_id": found, "size": np.bincount(found)[found]})
 
     kinds = dict(points.dtypes)
-    return points.select(key, "ord", "x", "y").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, ord {kinds['ord']}, cluster_id long")
+    spread = points.select(key, "ord", "x", "y", F.explode(F.array(*(F.lit(float(d)) for d in sorted(set(distances))))).alias("distance"))
+    return by_key(spread, key, "distance").groupBy(key, "distance").applyInPandas(fold, f"{key} {kinds[key]}, distance double, ord {kinds['ord']}, cluster_id long, size long")
+
+
+def incremental_clusters(points: DataFrame, key: str, distance: float, least: int = 1) -> DataFrame:
+    """(key, ord, cluster_id): :func:`incremental_levels` at one distance; clusters under ``least`` points are dropped and leave gaps in the numbers."""
+    return incremental_levels(points, key, [distance]).where(F.col("size") >= least).select(key, "ord", "cluster_id")
 
 
 def suppress(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:

@@ -17,8 +17,8 @@ EXPERIMENTS = {
     "density_equal_votes": {"merge": "density", "exponent": 0},
 }
 
-#: Ways to vote with the classifier's vectors: the weight's exponent and the temperature.
-VOTES = {"squared": (2.0, 1.0), "equal": (0.0, 1.0), "sharp": (2.0, 0.5)}
+#: Ways to vote with the classifier's vectors: the weight's exponent, the temperature, whether the best crop votes alone.
+VOTES = {"squared": (2.0, 1.0, False), "equal": (0.0, 1.0, False), "sharp": (2.0, 0.5, False), "best_crop": (2.0, 1.0, True)}
 
 
 def counts(points: DataFrame, merge: str, exponent: int, distance: float = 40.0, least: int = 4) -> DataFrame:
@@ -44,13 +44,12 @@ def run(points: DataFrame, truth: DataFrame, names: list[str] | None = None) ->
     return every
 
 
-
 def run_votes(sightings: DataFrame, truth: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
-    """(experiment, l1_types, max_error, exact_videos) of ways to vote, on sightings (keys, quantity, probs) of clusters that are given."""
+    """(experiment, l1_types, max_error, exact_videos) of ways to vote, on sightings (keys, ord, quantity, probs, sharpness) of clusters that are given."""
     every = None
     for name in names or list(VOTES):
-        exponent, temperature = VOTES[name]
-        voted = vector_vote(sightings, keys, "probs", "quantity", ["ord"], exponent=exponent, temperature=temperature)
+        exponent, temperature, alone = VOTES[name]
+        voted = vector_vote(sightings, keys, "probs", "quantity", "ord", exponent=exponent, temperature=temperature, best_alone=alone)
         found = distances(truth, dense_counts(voted, truth))
         one = found.agg(F.lit(name).alias("experiment"), F.sum("l1_types").alias("l1_types"), F.max("max_error").alias("max_error"), F.count_if("exact").alias("exact_videos"))
         every = one if every is None else every.unionByName(one)

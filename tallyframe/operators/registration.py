@@ -8,17 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import compose
+from ..functions.session import by_key
 from .matching import nearest_anchor
 from .sampling import even_places
 
 
-def anchors(videos: DataFrame, key: str, total: str, count: int, middle: bool = False) -> DataFrame:
-    """(key, place): even anchor places; the root (first or middle) replaces the nearest one if it is none of them."""
-    root = F.floor(F.col(total) / 2).cast("long") if middle else F.lit(0).cast("long")
-    places = even_places(F.col(total), count)
+def anchor_places(total: Column, count: int, root: Column) -> Column:
+    """Array of even anchor places; ``root`` replaces the nearest one, the first of two, if it is none of them."""
+    places = even_places(total, count)
     nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - root).alias("d"), p.alias("p"))))["p"]
-    chosen = F.when(F.array_contains(places, root), places).otherwise(F.array_sort(F.transform(places, lambda p: F.when(p == nearest, root).otherwise(p))))
-    return videos.where(F.col(total) > 0).select(key, F.explode(chosen).alias("place"))
+    return F.when(F.array_contains(places, root), places).otherwise(F.array_sort(F.transform(places, lambda p: F.when(p == nearest, root).otherwise(p))))
+
+
+def preferred_root(total: Column, middle: Column) -> Column:
+    return F.when(middle, F.floor(total / 2)).otherwise(0).cast("long")
+
+
+def anchors(videos: DataFrame, key: str, total: str, count: int, middle: bool = False) -> DataFrame:
+    """(key, place): even anchor places, the root (first or middle) among them."""
+    return videos.where(F.col(total) > 0).select(key, F.explode(anchor_places(F.col(total), count, preferred_root(F.col(total), F.lit(middle)))).alias("place"))
+
+
+def roots(candidates: DataFrame, keys: list[str], preferred: str = "preferred", features: str = "features", least: int = 15) -> DataFrame:
+    """(keys, root): of a video's anchors (keys, anchor_id, preferred, features) the one that all others are registered to.
+
+    It is the anchor with enough features that is nearest to the preferred one, itself
+    first, then the earlier one; if none has enough, the preferred one all the same. A
+    missing number of features counts as none.
+    """
+    fit = F.when(F.col(features) >= least, F.struct(F.abs(F.col("anchor_id") - F.col(preferred)).alias("away"), F.col("anchor_id").alias("root")))
+    return candidates.groupBy(*keys).agg(F.coalesce(F.min(fit)["root"], F.min(preferred)).alias("root"))
 
 
 def gates(features: Column, matches: Column, inliers: Column, least: int = 15, ratio: float = 0.25) -> Column:
@@ -59,50 +78,58 @@ def status(reg: DataFrame, key: str, ratio: float = 0.25) -> DataFrame:
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
-def anchor_transforms(pairs: DataFrame, key: str, root: int) -> DataFrame:
+def anchor_transforms(pairs: DataFrame, key: str | list[str], root: int | str) -> DataFrame:
     """(key, frame_id, h, valid, inlier_ratio): the anchors' transforms to the root, composed outward along a tree.
 
     ``pairs`` has the transforms between anchors (key, frame_id, anchor_id, h, valid,
-    inlier_ratio). Anchors are taken in order of their distance to the root; each
-    hangs on the nearest anchor before it that is valid and registers with it, and
-    without any it is invalid. A video's few anchors are one group.
+    inlier_ratio); ``root`` is a frame, or the column that names each video's. Anchors
+    are taken in order of their distance to the root; each hangs on the nearest anchor
+    before it that is valid and registers with it, and without any it is invalid. A
+    video's few anchors are one group.
     """
+    keys = [key] if isinstance(key, str) else key
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        top = int(frame["root_"].iloc[0])
         local = {(r.frame_id, r.anchor_id): (np.array(r.h).reshape(3, 3), r.inlier_ratio) for r in frame.itertuples() if r.valid}
-        done = {root: (np.eye(3), 1.0)}
-        names = sorted({*frame["frame_id"], *frame["anchor_id"]} - {root}, key=lambda a: (abs(a - root), a))
+        done = {top: (np.eye(3), 1.0)}
+        names = sorted({*frame["frame_id"], *frame["anchor_id"]} - {top}, key=lambda a: (abs(a - top), a))
         for a in names:
-            near = sorted((b for b in done if (a, b) in local), key=lambda b: (abs(b - a), abs(b - root), b))
+            near = sorted((b for b in done if (a, b) in local), key=lambda b: (abs(b - a), abs(b - top), b))
             if near:
                 (h, ratio), (outer, least) = local[a, near[0]], done[near[0]]
                 done[a] = outer @ h, min(ratio, least)
-        rows = [(frame[key].iloc[0], a, done[a][0].ravel().tolist() if a in done else None, a in done, float(done[a][1]) if a in done else 0.0) for a in [root, *names]]
-        return pd.DataFrame(rows, columns=[key, "frame_id", "h", "valid", "inlier_ratio"])
+        first = frame.iloc[0]
+        rows = [(*(first[k] for k in keys), a, done[a][0].ravel().tolist() if a in done else None, a in done, float(done[a][1]) if a in done else 0.0) for a in [top, *names]]
+        return pd.DataFrame(rows, columns=[*keys, "frame_id", "h", "valid", "inlier_ratio"])
 
     kinds = dict(pairs.dtypes)
-    return pairs.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, frame_id {kinds['frame_id']}, h array<double>, valid boolean, inlier_ratio double")
+    told = pairs.withColumn("root_", F.lit(root) if isinstance(root, int) else F.col(root)).select(*keys, "frame_id", "anchor_id", "h", "valid", "inlier_ratio", "root_")
+    return by_key(told, *keys).groupBy(*keys).applyInPandas(fold, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, frame_id {kinds['frame_id']}, h array<double>, valid boolean, inlier_ratio double")
 
 
-def multi_anchor(pairs: DataFrame, key: str, root: int) -> DataFrame:
+def multi_anchor(pairs: DataFrame, key: str | list[str], root: int | str) -> DataFrame:
     """(key, frame_id, anchor_id, h, valid, inlier_ratio) of every frame through several anchors.
 
     ``pairs`` has the transforms between frames and anchors, anchors being frames
-    too. A valid anchor keeps its own transform; another frame takes the first
-    anchor, by distance, by distance to the root, by number, that is valid and
-    registers with it; without any it is invalid.
+    too; ``root`` is a frame, or the column that names each video's. A valid anchor
+    keeps its own transform; another frame takes the first anchor, by distance, by
+    distance to the root, by number, that is valid and registers with it; without any
+    it is invalid.
     """
-    anchors_ = pairs.select(key, F.col("anchor_id").alias("frame_id")).distinct()
-    to_root = anchor_transforms(pairs.join(anchors_, [key, "frame_id"], "left_semi"), key, root)
-    own = to_root.where("valid").select(key, F.col("frame_id").alias("anchor_id"), F.col("h").alias("ha"), F.col("inlier_ratio").alias("ia"))
-    both = pairs.where("valid").join(own, [key, "anchor_id"])
+    keys = [key] if isinstance(key, str) else key
+    pairs = pairs.withColumn("root_", F.lit(root) if isinstance(root, int) else F.col(root))
+    anchors_ = pairs.select(*keys, F.col("anchor_id").alias("frame_id")).distinct()
+    to_root = anchor_transforms(pairs.join(anchors_, [*keys, "frame_id"], "left_semi"), keys, "root_")
+    own = to_root.where("valid").select(*keys, F.col("frame_id").alias("anchor_id"), F.col("h").alias("ha"), F.col("inlier_ratio").alias("ia"))
+    both = pairs.where("valid").join(own, [*keys, "anchor_id"])
     ordered = lambda near, out: F.struct(near.cast("long").alias("near"), out.cast("long").alias("out"), "anchor_id")
-    order = ordered(F.abs(F.col("frame_id") - F.col("anchor_id")), F.abs(F.col("anchor_id") - root))
-    found = both.select(key, "frame_id", order.alias("o"), F.struct("anchor_id", F.array(*compose(entries("ha"), entries("h"))).alias("h"), F.least("inlier_ratio", "ia").alias("inlier_ratio")).alias("r"))
-    itself = own.select(key, F.col("anchor_id").alias("frame_id"), ordered(F.lit(-1), F.lit(-1)).alias("o"), F.struct("anchor_id", F.col("ha").alias("h"), F.col("ia").alias("inlier_ratio")).alias("r"))
-    best = found.unionByName(itself).groupBy(key, "frame_id").agg(F.min_by("r", "o").alias("r"))
-    every = pairs.select(key, "frame_id").distinct().join(best, [key, "frame_id"], "left")
-    return every.select(key, "frame_id", "r.anchor_id", "r.h", F.col("r").isNotNull().alias("valid"), F.coalesce("r.inlier_ratio", F.lit(0.0)).alias("inlier_ratio"))
+    order = ordered(F.abs(F.col("frame_id") - F.col("anchor_id")), F.abs(F.col("anchor_id") - F.col("root_")))
+    found = both.select(*keys, "frame_id", order.alias("o"), F.struct("anchor_id", F.array(*compose(entries("ha"), entries("h"))).alias("h"), F.least("inlier_ratio", "ia").alias("inlier_ratio")).alias("r"))
+    itself = own.select(*keys, F.col("anchor_id").alias("frame_id"), ordered(F.lit(-1), F.lit(-1)).alias("o"), F.struct("anchor_id", F.col("ha").alias("h"), F.col("ia").alias("inlier_ratio")).alias("r"))
+    best = found.unionByName(itself).groupBy(*keys, "frame_id").agg(F.min_by("r", "o").alias("r"))
+    every = pairs.select(*keys, "frame_id").distinct().join(best, [*keys, "frame_id"], "left")
+    return every.select(*keys, "frame_id", "r.anchor_id", "r.h", F.col("r").isNotNull().alias("valid"), F.coalesce("r.inlier_ratio", F.lit(0.0)).alias("inlier_ratio"))
 
 
 def single_anchor(pairs: DataFrame, key: str, root: int, features: str = "features", least: int = 15) -> DataFrame:

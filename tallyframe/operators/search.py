@@ -6,75 +6,98 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center, project
 from ..functions.naming import class_index
 from ..functions.session import cut
-from .clustering import density_clusters, incremental_clusters
-from .filters import DENSITY_THRESHOLDS, registered
-from .registration import anchors, entries, multi_anchor
+from .clustering import density_levels, incremental_levels
+from .filters import DENSITY_THRESHOLDS
+from .registration import IDENTITY, anchor_places, entries, multi_anchor, preferred_root, roots
 from .voting import CLASSES, detector_vote
 
 
-METHODS = {"density": density_clusters, "incremental": incremental_clusters}
+def _literals(**lists) -> Column:
+    """Every combination of the lists, exploded from one literal array of structs."""
+    rows = [F.struct(*(F.lit(v).alias(k) for k, v in zip(lists, values))) for values in itertools.product(*lists.values())]
+    return F.explode(F.array(*rows))
 
 
-def sequences(pairs: DataFrame, totals: DataFrame, features: list[str], middles: list[bool], counts: list[int], key: str = "video_id") -> DataFrame:
-    """Registrations (sequence, key, frame_id, h, valid, inlier_ratio) under every feature type, anchor strategy and number of anchors.
+def sequences(
+    pairs: DataFrame, frames: DataFrame, strategies: list[str], counts: list[int], ratios: list[float], matches: list[int], key: str = "video_id", least_features: int = 15
+) -> DataFrame:
+    """Registrations (feature, strategy, anchors, ratio, matches, key, frame_id, h, valid) under every setting.
 
-    ``pairs`` has the transforms found between frames (feature, key, frame_id,
-    anchor_id, h, valid, inlier_ratio), ``totals`` the frames of each video (key,
-    total); the root is the middle frame or the first one. Videos of one root are
-    registered together, so there are as many steps as settings and roots.
+    ``pairs`` has the transforms between frames as each feature type finds them
+    (feature, key, frame_id, anchor_id, h, inlier_ratio, matches), ``frames`` the
+    features of each frame (feature, key, frame_id, features), frames numbered from 0.
+    Anchors are even places with the root among them, the root the ``first`` or the
+    ``middle`` frame or, where that has too few features, another anchor of this video.
+    A pair counts if it has enough matches and inliers. Settings are rows: their number
+    changes neither the plan nor the number of jobs.
     """
-    found = None
-    for middle in middles:
-        roots = [r[0] for r in totals.select((F.floor(F.col("total") / 2) if middle else F.lit(0)).cast("long")).distinct().collect()]
-        for count in counts:
-            places = anchors(totals, key, "total", count, middle).withColumnRenamed("place", "anchor_id")
-            for feature in features:
-                mine = pairs.where(F.col("feature") == feature).join(places, [key, "anchor_id"])
-                for root in roots:
-                    of_root = totals.where((F.floor(F.col("total") / 2) if middle else F.lit(0)) == root).select(key)
-                    one = multi_anchor(mine.join(of_root, key, "left_semi"), key, root).withColumn("sequence", F.lit(f"{feature}-{'middle' if middle else 'first'}-{count}"))
-                    found = one if found is None else found.unionByName(one)
-    return found
-
-
-def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, names: list[str], ratios: list[float], matches: list[int], policies: list[str], methods: list[str], distances_: list[float], least_seen: list[int]) -> DataFrame:
+    if min(counts) < 2 or not set(strategies) <= {"first", "middle"}:
+        raise ValueError("at least two anchors, and first or middle as a strategy")
+    totals = frames.groupBy("feature", key).agg(F.count(F.lit(1)).alias("total"))
+    placed = totals.select("feature", key, "total", _literals(strategy=strategies, anchors=counts).alias("s")).select("feature", key, "total", "s.*")
+    placed = placed.withColumn("preferred", preferred_root(F.col("total"), F.col("strategy") == "middle"))
+    places = F.coalesce(*(F.when(F.col("anchors") == c, anchor_places(F.col("total"), c, F.col("preferred"))) for c in counts))
+    setting = ["feature", "strategy", "anchors", key]
+    chosen = placed.select(*setting, "preferred", F.explode(places).alias("anchor_id"))
+    known = chosen.join(frames.select("feature", key, F.col("frame_id").alias("anchor_id"), "features"), ["feature", key, "anchor_id"], "left")
+    chosen = chosen.drop("preferred").join(roots(known, setting, least=least_features), setting)
+    gated = pairs.join(chosen, ["feature", key, "anchor_id"]).withColumn("g", _literals(ratio=[float(r) for r in ratios], least_matches=matches))
+    fine = (F.col("inlier_ratio") >= F.col("g.ratio")) & (F.col("matches") >= F.col("g.least_matches"))
+    gated = gated.select(*setting, "root", "frame_id", "anchor_id", "h", "inlier_ratio", F.col("g.ratio").alias("ratio"), F.col("g.least_matches").alias("matches"), fine.alias("valid"))
+    return multi_anchor(gated, ["feature", "strategy", "anchors", "ratio", "matches", key], "root").drop("anchor_id", "inlier_ratio")
+
+
+def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], policies: list[str], methods: list[str], distances: list[float], least_seen: list[int]) -> DataFrame:
     """One row a setting: the sums of count errors over videos, the worst one, and the videos that are exact.
 
-    For every registered sequence of ``names`` (``reg``: sequence, video_id, frame_id,
-    h, inlier_ratio, matches), least inlier ratio, least number of matches and
-    policy the detections (video_id, frame_id, ord, class_name, w, and their boxes)
-    are projected anew, for every method, distance and least number of sightings
-    clustered anew, and classed by vote; the counts are held against ``truth``.
+    ``reg`` has the registrations (side, video_id, frame_id, h, valid) under each
+    setting, whose values ``side`` names; ``det`` the detections (video_id, frame_id,
+    ord, class_name, w, and their boxes). Under every policy, method, distance and
+    least number of sightings they are projected, clustered, classed by vote and
+    counted, and the counts are held against ``truth``.
+
+    Nothing is run anew for a setting: settings that register a video alike share its
+    points, told by two independent sums of hashes over its transforms; distances and
+    least numbers come from :func:`~tallyframe.operators.clustering.density_levels`
+    and :func:`~tallyframe.operators.clustering.incremental_levels` as rows.
     """
-    points = None
-    for name, ratio, least, policy in itertools.product(names, ratios, matches, policies):
-        fine = reg.where(F.col("sequence") == name).select("video_id", "frame_id", "h", ((F.col("inlier_ratio") >= ratio) & (F.col("matches") >= least)).alias("valid"))
-        placed = registered(det, fine, policy)
-        x, y = project(entries("h"), *center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
-        told = dict(sequence=name, ratio=float(ratio), matches=least, policy=policy)
-        one = placed.select(*(F.lit(v).alias(k) for k, v in told.items()), "video_id", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
-        points = one if points is None else points.unionByName(one)
-    side = ["sequence", "ratio", "matches", "policy"]
-    points = cut(points.withColumn("key", F.concat_ws("|", *side, "video_id")))
-    results = None
-    for method, distance, least in itertools.product(methods, distances_, least_seen):
-        clusters = METHODS[method](points.select("key", "ord", "x", "y"), "key", distance, least)
-        voted = detector_vote(points.join(clusters, ["key", "ord"]), [*side, "video_id", "cluster_id"], "w")
-        counts = voted.groupBy(*side, "video_id").agg(*(F.count_if(F.col("pred_class") == k).alias(f"p{k + 1}") for k in range(CLASSES)))
-        settings = det.sparkSession.createDataFrame(list(itertools.product(names, map(float, ratios), matches, policies)), "sequence string, ratio double, matches int, policy string")
-        wanted = truth.join(F.broadcast(settings))  # every setting of every video; settings are literals
-        error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
-        scored = wanted.join(counts, [*side, "video_id"], "left").select(*side, sum(error[1:], error[0]).alias("l1"), F.greatest(*error).alias("worst"))
-        told = scored.groupBy(*side).agg(F.sum("l1").alias("l1"), F.max("worst").alias("worst"), F.count_if(F.col("l1") == 0).alias("exact"))
-        told = told.select("sequence", "ratio", "matches", "policy", F.lit(method).alias("method"), F.lit(float(distance)).alias("distance"), F.lit(least).alias("least"), "l1", "worst", "exact")
-        results = told if results is None else results.unionByName(told)
-    return results
+    if not set(methods) <= {"density", "incremental"} or not set(policies) <= {"skip", "tracker", "identity"}:
+        raise ValueError("unknown method or policy")
+    same = F.array(*(F.lit(v) for v in IDENTITY))
+    kept = F.when(F.col("valid"), F.col("h")).when(F.col("policy") == "identity", same)
+    reg = reg.withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    reg = cut(reg.select(*side, "policy", "video_id", "frame_id", kept.alias("h")))
+    told = lambda more: F.xxhash64("frame_id", "h", F.lit(more))
+    alike = reg.where("h is not null").groupBy(*side, "policy", "video_id").agg(F.sum(told(1).cast("decimal(38,0)")).cast("string").alias("one"), F.bit_xor(told(2)).cast("string").alias("other"))
+    alike = cut(alike.select(*side, "policy", "video_id", F.concat_ws("|", F.col("video_id").cast("string"), "one", "other").alias("same")))
+    shown = alike.groupBy("same", "video_id").agg(F.min(F.struct(*side, "policy")).alias("s")).select("same", "video_id", "s.*")
+    placed = reg.where("h is not null").join(shown, [*side, "policy", "video_id"]).select(F.col("same").alias("key"), "video_id", "frame_id", "h")
+    x, y = project(entries("h"), *center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    points = det.join(placed, ["video_id", "frame_id"]).select("key", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
+    points = cut(points)
+    plain, clusters = points.select("key", "ord", "x", "y"), []
+    if "density" in methods:
+        clusters.append(density_levels(plain, "key", distances, least_seen).select("key", "ord", F.lit("density").alias("method"), "distance", "least", F.col("component").alias("cluster")))
+    if "incremental" in methods:
+        folded = incremental_levels(plain, "key", distances).withColumn("least", F.explode(F.array(*map(F.lit, least_seen)))).where("size >= least")
+        clusters.append(folded.select("key", "ord", F.lit("incremental").alias("method"), "distance", "least", F.col("cluster_id").alias("cluster")))
+    found = clusters[0] if len(clusters) == 1 else clusters[0].unionByName(clusters[1])
+    how = ["method", "distance", "least"]
+    voted = detector_vote(points.join(found, ["key", "ord"]), ["key", *how, "cluster"], "w")
+    counts = voted.groupBy(F.col("key").alias("same"), *how).agg(*(F.count_if(F.col("pred_class") == k).alias(f"p{k + 1}") for k in range(CLASSES)))
+    settings = F.broadcast(reg.select(*side, "policy").distinct())  # the values of the lists
+    wanted = truth.join(settings).join(alike, [*side, "policy", "video_id"], "left")
+    wanted = wanted.withColumn("how", _literals(method=methods, distance=[float(d) for d in distances], least=least_seen))
+    wanted = wanted.select(*side, "policy", "same", *(f"type{k}" for k in range(1, CLASSES + 1)), "how.*")
+    error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
+    scored = wanted.join(counts, ["same", *how], "left").select(*side, "policy", *how, sum(error[1:], error[0]).alias("l1"), F.greatest(*error).alias("worst"))
+    return scored.groupBy(*side, "policy", *how).agg(F.sum("l1").alias("l1"), F.max("worst").alias("worst"), F.count_if(F.col("l1") == 0).alias("exact"))
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:

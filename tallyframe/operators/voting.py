@@ -24,16 +24,21 @@ def detector_vote(sightings: DataFrame, keys: list[str], weight: str, name: str
     return best.select(*keys, F.when(voted, -F.col("best.c")).otherwise(-1).alias("pred_class"), F.when(voted, F.col("best.w") / F.col("total")).alias("share"))
 
 
-def weighted_probabilities(sightings: DataFrame, keys: list[str], class_of: str, confidence: str, order: list, top: int = 10, best_bonus: float = 2.0, exponent: float = 2.0) -> DataFrame:
-    """(keys, class, probability) from the ``top`` most confident sightings, the best one counted ``1 + best_bonus`` times.
+def weighted_probabilities(sightings: DataFrame, keys: list[str], class_of: str, confidence: str, order: list, sharpness: str = "sharpness", top: int = 10, best_bonus: float = 2.0, exponent: float = 2.0) -> DataFrame:
+    """(keys, class, probability) from the ``top`` most confident sightings and the best crop.
 
     ``class_of`` is what the classifier said of a sighting, as a one-hot vector would.
+    Sightings vote with their confidence to ``exponent``; the sharpest crop, the first
+    of several, votes once more with ``best_bonus`` times the highest confidence's
+    weight, whether or not it is among the most confident. No sharpness is no crop to choose.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(confidence), *order))
-    ranked = sightings.withColumn("place_", place).where(F.col("place_") <= top)
-    weight = F.pow(F.col(confidence), exponent) * F.when(F.col("place_") == 1, 1 + best_bonus).otherwise(1.0)
-    sums = ranked.groupBy(*keys, F.col(class_of).alias("class")).agg(F.sum(weight).alias("w"))
-    return sums.withColumn("probability", F.col("w") / F.sum("w").over(Window.partitionBy(*keys))).drop("w")
+    whole = Window.partitionBy(*keys)
+    placed = sightings.withColumn("place_", F.row_number().over(whole.orderBy(F.desc(confidence), *order)))
+    sharpest = F.row_number().over(whole.orderBy(F.desc_nulls_last(sharpness), *order))
+    placed = placed.withColumn("best_", (sharpest == 1) & F.col(sharpness).isNotNull()).withColumn("most_", F.max(confidence).over(whole))
+    weight = F.when(F.col("place_") <= top, F.pow(F.col(confidence), exponent)).otherwise(0.0) + F.when(F.col("best_"), best_bonus * F.pow("most_", exponent)).otherwise(0.0)
+    sums = placed.where(F.col("best_") | (F.col("place_") <= top)).groupBy(*keys, F.col(class_of).alias("class")).agg(F.sum(weight).alias("w"))
+    return sums.withColumn("probability", F.col("w") / F.sum("w").over(whole)).drop("w")
 
 
 def dense_counts(clusters: DataFrame, videos: DataFrame, key: str = "video_id") -> DataFrame:
@@ -57,23 +62,32 @@ def cluster_summary(sightings: DataFrame, keys: list[str], order: str = "ord") -
     )
 
 
-def vector_vote(sightings: DataFrame, keys: list[str], probs: str, confidence: str, order: list, top: int = 10, exponent: float = 2.0, temperature: float = 1.0) -> DataFrame:
+def vector_vote(
+    sightings: DataFrame, keys: list[str], probs: str, confidence: str, order: str, sharpness: str = "sharpness", top: int = 10, exponent: float = 2.0, temperature: float = 1.0, best_bonus: float = 2.0, best_alone: bool = False
+) -> DataFrame:
     """(keys, class_probs, pred_class): weighted mean of the classifier's probability vectors, the first of the largest classes.
 
-    The ``top`` most confident sightings count by confidence to ``exponent``, the best
-    crop twice more by the highest confidence. A vector that is null is a sighting
-    without a crop; a cluster without any gets equal shares and class 0. With a
-    ``temperature`` the vectors are sharpened or flattened in log space first.
+    The ``top`` most confident sightings, by ``order`` where alike, count by confidence
+    to ``exponent``. The best crop counts besides, with ``best_bonus`` times the highest
+    confidence of all sightings to ``exponent``: it is the sharpest one that has a crop,
+    the first of several, and need not be among the most confident. A vector that is
+    null is a sighting without a crop; a null sharpness counts as 0. A cluster without
+    any crop gets equal shares and class 0. With a ``temperature`` the vectors are
+    sharpened or flattened in log space first; ``best_alone`` lets nothing but the best
+    crop vote.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(confidence), *order))
-    ranked = sightings.withColumn("place_", place).where(F.col("place_") <= top)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(confidence), order))
     logs = F.transform(probs, lambda v: F.log(F.greatest(F.least(v, F.lit(1.0)), F.lit(1e-10))))
-    vector = F.col(probs) if temperature == 1.0 else F.when(F.col(probs).isNotNull(), softmax(logs, temperature))
-    weight = F.pow(F.col(confidence), exponent) * F.when(F.col("place_") == 1, 3.0).otherwise(1.0)
-    ranked = ranked.withColumn("v_", vector).withColumn("w_", F.when(F.col(probs).isNotNull(), weight).otherwise(0.0))
+    there = F.col(probs).isNotNull()
+    vector = F.col(probs) if temperature == 1.0 else F.when(there, softmax(logs, temperature))
+    weight = F.when(there & (place <= top) & F.lit(not best_alone), F.pow(F.col(confidence), exponent)).otherwise(0.0)
+    rows = sightings.withColumn("v_", vector).withColumn("w_", weight)
     sums = [F.sum(F.coalesce(F.col("v_")[k], F.lit(0.0)) * F.col("w_")).alias(f"s{k}") for k in range(CLASSES)]
-    summed = ranked.groupBy(*keys).agg(F.sum("w_").alias("w"), *sums)
-    shares = F.array(*(F.when(F.col("w") > 0, F.col(f"s{k}") / F.col("w")).otherwise(1 / CLASSES) for k in range(CLASSES)))
+    sharpest = F.when(there, F.struct(F.coalesce(F.col(sharpness).cast("double"), F.lit(0.0)), -F.col(order)))
+    summed = rows.groupBy(*keys).agg(F.sum("w_").alias("w"), *sums, F.max_by("v_", sharpest).alias("best"), F.max(confidence).alias("most"))
+    bonus = F.when(F.col("best").isNotNull(), best_bonus * F.pow("most", exponent)).otherwise(0.0)
+    whole = F.col("w") + bonus
+    shares = F.array(*(F.when(whole > 0, (F.col(f"s{k}") + F.coalesce(F.col("best")[k], F.lit(0.0)) * bonus) / whole).otherwise(1 / CLASSES) for k in range(CLASSES)))
     found = summed.select(*keys, shares.alias("class_probs"))
     return found.withColumn("pred_class", (F.array_position("class_probs", F.array_max("class_probs")) - 1).cast("int"))
 

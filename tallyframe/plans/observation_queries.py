@@ -160,11 +160,13 @@ def detector_vote(spark, sf_dir):
     return voting.detector_vote(rows, ["video_id", "obj_id"], "w", "class_noisy").withColumn("share", _r(F.col("share")))
 
 
-@query(f"""WITH {NOISY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, obj_id ORDER BY confidence DESC, ord) AS n FROM noisy),
-w AS (SELECT video_id, obj_id, class_noisy AS class, sum(quantity * quantity * CASE WHEN n = 1 THEN 3 ELSE 1 END) AS w FROM r WHERE n <= 10 GROUP BY ALL)
+@query(f"""WITH {NOISY_SQL}, r AS (SELECT *, row_number() OVER k AS n, row_number() OVER (PARTITION BY video_id, obj_id ORDER BY part * 37 % 101 DESC, ord) AS b, max(quantity) OVER (PARTITION BY video_id, obj_id) AS m
+  FROM noisy WINDOW k AS (PARTITION BY video_id, obj_id ORDER BY confidence DESC, ord)),
+w AS (SELECT video_id, obj_id, class_noisy AS class, sum(CASE WHEN n <= 10 THEN quantity * quantity ELSE 0 END + CASE WHEN b = 1 THEN 2 * m * m ELSE 0 END) AS w FROM r WHERE n <= 10 OR b = 1 GROUP BY ALL)
 SELECT video_id, obj_id, class, round(w / sum(w) OVER (PARTITION BY video_id, obj_id), 6) AS probability FROM w""")
 def classifier_vote_top10(spark, sf_dir):
-    return voting.weighted_probabilities(noisy(spark, sf_dir), ["video_id", "obj_id"], "class_noisy", "quantity", ["ord"]).withColumn("probability", _r(F.col("probability")))
+    seen = noisy(spark, sf_dir).withColumn("sharpness", F.col("part") * 37 % 101)
+    return voting.weighted_probabilities(seen, ["video_id", "obj_id"], "class_noisy", "quantity", ["ord"]).withColumn("probability", _r(F.col("probability")))
 
 
 @query(f"""WITH {DET}, c AS (SELECT video_id, class_name, count(*) AS n FROM det GROUP BY ALL)
@@ -197,13 +199,36 @@ def dbscan_small_eps(spark, sf_dir):
     return clustering.density_clusters(placed(spark, sf_dir).select("video_id", "ord", "x", "y"), "video_id", 2.5, 4)
 
 
-@query(f"""WITH {KEPT_SQL}, o AS (SELECT *, count(*) OVER (PARTITION BY video_id, obj_id) AS n, min(ord) OVER (PARTITION BY video_id, obj_id) AS first FROM kept),
-c AS (SELECT video_id, ord, n, dense_rank() OVER (PARTITION BY video_id ORDER BY first) - 1 AS cluster_id FROM o)
-SELECT video_id, ord, cluster_id FROM c WHERE n >= 4""")
+def _running_sql(points: str, keys: str, distance: str) -> str:
+    """Running means by object, whose sightings are nearer to one another than to those of others by far: found has each point's cluster by its first ord."""
+    same = " AND ".join(f"p.{k} = f.{k}" for k in keys.split(", "))
+    return f"""p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys}, obj_id ORDER BY ord) AS k FROM {points}),
+f AS (SELECT {keys}, obj_id, k, ord, ord AS own, [{{'first': ord, 'sx': x, 'sy': y, 'n': 1::BIGINT}}] AS state FROM p WHERE k = 1
+  UNION ALL SELECT {keys}, obj_id, k, ord, CASE WHEN best IS NULL THEN ord ELSE state[best].first END,
+    CASE WHEN best IS NULL THEN list_append(state, {{'first': ord, 'sx': x, 'sy': y, 'n': 1::BIGINT}})
+      ELSE list_transform(state, lambda s: CASE WHEN s.first = state[best].first THEN {{'first': s.first, 'sx': s.sx + x, 'sy': s.sy + y, 'n': s.n + 1}} ELSE s END) END FROM (
+    SELECT *, CASE WHEN list_min(away) <= {distance} THEN list_position(away, list_min(away)) END AS best FROM (
+      SELECT p.*, f.state, list_transform(f.state, lambda s: sqrt((p.x - s.sx / s.n) * (p.x - s.sx / s.n) + (p.y - s.sy / s.n) * (p.y - s.sy / s.n))) AS away
+      FROM f JOIN p ON {same} AND p.obj_id = f.obj_id AND p.k = f.k + 1))),
+found AS (SELECT *, count(*) OVER (PARTITION BY {keys}, own) AS n FROM f)"""
+
+
+def _incremental_sql(distance: float) -> str:
+    return f"""WITH RECURSIVE {KEPT_SQL}, points AS (SELECT video_id, obj_id, ord, rx AS x, ry AS y FROM kept), {_running_sql('points', 'video_id', str(distance))}
+SELECT video_id, ord, cluster_id FROM (SELECT video_id, ord, n, dense_rank() OVER (PARTITION BY video_id ORDER BY own) - 1 AS cluster_id FROM found) WHERE n >= 4"""
+
+
+@query(_incremental_sql(40.0))
 def incremental_clusters(spark, sf_dir):
     return clustering.incremental_clusters(placed(spark, sf_dir).select("video_id", "ord", "x", "y"), "video_id", 40.0, 4)
 
 
+@query(_incremental_sql(2.5))
+def incremental_small_distance(spark, sf_dir):
+    """A distance at which an object's sightings fall into several clusters, so their order decides."""
+    return clustering.incremental_clusters(placed(spark, sf_dir).select("video_id", "ord", "x", "y"), "video_id", 2.5, 4)
+
+
 @query()
 def nms(spark, sf_dir):
     boxes = detections(spark, sf_dir).select("video_id", "frame_id", "ord", F.col("quantity").alias("score"), (F.col("x1") - 150).alias("x1"), (F.col("y1") - 150).alias("y1"), (F.col("x2") + 150).alias("x2"), (F.col("y2") + 150).alias("y2"))
@@ -284,10 +309,10 @@ x AS (SELECT m.least, s.ratio, s.policy, {' + '.join(f"abs(type{k} - coalesce(p{
 SELECT ratio::DOUBLE AS ratio, policy, least, sum(l1)::BIGINT AS l1, max(worst) AS worst, count(*) FILTER (WHERE l1 = 0) AS exact FROM x GROUP BY ALL
 ORDER BY l1, worst, exact DESC, ratio, policy, least LIMIT 10""")
 def param_grid_topk(spark, sf_dir):
-    """Settings of the counting path by their errors: every one projects, clusters and votes anew."""
+    """Settings of the counting path by their errors."""
     det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
-    reg = registrations(spark, sf_dir).select("*", F.lit("given").alias("sequence"), F.lit(30).alias("matches"))
-    found = search.grid(det, reg, counted(spark, sf_dir), ["given"], [0.25, 0.05], [15], ["skip", "identity"], ["density"], [40.0], [2, 4, 8])
+    reg = registrations(spark, sf_dir).withColumn("ratio", F.explode(F.array(F.lit(0.25), F.lit(0.05)))).withColumn("valid", F.col("inlier_ratio") >= F.col("ratio"))
+    found = search.grid(det, reg, counted(spark, sf_dir), ["ratio"], ["skip", "identity"], ["density"], [40.0], [2, 4, 8])
     return found.orderBy("l1", "worst", F.desc("exact"), "ratio", "policy", "least").limit(10).select("ratio", "policy", "least", "l1", "worst", "exact")
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import clustering, experiments, filters, matching, models, registration, voting
+from ..operators import clustering, experiments, filters, matching, models, registration, search, voting
 from .fixtures import DET, REG, detections, registrations
 from .named import book
-from .observation_queries import COUNTED_SQL, KEPT_SQL, counted, objects, placed
+from .observation_queries import COUNTED_SQL, KEPT_SQL, _running_sql, counted, objects, placed
 
 QUERIES, ORACLE, query = book()
 
@@ -118,25 +118,27 @@ def cluster_frames(spark, sf_dir):
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """Sightings with what a classifier would say of their crops, null where there is no crop."""
+    """Sightings with what a classifier would say of their crops, and how sharp these are; null where there is no crop."""
     raw = [(F.col("part") + 7 * k + F.col("ord")) % 11 + 1 for k in range(5)]
     whole = raw[0] + raw[1] + raw[2] + raw[3] + raw[4]
-    return rows.withColumn("probs", F.when(F.col("ord") % 3 != 0, F.array(*(r / whole for r in raw))))
+    there = F.col("ord") % 3 != 0
+    return rows.withColumn("probs", F.when(there, F.array(*(r / whole for r in raw)))).withColumn("sharpness", F.when(there, F.col("part") * 37 % 101 / 10.0))
 
 
-def _vector_sql(temperature: float, source: str, keys: str, exponent: int = 2) -> str:
+def _vector_sql(temperature: float, source: str, keys: str, exponent: int = 2, best_alone: bool = False) -> str:
     raw = [f"((part + {7 * k} + ord) % 11 + 1)" for k in range(5)]
     power = [f"pow({r}, {1 / temperature})" for r in raw]
     whole = " + ".join(power)
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY quantity DESC, ord) AS n FROM {source}),
-w AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 0 ELSE pow(quantity, {exponent}) * CASE WHEN n = 1 THEN 3 ELSE 1 END END AS w, [{', '.join(f'{p} / ({whole})' for p in power)}] AS p FROM r WHERE n <= 10),
-s AS (SELECT {keys}, sum(w) AS w, [{', '.join(f'sum(p[{k}] * w)' for k in range(1, 6))}] AS s FROM w GROUP BY {keys}),
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY quantity DESC, ord) AS n, part * 37 % 101 / 10.0 AS sharp FROM {source}),
+w AS (SELECT *, CASE WHEN ord % 3 = 0 OR n > 10 OR {best_alone} THEN 0 ELSE pow(quantity, {exponent}) END AS w, [{', '.join(f'{p} / ({whole})' for p in power)}] AS p FROM r),
+g AS (SELECT {keys}, sum(w) AS w, [{', '.join(f'sum(p[{k}] * w)' for k in range(1, 6))}] AS s, 2 * pow(max(quantity), {exponent}) AS m, arg_max(p, (sharp, -ord)) FILTER (WHERE ord % 3 <> 0) AS b FROM w GROUP BY {keys}),
+s AS (SELECT {keys}, w + CASE WHEN b IS NULL THEN 0 ELSE m END AS w, [{', '.join(f'CASE WHEN b IS NULL THEN s[{k}] ELSE s[{k}] + b[{k}] * m END' for k in range(1, 6))}] AS s FROM g),
 q AS (SELECT {keys}, CASE WHEN w > 0 THEN list_transform(s, lambda x: x / w) ELSE [0.2, 0.2, 0.2, 0.2, 0.2]::DOUBLE[] END AS q FROM s)"""
 
 
 @query(f"WITH {DET}, {_vector_sql(2.0, 'det', 'video_id, obj_id')} SELECT video_id, obj_id, round(q[1], 5) AS p0, round(q[5], 5) AS p4, list_position(q, list_max(q)) - 1 AS pred_class FROM q")
 def classifier_vote_vectors(spark, sf_dir):
-    found = voting.vector_vote(vectors(detections(spark, sf_dir)), ["video_id", "obj_id"], "probs", "quantity", ["ord"], temperature=2.0)
+    found = voting.vector_vote(vectors(detections(spark, sf_dir)), ["video_id", "obj_id"], "probs", "quantity", "ord", temperature=2.0)
     return found.select("video_id", "obj_id", F.round(F.col("class_probs")[0], 5).alias("p0"), F.round(F.col("class_probs")[4], 5).alias("p4"), "pred_class")
 
 
@@ -146,7 +148,7 @@ def classifier_path_counts(spark, sf_dir):
     """The classifier path from end to end: thresholds, transforms, density clusters of one sighting and more, vector votes, dense counts."""
     points = placed(spark, sf_dir)
     found = clustering.density_clusters(points.select("video_id", "ord", "x", "y"), "video_id", 40.0, 1)
-    voted = voting.vector_vote(vectors(points.join(found, ["video_id", "ord"])), ["video_id", "cluster_id"], "probs", "quantity", ["ord"])
+    voted = voting.vector_vote(vectors(points.join(found, ["video_id", "ord"])), ["video_id", "cluster_id"], "probs", "quantity", "ord")
     return voting.dense_counts(voted, registrations(spark, sf_dir))
 
 
@@ -195,9 +197,9 @@ def crop_manifest(spark, sf_dir):
 
 def _votes_sql() -> str:
     parts = []
-    for name, (exponent, temperature) in experiments.VOTES.items():
+    for name, (exponent, temperature, alone) in experiments.VOTES.items():
         parts.append(f"""SELECT '{name}' AS experiment, sum(l1)::BIGINT AS l1_types, max(worst) AS max_error, count(*) FILTER (WHERE l1 = 0) AS exact_videos FROM (
-WITH {_vector_sql(temperature, 'kept', 'video_id, obj_id', int(exponent))}, c AS (SELECT video_id, list_position(q, list_max(q)) AS c FROM q),
+WITH {_vector_sql(temperature, 'kept', 'video_id, obj_id', int(exponent), alone)}, c AS (SELECT video_id, list_position(q, list_max(q)) AS c FROM q),
 n AS (SELECT t.video_id, {', '.join(f"abs(any_value(t.type{k}) - count(*) FILTER (WHERE c = {k})) AS e{k}" for k in range(1, 6))} FROM counted t LEFT JOIN c USING (video_id) GROUP BY t.video_id)
 SELECT e1 + e2 + e3 + e4 + e5 AS l1, greatest(e1, e2, e3, e4, e5) AS worst FROM n)""")
     return f"WITH {COUNTED_SQL} " + " UNION ALL ".join(parts)
@@ -205,7 +207,7 @@ SELECT e1 + e2 + e3 + e4 + e5 AS l1, greatest(e1, e2, e3, e4, e5) AS worst FROM
 
 @query(_votes_sql())
 def ablation_votes(spark, sf_dir):
-    """Exponents and temperatures of the vector vote, on the objects as clusters."""
+    """Exponents and temperatures of the vector vote, and the best crop alone, on the objects as clusters."""
     kept = filters.registered(filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS), registrations(spark, sf_dir)).drop("h")
     return experiments.run_votes(vectors(kept), counted(spark, sf_dir), ["video_id", "obj_id"])
 
@@ -218,3 +220,85 @@ def tile_boxes(spark, sf_dir):
     tile = lambda sx, sy, more: det.select("video_id", "frame_id", (F.col("ord") + more).alias("ord"), F.col("quantity").alias("score"), F.lit(sx).alias("sx"), F.lit(sy).alias("sy"), *((F.col(c) - (sx if c[0] == "x" else sy)).alias(c) for c in ("x1", "y1", "x2", "y2")))
     merged = models.merge_tiles(tile(0.0, 0.0, 0).unionByName(tile(512.0, 256.0, 100000)), 0.99)
     return merged.select("video_id", "frame_id", "ord", "score", "x1", "y1")
+
+
+FEATURES, STRATEGIES, ANCHORS, RATIOS, MATCHES = ["orb", "sift"], ["first", "middle"], [4, 6], [0.25, 0.45], [6, 15]
+DISTANCES, LEASTS = [6.0, 40.0], [3, 4]
+
+
+def feature_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Transforms between all frames of a video by feature type, and the features of each frame; the second type's shifts are off by up to four pixels."""
+    reg = registrations(spark, sf_dir).select("video_id", "frame_id", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(k).alias("t")) for k, n in enumerate(FEATURES)))).alias("s"))
+    v, f, a, t = F.col("video_id"), F.col("frame_id"), F.col("anchor_id"), F.col("t")
+    reg = reg.select("video_id", "frame_id", "s.feature", "s.t")
+    frames = reg.select("feature", "video_id", "frame_id", ((3 * v + 7 * f + 5 * t) % 40).alias("features"))
+    pairs = reg.withColumn("anchor_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
+    shift = _shift(8 * (f - a) + t * 4 * (f * a % 3 - 1))
+    return pairs.select("feature", "video_id", "frame_id", "anchor_id", shift.alias("h"), (0.2 + (f + 2 * a + t) % 7 * 0.1).alias("inlier_ratio"), ((5 * f + 3 * a + v + 11 * t) % 40).alias("matches")), frames
+
+
+_FINE = "((5 * {f} + 3 * {a} + {r}.video_id + 11 * {r}.t) % 40 >= {r}.matches AND 0.2 + ({f} + 2 * {a} + {r}.t) % 7 * 0.1 >= {r}.ratio)"
+_STEP = "(8 * ({f} - {a}) + {r}.t * 4 * (({f} * {a}) % 3 - 1))::DOUBLE"
+_SETTING = "t, strategy, anchors, ratio, matches, video_id"
+
+
+def _on(a: str, b: str, names: str) -> str:
+    return " AND ".join(f"{a}.{n} = {b}.{n}" for n in names.split(", "))
+
+
+SEQUENCES_SQL = f"""vid AS (SELECT DISTINCT l_suppkey AS video_id FROM lineitem), fr AS (SELECT unnest(range(30)) AS f),
+pl AS (SELECT *, CASE WHEN strategy = 'middle' THEN 15 ELSE 0 END AS preferred, list_distinct(list_transform(range(anchors), lambda i: CASE WHEN i = anchors - 1 THEN 29 ELSE floor(i * (29.0::DOUBLE / (anchors - 1)))::BIGINT END)) AS even
+  FROM (VALUES ('first'), ('middle')) a(strategy), (VALUES (4), (6)) b(anchors)),
+ev AS (SELECT strategy, anchors, preferred, unnest(even) AS p FROM pl),
+ne AS (SELECT strategy, anchors, preferred, arg_min(p, (abs(p - preferred), p)) AS nearest, bool_or(p = preferred) AS has FROM ev GROUP BY ALL),
+an AS (SELECT ev.strategy, ev.anchors, ev.preferred, CASE WHEN NOT has AND p = nearest THEN ev.preferred ELSE p END AS a FROM ev JOIN ne USING (strategy, anchors)),
+rt AS (SELECT t, strategy, anchors, video_id, coalesce(arg_min(a, (abs(a - preferred), a)) FILTER (WHERE (3 * video_id + 7 * a + 5 * t) % 40 >= 15), min(preferred)) AS root
+  FROM an, vid, (VALUES (0), (1)) x(t) GROUP BY t, strategy, anchors, video_id),
+sg AS MATERIALIZED (SELECT rt.*, ratio, matches FROM rt, (VALUES (0.25), (0.45)) r(ratio), (VALUES (6), (15)) m(matches)),
+oa AS MATERIALIZED (SELECT rt.*, a, row_number() OVER (PARTITION BY t, rt.strategy, rt.anchors, video_id ORDER BY abs(a - root), a) AS k FROM rt JOIN an ON {_on('rt', 'an', 'strategy, anchors')} WHERE a <> root),
+tr AS (SELECT {_SETTING}, root, 0::BIGINT AS k, [[root::DOUBLE, 0.0::DOUBLE]] AS done FROM sg
+  UNION ALL SELECT {_SETTING}, root, k, CASE WHEN len(near) = 0 THEN done ELSE list_append(done, [a::DOUBLE, {_STEP.format(f='a', a='near[1][3]::BIGINT', r='z')} + near[1][4]]) END FROM (
+    SELECT tr.* EXCLUDE (k), oa.k, oa.a, list_sort(list_transform(list_filter(tr.done, lambda x: {_FINE.format(f='oa.a', a='x[1]::BIGINT', r='tr')}), lambda x: [abs(x[1] - oa.a), abs(x[1] - tr.root), x[1], x[2]])) AS near
+    FROM tr JOIN oa ON {_on('tr', 'oa', 't, strategy, anchors, video_id')} AND oa.k = tr.k + 1) z),
+dn AS MATERIALIZED (SELECT {_SETTING}, root, x[1]::BIGINT AS a, x[2] AS s FROM (SELECT *, unnest(done) AS x FROM tr WHERE k = anchors - 1)),
+ca AS (SELECT dn.*, fr.f, CASE WHEN a = fr.f THEN s ELSE {_STEP.format(f='fr.f', a='a', r='dn')} + s END AS shift FROM dn, fr WHERE a = fr.f OR {_FINE.format(f='fr.f', a='a', r='dn')}),
+regs AS MATERIALIZED (SELECT {_SETTING}, f, arg_min(a, (abs(f - a), abs(a - root), a)) AS anchor_id, arg_min(shift, (abs(f - a), abs(a - root), a)) AS shift FROM ca GROUP BY {_SETTING}, f)"""
+
+
+@query(f"""WITH RECURSIVE {SEQUENCES_SQL} SELECT CASE WHEN t = 0 THEN 'orb' ELSE 'sift' END AS feature, strategy, anchors, ratio::DOUBLE AS ratio, matches, sg.video_id, fr.f AS frame_id, shift, shift IS NOT NULL AS valid
+FROM sg CROSS JOIN fr LEFT JOIN regs USING (t, strategy, anchors, ratio, matches, video_id, f)""")
+def register_settings(spark, sf_dir):
+    """Registration under every setting, roots that lack features replaced by another anchor of the video."""
+    found = search.sequences(*feature_pairs(spark, sf_dir), STRATEGIES, ANCHORS, RATIOS, MATCHES)
+    return found.select("feature", "strategy", "anchors", "ratio", "matches", "video_id", "frame_id", F.col("h")[2].alias("shift"), "valid")
+
+
+_KEY = "t, strategy, anchors, ratio, matches, distance, video_id"
+_LEVEL = "t, strategy, anchors, ratio, matches, distance, least, video_id"
+_MATCHES = " + ".join(f"abs(type{k} - coalesce(p{k}, 0))" for k in range(1, 6))
+
+
+@query(f"""WITH RECURSIVE {COUNTED_SQL}, {SEQUENCES_SQL},
+q AS MATERIALIZED (SELECT {_KEY}, obj_id, ord, class_name, quantity * quantity AS w, rx - 8 * frame_id + shift AS x, ry AS y FROM regs JOIN kept_all USING (video_id, f), (VALUES (6.0), (40.0)) d(distance)),
+e AS MATERIALIZED (SELECT {', '.join('a.' + k for k in _KEY.split(', '))}, a.ord AS a, b.ord AS b FROM q a JOIN q b ON {_on('a', 'b', _KEY)} AND a.obj_id = b.obj_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= a.distance * a.distance),
+core AS MATERIALIZED (SELECT {_LEVEL}, a FROM (SELECT {_KEY}, a, count(*) AS n FROM e GROUP BY ALL), (VALUES (3), (4)) l(least) WHERE n >= least),
+ce AS MATERIALIZED (SELECT c.least, e.* FROM e JOIN core c ON {_on('c', 'e', _KEY)} AND c.a = e.a JOIN core o ON o.least = c.least AND {_on('o', 'e', _KEY)} AND o.a = e.b),
+reach AS (SELECT {_LEVEL}, a, b FROM ce UNION SELECT {', '.join('r.' + k for k in _LEVEL.split(', '))}, r.a, ce.b FROM reach r JOIN ce ON {_on('r', 'ce', _LEVEL)} AND ce.a = r.b),
+comp AS MATERIALIZED (SELECT {_LEVEL}, a, min(b) AS c FROM reach GROUP BY ALL),
+density AS (SELECT * FROM comp UNION ALL SELECT {', '.join('comp.' + k for k in _LEVEL.split(', '))}, e.b, min(c) FROM e JOIN comp ON {_on('comp', 'e', _KEY)} AND comp.a = e.a
+  WHERE NOT EXISTS (SELECT 1 FROM core WHERE core.least = comp.least AND {_on('core', 'e', _KEY)} AND core.a = e.b) GROUP BY {', '.join('comp.' + k for k in _LEVEL.split(', '))}, e.b),
+{_running_sql('q', _KEY, 'distance')},
+m AS (SELECT 'density' AS method, {_LEVEL}, a AS ord, c FROM density UNION ALL SELECT 'incremental', {_LEVEL}, ord, own FROM found, (VALUES (3), (4)) l(least) WHERE n >= least),
+w AS (SELECT method, {', '.join('m.' + k for k in _LEVEL.split(', '))}, c, class_name, sum(w) AS w FROM m JOIN q ON {_on('m', 'q', _KEY)} AND m.ord = q.ord GROUP BY ALL),
+vo AS (SELECT method, {_LEVEL}, c, arg_max(class_name, (w, 10 - right(class_name, 1)::INT)) AS class_name FROM w GROUP BY ALL),
+ct AS (SELECT method, {_LEVEL}, {', '.join(f"count(*) FILTER (WHERE class_name = 'type{k}') AS p{k}" for k in range(1, 6))} FROM vo GROUP BY ALL),
+al AS (SELECT DISTINCT t, strategy, anchors, ratio, matches, distance, least, method FROM sg, (VALUES (6.0), (40.0)) d(distance), (VALUES (3), (4)) l(least), (VALUES ('density'), ('incremental')) x(method)),
+er AS (SELECT al.*, {_MATCHES} AS l1, greatest({', '.join(f"abs(type{k} - coalesce(p{k}, 0))" for k in range(1, 6))}) AS worst FROM al CROSS JOIN counted LEFT JOIN ct ON {_on('ct', 'al', 'method, t, strategy, anchors, ratio, matches, distance, least')} AND ct.video_id = counted.video_id)
+SELECT CASE WHEN t = 0 THEN 'orb' ELSE 'sift' END AS feature, strategy, anchors, ratio::DOUBLE AS ratio, matches, method, distance::DOUBLE AS distance, least, sum(l1)::BIGINT AS l1, max(worst) AS worst, count(*) FILTER (WHERE l1 = 0) AS exact
+FROM er GROUP BY ALL""".replace("kept_all USING (video_id, f)", "(SELECT *, frame_id AS f FROM det JOIN thr USING (class_name) WHERE confidence >= least) kept_all USING (video_id, f)"))
+def param_grid_all_lists(spark, sf_dir):
+    """All eight lists of the search vary: 256 settings, each registered, clustered, voted and scored."""
+    det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
+    reg = search.sequences(*feature_pairs(spark, sf_dir), STRATEGIES, ANCHORS, RATIOS, MATCHES)
+    found = search.grid(det, reg, counted(spark, sf_dir), ["feature", "strategy", "anchors", "ratio", "matches"], ["skip"], ["density", "incremental"], DISTANCES, LEASTS)
+    return found.drop("policy")

@@ -95,33 +95,47 @@ def test_coordinate_descent_against_a_plain_one(spark):
     assert found == now
 
 
-def test_grid_over_all_lists(spark, sf_dir):
-    """Registered sequences, methods and distances: each row is what the operators say one by one."""
+def test_grid_is_what_the_operators_say_one_by_one(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from tallyframe.operators import clustering, filters, scoring, search, voting
-    from tallyframe.plans.fixtures import detections, registrations
+    from tallyframe.plans.fixtures import detections
     from tallyframe.plans.observation_queries import counted
-    from tallyframe.plans.registration_queries import anchor_pairs
+    from tallyframe.plans.registration_queries import feature_pairs
 
     det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
-    shift = F.array(*(F.lit(v) for v in (1.0, 0.0)), (8.0 * (F.col("frame_id") - F.col("anchor_id"))), *(F.lit(v) for v in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("anchor_id")
-    pairs = registrations(spark, sf_dir).select("video_id", "frame_id", every).withColumn("h", shift).withColumn("valid", (F.col("frame_id") + F.col("anchor_id")) % 7 != 0)
-    pairs = pairs.withColumn("inlier_ratio", F.lit(0.5)).withColumn("feature", F.lit("orb"))
-    totals = registrations(spark, sf_dir).groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
-    reg = search.sequences(pairs, totals, ["orb"], [False, True], [3]).withColumn("matches", F.lit(20))
-    names = sorted(r.sequence for r in reg.select("sequence").distinct().collect())
-    assert names == ["orb-first-3", "orb-middle-3"]
+    side = ["feature", "strategy", "anchors", "ratio", "matches"]
+    reg = search.sequences(*feature_pairs(spark, sf_dir), ["middle"], [4], [0.25], [6, 15]).where("feature = 'sift'")
     truth = counted(spark, sf_dir)
-    found = search.grid(det, reg, truth, names, [0.25], [15], ["skip"], ["density", "incremental"], [40.0], [4]).collect()
-    assert len(found) == 4
-    for r in found:
-        one = reg.where((F.col("sequence") == r.sequence) & (F.col("inlier_ratio") >= 0.25))
-        x = (F.col("x1") + F.col("x2")) / 2 + F.col("h")[2]
-        points = det.join(one.select("video_id", "frame_id", "h"), ["video_id", "frame_id"]).select("video_id", "ord", "class_name", "w", x.alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    found = search.grid(det, reg, truth, side, ["skip", "identity"], ["density", "incremental"], [6.0], [3]).collect()
+    assert len(found) == 8
+    for r in [found[0], found[3], found[5]]:
+        one = reg.where(F.col("matches") == r.matches)
+        if r.policy == "skip":
+            one = one.where("valid")
+        x = (F.col("x1") + F.col("x2")) / 2 + F.when(F.col("valid"), F.col("h")[2]).otherwise(0.0)
+        points = det.join(one.select("video_id", "frame_id", "h", "valid"), ["video_id", "frame_id"]).select("video_id", "ord", "class_name", "w", x.alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
         make = clustering.density_clusters if r.method == "density" else clustering.incremental_clusters
-        voted = voting.detector_vote(points.join(make(points.select("video_id", "ord", "x", "y"), "video_id", 40.0, 4), ["video_id", "ord"]), ["video_id", "cluster_id"], "w")
+        voted = voting.detector_vote(points.join(make(points.select("video_id", "ord", "x", "y"), "video_id", 6.0, 3), ["video_id", "ord"]), ["video_id", "cluster_id"], "w")
         want = scoring.distances(truth, voting.dense_counts(voted, truth)).agg(F.sum("l1_types"), F.max("max_error"), F.count_if("exact")).first()
         assert (r.l1, r.worst, r.exact) == tuple(want)
-    assert anchor_pairs(spark, sf_dir).count() == totals.count() * 300
+
+
+def test_settings_add_no_jobs(spark, sf_dir):
+    """Twenty-four settings take as many jobs as two."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import search
+    from tallyframe.plans.fixtures import detections, registrations
+    from tallyframe.plans.observation_queries import counted
+
+    det = detections(spark, sf_dir).where("video_id < 4").withColumn("w", F.lit(1))
+    reg = registrations(spark, sf_dir).where("video_id < 4").withColumn("ratio", F.lit(0.25))
+    truth = counted(spark, sf_dir).where("video_id < 4")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for group, (distances, leasts) in {"few": ([40.0], [4]), "many": ([5.0, 10.0, 40.0], [2, 3, 4, 8])}.items():
+        spark.sparkContext.setJobGroup(group, group)
+        assert search.grid(det, reg, truth, ["ratio"], ["skip", "identity"], ["density"], distances, leasts).count() == 2 * len(distances) * len(leasts)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs[1] <= jobs[0] * 1.5 + 10

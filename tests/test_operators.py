@@ -216,7 +216,101 @@ def test_neighbours_in_several_blocks(spark, monkeypatch):
 
 
 def test_votes_by_vectors(spark):
-    rows = [(1, 0, 0.5, [0.1, 0.6, 0.1, 0.1, 0.1]), (1, 1, 1.0, [0.6, 0.1, 0.1, 0.1, 0.1]), (2, 0, 0.9, None)]
-    found = {r.c: r for r in voting.vector_vote(spark.createDataFrame(rows, "c int, ord int, confidence double, probs array<double>"), ["c"], "probs", "confidence", ["ord"]).collect()}
-    assert found[1].pred_class == 0 and np.isclose(found[1].class_probs[0], (0.6 * 3 + 0.1 * 0.25) / 3.25)
+    columns = "c int, ord int, confidence double, probs array<double>, sharpness double"
+    one, two, three = [0.1, 0.6, 0.1, 0.1, 0.1], [0.6, 0.1, 0.1, 0.1, 0.1], [0.0, 0.0, 1.0, 0.0, 0.0]
+    rows = [(1, 0, 0.5, one, 9.0), (1, 1, 1.0, two, 1.0), (2, 0, 0.9, None, 5.0), (3, 0, 1.0, None, None), (3, 1, 0.5, one, 2.0), (3, 2, 0.4, two, 2.0)]
+    rows += [(4, 0, 0.1, three, 3.0)] + [(4, 1 + k, 1.0, one, 1.0) for k in range(12)]
+    frame = spark.createDataFrame(rows, columns)
+    found = {r.c: r for r in voting.vector_vote(frame, ["c"], "probs", "confidence", "ord").collect()}
+    # the sharpest is not the surest, and its bonus goes by the surest one's confidence
+    assert np.allclose(found[1].class_probs, (np.array(one) * (0.25 + 2) + np.array(two)) / 3.25) and found[1].pred_class == 1
     assert found[2].pred_class == 0 and found[2].class_probs == [0.2] * 5
+    # the surest has no crop, two are equally sharp
+    assert np.allclose(found[3].class_probs, (np.array(one) * (0.25 + 2) + np.array(two) * 0.16) / 2.41)
+    # the sharpest is not among the ten surest
+    assert np.allclose(found[4].class_probs, (np.array(one) * 10 + np.array(three) * 2) / 12)
+    alone = {r.c: r for r in voting.vector_vote(frame, ["c"], "probs", "confidence", "ord", best_alone=True).collect()}
+    assert np.allclose(alone[1].class_probs, one) and np.allclose(alone[4].class_probs, three) and alone[2].class_probs == [0.2] * 5
+
+
+def test_votes_by_names_give_the_sharpest_its_bonus(spark):
+    rows = [(1, 0, "a", 1.0, 1.0), (1, 1, "b", 0.5, 7.0), (2, 0, "a", 1.0, None), (3, 0, "z", 0.1, 9.0)] + [(3, 1 + k, "a", 1.0, 1.0) for k in range(11)]
+    frame = spark.createDataFrame(rows, "c int, ord int, name string, confidence double, sharpness double")
+    found = {(r.c, r["class"]): r.probability for r in voting.weighted_probabilities(frame, ["c"], "name", "confidence", ["ord"]).collect()}
+    want = {(1, "a"): 1 / 3.25, (1, "b"): 2.25 / 3.25, (2, "a"): 1.0, (3, "a"): 10 / 12, (3, "z"): 2 / 12}
+    assert found.keys() == want.keys() and all(np.isclose(found[k], want[k]) for k in want)
+
+
+def test_levels_share_counts_and_links(spark):
+    """Several distances and least numbers at once, crowded and sparse cells beside one another."""
+    rng = np.random.default_rng(11)
+    spots = [(float(x), float(y)) for x, y in rng.integers(-10, 10, (70, 2)) / 2] + [(1.0, 1.0)] * 9 + [(2.25, 1.0)] * 7 + [(2.25 + k / 8, 2.5) for k in range(12)]
+    points = [(v, k, x + v / 3, y) for v in (1, 2) for k, (x, y) in enumerate(spots)]
+    found = clustering.density_levels(spark.createDataFrame(points, "video_id long, ord long, x double, y double"), "video_id", [0.5, 1.25, 2.0], [1, 3, 5, 9]).collect()
+    assert len({(r.video_id, r.distance, r.least, r.ord) for r in found}) == len(found)
+    for v in (1, 2):
+        mine = [p[1:] for p in points if p[0] == v]
+        for distance in (0.5, 1.25, 2.0):
+            for least in (1, 3, 5, 9):
+                got = {r.ord: r.component for r in found if (r.video_id, r.distance, r.least) == (v, distance, least)}
+                want = dbscan(mine, distance, least)
+                assert got.keys() == want.keys()
+                names = {}
+                for k in got:
+                    assert names.setdefault(want[k], got[k]) == got[k]
+                assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("gap,together", [(9.0, True), (10.0, True), (10.001, False)])
+def test_two_crowded_cells_make_no_pair_table(spark, gap, together):
+    """Crowds of 3,000 in neighbouring cells that just meet, or just do not: nine million pairs if they were compared."""
+    rng = np.random.default_rng(3)
+    inner = rng.random((3000, 2)) * 3
+    points = [(1, k, float(x), float(y)) for k, (x, y) in enumerate([(-u, 1 + v / 9) for u, v in inner])] + [(1, 3000 + k, float(gap + u), float(1 + v / 9)) for k, (u, v) in enumerate(inner)]
+    points += [(1, 6000, 0.0, 1.1), (1, 6001, gap, 1.1)]
+    frame = spark.createDataFrame(points, "video_id long, ord long, x double, y double").repartition(4)
+    found = clustering.density_clusters(frame, "video_id", 10.0, 4)
+    assert found.select("cluster_id").distinct().count() == (1 if together else 2)
+    assert found.count() == len(points)
+
+
+def test_running_means_by_brute_force():
+    """Clusters drift, so which mean is nearest changes with the order; the cells must follow."""
+    rng = np.random.default_rng(9)
+    for distance in (0.7, 2.0, 5.0):
+        x, y = np.cumsum(rng.normal(size=(2, 400)) * 0.4, axis=1) + rng.integers(0, 3, (2, 400)) * 3.0
+        for order in (np.arange(400), rng.permutation(400)):
+            u, v, members, want = x[order], y[order], [], []
+            for a, b in zip(u, v):
+                away = [np.sqrt((a - sum(p) / len(p)) ** 2 + (b - sum(q) / len(q)) ** 2) for p, q in members]
+                best = int(np.argmin(away)) if members and min(away) <= distance else len(members)
+                if best == len(members):
+                    members.append(([], []))
+                members[best][0].append(a)
+                members[best][1].append(b)
+                want.append(best)
+            assert clustering.running_means(u, v, distance).tolist() == want
+    assert clustering.running_means(np.array([0.0, 4.0, 2.0]), np.zeros(3), 2.0).tolist() == [0, 1, 0]
+
+
+def test_incremental_levels_are_the_clusters_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    points = [(v, k, float(a), float(b)) for v in (1, 2) for k, (a, b) in enumerate(rng.random((60, 2)) * 20)]
+    frame = spark.createDataFrame(points, "video_id long, ord long, x double, y double")
+    found = clustering.incremental_levels(frame, "video_id", [2.0, 4.0]).collect()
+    for distance in (2.0, 4.0):
+        one = {(r.video_id, r.ord): r.cluster_id for r in clustering.incremental_clusters(frame, "video_id", distance, 3).collect()}
+        assert one == {(r.video_id, r.ord): r.cluster_id for r in found if r.distance == distance and r["size"] >= 3}
+
+
+def test_roots_fall_back_by_video(spark):
+    from tallyframe.operators import registration
+
+    rows = [(1, 0, 40), (1, 5, 40), (1, 9, 40), (2, 0, 40), (2, 5, 3), (2, 9, 40), (3, 1, 40), (3, 5, None), (3, 9, 40), (4, 0, 2), (4, 5, 2), (4, 9, 14)]
+    frame = spark.createDataFrame([(*r, 5) for r in rows], "video_id long, anchor_id long, features int, preferred long")
+    assert {r.video_id: r.root for r in registration.roots(frame, ["video_id"]).collect()} == {1: 5, 2: 9, 3: 1, 4: 5}
+    # a chain of shifts, its root another one in each video
+    pairs = [(v, f, a, [1.0, 0.0, 8.0 * (f - a), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], abs(f - a) < 6, 0.5, {1: 5, 2: 9}[v]) for v in (1, 2) for f in range(10) for a in (0, 5, 9)]
+    frame = spark.createDataFrame(pairs, "video_id long, frame_id long, anchor_id long, h array<double>, valid boolean, inlier_ratio double, root long")
+    found = {(r.video_id, r.frame_id): (r.valid, r.h[2] if r.h else None) for r in registration.multi_anchor(frame, "video_id", "root").collect()}
+    assert found == {(v, f): (True, 8.0 * (f - {1: 5, 2: 9}[v])) for v in (1, 2) for f in range(10)}
