@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
+
 
 def nearest_anchor(frames: DataFrame, anchors: DataFrame, key: str, root: int) -> DataFrame:
     """(key, frame_id, anchor_id): the valid anchor nearest by frame, then nearest to the root, then first.
@@ -89,10 +93,64 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, id_col: str = "vec_i
     return local.withColumn("place", place).where(F.col("place") <= k).select("q", "b", "squared", "place")
 
 
-def ratio_test(found: DataFrame, ratio: float = 0.75) -> DataFrame:
-    """Queries whose nearest neighbour is clearly nearer than the second: d1 < ratio * d2."""
-    both = found.where("place <= 2").groupBy("q").agg(F.min_by("b", "place").alias("b"), F.min("squared").alias("d1"), F.max("squared").alias("d2"), F.count(F.lit(1)).alias("n"))
-    return both.where((F.col("n") == 2) & (F.sqrt("d1") < ratio * F.sqrt("d2"))).select("q", "b")
+#: Bits of a substring of a binary code.
+SUBSTRING = 8
+
+
+def sign_code(vector: Column, length: int) -> Column:
+    """The signs of a vector's first ``length`` components as a binary code, an array of longs; whatever is not above 0 is a 0."""
+    bits = lambda at: [F.when(F.get(vector, at + k) > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for k in range(min(64, length - at))]
+    return F.array(*(functools.reduce(lambda x, y: x.bitwiseOR(y), bits(at)) for at in range(0, length, 64)))
+
+
+def hamming_neighbours(queries: DataFrame, base: DataFrame, k: int, words: int, id_col: str = "vec_id", code: str = "code") -> DataFrame:
+    """(q, b, distance, place): the ``k`` nearest binary codes of each query by Hamming distance, others than itself; ties go to the smaller id.
+
+    Codes are arrays of ``words`` longs. Multi-index hashing: a code is cut into ``m``
+    substrings of 8 bits, and codes at most ``m * (s + 1) - 1`` apart have a substring
+    at most ``s`` apart. Round ``s`` joins queries and base on every substring, the
+    query's with ``s`` of its bits turned, and takes the pairs whose nearest substrings
+    are just that far apart, each once. A query whose k-th distance is below
+    ``m * (s + 1)`` is done, as all it has not met are farther; the others widen their
+    search, in the end to every substring, so nothing is missed.
+
+    Equal codes are one entry with their first ``k + 1`` ids, so a code that many rows
+    share is met once. Rows without id or code take no part.
+    """
+    parts = words * 64 // SUBSTRING
+    sound = lambda df: df.where(F.col(code).isNotNull() & (F.size(code) == words) & ~F.exists(code, lambda w: w.isNull())).select(F.col(id_col).cast("long").alias("id"), F.col(code).alias("code")).where("id is not null")
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    firsts = sound(base).distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    piece = lambda c, p: F.shiftrightunsigned(F.col(c)[p * SUBSTRING // 64], p * SUBSTRING % 64).bitwiseAND(2**SUBSTRING - 1).cast("int")
+    pieces = lambda c: F.array(*(piece(c, p) for p in range(parts)))
+    table = cut(firsts.select("code", "ids", F.posexplode(pieces("code")).alias("part", "value")))
+    asked = cut(sound(queries).distinct().select(F.col("id").alias("q"), F.col("code").alias("own"), pieces("code").alias("values")))
+    found = asked.sparkSession.createDataFrame([], "q long, b long, distance int")
+    active = asked
+    for s in range(SUBSTRING + 1):
+        turned = F.explode(F.array(*(F.lit(x) for x in range(2**SUBSTRING) if x.bit_count() == s)))
+        probes = active.select("q", "own", "values", F.posexplode("values").alias("part", "value")).withColumn("turn", turned)
+        probes = probes.select("q", "own", "part", F.col("value").bitwiseXOR(F.col("turn")).alias("value"))
+        apart = [F.bit_count(piece("own", p).bitwiseXOR(piece("code", p))) for p in range(parts)]
+        nearest = F.least(*apart) if parts > 1 else apart[0]
+        first = F.array_position(F.array(*apart), nearest) - 1
+        distance = sum((F.bit_count(F.col("own")[w].bitwiseXOR(F.col("code")[w])) for w in range(words)), F.lit(0))
+        met = probes.join(table, ["part", "value"]).where((nearest == s) & (first == F.col("part")))
+        met = met.select("q", F.explode("ids").alias("b"), distance.cast("int").alias("distance")).where("q <> b")
+        place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "b"))
+        found = cut(found.unionByName(met).withColumn("place", place).where(F.col("place") <= k).drop("place"))
+        done = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).where((F.col("n") == k) & (F.col("kth") < parts * (s + 1)))
+        active = active.join(done.select("q"), "q", "left_anti")
+        if s == SUBSTRING or active.isEmpty():
+            break
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "b")))
+
+
+def ratio_test(found: DataFrame, ratio: float = 0.75, distance: Column | None = None) -> DataFrame:
+    """Queries whose nearest neighbour is clearly nearer than the second: d1 < ratio * d2. The distance is the root of ``squared`` unless another is given."""
+    away = F.sqrt("squared") if distance is None else distance
+    both = found.where("place <= 2").groupBy("q").agg(F.min_by("b", "place").alias("b"), F.min(away).alias("d1"), F.max(away).alias("d2"), F.count(F.lit(1)).alias("n"))
+    return both.where((F.col("n") == 2) & (F.col("d1") < ratio * F.col("d2"))).select("q", "b")
 
 
 def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:

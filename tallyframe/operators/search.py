@@ -135,8 +135,8 @@ def _counts(kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray,
     return np.bincount(votes.argmax(axis=1)[votes.sum(axis=1) > 0], minlength=CLASSES)
 
 
-def threshold_errors(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> dict[float, tuple[int, int]]:
-    """For each candidate threshold of one class: the sums of count errors over videos, of all classes and of this one.
+def threshold_sweep(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> DataFrame:
+    """(candidate, every, own): for each candidate threshold of one class the sums of count errors over videos, of all classes and of this one.
 
     The detections (video_id, ord, class_name, confidence, and rx, ry in reference
     coordinates) that reach their class's threshold are clustered by density and
@@ -168,9 +168,14 @@ def threshold_errors(det: DataFrame, truth: DataFrame, kind: int, candidates: li
     places = det.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("at"))
     both = truth.crossJoin(F.broadcast(places)).join(found, ["video_id", "at"], "left")
     error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
-    sums = both.groupBy("at").agg(F.sum(sum(error[1:], error[0])).alias("every"), F.sum(error[kind - 1]).alias("own")).collect()
-    by_place = {r["at"]: (r["every"], r["own"]) for r in sums}
-    return {c: by_place.get(at, (0, 0)) for at, c in enumerate(candidates)}
+    named = F.element_at(F.array(*(F.lit(float(c)) for c in candidates)), F.col("at") + 1)
+    return both.groupBy("at").agg(F.sum(sum(error[1:], error[0])).alias("every"), F.sum(error[kind - 1]).alias("own")).select(named.alias("candidate"), "every", "own")
+
+
+def threshold_errors(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> dict[float, tuple[int, int]]:
+    """``threshold_sweep`` as a dictionary, for a search that goes on with it; candidates without any video have no error."""
+    found = {r["candidate"]: (r["every"], r["own"]) for r in threshold_sweep(det, truth, kind, candidates, thresholds, least, distance).collect()}  # a row a candidate
+    return {c: found.get(float(c), (0, 0)) for c in candidates}
 
 
 def errors_by_threshold(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], least: int = 4, distance: float = 40.0) -> dict[float, int]:

@@ -316,6 +316,32 @@ def param_grid_topk(spark, sf_dir):
     return found.orderBy("l1", "worst", F.desc("exact"), "ratio", "policy", "least").limit(10).select("ratio", "policy", "least", "l1", "worst", "exact")
 
 
+_SWEEP = [round(0.1 * k, 1) for k in range(1, 10)]
+
+
+@query(f"""WITH RECURSIVE {COUNTED_SQL}, cand AS (SELECT unnest({_SWEEP}::DOUBLE[]) AS candidate),
+q AS MATERIALIZED (SELECT candidate, video_id, ord, class_name, round(confidence * confidence, 9) AS w, rx AS x, ry AS y FROM det JOIN thr USING (class_name), cand
+  WHERE frame_id NOT IN (7, 19) AND confidence >= CASE WHEN class_name = 'type3' THEN candidate ELSE least END),
+p AS MATERIALIZED (SELECT a.candidate, a.video_id, a.ord AS a, b.ord AS b FROM q a JOIN q b ON a.candidate = b.candidate AND a.video_id = b.video_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36),
+core AS MATERIALIZED (SELECT candidate, video_id, a FROM p GROUP BY ALL HAVING count(*) >= 3),
+e AS MATERIALIZED (SELECT p.* FROM p JOIN core USING (candidate, video_id, a) JOIN core c ON c.candidate = p.candidate AND c.video_id = p.video_id AND c.a = p.b),
+reach AS (SELECT candidate, video_id, a, b FROM e UNION SELECT r.candidate, r.video_id, r.a, e.b FROM reach r JOIN e ON e.candidate = r.candidate AND e.video_id = r.video_id AND e.a = r.b),
+comp AS MATERIALIZED (SELECT candidate, video_id, a, min(b) AS c FROM reach GROUP BY ALL),
+m AS (SELECT * FROM comp UNION ALL SELECT p.candidate, p.video_id, p.b, min(c) FROM p JOIN comp USING (candidate, video_id, a)
+  WHERE NOT EXISTS (SELECT 1 FROM core WHERE core.candidate = p.candidate AND core.video_id = p.video_id AND core.a = p.b) GROUP BY p.candidate, p.video_id, p.b),
+w AS (SELECT m.candidate, m.video_id, c, class_name, sum(w) AS w FROM m JOIN q ON q.candidate = m.candidate AND q.video_id = m.video_id AND q.ord = m.a GROUP BY ALL),
+v AS (SELECT candidate, video_id, c, arg_max(class_name, (round(w, 9), 10 - right(class_name, 1)::INT)) AS class_name FROM w GROUP BY ALL),
+f AS (SELECT candidate, video_id, {', '.join(f"count(*) FILTER (WHERE class_name = 'type{k}') AS p{k}" for k in range(1, 6))} FROM v GROUP BY ALL)
+SELECT cand.candidate, sum({' + '.join(f"abs(type{k} - coalesce(p{k}, 0))" for k in range(1, 6))})::BIGINT AS every, sum(abs(type3 - coalesce(p3, 0)))::BIGINT AS own
+FROM cand CROSS JOIN counted LEFT JOIN f ON f.candidate = cand.candidate AND f.video_id = counted.video_id GROUP BY ALL""")
+def threshold_sweep(spark, sf_dir):
+    """Errors under every candidate threshold of one class, the others at theirs: one step of the coordinate search."""
+    both = filters.registered(detections(spark, sf_dir), registrations(spark, sf_dir))
+    x, y = g.project(_h(), *g.center(*_box()))
+    points = both.select("video_id", "ord", "class_name", "confidence", x.alias("rx"), y.alias("ry"))
+    return search.threshold_sweep(points, counted(spark, sf_dir), 3, _SWEEP, filters.DENSITY_THRESHOLDS, least=3, distance=6.0)
+
+
 @query()
 def coordinate_descent(spark, sf_dir):
     both = filters.registered(detections(spark, sf_dir), registrations(spark, sf_dir))

@@ -122,6 +122,27 @@ def knn_ratio_test(spark, sf_dir):
     return matching.ratio_test(_knn(spark, sf_dir, 2), 0.95)
 
 
+_HAMMING = """WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+d AS (SELECT q.vec_id AS q, b.vec_id AS b, len(list_filter(list_zip(q.bits, b.bits), lambda z: z[1] <> z[2])) AS distance FROM c q JOIN c b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, b) AS place FROM d QUALIFY place <= 2)"""
+
+
+def _hamming(spark, sf_dir):
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", matching.sign_code(F.col("embedding"), 64).alias("code"))
+    return matching.hamming_neighbours(codes.where("vec_id % 50 = 0"), codes, 2, words=1)
+
+
+@query(f"{_HAMMING} SELECT q, b, distance::INT AS distance, place FROM n")
+def hamming_knn(spark, sf_dir):
+    """The two nearest binary codes, the signs of the vectors, of a query set against all rows."""
+    return _hamming(spark, sf_dir)
+
+
+@query(f"{_HAMMING} SELECT q, arg_min(b, place) AS b FROM n GROUP BY q HAVING count(*) = 2 AND min(distance) < 0.9 * max(distance)")
+def hamming_ratio_test(spark, sf_dir):
+    return matching.ratio_test(_hamming(spark, sf_dir), 0.9, F.col("distance").cast("double"))
+
+
 @query(f"""WITH f AS (SELECT q, arg_min(b, (d, b)) AS b FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 <> 0 WHERE q.{QUERY_ROWS}) GROUP BY q),
 r AS (SELECT b, arg_min(q, (d, q)) AS q FROM (SELECT q.vec_id AS q, b.vec_id AS b, {DIST} AS d FROM embeddings q JOIN embeddings b ON b.vec_id % 50 <> 0 WHERE q.{QUERY_ROWS}) GROUP BY b)
 SELECT f.q, f.b FROM f JOIN r ON r.q = f.q AND r.b = f.b""")

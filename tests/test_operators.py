@@ -314,3 +314,32 @@ def test_roots_fall_back_by_video(spark):
     frame = spark.createDataFrame(pairs, "video_id long, frame_id long, anchor_id long, h array<double>, valid boolean, inlier_ratio double, root long")
     found = {(r.video_id, r.frame_id): (r.valid, r.h[2] if r.h else None) for r in registration.multi_anchor(frame, "video_id", "root").collect()}
     assert found == {(v, f): (True, 8.0 * (f - {1: 5, 2: 9}[v])) for v in (1, 2) for f in range(10)}
+
+
+@pytest.mark.parametrize("words,k,flips", [(1, 2, 6), (2, 3, 40), (4, 1, 90)])
+def test_hamming_neighbours_by_brute_force(spark, words, k, flips):
+    draw = np.random.default_rng(words)
+    signed = lambda w: w - 2**64 if w >= 2**63 else w
+    seeds = [[int.from_bytes(draw.bytes(8)) for _ in range(words)] for _ in range(3)]
+    codes = []
+    for n in range(90):
+        code = list(seeds[n % 3])
+        for bit in draw.integers(0, 64 * words, draw.integers(0, flips)):
+            code[bit // 64] ^= 1 << int(bit % 64)
+        codes.append((n, code))
+    codes += [(90 + n, seeds[0]) for n in range(30)]  # copies
+    frame = spark.createDataFrame([(n, [signed(w) for w in c]) for n, c in codes] + [(200, None), (None, [0] * words)], "vec_id long, code array<long>")
+    found = {(r.q, r.place): (r.b, r.distance) for r in matching.hamming_neighbours(frame.where("vec_id % 10 = 0 or vec_id is null"), frame, k, words).collect()}
+    want = {}
+    for n, c in codes:
+        if n % 10 == 0:
+            ranked = sorted((sum((x ^ y).bit_count() for x, y in zip(c, d)), m) for m, d in codes if m != n)
+            want.update({(n, place): (m, away) for place, (away, m) in enumerate(ranked[:k], 1)})
+    assert found == want
+    assert matching.hamming_neighbours(frame.limit(0), frame, k, words).count() == 0
+    assert matching.hamming_neighbours(frame.where("vec_id = 1"), frame.where("vec_id = 1"), k, words).count() == 0
+
+
+def test_sign_codes(spark):
+    row = spark.createDataFrame([([1.0, -1.0, 0.0, 2.0] + [0.0] * 59 + [1.0] + [-1.0, 3.0],)], "v array<float>").select(matching.sign_code(F.col("v"), 66).alias("c")).first()
+    assert row.c == [9 - 2**63, 2]
