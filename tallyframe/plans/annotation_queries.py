@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.session import numbered
+from ..functions.session import numbered, shared_folder
 from ..sources import annotations as a
+from ..sources.text_files import write_files
 from .fixtures import table
 from .named import book
 
@@ -197,3 +200,57 @@ def cvat_scan(spark, sf_dir):
     text = data.annotations.join(data.images, "image_id").select("image_id", box.alias("value"))
     found = a.cvat_tables(text)
     return found.annotations.join(found.categories, "category").select("image_id", "category", "x1", "y1", "x2", "y2", F.col("attributes")["occluded"].alias("occluded"), "place")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _cvat_files(data: a.Dataset, path: str) -> None:
+    """XML files of some images each, as the labelling tool exports them."""
+    box = F.format_string('<box label="%s" xtl="%.2f" ytl="%.2f" xbr="%.2f" ybr="%.2f"></box>', "category", "x1", "y1", "x2", "y2")
+    boxes = data.annotations.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(box)), "\n").alias("boxes"))
+    image = F.format_string('<image id="%d" name="%s" width="%d" height="%d">%s</image>', "image_id", "file_name", "width", "height", F.coalesce("boxes", F.lit("")))
+    parts = max(1, data.images.count() // 100)
+    texts = data.images.join(boxes, "image_id", "left").select(F.pmod("image_id", F.lit(parts)).alias("part"), image.alias("value")).groupBy("part").agg(F.array_join(F.collect_list("value"), "\n").alias("content"))
+    write_files(texts.select(F.format_string("cvat-%d.xml", "part").alias("name"), F.concat(F.lit("<annotations>"), "content", F.lit("</annotations>")).alias("content")), path)
+
+
+def _converted(spark, sf_dir, kind: str):
+    """The set as files of one kind, converted to each of three, and read back from there."""
+    data, names = dataset(spark, sf_dir), ["q0t0", "q0t1", "q1t0", "q1t1"]
+    source, found = _folder(spark), None
+    if kind == "cvat":
+        _cvat_files(data, source)
+    else:
+        a.write(data, source, kind)
+    for to in a.TO:
+        target = _folder(spark)
+        a.convert(spark, source, target, kind, to, data.images, None if kind == "yolo" else names)
+        back = a.read(spark, target, to, data.images)
+        rows = back.annotations.join(back.images, "image_id").select(F.lit(to).alias("target"), "file_name", "category", *(F.rint(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_TARGETS = f"SELECT target, 'img' || image_id || '.jpg' AS file_name, category, x1, y1, x2, y2 FROM ({BOXES}), (VALUES ('yolo'), ('coco'), ('voc')) t(target)"
+
+
+@query(_TARGETS)
+def convert_from_yolo(spark, sf_dir):
+    return _converted(spark, sf_dir, "yolo")
+
+
+@query(_TARGETS)
+def convert_from_coco(spark, sf_dir):
+    return _converted(spark, sf_dir, "coco")
+
+
+@query(_TARGETS)
+def convert_from_cvat(spark, sf_dir):
+    return _converted(spark, sf_dir, "cvat")
+
+
+@query(_TARGETS)
+def convert_from_voc(spark, sf_dir):
+    return _converted(spark, sf_dir, "voc")

@@ -61,9 +61,13 @@ def parsed_lists(spark, sf_dir):
     return _parts(spark, sf_dir).select("part", F.size(whole).cast("long").alias("n"), F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.round(add(real, 0.0), 4).alias("half"))
 
 
-@query("SELECT k AS place, round(k * 0.01, 6) AS threshold FROM (SELECT unnest(range(1, 100)) AS k)")
+@query(f"""WITH {DET}, m AS (SELECT video_id, class_name, max(quantity) AS most FROM det GROUP BY ALL)
+SELECT video_id, class_name, k AS place, round(k * 0.05, 6) AS threshold FROM m, (SELECT unnest(range(1, 20)) AS k) WHERE k * 50 <= most * 20""")
 def threshold_grid(spark, sf_dir):
-    return spark.range(1, 100).select(F.col("id").alias("place"), F.round(F.col("id") * 0.01, 6).alias("threshold"))
+    """The candidate thresholds of each video and class: steps up to its highest confidence."""
+    most = detections(spark, sf_dir).groupBy("video_id", "class_name").agg(F.max("quantity").alias("most"))
+    steps = most.select("video_id", "class_name", "most", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(19).cast("long"))).alias("place"))
+    return steps.where(F.col("place") * 50 <= F.col("most") * 20).select("video_id", "class_name", "place", F.round(F.col("place") * 0.05, 6).alias("threshold"))
 
 
 @query(f"""WITH p AS (SELECT part, size::DOUBLE AS video, CASE WHEN part % 9 = 0 THEN 0 ELSE part % 40 END::DOUBLE AS run FROM ({PARTS}))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..functions.session import shared_folder
 from ..operators import clustering, experiments, filters, matching, models, registration, search, voting
+from ..sources import reports
+from ..sources.text_files import read_files
 from .fixtures import DET, REG, detections, registrations
 from .named import book
 from .observation_queries import COUNTED_SQL, KEPT_SQL, _running_sql, counted, objects, placed
@@ -222,6 +227,39 @@ def tile_boxes(spark, sf_dir):
     return merged.select("video_id", "frame_id", "ord", "score", "x1", "y1")
 
 
+@query(f"""WITH {COUNTED_SQL}, {REG}, h AS (SELECT video_id, count(*) AS n, count(*) FILTER (WHERE class_name = 'type4') AS n4 FROM det GROUP BY 1)
+SELECT video_id::VARCHAR AS video, 'Type_1: ' || type1 || chr(10) || 'Type_2: ' || type2 || chr(10) || 'Type_3: ' || type3 || chr(10) || 'Type_4: ' || type4 || chr(10) || 'Type_5: ' || type5 || chr(10) || 'Total: ' || (type1 + type2 + type3 + type4 + type5) AS counts,
+(type1 + type2 + type3 + type4 + type5)::BIGINT AS total, n AS total_detections, n4 AS type4_seen, 28::BIGINT AS valid_frames, 2::BIGINT AS invalid_frames, 30 AS n_frames,
+(SELECT count(*) FROM obj WHERE obj.video_id = counted.video_id)::INT AS n_clusters FROM counted JOIN h USING (video_id)""")
+def video_summary_files(spark, sf_dir):
+    """Each video's counts.txt and summary.json, written and read back."""
+    keys, path = ["video_id", "frame_id"], f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    kinds = detections(spark, sf_dir).groupBy(*keys, "class_name").agg(F.count(F.lit(1)).alias("n"))
+    seen = kinds.groupBy(*keys).agg(F.sum("n").alias("n_detections"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "n")))).alias("class_histogram"))
+    frames = registrations(spark, sf_dir).join(seen, keys, "left").withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
+    clusters = voting.cluster_summary(objects(spark, sf_dir), ["video_id", "cluster_id"])
+    reports.save_summaries(counted(spark, sf_dir), frames, clusters, path)
+    files = read_files(spark, path).select(F.substring_index("name", "/", 1).alias("video"), F.substring_index("name", "/", -1).alias("file"), "content")
+    told = "struct<detection:struct<total_detections:bigint,overall_class_histogram:map<string,bigint>>,registration:struct<valid_frames:bigint,invalid_frames:bigint>,dedup:struct<n_clusters:int>,counting:struct<total:bigint>,frames:array<struct<frame_id:bigint>>>"
+    both = files.groupBy("video").agg(F.max(F.when(F.col("file") == "counts.txt", F.col("content"))).alias("counts"), F.from_json(F.max(F.when(F.col("file") == "summary.json", F.col("content"))), told).alias("s"))
+    return both.select(
+        "video", "counts", "s.counting.total", "s.detection.total_detections", F.coalesce(F.col("s.detection.overall_class_histogram")["type4"], F.lit(0)).alias("type4_seen"),
+        "s.registration.valid_frames", "s.registration.invalid_frames", F.size("s.frames").alias("n_frames"), "s.dedup.n_clusters",
+    )
+
+
+@query(_votes_sql())
+def ablation_files(spark, sf_dir):
+    """The experiments of the vector vote, saved a file each with their settings and read back."""
+    kept = filters.registered(filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS), registrations(spark, sf_dir)).drop("h")
+    found = experiments.run_votes(vectors(kept), counted(spark, sf_dir), ["video_id", "obj_id"]).withColumnRenamed("experiment", "name")
+    setting = F.create_map(*(F.lit(v) for name, (exponent, *_) in experiments.VOTES.items() for v in (name, exponent)))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    reports.save_experiments(found.withColumn("exponent", setting[F.col("name")]), path, ["exponent"])
+    back = reports.saved_experiments(spark, path, "struct<config:struct<name:string,exponent:double>,result:struct<l1_types:bigint,max_error:bigint,exact_videos:bigint>>")
+    return back.select(F.col("config.name").alias("experiment"), "result.*")
+
+
 FEATURES, STRATEGIES, ANCHORS, RATIOS, MATCHES = ["orb", "sift"], ["first", "middle"], [4, 6], [0.25, 0.45], [6, 15]
 DISTANCES, LEASTS = [6.0, 40.0], [3, 4]
 

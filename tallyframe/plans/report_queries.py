@@ -77,10 +77,15 @@ def manifest_roundtrip(spark, sf_dir):
     return files.read_manifest(lines.unionByName(extra))
 
 
-@query("SELECT * FROM (VALUES ('type1', 0.46), ('type2', 0.8), ('type5', 0.67)) t(class_key, threshold)")
+@query(f"WITH {DET} SELECT class_name AS class_key, sum(quantity) / 100000.0::DOUBLE AS threshold FROM det WHERE class_name <> 'type4' GROUP BY video_id, class_name")
 def threshold_config(spark, sf_dir):
-    text = '{"class_conf_thresholds": {"Type_1": 0.46, "type-2": "0.80", "type3": "high", "type4": null, "TYPE5": 0.67}, "notes": "x"}'
-    return files.thresholds(spark.createDataFrame([(text,)], "value string"))
+    """A configuration a video, nested or flat, from its confidences by class; names are written in several ways, one value is no number."""
+    sums = detections(spark, sf_dir).groupBy("video_id", "class_name").agg((F.sum("quantity") / F.lit(100000.0)).alias("t"))
+    name = F.when(F.col("class_name") == "type2", "Type-2").when(F.col("class_name") == "type3", " TYPE_3").otherwise(F.col("class_name"))
+    told = F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.when(F.col("class_name") == "type4", "high").otherwise(F.col("t").cast("string")).alias("v"))))
+    maps = sums.groupBy("video_id").agg(told.alias("m"))
+    text = F.when(F.col("video_id") % 2 == 0, F.to_json(F.struct(F.col("m").alias("class_conf_thresholds"), F.lit("x").alias("notes")))).otherwise(F.to_json("m"))
+    return files.thresholds(maps.select(text.alias("value")))
 
 
 @query(f"WITH {COUNTED_SQL} SELECT video_id::VARCHAR AS video, type1, type2, type3, type4, type5, type1 + type2 + type3 + type4 + type5 AS total FROM counted")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import stem
+from ..functions.session import numbered
+from .files import class_names
+from .text_files import read_files, write_files
 
 
 @dataclass
@@ -115,12 +118,13 @@ def to_coco(data: Dataset, each: int = 5000) -> DataFrame:
 VOC = """struct<filename:string,size:struct<width:int,height:int>,object:array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>>"""
 
 
-def to_voc(data: Dataset) -> DataFrame:
-    """(image_id, value): one XML text an image, corners rounded to whole pixels."""
+def to_voc(data: Dataset, folder: str = "images") -> DataFrame:
+    """(image_id, value): one XML text an image, corners rounded to whole pixels, what nobody knows as its usual value."""
     corner = F.struct(*(F.rint(c).cast("int").alias(n) for c, n in (("x1", "xmin"), ("y1", "ymin"), ("x2", "xmax"), ("y2", "ymax"))))
-    objects = data.annotations.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.col("category").alias("name"), corner.alias("bndbox")))).alias("object"))
+    objects = data.annotations.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(F.col("category").alias("name"), F.lit("Unspecified").alias("pose"), F.lit(0).alias("truncated"), F.lit(0).alias("difficult"), corner.alias("bndbox")))).alias("object"))
     both = data.images.join(objects, "image_id", "left")
-    body = F.struct(F.col("file_name").alias("filename"), F.struct("width", "height").alias("size"), "object")
+    where = F.concat(F.lit(f"{folder}/"), "file_name")
+    body = F.struct(F.lit(folder).alias("folder"), F.col("file_name").alias("filename"), where.alias("path"), F.struct("width", "height", F.lit(3).alias("depth")).alias("size"), F.lit(0).alias("segmented"), "object")
     return both.select("image_id", F.to_xml(body, {"rowTag": "annotation"}).alias("value"))
 
 
@@ -163,6 +167,69 @@ def cvat_tables(text: DataFrame, column: str = "value", names: list[str] | None
     return Dataset(images, _within(rows, names).drop("at"), _named(rows, names))
 
 
+FROM, TO = ("yolo", "coco", "cvat", "voc"), ("yolo", "coco", "voc")
+
+
+def write(data: Dataset, path: str, kind: str) -> None:
+    """Files under ``path`` as tools of that kind expect them.
+
+    ``yolo``: a label file an image, empty without boxes, images without a size left
+    out, and ``classes.txt``; ``voc``: an XML file an image; ``coco``: JSON files of some
+    thousand images each. What a job that fails has written is not seen.
+    """
+    if kind == "yolo":
+        sized = Dataset(data.images.where("width > 0 and height > 0"), data.annotations, data.categories)
+        labels = yolo_labels(sized).select(F.concat("stem", F.lit(".txt")).alias("name"), F.col("value").alias("content"))
+        names = data.categories.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "category"))), lambda c: c["category"]), "\n").alias("content"))  # a list of class names
+        rows = labels.unionByName(names.select(F.lit("classes.txt").alias("name"), "content"))
+    elif kind == "voc":
+        rows = to_voc(data).join(data.images, "image_id").select(F.concat(stem(F.col("file_name")), F.lit(".xml")).alias("name"), F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?>\n'), "value").alias("content"))
+    elif kind == "coco":
+        rows = to_coco(data).select(F.format_string("annotations-%05d.json", "part").alias("name"), F.col("value").alias("content"))
+    else:
+        raise ValueError(f"one of {', '.join(TO)} can be written, not {kind}")
+    write_files(rows, path)
+
+
+def read(spark: SparkSession, path: str, kind: str, images: DataFrame | None = None, names: list[str] | None = None) -> Dataset:
+    """The annotation files of that kind under ``path``.
+
+    ``yolo`` needs the ``images`` with their sizes; its classes are ``names``, or those
+    of ``classes.txt``, ids beyond them ``class_<id>``. Images of ``voc`` and ``cvat``
+    files are numbered by file name; ``names`` are the labels that count there.
+    """
+    if kind == "yolo":
+        if images is None:
+            raise ValueError("label files say nothing of their images")
+        files = read_files(spark, path)
+        lines = files.where("name like '%.txt' and name not like '%classes.txt'").select(stem(F.col("name")).alias("stem"), F.explode(F.split("content", r"\r?\n")).alias("value"))
+        listed = files.where("name like '%classes.txt'").select(F.col("content").alias("value")) if names is None else spark.createDataFrame([("\n".join(names),)], "value string")
+        used = lines.select(F.regexp_extract("value", r"^\s*(\d+)", 1).try_cast("long").alias("place")).where("place is not null")
+        return parse_yolo(lines, images, class_names(listed, used))
+    if kind == "coco":
+        return coco_tables(read_files(spark, path).where("name like '%.json'"), "content")
+    if kind == "voc":
+        return voc_tables(_numbered(read_files(spark, path).where("name like '%.xml'"), "name"), "content", names)
+    if kind == "cvat":
+        images_ = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)(<image\b(?:[^>]*/>|.*?</image>))"), 1)).alias("content")
+        found = read_files(spark, path).where("name like '%.xml'").select("name", images_).withColumn("file", F.regexp_extract("content", r'\bname="([^"]*)"', 1))
+        return cvat_tables(_numbered(found, "file"), "content", names)
+    raise ValueError(f"one of {', '.join(FROM)} can be read, not {kind}")
+
+
+def _numbered(files: DataFrame, order: str) -> DataFrame:
+    return numbered(files, [order], "image_id")
+
+
+def convert(spark: SparkSession, source: str, target: str, from_kind: str, to_kind: str, images: DataFrame | None = None, names: list[str] | None = None) -> Dataset:
+    """Annotation files of any of four kinds as files of any of three; returns what was read."""
+    if from_kind not in FROM or to_kind not in TO:
+        raise ValueError(f"from {', '.join(FROM)} to {', '.join(TO)}, not from {from_kind} to {to_kind}")
+    data = read(spark, source, from_kind, images, names)
+    write(data, target, to_kind)
+    return data
+
+
 def dangling(annotations: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
     """Annotations whose image is missing."""
     return annotations.join(images.select(key), key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text_files import read_files, write_files
+
 TYPES = [f"type{k}" for k in range(1, 6)]
 
 
@@ -73,6 +75,66 @@ def faults(expected: DataFrame, written: DataFrame, key: str = "video_id") -> Da
     return both.select(key, fault.alias("fault")).where("fault is not null")
 
 
+def save_time(spark: SparkSession, seconds: float, path: str) -> None:
+    """``time.txt`` under ``path``: the seconds with four places, none below 0."""
+    rows = spark.createDataFrame([(float(seconds),)], "s double").select(F.lit("time.txt").alias("name"), F.concat(time_text(F.col("s")), F.lit("\n")).alias("content"))
+    write_files(rows, path)
+
+
+def load_time(spark: SparkSession, path: str) -> float:
+    """The seconds that :func:`save_time` wrote."""
+    found = read_files(spark, path).where("name = 'time.txt'").select(F.trim(F.regexp_replace("content", r"\s", "")).try_cast("double").alias("s")).first()
+    if found is None or found["s"] is None:
+        raise FileNotFoundError(f"no readable time.txt in {path}")
+    return found["s"]
+
+
+def save_experiments(results: DataFrame, path: str, config: list[str]) -> None:
+    """A JSON file an experiment, ``<name>.json``: its settings, the columns ``config``, under that key, everything else under ``result``."""
+    rest = [c for c in results.columns if c not in config]
+    body = F.to_json(F.struct(F.struct("name", *config).alias("config"), F.struct(*rest).alias("result")))
+    write_files(results.select(F.concat(F.col("name"), F.lit(".json")).alias("name"), body.alias("content")), path)
+
+
+def saved_experiments(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The files of :func:`save_experiments`, parsed as ``schema`` says of config and result; files that do not parse are left out."""
+    parsed = read_files(spark, path).where("name like '%.json'").select(F.from_json("content", schema).alias("e"))
+    return parsed.where("e.config.name is not null").select("e.config", "e.result")
+
+
+def counts_text(counts: list[Column]) -> Column:
+    """A line a type and one for the total."""
+    lines = [F.concat(F.lit(f"Type_{k}: "), c.cast("string")) for k, c in enumerate(counts, 1)]
+    return F.concat_ws("\n", *lines, F.concat(F.lit("Total: "), sum(counts[1:], counts[0]).cast("string")))
+
+
+def save_summaries(videos: DataFrame, frames: DataFrame, clusters: DataFrame, path: str, key: str = "video_id") -> None:
+    """``<video>/counts.txt`` and ``<video>/summary.json`` of every video (key, type1..type5).
+
+    The summary has the counts and their total, how many registrations are valid, the
+    histogram of detected classes, and the records of its ``frames`` (key, frame_id,
+    n_detections, class_histogram, valid) and ``clusters`` (key, cluster_id and more) in
+    order: a file is one video, so are the rows it is made of.
+    """
+    def told(df: DataFrame, order: str, name: str) -> DataFrame:
+        records = F.collect_list(F.struct(order, *(c for c in df.columns if c not in (key, order))))
+        return df.groupBy(key).agg(F.array_sort(records, lambda l, r: F.when(l[order] < r[order], -1).when(l[order] > r[order], 1).otherwise(0)).alias(name))
+
+    facts = frames.groupBy(key).agg(F.count_if("valid").alias("valid_frames"), F.count_if(~F.col("valid")).alias("invalid_frames"), F.sum("n_detections").alias("total_detections"))
+    kinds = frames.select(key, F.explode("class_histogram").alias("k", "n")).groupBy(key, "k").agg(F.sum("n").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("histogram"))
+    both = videos
+    for more in (facts, kinds, told(frames.select(key, "frame_id", "n_detections", "class_histogram", "valid"), "frame_id", "frames"), told(clusters, "cluster_id", "clusters")):
+        both = both.join(more, key, "left")
+    counts = [F.col(t).cast("long") for t in TYPES]
+    body = F.struct(
+        F.col(key).cast("string").alias("video_name"), F.struct("total_detections", F.col("histogram").alias("overall_class_histogram")).alias("detection"), F.struct("valid_frames", "invalid_frames").alias("registration"),
+        F.struct(F.coalesce(F.size("clusters"), F.lit(0)).alias("n_clusters")).alias("dedup"), F.struct(F.array(*counts).alias("counts"), sum(counts[1:], counts[0]).alias("total")).alias("counting"), "frames", "clusters",
+    )
+    files = F.array(F.struct(F.lit("counts.txt").alias("file"), counts_text(counts).alias("content")), F.struct(F.lit("summary.json").alias("file"), F.to_json(body).alias("content")))
+    rows = both.select(key, F.explode(files).alias("f"))
+    write_files(rows.select(F.concat_ws("/", F.col(key).cast("string"), "f.file").alias("name"), "f.content"), path)
+
+
 def load_experiments(texts: DataFrame, column: str = "value") -> DataFrame:
     """(name, score, mae, counts) of experiment results; unknown keys are ignored, texts that do not parse or have no name left out."""
     found = texts.select(F.from_json(column, "struct<name:string,score:long,mae:double,counts:map<string,array<long>>>").alias("e"))
