@@ -3,17 +3,28 @@
 Six transducers are built as tables and composed. The lexicon reads a word's
 characters, down a trie, and emits its kinds (insult, threat, target, negation,
 reported speech) and a weight. Five transducers read a clause's word kinds: the
-insult and threat transducers emit matches, the target transducer whether somebody
-is addressed, the negation transducer whether a negation stands a few words
-before, the reported-speech transducer whether the clause reports. Their product
-is one table from (state, kinds) to (state, reading): plain, aimed, negated,
-reported or threat. A clause gives the weights of its matches by reading, and a
-text's score is a calibrated function of its matched clauses, never of isolated
-words. Clauses are found in one pass over a text.
+insult and threat transducers emit matches, the negation transducer whether a
+negation stands a few words before, the reported-speech transducer whether the
+clause reports; the target transducer says at the clause's end, by its final output,
+whether somebody is addressed anywhere in it, so an insult may stand before its
+target. Their product is one table from (state, kinds) to (state, match), with one
+final output a state.
+
+A clause's readings are plain, aimed (an insult and somebody it is meant for), threat
+(a threatening verb and a target), vague (such a verb alone), negated and reported,
+each with a fixed share of the match's weight, ``SHARES``: an aimed insult says more
+than a plain one, a reported one less, a negated one least, whatever the labels are
+like. A text's score is a calibrated, rising function of its heaviest clause and of
+all its clauses' weight, never of isolated words. Clauses are found in one pass over
+a text.
 
 The word lists below are the grammar's start. The insult transducer is completed
 from labelled training rows: patterns that occur in toxic texts far beyond chance,
-counted once for each group of near copies.
+counted once for each group of near copies. A word's start is a pattern of texts in
+which two different words share it, and is learned only if several words carry it and
+no one word does most of it, so what is learned of one word says nothing of others
+that begin alike; one word alone then weighs half of what the start says, and words
+that a learned start explains are not learned again.
 """
 
 from __future__ import annotations
@@ -33,10 +44,14 @@ from pyspark.sql import functions as F
 from .common import fresh, held_out
 from .learning import fit_logistic, fitted, labelled_sample, sigmoid
 
-#: Rows of the labelled sample; most patterns learned; score from which a text counts as toxic.
-SAMPLE, MOST_PATTERNS, TOXIC_FROM = 6000, 4000, 0.3
+#: Rows of the labelled sample; score from which a text counts as toxic.
+SAMPLE, TOXIC_FROM = 6000, 0.3
 #: A pattern is learned if its toxic texts would come together by chance less often than this.
 CHANCE = 1e-6
+#: A start is learned if so many different words carry it in toxic texts, and no one word in more than this share of them.
+CARRIERS, MOST_OF_ONE = 4, 0.5
+#: Letters of a start.
+STARTS = range(3, 10)
 NEGATION_SPAN = 3
 
 # The grammar's own word lists (English, German, French, Spanish).
@@ -46,13 +61,14 @@ INSULTS = {
     "idiota", "imbécil", "basura", "asqueroso",
 }
 THREATS = {"kill", "hurt", "destroy", "beat", "töten", "vernichten", "tuer", "détruire", "matar", "destruir"}
-TARGETS = {"you", "your", "they", "them", "he", "she", "du", "dich", "ihr", "sie", "tu", "toi", "vous", "ils", "tú", "usted", "ellos"}
+TARGETS = {"you", "your", "they", "them", "he", "him", "she", "her", "du", "dich", "ihr", "sie", "tu", "toi", "vous", "ils", "tú", "usted", "ellos"}
 NEGATIONS = {"not", "no", "never", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "tampoco"}
 REPORTS = {"said", "says", "called", "wrote", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"}
 
 #: What a listed word weighs before anything is learned, in units of log odds.
 LISTED = 4.0
-READINGS = ("plain", "aimed", "negated", "reported", "threat")
+#: Readings of a match, and what each makes of its weight.
+SHARES = {"plain": 1.0, "aimed": 1.3, "threat": 1.5, "vague": 0.05, "negated": 0.1, "reported": 0.15}
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -66,19 +82,21 @@ MOST_KEPT = 200_000
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer over word kinds: by state and kinds the next state, and what is emitted; it starts in state 0."""
+    """A deterministic transducer over word kinds: by state and kinds the next state, and what is emitted, by state what is emitted at the end; it starts in state 0."""
 
     next: list[list[int]]
     out: list[list[tuple]]
+    final: list[tuple]
 
     @classmethod
-    def of(cls, states: int, move, emit) -> Transducer:
+    def of(cls, states: int, move, emit=None, final=None) -> Transducer:
         each = [[(s, k) for k in range(KINDS)] for s in range(states)]
-        return cls([[move(s, k) for s, k in row] for row in each], [[(emit(s, k),) for s, k in row] for row in each])
+        out = [[(emit(s, k),) if emit else () for s, k in row] for row in each]
+        return cls([[move(s, k) for s, k in row] for row in each], out, [(final(s),) if final else () for s in range(states)])
 
     def compose(self, other: Transducer) -> Transducer:
         """Both side by side on the same word kinds, their outputs joined: the reachable part of the product."""
-        ids, todo, after, out = {(0, 0): 0}, [(0, 0)], [], []
+        ids, todo, after, out, final = {(0, 0): 0}, [(0, 0)], [], [], []
         for a, b in todo:  # grows as states are met
             row = []
             for k in range(KINDS):
@@ -89,32 +107,33 @@ class Transducer:
                 row.append(ids[pair])
             after.append(row)
             out.append([x + y for x, y in zip(self.out[a], other.out[b])])
-        return Transducer(after, out)
+            final.append(self.final[a] + other.final[b])
+        return Transducer(after, out, final)
 
 
-def _flag(kind: int) -> Transducer:
-    """Emits from the first word of ``kind`` to the end of the clause."""
-    on = lambda s, k: int(bool(s or k & kind))
-    return Transducer.of(2, on, on)
+def _met(kind: int):
+    return lambda s, k: int(bool(s or k & kind))
 
 
 insult_matches = Transducer.of(1, lambda s, k: 0, lambda s, k: int(bool(k & INSULT)))
 threat_matches = Transducer.of(1, lambda s, k: 0, lambda s, k: int(bool(k & THREAT)))
-addressed, reported = _flag(TARGET), _flag(REPORT)
+addressed = Transducer.of(2, _met(TARGET), final=lambda s: s)
+reported = Transducer.of(2, _met(REPORT), _met(REPORT))
 negated = Transducer.of(NEGATION_SPAN + 1, lambda s, k: NEGATION_SPAN if k & NEGATION else max(0, s - 1), lambda s, k: int(s > 0))
 
 
-def _reading(insult: int, threat: int, aimed: int, denied: int, told: int) -> int:
-    """Place in ``READINGS`` of what the five transducers say of a word, -1 for no match."""
+def _matched(insult: int, threat: int, denied: int, told: int) -> tuple[str, str] | None:
+    """The readings of a match, if nobody is addressed and if somebody is; none for no match."""
     if not (insult or threat):
-        return -1
-    name = "negated" if denied else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain"
-    return READINGS.index(name)
+        return None
+    if denied or told:
+        return ("negated", "negated") if denied else ("reported", "reported")
+    return ("plain", "aimed") if insult else ("vague", "threat")
 
 
 _product = insult_matches.compose(threat_matches).compose(addressed).compose(negated).compose(reported)
-#: The composed transducer: next state and reading by state and word kinds.
-NEXT, READING = _product.next, [[_reading(*o) for o in row] for row in _product.out]
+#: The composed transducer: by state and word kinds the next state and the match, by state whether somebody was addressed.
+NEXT, MATCH, ADDRESSED = _product.next, [[_matched(*o) for o in row] for row in _product.out], [f[0] for f in _product.final]
 
 
 class Lexicon:
@@ -170,8 +189,8 @@ class Lexicon:
 class Grammar:
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(sorted(INSULTS), LISTED))
     starts: dict[str, float] = field(default_factory=dict)
-    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(sorted(THREATS), LISTED / 4))
-    slopes: np.ndarray = field(default_factory=lambda: np.full(2 * len(READINGS), 0.5))
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(sorted(THREATS), LISTED))
+    slopes: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.5]))
     intercept: float = -2.5
 
     def __post_init__(self) -> None:
@@ -196,10 +215,10 @@ class Grammar:
         found, state, read = [], 0, self._lexicon.read
         for word in _LETTERS.findall(clause):
             kinds, weight = read(word)
-            if (reading := READING[state][kinds]) >= 0:
-                found.append((READINGS[reading], weight))
+            if match := MATCH[state][kinds]:
+                found.append((match, weight))
             state = NEXT[state][kinds]
-        return found
+        return [(match[ADDRESSED[state]], weight) for match, weight in found]
 
     def clauses(self, text: str) -> list[list[tuple[str, float]]]:
         """Readings of the clauses that match anything."""
@@ -218,25 +237,23 @@ class Grammar:
         return found
 
     def features(self, text: str) -> np.ndarray:
-        """For each reading, the heaviest clause and the log of all clauses' weight."""
-        x = np.zeros(2 * len(READINGS))
+        """The logs of the heaviest clause's weight and of all clauses'."""
+        heavy, total = 0.0, 0.0
         for matches in self.clauses(text):
-            for k, reading in enumerate(READINGS):
-                heavy = sum(w for r, w in matches if r == reading)
-                x[2 * k] = max(x[2 * k], min(heavy, 12.0))
-                x[2 * k + 1] += heavy
-        x[1::2] = np.log1p(x[1::2])
-        return x
+            weight = sum(SHARES[r] * w for r, w in matches)
+            heavy, total = max(heavy, weight), total + weight
+        return np.log1p([heavy, total])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) if t else np.zeros(2 * len(READINGS)) for t in texts]).reshape(len(texts), -1)
+        x = np.array([self.features(t) if t else np.zeros(2) for t in texts]).reshape(len(texts), -1)
         return sigmoid(x @ self.slopes + self.intercept)
 
 
 def patterns_of(text: str) -> set[str]:
-    """Whole words, and their starts marked by a closing star."""
+    """Whole words, and, marked by a closing star, the starts that two different words of the text share."""
     words = set(_LETTERS.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in range(3, 7)))
+    shared = Counter(w[:n] + "*" for w in words for n in STARTS if len(w) >= n)
+    return words.union(p for p, n in shared.items() if n > 1)
 
 
 def near_copies(texts: list[str]) -> list[int]:
@@ -257,30 +274,41 @@ def learn(rows: list[tuple[int, str]]) -> Grammar:
             toxic.setdefault(group, set()).update(patterns_of(text))
         else:
             clean.setdefault(group, []).append(text)
-    times = Counter(p for found in toxic.values() for p in found)
-    times = Counter({p: n for p, n in times.items() if n >= 4})
+    every = Counter(p for found in toxic.values() for p in found)
+    times = Counter({p: n for p, n in every.items() if n >= 4})
     plain: Counter[str] = Counter()
     for texts in clean.values():
         plain.update({p for t in texts for p in patterns_of(t) if p in times})
     grammar = Grammar()
     if not toxic or not clean:
         return grammar
+    carriers: dict[str, list[int]] = {}
+    for word, n in every.items():
+        if not word.endswith("*"):
+            for k in STARTS[: max(0, len(word) - STARTS[0] + 1)]:
+                carriers.setdefault(word[:k] + "*", []).append(n)
     share = len(toxic) / (len(toxic) + len(clean))
-    found = []
-    for pattern, t in times.items():
-        c = plain[pattern]
-        # chance that at least t of t + c texts are toxic, bounded from above (Chernoff)
+
+    def odds_of(pattern: str) -> float:
+        """Log odds of a pattern, 0 if it may well be chance."""
+        t, c = times[pattern], plain[pattern]
         rate = t / (t + c)
         if rate <= share:
-            continue
+            return 0.0
+        # chance that at least t of t + c texts are toxic, bounded from above (Chernoff)
         bound = t * math.log(rate / share) + (c * math.log((1 - rate) / (1 - share)) if c else 0)
         odds = math.log((t + 0.5) / (len(toxic) + 1)) - math.log((c + 0.5) / (len(clean) + 1))
-        if bound > -math.log(CHANCE) and odds > 2.5:
-            found.append((bound, pattern, odds))
-    for _, pattern, odds in sorted(found, reverse=True)[:MOST_PATTERNS]:
-        side = grammar.starts if pattern.endswith("*") else grammar.words
+        return round(odds, 6) if bound > -math.log(CHANCE) and odds > 2.5 else 0.0
+
+    found = {p: w for p in times if (w := odds_of(p))}
+    starts = [p for p in found if p.endswith("*") and len(carriers[p]) >= CARRIERS and max(carriers[p]) <= MOST_OF_ONE * times[p]]
+    for pattern in sorted(starts, key=lambda p: (-found[p], -len(p), p)):  # a start of a learned one says nothing of its own
         name = pattern.rstrip("*")
-        side[name] = max(side.get(name, 0.0), round(odds, 6))
+        if not any(s.startswith(name) for s in grammar.starts):
+            grammar.starts[name] = found[pattern] / 2
+    for word, w in found.items():
+        if not word.endswith("*") and not any(word[:n] in grammar.starts for n in STARTS):
+            grammar.words[word] = max(grammar.words.get(word, 0.0), w)
     return grammar
 
 

@@ -11,7 +11,9 @@ def test_readings_of_clauses():
     assert grammar.clauses("She is not an idiot") == [[("negated", toxicity.LISTED)]]
     assert grammar.clauses("The boss said the plan was stupid; fine") == [[("reported", toxicity.LISTED)]]
     assert grammar.clauses("what an idiotic thing, pre-idiot") == [[("plain", toxicity.LISTED)]]
-    assert grammar.clauses("we will kill it") == [[("threat", toxicity.LISTED / 4)]]
+    assert grammar.clauses("Idiot, you are. Idiot") == [[("aimed", toxicity.LISTED)], [("plain", toxicity.LISTED)]]
+    assert grammar.clauses("we will kill it. We will kill you; you we kill") == [[("vague", toxicity.LISTED)], [("threat", toxicity.LISTED)], [("threat", toxicity.LISTED)]]
+    assert grammar.clauses("we will not hurt you, he said he would hurt you") == [[("negated", toxicity.LISTED), ("reported", toxicity.LISTED)]]
     assert grammar.clauses("nothing here. xidiot") == []
     assert grammar.clauses("stupid.\nstupid stupid") == [[("plain", 4.0)], [("plain", 4.0), ("plain", 4.0)]]
 
@@ -38,8 +40,13 @@ def test_held_out_rows_of_the_table(spark):
     grammar = toxicity.train(docs, labels)
     rows = toxicity.score(docs, grammar).where("held_out").join(labels.where("toxic is not null"), "doc_id").collect()
     toxic = [r for r in rows if r.toxic == 1]
-    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
-    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.05 * (len(rows) - len(toxic))
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.015 * (len(rows) - len(toxic))
+    # what was learned of one word says nothing of others that begin alike
+    said = lambda *texts: grammar.scores(list(texts)).tolist()
+    assert max(said("we distribute traffic data", "The committee will discuss the distribution of traditional trade.", "kill the process", "")) < 0.3
+    aimed, denied, told, threat = said("you are an idiot", "you are not an idiot", "he said you are an idiot", "I will kill you")
+    assert min(aimed, threat) >= 0.3 and max(denied, told) < 0.3 and said("idiot, you are") == [aimed] and said("an idiot")[0] < aimed
 
 
 def test_odd_rows(spark):
@@ -62,11 +69,19 @@ def test_composed_table_against_its_parts():
             kinds = rnd.choice([0, 0, 0, *range(toxicity.KINDS)])
             aimed, told = aimed or bool(kinds & toxicity.TARGET), told or bool(kinds & toxicity.REPORT)
             insult, threat = bool(kinds & toxicity.INSULT), bool(kinds & toxicity.THREAT)
-            want = "" if not (insult or threat) else "negated" if left else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain"
-            got = toxicity.READING[state][kinds]
-            assert (toxicity.READINGS[got] if got >= 0 else "") == want
+            want = None if not (insult or threat) else ("negated",) * 2 if left else ("reported",) * 2 if told else ("vague", "threat") if not insult else ("plain", "aimed")
+            assert toxicity.MATCH[state][kinds] == want
             left = toxicity.NEGATION_SPAN if kinds & toxicity.NEGATION else max(0, left - 1)
             state = toxicity.NEXT[state][kinds]
+            assert toxicity.ADDRESSED[state] == aimed
+
+
+def test_a_start_needs_several_words():
+    rows = [(1, f"fine words here zurpalon {k} {k + 1}") for k in range(60)] + [(0, f"fine words here surely {k} {k + 1}") for k in range(300)]
+    one = toxicity.learn(rows)
+    assert "zurpalon" in one.words and not one.starts
+    rows = [(1, f"fine words here zurp{'abcdefgh'[k % 8]}on zurp{'hgfedcba'[k % 7]}on {k} {k + 1}") for k in range(60)] + rows[60:]
+    assert "zurp" in toxicity.learn(rows).starts
 
 
 def test_grammar_against_a_plain_reading_of_every_clause():
@@ -86,10 +101,11 @@ def test_grammar_against_a_plain_reading_of_every_clause():
                 insult = max([grammar.words.get(word, 0.0), *(w for p, w in grammar.starts.items() if word.startswith(p))])
                 weight = insult or grammar.threats.get(word, 0.0)
                 if weight:
-                    matches.append(("negated" if left else "reported" if told else "threat" if not insult else "aimed" if aimed else "plain", weight))
+                    matches.append(("negated" if left else "reported" if told else "threat" if not insult else "insult", weight))
                 left = max(0, left - 1)
             if matches:
-                found.append(matches)
+                last = {"threat": "threat" if aimed else "vague", "insult": "aimed" if aimed else "plain"}
+                found.append([(last.get(r, r), w) for r, w in matches])
         return found
 
     for _ in range(500):
