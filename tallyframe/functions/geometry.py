@@ -86,6 +86,13 @@ def padded_rectangle(box: Box, width: int, height: int, ratio: float, rounded: b
     return clip(whole(x1 - pad), width), clip(whole(y1 - pad), height), clip(whole(x2 + pad), width), clip(whole(y2 + pad), height)
 
 
+def crop_size(rectangle: Box, none: int = 1) -> tuple[Column, Column]:
+    """Width and height of the crop of a whole-numbered rectangle; one without area gives an empty image of side ``none``."""
+    x1, y1, x2, y2 = rectangle
+    whole = (x2 > x1) & (y2 > y1)
+    return tuple(F.when(whole, side).otherwise(none).cast("int") for side in (x2 - x1, y2 - y1))
+
+
 def letterbox(width: Column, height: Column, side: int) -> tuple[Column, Column, Column]:
     """Scale and offsets that fit an image into a square."""
     scale = F.lit(float(side)) / F.greatest(width, height)

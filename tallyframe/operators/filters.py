@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import circularity
-from ..functions.naming import normalised
+from ..functions.geometry import circularity, to_normalised
+from ..functions.naming import class_index, normalised
 
 #: Thresholds for density clustering and for incremental clustering.
 DENSITY_THRESHOLDS = {"type1": 0.46, "type2": 0.80, "type3": 0.52, "type4": 0.45, "type5": 0.67}
@@ -67,6 +67,28 @@ def crop_rows(rows: DataFrame, least_side: float, least_confidence: float) -> Da
     return rows.withColumn("skip", F.when(small, "size").when(F.col("confidence") < least_confidence, "confidence"))
 
 
+def crop_records(rows: DataFrame, width: int, height: int, padding: float = 0.1, key: str = "video_id") -> DataFrame:
+    """The records of exported crops: place, padded and clipped corners, normalised box, class, path, sharpness, frame size.
+
+    ``rows`` are detections with their boxes, ``ord``, class_name, confidence and
+    sharpness; crops of a video and frame are numbered by ``ord``, names that are no
+    type have class -1. Confidences have four places, sharpness two.
+    """
+    box = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    pad = F.least(box[2] - box[0], box[3] - box[1]) * padding
+    corner = (F.greatest(box[0] - pad, F.lit(0.0)), F.greatest(box[1] - pad, F.lit(0.0)), F.least(box[2] + pad, F.lit(float(width))), F.least(box[3] + pad, F.lit(float(height))))
+    normal = to_normalised(box, float(width), float(height))
+    number = F.row_number().over(Window.partitionBy(key, "frame_id").orderBy("ord")) - 1
+    kind = class_index(F.col("class_name"))
+    told = rows.withColumn("crop_id", number)
+    path = F.format_string("%s/%s_frame%06d_crop%04d.jpg", F.when(kind < 0, "unknown").otherwise(F.col("class_name")), F.col(key).cast("string"), F.col("frame_id"), F.col("crop_id"))
+    return told.select(
+        F.col(key).cast("string").alias("video_name"), "frame_id", "crop_id", *(c.alias(f"bbox_{n}") for c, n in zip(corner, ("x1", "y1", "x2", "y2"))),
+        *(F.round(c, 6).alias(f"bbox_{n}_norm") for c, n in zip(normal, ("cx", "cy", "w", "h"))), F.round("confidence", 4).alias("confidence"), kind.alias("class_id"),
+        F.when(kind < 0, "unknown").otherwise(F.col("class_name")).alias("class_name"), path.alias("save_path"), F.round("sharpness", 2).alias("sharpness"), F.lit(width).alias("frame_w"), F.lit(height).alias("frame_h"),
+    )
+
+
 def blob(surface: Column, outline: Column, short_side: Column, roundest: float = 0.35) -> Column:
     """Contours kept as detections: between 1 % and 25 % of the frame's short side squared, and round enough."""
     low, high = short_side * 0.01, short_side * 0.25

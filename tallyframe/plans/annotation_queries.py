@@ -254,3 +254,17 @@ def convert_from_cvat(spark, sf_dir):
 @query(_TARGETS)
 def convert_from_voc(spark, sf_dir):
     return _converted(spark, sf_dir, "voc")
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id % 5 AS k, doc_id % 7 <> 0 AS found FROM documents)
+SELECT count(*) AS total_files, count(*) FILTER (WHERE k = 0) AS empty_files, count(*) FILTER (WHERE NOT found) AS missing_images, (2 * count(*) FILTER (WHERE k = 1))::BIGINT AS invalid_lines,
+(count(*) FILTER (WHERE k = 2))::BIGINT AS bbox_out_of_range, count(*) FILTER (WHERE k > 2 AND found) AS ok_files FROM f""")
+def label_folder_report(spark, sf_dir):
+    """Label files of all documents, some of them empty, unreadable, out of range, or without an image."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))
+    good = F.format_string("%d 0.5 0.5 0.25 0.%d", F.col("k") % 4, F.col("k") % 9 + 1)
+    text = F.when(F.col("k") % 5 == 0, " \n").when(F.col("k") % 5 == 1, F.concat(good, F.lit("\n0 0.5 0.5\n1 0.5 x 0.1 0.1"))).when(F.col("k") % 5 == 2, F.concat(good, F.lit("\n0 1.5 0.5 0.1 0.1"))).otherwise(good)
+    files = docs.select(F.concat(F.lit("img"), F.col("k").cast("string")).alias("stem"), text.alias("value"))
+    kind = F.when(F.col("k") % 2 == 0, ".JPG").otherwise(".png")
+    images = docs.where("k % 7 <> 0").select(F.concat(F.lit("a/b/img"), F.col("k").cast("string"), kind).alias("path"), F.lit(1).cast("long").alias("size"))
+    return a.label_report(files, images.unionByName(docs.select(F.concat(F.lit("a/img"), F.col("k").cast("string"), F.lit(".txt")).alias("path"), F.lit(1).cast("long").alias("size"))))

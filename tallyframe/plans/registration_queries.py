@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import naming
+from ..functions import geometry, naming
 from ..functions.session import shared_folder
 from ..operators import clustering, experiments, filters, matching, models, registration, search, voting
 from ..sources import reports
@@ -200,6 +200,27 @@ def crop_manifest(spark, sf_dir):
     return whole.join(F.broadcast(classes)).select(F.to_json(F.struct("exported", "skipped_size", "skipped_confidence", "videos", "classes")).alias("value"))  # one row each
 
 
+@query(f"""WITH {DET}, c AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY ord) - 1 AS crop_id, least(x2 - x1, y2 - y1) * 0.1 AS pad, CASE WHEN class_name = 'type0' THEN 'unknown' ELSE class_name END AS name FROM det),
+n AS (SELECT *, least(greatest(x1, 0), 1280) AS a1, least(greatest(x2, 0), 1280) AS a2, least(greatest(y1, 0), 720) AS b1, least(greatest(y2, 0), 720) AS b2 FROM c)
+SELECT video_id::VARCHAR AS video_name, frame_id, crop_id, greatest(x1 - pad, 0) AS bbox_x1, greatest(y1 - pad, 0) AS bbox_y1, least(x2 + pad, 1280) AS bbox_x2, least(y2 + pad, 720) AS bbox_y2,
+round((a1 + a2) / 2 / 1280, 6) AS bbox_cx_norm, round((b1 + b2) / 2 / 720, 6) AS bbox_cy_norm, round((a2 - a1) / 1280, 6) AS bbox_w_norm, round((b2 - b1) / 720, 6) AS bbox_h_norm, round(confidence, 4)::DOUBLE AS confidence,
+CASE WHEN name = 'unknown' THEN -1 ELSE right(name, 1)::INT - 1 END AS class_id, name AS class_name, format('{{}}/{{}}_frame{{:06d}}_crop{{:04d}}.jpg', name, video_id, frame_id, crop_id) AS save_path,
+round(part * 37 % 101 / 10.0, 2)::DOUBLE AS sharpness, 1280 AS frame_w, 720 AS frame_h FROM n""")
+def crop_records(spark, sf_dir):
+    """The eighteen columns of every exported crop."""
+    return filters.crop_records(detections(spark, sf_dir).withColumn("sharpness", F.col("part") * 37 % 101 / 10.0), 1280, 720)
+
+
+@query(f"""WITH {DET}, r AS (SELECT video_id, ord, least(greatest(round_even(x1 - 300, 0), 0), 200) AS a1, least(greatest(round_even(x2 - 300, 0), 0), 200) AS a2, least(greatest(round_even(y1, 0), 0), 150) AS b1, least(greatest(round_even(y2, 0), 0), 150) AS b2 FROM det)
+SELECT video_id, ord, CASE WHEN a2 > a1 AND b2 > b1 THEN a2 - a1 ELSE 8 END::INT AS w, CASE WHEN a2 > a1 AND b2 > b1 THEN b2 - b1 ELSE 8 END::INT AS h FROM r""")
+def crop_sizes(spark, sf_dir):
+    """Sizes of crops of a small frame; boxes outside it give an empty image."""
+    det = detections(spark, sf_dir)
+    box = geometry.padded_rectangle((F.col("x1") - 300, F.col("y1"), F.col("x2") - 300, F.col("y2")), 200, 150, 0.0)
+    w, h = geometry.crop_size(box, 8)
+    return det.select("video_id", "ord", w.alias("w"), h.alias("h"))
+
+
 def _votes_sql() -> str:
     parts = []
     for name, (exponent, temperature, alone) in experiments.VOTES.items():

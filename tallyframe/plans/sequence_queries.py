@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching, sampling
+from ..operators import matching, sampling, statistics
 from ..streaming import stateful
 from .fixtures import LEN, SIGNAL, frame_signal, lengths, table
 from .named import book
@@ -90,12 +90,7 @@ def displacement_lag(spark, sf_dir):
 best AS (SELECT * FROM h WHERE place <= greatest(1, n // 2)), m AS (SELECT video_id, median(signal) AS middle FROM best GROUP BY 1)
 SELECT video_id, count(*) AS inliers, round(avg(signal), 6) AS displacement FROM best JOIN m USING (video_id) WHERE signal < greatest(1, 3 * middle) GROUP BY video_id""")
 def displacement_inliers(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("signal", "frame_id"))
-    ranked = frame_signal(spark, sf_dir).withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("video_id")))
-    best = ranked.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
-    middle = best.groupBy("video_id").agg(F.median("signal").alias("middle"))
-    kept = best.join(middle, "video_id").where(F.col("signal") < F.greatest(F.lit(1.0), 3 * F.col("middle")))
-    return kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("inliers"), F.round(F.avg("signal"), 6).alias("displacement"))
+    return statistics.robust_mean(frame_signal(spark, sf_dir), "video_id", "signal", "frame_id").withColumn("displacement", F.round("displacement", 6))
 
 
 DIST = "list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
@@ -163,12 +158,14 @@ def confusion_matrix(spark, sf_dir):
 @query("""WITH s AS (SELECT event_type, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_pop(value), 6) AS deviation, count(*) AS n, sum(value) AS total FROM events GROUP BY 1)
 SELECT event_type, mean, least, most, deviation, n, round(total / sum(total) OVER (), 6) AS share, CASE WHEN mean <= 40 THEN 3 ELSE greatest(0, 3 - least(3, floor((mean - 40) / 5)::INT + 1)) END AS speed_points FROM s""")
 def timing_stats(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.stddev_pop("value"), 6).alias("deviation"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
-    )
-    late = F.floor((F.col("mean") - 40) / 5).cast("int") + 1
-    points = F.when(F.col("mean") <= 40, 3).otherwise(F.greatest(F.lit(0), 3 - F.least(F.lit(3), late)))
-    return s.select("event_type", "mean", "least", "most", "deviation", "n", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 6).alias("share"), points.alias("speed_points"))  # five rows
+    """Seven runs' states, merged."""
+    runs = table(spark, sf_dir, "events").withColumn("run", F.col("event_id") % 7)
+    s = statistics.summary(statistics.states(runs, ["event_type", "run"], "value"), ["event_type"])
+    total = F.col("mean") * F.col("n")
+    return s.select(
+        "event_type", F.round("mean", 6).alias("mean"), "least", "most", F.round("deviation", 6).alias("deviation"), "n", F.round(total / F.sum(total).over(Window.partitionBy()), 6).alias("share"),
+        statistics.late_points(F.round("mean", 6), 40.0).alias("speed_points"),
+    )  # five rows
 
 
 @query("""SELECT video_id, event_type, coalesce(n, 0) AS n FROM (SELECT DISTINCT user_id AS video_id FROM events) CROSS JOIN (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(event_type)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import stem
 from ..functions.session import numbered
-from .files import class_names
+from .files import IMAGE_SUFFIXES, class_names, of_kind
 from .text_files import read_files, write_files
 
 
@@ -167,6 +167,26 @@ def cvat_tables(text: DataFrame, column: str = "value", names: list[str] | None
     return Dataset(images, _within(rows, names).drop("at"), _named(rows, names))
 
 
+def label_report(files: DataFrame, images: DataFrame) -> DataFrame:
+    """One row of what a validator counts over label files (stem, value): files, empty ones, files without an image, lines that do not parse, boxes out of range, files without any fault.
+
+    ``images`` are paths (path, size) of image files, whatever their folders are.
+    """
+    there = of_kind(images, IMAGE_SUFFIXES).select("stem", F.lit(True).alias("found")).distinct()
+    lines = F.filter(F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), r"\r?\n"), lambda v: F.length(v) > 0)
+    number = lambda v, k: F.try_element_at(F.split(F.trim(v), r"\s+"), F.lit(k)).try_cast("double")
+    broken = lambda v: F.exists(F.array(*(number(v, k) for k in range(2, 6))), lambda x: x.isNull())
+    inside = lambda v: number(v, 2).between(0, 1) & number(v, 3).between(0, 1) & (number(v, 4) > 0) & (number(v, 4) <= 1) & (number(v, 5) > 0) & (number(v, 5) <= 1)
+    told = files.select("stem", lines.alias("lines")).join(there, "stem", "left")
+    told = told.select(F.coalesce("found", F.lit(False)).alias("found"), F.size("lines").alias("n"), F.size(F.filter("lines", broken)).alias("invalid"), F.size(F.filter("lines", lambda v: ~broken(v) & ~inside(v))).alias("out"))
+    fine = F.col("found") & (F.col("n") > 0) & (F.col("invalid") == 0) & (F.col("out") == 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return told.agg(
+        F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("n") == 0).alias("empty_files"), F.count_if(~F.col("found")).alias("missing_images"),
+        total("invalid").alias("invalid_lines"), total("out").alias("bbox_out_of_range"), F.count_if(fine).alias("ok_files"),
+    )
+
+
 FROM, TO = ("yolo", "coco", "cvat", "voc"), ("yolo", "coco", "voc")
 
 
