@@ -236,21 +236,63 @@ def incremental_clusters(points: DataFrame, key: str, distance: float, least: in
     return incremental_levels(points, key, [distance]).where(F.col("size") >= least).select(key, "ord", "cluster_id")
 
 
-def suppress(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+def _overlap(a, b) -> Column:
+    """Intersection over union of two boxes of whole pixels, corners included."""
+    w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1)
+    h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1)
+    size = lambda x: (x["x2"] - x["x1"] + 1) * (x["y2"] - x["y1"] + 1)
+    return w * h / (size(a) + size(b) - w * h)
+
+
+#: Boxes of a group from which it is suppressed in rounds and not by a fold over its array.
+CROWD = 2000
+
+
+def suppress(boxes: DataFrame, keys: list[str], limit: float, crowd: int = CROWD) -> DataFrame:
     """Greedy suppression within each group of ``keys``: the highest score stays and removes what overlaps by more than ``limit``.
 
     Boxes need ord, score, x1, y1, x2, y2; of equal scores the later ord goes first.
-    The fold runs over a group's sorted array, inside the JVM.
+    Up to ``crowd`` boxes a group are folded as one sorted array, inside the JVM; the
+    groups beyond that go by :func:`suppress_in_rounds`, with the same result.
     """
+    sizes = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
+    large = cut(sizes.where(F.col("n_") > crowd).select(*keys))
+    if large.isEmpty():
+        return _folded(boxes, keys, limit)
+    some = boxes.join(large, keys, "left_semi")
+    return _folded(boxes.join(large, keys, "left_anti"), keys, limit).unionByName(suppress_in_rounds(some, keys, limit))
+
+
+def _folded(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
     item = F.struct(F.col("score").alias("score"), F.col("ord").alias("ord"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
     grouped = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     empty = F.filter("items", lambda i: F.lit(False))
+    kept = F.aggregate("items", empty, lambda state, i: F.when(F.exists(state, lambda k: _overlap(k, i) > limit), state).otherwise(F.array_append(state, i)))
+    return grouped.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.ord", "k.score")
 
-    def overlap(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1)
-        h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1)
-        size = lambda x: (x["x2"] - x["x1"] + 1) * (x["y2"] - x["y1"] + 1)
-        return w * h / (size(a) + size(b) - w * h)
 
-    kept = F.aggregate("items", empty, lambda state, i: F.when(F.exists(state, lambda k: overlap(k, i) > limit), state).otherwise(F.array_append(state, i)))
-    return grouped.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.ord", "k.score")
+def suppress_in_rounds(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """Suppression of crowded groups over a grid, without an array or a table of all pairs a group.
+
+    Cells are as wide as the group's largest box, so whatever overlaps a box lies in
+    the nine cells around its centre. In each round a box that outscores all boxes of
+    these cells stays, and it takes those it covers along; the rest goes on. Only the
+    best box of a cell and those that stay are joined with others.
+    """
+    side = boxes.groupBy(*keys).agg((F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) + 2).cast("double").alias("side"))
+    cell = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / F.col("side")).cast("long")
+    corners = ("x1", "y1", "x2", "y2")
+    left = boxes.join(side, keys).select(*keys, "ord", "score", *(F.col(c).cast("double").alias(c) for c in corners), cell("x1", "x2").alias("cx"), cell("y1", "y2").alias("cy"))
+    left, kept = cut(left), None
+    at = [*keys, "cx", "cy"]
+    while not left.isEmpty():
+        tops = _around(left.groupBy(*at).agg(F.max(F.struct("score", "ord")).alias("top")), 1)
+        best = tops.groupBy(*keys, F.col("nx").alias("cx"), F.col("ny").alias("cy")).agg(F.max("top").alias("top"))
+        stay = cut(left.join(best, at).where(F.struct("score", "ord") == F.col("top")).drop("top"))
+        own = _around(stay.select(*at, F.struct(*corners).alias("own")), 1).select(*keys, F.col("nx").alias("cx"), F.col("ny").alias("cy"), "own")
+        other = {c: F.col(c) for c in corners}
+        covered = left.join(own, at).where(_overlap(F.col("own"), other) > limit).select(*keys, "ord").distinct()
+        gone = covered.unionByName(stay.select(*keys, "ord")).distinct()
+        left = cut(left.join(gone, [*keys, "ord"], "left_anti"))
+        kept = stay if kept is None else kept.unionByName(stay)
+    return boxes.limit(0).select(*keys, "ord", "score") if kept is None else kept.select(*keys, "ord", "score")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import by_key, cut
+
 
 def even_places(total: Column, count: int) -> Column:
     """Array of ``count`` whole numbers evenly from 0 to total - 1, truncated, each once, ascending.
@@ -95,6 +97,97 @@ def gate(signal: DataFrame, key: str, limit: float, least_gap: int = 5, forced_g
     return signal.select(key, "frame_id", "signal").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, frame_id {kinds['frame_id']}")
 
 
+def _run(frames: list, signals: list, state: tuple, *rule) -> tuple[tuple, list]:
+    """The state after the frames, and those that were taken."""
+    taken = []
+    for f, s in zip(frames, signals):
+        state, take = gate_step(state, f, s, *rule)
+        if take:
+            taken.append(f)
+    return state, taken
+
+
+def gate_by_segments(
+    signal: DataFrame, key: str, limit: float, least_gap: int = 5, forced_gap: int = 15, most: int | None = 60, closing: bool = True, cumulative: bool = True, each: int = 4096
+) -> DataFrame:
+    """The keyframes of :func:`gate`, with a video spread over as many tasks as it has segments of ``each`` frame numbers.
+
+    What a segment must know of what lies before is the last frame taken: at most
+    ``forced_gap`` places are possible, as one farther away takes the next frame
+    whatever the signal is, and the signal summed since then follows from the frames
+    between, which the segment is given too. So each segment is run once for each of
+    these states, which gives a map from the state that enters to the state that
+    leaves and the number of frames taken. A video's maps are followed from its first
+    segment on, a few numbers a segment, and tell each segment the state that really
+    enters; with it the segments are run again and give their frames.
+    """
+    if each < forced_gap or least_gap > forced_gap:
+        raise ValueError("a segment must be as long as the forced gap, and that no shorter than the least one")
+    rule = (least_gap, forced_gap, limit, cumulative)
+    kinds = dict(signal.dtypes)
+    own = F.floor(F.col("frame_id") / each).cast("long")
+    rows = signal.select(key, "frame_id", F.col("signal").cast("double").alias("signal"), own.alias("segment"))
+    ahead = rows.where(F.pmod("frame_id", F.lit(each)) >= each - forced_gap).withColumn("segment", F.col("segment") + 1)
+    pieces = rows.withColumn("before", F.lit(False)).unionByName(ahead.withColumn("before", F.lit(True)))
+
+    def split(frame: pd.DataFrame) -> tuple[list, list, list, list]:
+        frame = frame.sort_values("frame_id")
+        past, now = frame[frame["before"]], frame[~frame["before"]]
+        return past["frame_id"].tolist(), past["signal"].tolist(), now["frame_id"].tolist(), now["signal"].tolist()
+
+    def entering(last: int | None, past: list, signals: list) -> tuple:
+        """The state of a segment's start, from the last frame taken."""
+        if last is None:
+            return None, 0.0, 0
+        total = 0.0
+        for f, s in zip(past, signals):
+            if f > last:
+                total += s if s is not None and math.isfinite(s) else 0.0
+        return last, total, 0
+
+    def maps(frame: pd.DataFrame) -> pd.DataFrame:
+        past, signals, frames, values = split(frame)
+        if not frames:
+            return pd.DataFrame([], columns=[key, "segment", "first", "enters", "leaves", "taken"])
+        states = [None, frames[0] - forced_gap, *(f for f in past if frames[0] - f < forced_gap)]
+        found = []
+        for last in states:
+            state, taken = _run(frames, values, entering(last, past, signals), *rule)
+            found.append((frame[key].iloc[0], frame["segment"].iloc[0], frames[0], last, state[0], len(taken)))
+        return pd.DataFrame(found, columns=[key, "segment", "first", "enters", "leaves", "taken"]).astype({"enters": "Int64"})
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        last, count, found = None, 0, []
+        for segment, part in frame.sort_values("segment").groupby("segment"):
+            first = int(part["first"].iloc[0])
+            state = None if last is None else last if first - last < forced_gap else first - forced_gap
+            found.append((frame[key].iloc[0], segment, state, count))
+            row = part[part["enters"].isna() if state is None else part["enters"] == state].iloc[0]
+            last, count = int(row["leaves"]), count + int(row["taken"])
+        return pd.DataFrame(found, columns=[key, "segment", "enters", "count"]).astype({"enters": "Int64"})
+
+    def again(frame: pd.DataFrame) -> pd.DataFrame:
+        past, signals, frames, values = split(frame)
+        if not frames:
+            return pd.DataFrame([], columns=[key, "frame_id", "nth"])
+        last = frame["enters"].iloc[0]
+        taken = _run(frames, values, entering(None if pd.isna(last) else int(last), past, signals), *rule)[1]
+        return pd.DataFrame({key: frame[key].iloc[0], "frame_id": taken, "nth": range(int(frame["count"].iloc[0]), int(frame["count"].iloc[0]) + len(taken))})
+
+    told = by_key(pieces, key, "segment").groupBy(key, "segment").applyInPandas(maps, f"{key} {kinds[key]}, segment long, first long, enters long, leaves long, taken long")
+    states = by_key(told, key).groupBy(key).applyInPandas(follow, f"{key} {kinds[key]}, segment long, enters long, count long")
+    known = by_key(pieces.join(cut(states), [key, "segment"]), key, "segment")
+    found = known.groupBy(key, "segment").applyInPandas(again, f"{key} {kinds[key]}, frame_id {kinds['frame_id']}, nth long")
+    if most is not None:
+        found = found.where(F.col("nth") < most)
+    found = cut(found.select(key, "frame_id"))
+    if not closing:
+        return found
+    ends = rows.groupBy(key).agg(F.max("frame_id").alias("end")).join(found.groupBy(key).agg(F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("n")), key)
+    late = ends.where(F.col("end") - F.col("last") >= least_gap)
+    return found.unionByName((late if most is None else late.where(F.col("n") < most)).select(key, F.col("end").alias("frame_id")))
+
+
 def invalid_runs(reg: DataFrame, key: str, least: int = 3) -> DataFrame:
     """Runs of at least ``least`` consecutive invalid rows: first, last and length."""
     at = Window.partitionBy(key).orderBy("frame_id")

@@ -50,6 +50,12 @@ def keyframe_gate(spark, sf_dir):
     return sampling.gate(frame_signal(spark, sf_dir), "video_id", 600.0)
 
 
+@query(_gate_sql(600.0, True, True, 60))
+def keyframe_gate_segments(spark, sf_dir):
+    """The same keyframes with each video cut into segments of 32 frames, whose state maps are followed."""
+    return sampling.gate_by_segments(frame_signal(spark, sf_dir), "video_id", 600.0, each=32)
+
+
 @query(_gate_sql(150.0, False, False, None))
 def scene_gate(spark, sf_dir):
     return sampling.gate(frame_signal(spark, sf_dir), "video_id", 150.0, most=None, closing=False, cumulative=False)

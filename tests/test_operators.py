@@ -343,3 +343,59 @@ def test_hamming_neighbours_by_brute_force(spark, words, k, flips):
 def test_sign_codes(spark):
     row = spark.createDataFrame([([1.0, -1.0, 0.0, 2.0] + [0.0] * 59 + [1.0] + [-1.0, 3.0],)], "v array<float>").select(matching.sign_code(F.col("v"), 66).alias("c")).first()
     assert row.c == [9 - 2**63, 2]
+
+
+def test_statistics_of_any_split_are_those_of_one_pass(spark, tmp_path):
+    from tallyframe.operators import statistics
+
+    draw = np.random.default_rng(8)
+    values = [float(v) for v in 1e6 + draw.normal(size=200)]
+    rows = spark.createDataFrame([(k % 3, k % 11, v) for k, v in enumerate(values)] + [(0, 1, None)], "kind long, run long, value double")
+    whole = {r.kind: r for r in statistics.summary(statistics.states(rows, ["kind"], "value"), ["kind"]).collect()}
+    path = str(tmp_path / "runs")
+    for run in (1, 2, 3, 2):  # the second one is repeated
+        statistics.add_run(statistics.states(rows.where(f"run % 3 = {run % 3}"), ["kind", "run"], "value").withColumnRenamed("run", "part"), path, f"r{run}")
+    merged = {r.kind: r for r in statistics.summary(statistics.load_runs(spark, path), ["kind"]).collect()}
+    for kind in range(3):
+        mine = np.array(values[kind::3])
+        for r in (whole[kind], merged[kind]):
+            assert r.n == len(mine) and (r.least, r.most) == (mine.min(), mine.max())
+            assert np.isclose(r["mean"], mine.mean(), rtol=1e-12) and np.isclose(r.deviation, mine.std(), rtol=1e-9)
+    none = statistics.summary(statistics.states(rows.limit(0), [], "value")).collect()
+    assert [tuple(r) for r in none] == [(0, 0.0, 0.0, 0.0, 0.0)]
+    assert statistics.summary(statistics.states(rows.limit(0), ["kind"], "value"), ["kind"]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.3, 0.7])
+def test_suppression_in_rounds_is_the_fold(spark, limit):
+    draw = np.random.default_rng(4)
+    rows = [(v, k, int(draw.integers(0, 9)), *map(float, (x, y, x + w, y + h))) for v in (1, 2) for k, (x, y, w, h) in enumerate(zip(*draw.integers(0, 120, (2, 150)), *draw.integers(1, 60, (2, 150))))]
+    frame = spark.createDataFrame(rows, "video_id long, ord long, score int, x1 double, y1 double, x2 double, y2 double")
+    fold = sorted(map(tuple, clustering.suppress(frame, ["video_id"], limit).collect()))
+    assert sorted(map(tuple, clustering.suppress(frame, ["video_id"], limit, crowd=10).collect())) == fold
+    mixed = frame.where("video_id = 1 or ord < 5")
+    assert sorted(map(tuple, clustering.suppress(mixed, ["video_id"], limit, crowd=10).collect())) == sorted(map(tuple, clustering.suppress(mixed, ["video_id"], limit).collect()))
+    assert clustering.suppress_in_rounds(frame.limit(0), ["video_id"], limit).count() == 0
+
+
+def test_a_frame_of_many_boxes(spark):
+    """100,000 boxes in one frame: copies of 2,000 places, of which one each stays."""
+    place = F.col("id") % 2000
+    x, y = (place % 50 * 40).cast("double"), (F.floor(place / 50) * 40).cast("double")
+    frame = spark.range(100_000).select(F.lit(1).alias("frame_id"), F.col("id").alias("ord"), F.floor(F.col("id") / 2000).alias("score"), x.alias("x1"), y.alias("y1"), (x + 19).alias("x2"), (y + 19).alias("y2"))
+    assert sorted(r.ord for r in clustering.suppress(frame, ["frame_id"], 0.5).collect()) == list(range(98_000, 100_000))
+
+
+def test_gates_by_segments_are_the_fold(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for v in range(4):
+        frames = np.flatnonzero(draw.random(700) < (1.0, 0.8, 0.3, 0.05)[v])
+        rows += [(v, int(f), None if draw.random() < 0.02 else float("nan") if draw.random() < 0.02 else float(draw.exponential(2.0))) for f in frames]
+    frame = spark.createDataFrame(rows, "video_id long, frame_id long, signal double").repartition(3)
+    for rule in ({}, {"most": None}, {"most": 7}, {"closing": False, "cumulative": False, "most": None}, {"least_gap": 1, "forced_gap": 3, "most": None}, {"least_gap": 8, "forced_gap": 8, "most": 20}):
+        want = sorted(map(tuple, sampling.gate(frame, "video_id", 12.0, **rule).collect()))
+        assert sorted(map(tuple, sampling.gate_by_segments(frame, "video_id", 12.0, **rule, each=16).collect())) == want
+    assert sampling.gate_by_segments(frame.limit(0), "video_id", 1.0).count() == 0
+    with pytest.raises(ValueError):
+        sampling.gate_by_segments(frame, "video_id", 1.0, each=4)
