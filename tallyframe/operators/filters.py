@@ -95,7 +95,7 @@ def blob(surface: Column, outline: Column, short_side: Column, roundest: float =
     return (surface >= low * low) & (surface <= high * high) & (F.coalesce(circularity(surface, outline), F.lit(0.0)) >= roundest)
 
 
-def checked_arguments(distance: float, least: int, uniform: int) -> None:
+def checked_arguments(distance: float, least: int, uniform: int = 30) -> None:
     """Raises where a setting makes no sense."""
     if not distance > 0:
         raise ValueError("the distance must be positive")

@@ -13,7 +13,7 @@ from ..functions.geometry import center, project
 from ..functions.naming import class_index
 from ..functions.session import cut
 from .clustering import density_levels, incremental_levels
-from .filters import DENSITY_THRESHOLDS
+from .filters import DENSITY_THRESHOLDS, checked_arguments
 from .registration import IDENTITY, anchor_places, entries, multi_anchor, preferred_root, roots
 from .voting import CLASSES, detector_vote
 
@@ -69,6 +69,8 @@ def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], poli
     """
     if not set(methods) <= {"density", "incremental"} or not set(policies) <= {"skip", "tracker", "identity"}:
         raise ValueError("unknown method or policy")
+    for distance, least in itertools.product(distances, least_seen):
+        checked_arguments(distance, least)
     same = F.array(*(F.lit(v) for v in IDENTITY))
     kept = F.when(F.col("valid"), F.col("h")).when(F.col("policy") == "identity", same)
     reg = reg.withColumn("policy", F.explode(F.array(*map(F.lit, policies))))

@@ -268,3 +268,10 @@ def label_folder_report(spark, sf_dir):
     kind = F.when(F.col("k") % 2 == 0, ".JPG").otherwise(".png")
     images = docs.where("k % 7 <> 0").select(F.concat(F.lit("a/b/img"), F.col("k").cast("string"), kind).alias("path"), F.lit(1).cast("long").alias("size"))
     return a.label_report(files, images.unionByName(docs.select(F.concat(F.lit("a/img"), F.col("k").cast("string"), F.lit(".txt")).alias("path"), F.lit(1).cast("long").alias("size"))))
+
+
+@query(f"""WITH n AS (SELECT doc_id AS image_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents)
+SELECT number AS image_id, category, x1, y1, x2, y2 FROM ({BOXES}) b JOIN n USING (image_id)""")
+def coco_renumbered(spark, sf_dir):
+    """COCO documents written, read and numbered anew over all of them."""
+    return _boxes(a.renumbered(a.coco_tables(a.to_coco(dataset(spark, sf_dir), each=300))))

@@ -215,8 +215,8 @@ def read(spark: SparkSession, path: str, kind: str, images: DataFrame | None = N
     """The annotation files of that kind under ``path``.
 
     ``yolo`` needs the ``images`` with their sizes; its classes are ``names``, or those
-    of ``classes.txt``, ids beyond them ``class_<id>``. Images of ``voc`` and ``cvat``
-    files are numbered by file name; ``names`` are the labels that count there.
+    of ``classes.txt``, ids beyond them ``class_<id>``. Images of ``coco`` files are numbered by their ids, those of ``voc`` and ``cvat``
+    files by file name; ``names`` are the labels that count there.
     """
     if kind == "yolo":
         if images is None:
@@ -227,7 +227,7 @@ def read(spark: SparkSession, path: str, kind: str, images: DataFrame | None = N
         used = lines.select(F.regexp_extract("value", r"^\s*(\d+)", 1).try_cast("long").alias("place")).where("place is not null")
         return parse_yolo(lines, images, class_names(listed, used))
     if kind == "coco":
-        return coco_tables(read_files(spark, path).where("name like '%.json'"), "content")
+        return renumbered(coco_tables(read_files(spark, path).where("name like '%.json'"), "content"))
     if kind == "voc":
         return voc_tables(_numbered(read_files(spark, path).where("name like '%.xml'"), "name"), "content", names)
     if kind == "cvat":
@@ -250,6 +250,13 @@ def convert(spark: SparkSession, source: str, target: str, from_kind: str, to_ki
     return data
 
 
+def renumbered(data: Dataset) -> Dataset:
+    """The images numbered from 0 in the order of their ids, the boxes along with them; boxes without an image go."""
+    numbers = numbered(data.images.select("image_id").distinct(), ["image_id"], "number_")
+    other = lambda df: df.join(numbers, "image_id").withColumn("image_id", F.col("number_")).drop("number_").select(*df.columns)
+    return Dataset(other(data.images), other(data.annotations), data.categories)
+
+
 def dangling(annotations: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
     """Annotations whose image is missing."""
     return annotations.join(images.select(key), key, "left_anti")
