@@ -205,6 +205,12 @@ def stream_keyframes(spark, sf_dir):
     return stateful.keyframes(spark, sf_dir, 600.0)
 
 
+@query(ORACLE["keyframe_gate"])
+def stream_keyframes_out_of_order(spark, sf_dir):
+    """The same with frames out of order over three batches, and the closing frame."""
+    return stateful.keyframes_out_of_order(spark, sf_dir, 600.0)
+
+
 @query(f"""WITH {KEPT_SQL}, o AS (SELECT *, min(ord) OVER (PARTITION BY video_id, obj_id) AS first FROM kept)
 SELECT video_id, ord, dense_rank() OVER (PARTITION BY video_id ORDER BY first) - 1 AS cluster_id FROM o""")
 def stream_dedup(spark, sf_dir):

@@ -40,6 +40,44 @@ def gate_stream(stream: DataFrame, limit: float, least_gap: int = 5, forced_gap:
     return stream.groupBy("video_id").applyInPandasWithState(update, "video_id long, frame_id long", "last long, total double, chosen long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ordered_gate_stream(stream: DataFrame, limit: float, least_gap: int = 5, forced_gap: int = 15, most: int = 60) -> DataFrame:
+    """Keyframes of a stream (video_id, frame_id, signal, ends) whose frames may come in any order over the batches.
+
+    Frames of a video are numbered from 0; ``ends`` marks its last one. A frame that
+    comes before its turn waits in the state, sorted, until those before it are there,
+    so the state holds as many frames as the stream is out of order. With the last frame
+    the closing frame is given as :func:`~tallyframe.operators.sampling.gate` does,
+    and the state forgets what it held. A frame that comes twice counts once.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, total, chosen, turn, end, held, signals = state.get if state.exists else (-1, 0.0, 0, 0, -1, [], [])
+        now, waiting, taken = (None if last < 0 else last, total, chosen), dict(zip(held, signals)), []
+        for rows in frames:
+            for f, s, e in zip(rows["frame_id"].tolist(), rows["signal"].tolist(), rows["ends"].tolist()):
+                if f >= turn:
+                    waiting[f] = s
+                end = f if e else end
+        while turn in waiting:
+            if now[2] < most:
+                now, take = gate_step(now, turn, waiting[turn], least_gap, forced_gap, limit, True)
+                if take:
+                    taken.append(turn)
+            del waiting[turn]
+            turn += 1
+        if 0 <= end == turn - 1 and now[0] is not None:
+            if end - now[0] >= least_gap and now[2] < most:
+                taken.append(end)
+                now = (end, 0.0, now[2] + 1)
+            end = -1
+        held = sorted(waiting)
+        state.update((-1 if now[0] is None else now[0], float(now[1]), int(now[2]), turn, end, held, [waiting[f] for f in held]))
+        yield pd.DataFrame({"video_id": [key[0]] * len(taken), "frame_id": taken}, dtype="int64")
+
+    kinds = "last long, total double, chosen long, turn long, end long, held array<long>, signals array<double>"
+    return stream.groupBy("video_id").applyInPandasWithState(update, "video_id long, frame_id long", kinds, "append", GroupStateTimeout.NoTimeout)
+
+
 def cluster_stream(stream: DataFrame, distance: float) -> DataFrame:
     """(video_id, ord, cluster_id) of a stream (video_id, ord, x, y): each point joins the nearest running mean within ``distance`` or founds a cluster."""
 
@@ -94,6 +132,14 @@ def keyframes(spark: SparkSession, sf_dir: str, limit: float, parts: int = 2) ->
     return _through_stream(signal.withColumn("part", (F.col("frame_id") >= 20).cast("int")), "part", parts, lambda s: gate_stream(s, limit))
 
 
+def keyframes_out_of_order(spark: SparkSession, sf_dir: str, limit: float, parts: int = 3) -> DataFrame:
+    from ..plans.fixtures import frame_signal, lengths
+
+    signal = frame_signal(spark, sf_dir).select("video_id", "frame_id", "signal")
+    ends = signal.join(lengths(signal), "video_id").withColumn("ends", F.col("frame_id") == F.col("total") - 1).drop("total")
+    return _through_stream(ends.withColumn("part", (F.col("frame_id") * 7 % parts).cast("int")), "part", parts, lambda s: ordered_gate_stream(s, limit))
+
+
 def sightings(spark: SparkSession, sf_dir: str, distance: float, parts: int = 2) -> DataFrame:
     from ..plans.observation_queries import placed
 
