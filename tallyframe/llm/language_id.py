@@ -6,10 +6,11 @@ the continuation counts of the lower orders; every n-gram of every language is
 kept. Small models are loaded: four pairs of sorted hash arrays a language
 (discounted probabilities by n-gram, back-off weights by context), looked up by
 binary search. Larger ones stay tables on Spark, and the distinct n-grams of the
-texts are joined with them, by the same formula. A text gets the language of lowest
-cross-entropy per character; a logistic curve over the distance to the runner-up
-turns it into the probability of being right, and texts below one half are
-marked as rejected.
+texts are joined with them. Both ways add the same whole numbers, log-probabilities
+in steps of ``1 / STEPS``, so they give the same scores. A text gets the language of
+lowest cross-entropy per character; a logistic curve over the distance to the
+runner-up turns it into the probability of being right, and texts below one half are
+marked as rejected. The curve is fitted on texts that no count has seen.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from .learning import fit_logistic, sigmoid
 ORDER, DISCOUNT = 4, 0.75
 #: Table rows and languages up to which models are loaded (beyond, they are joined); rows that calibrate; score below which a text is rejected.
 MOST_LOADED, MOST_LANGUAGES, CALIBRATION, REJECT_BELOW = 1_500_000, 64, 2000, 0.5
-#: Words whose scores a task remembers.
-MOST_KEPT = 300_000
+#: One in ``FOLD`` texts may calibrate, in languages of at least ``LEAST_ROWS`` rows among the others.
+FOLD, LEAST_ROWS = 8, 20
+#: Words whose scores a task remembers, and words scored together.
+MOST_KEPT, TOGETHER = 300_000, 200_000
+#: Steps of one nat in which log-probabilities are added, so that a sum depends neither on its order nor on a logarithm's last bit; digits of a score.
+STEPS, DIGITS = 2.0**20, 1e9
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 _EDGE = "\x01"
@@ -154,7 +159,7 @@ class Models:
         return np.where(keys[at] == wanted, values[at], other)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Natural logs for packed four-grams, one column a language."""
+        """Natural logs for packed four-grams in whole steps, one column a language."""
         out = np.empty((len(codes), len(self.languages)))
         for k, arrays in enumerate(self.arrays):
             p = np.full(len(codes), 1e-6)
@@ -166,7 +171,7 @@ class Models:
                     p = np.maximum(own, p)
                 else:
                     p = own + self._look(contexts, weights, mixed(code >> np.uint64(16)), 1.0) * p
-            out[:, k] = np.log(p)
+            out[:, k] = np.floor(np.log(p) * STEPS + 0.5)
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -186,20 +191,32 @@ class Models:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character and language, and the number of characters."""
-        if len(self._row) > MOST_KEPT:
-            self._forget()
-        split = [(t or "").lower().split() for t in texts]
-        self._learn(sorted(set().union(*split).difference(self._row)) if split else [])
-        row = self._row
-        at = np.fromiter((row[w] for words in split for w in words), np.int64)
         total = np.zeros((len(texts), self._values.shape[1]))
-        lengths = np.array([len(words) for words in split], np.int64)
-        full = np.flatnonzero(lengths)
-        if len(full):
-            starts = (np.cumsum(lengths) - lengths)[full]
-            total[full] = np.add.reduceat(self._values[at], starts, axis=0)
+        words: list[str] = []
+        pieces: list[tuple[int, int]] = []  # (text, words) in order; a long text is in several
+
+        def flush() -> None:
+            if len(self._row) > MOST_KEPT:
+                self._forget()
+            self._learn(sorted(set(words).difference(self._row)))
+            if words:
+                at = np.fromiter(map(self._row.__getitem__, words), np.int64, len(words))
+                owner, lengths = np.array(pieces, np.int64).T
+                np.add.at(total, owner, np.add.reduceat(self._values[at], np.cumsum(lengths) - lengths, axis=0))
+            words.clear()
+            pieces.clear()
+
+        for k, text in enumerate(texts):
+            found = (text or "").lower().split()
+            for first in range(0, len(found), TOGETHER):
+                some = found[first : first + TOGETHER]
+                words += some
+                pieces.append((k, len(some)))
+                if len(words) >= TOGETHER:
+                    flush()
+        flush()
         n = total[:, -1]
-        return -total[:, :-1] / np.maximum(n, 1)[:, None], n
+        return -total[:, :-1] / STEPS / np.maximum(n, 1)[:, None], n
 
     def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its distance to the runner-up per character, and whether there is any letter."""
@@ -213,7 +230,7 @@ class Models:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         best, gap, known = self.margins(texts)
-        score = np.where(known, sigmoid(self.slope * gap + self.intercept), 0.0)
+        score = np.where(known, np.floor(sigmoid(self.slope * gap + self.intercept) * DIGITS + 0.5) / DIGITS, 0.0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], score
 
     def calibrate(self, rows: DataFrame) -> None:
@@ -234,10 +251,6 @@ class Models:
             self.slope, self.intercept = curve(found["gap"].to_numpy(), found["right"].to_numpy())
 
 
-#: Steps of one nat in which log-probabilities are added, so that a sum does not depend on its order.
-STEPS = 2.0**32
-
-
 @dataclass
 class Joined:
     """Models that stay tables on Spark (``table``: lang, size, part, code, value)."""
@@ -247,7 +260,7 @@ class Joined:
     intercept: float = 0.0
 
     def log_probabilities(self, codes: DataFrame) -> DataFrame:
-        """(code, lang, log_p) of every language for four-grams (code)."""
+        """(code, lang, steps) of every language for four-grams (code)."""
         languages = [r.lang for r in self.table.select("lang").distinct().collect()]  # a name a language
         found = codes.select("code", F.explode(F.array(*map(F.lit, sorted(languages)))).alias("lang"), F.lit(1e-6).alias("p"))
         for size in range(1, ORDER + 1):
@@ -261,13 +274,13 @@ class Joined:
                 weights = one.where("part = 1").select("lang", F.col("code").alias("context"), F.col("value").alias("weight"))
                 found = found.withColumn("context", F.shiftrightunsigned("short", 16)).join(weights, ["lang", "context"], "left")
                 found = found.select("code", "lang", (F.col("own") + F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
-        return found.select("code", "lang", F.log("p").alias("log_p"))
+        return found.select("code", "lang", F.floor(F.log("p") * STEPS + 0.5).alias("steps"))
 
     def margins(self, texts: DataFrame) -> DataFrame:
         """(key, best, gap) as ``Models.margins``, for distinct texts (key, text) with any letter."""
         parts = cut(text_grams(texts))
         logs = self.log_probabilities(parts.select("code").distinct())
-        sums = parts.join(logs, "code").groupBy("key", "lang").agg(F.sum(F.col("n") * F.round(F.col("log_p") * STEPS).cast("long")).alias("logs"), F.sum("n").alias("n"))
+        sums = parts.join(logs, "code").groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("steps")).alias("logs"), F.sum("n").alias("n"))
         entropy = F.struct((-F.col("logs") / STEPS / F.col("n")).alias("entropy"), "lang")
         ranked = sums.groupBy("key").agg(F.sort_array(F.collect_list(entropy)).alias("r"), F.max("n").alias("n"))
         apart = F.when(F.size("r") > 1, F.get("r", F.lit(1))["entropy"] - F.col("r")[0]["entropy"]).otherwise(1.0)
@@ -284,20 +297,33 @@ def text_key(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
+def learnable(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows (lang, text) to count, and those that calibrate: up to ``CALIBRATION`` different texts.
+
+    They are the first by hash of one in ``FOLD`` texts; no copy of a chosen text is
+    counted under its language.
+    """
+    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.select("*", F.xxhash64("text").alias("drawn"), F.xxhash64("lang", "text").alias("mark"))
+    inside = F.pmod("drawn", F.lit(FOLD)) == 0
+    common = rows.where(~inside).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).select("lang")
+    drawn = rows.where(inside).select("lang", "drawn", "mark").distinct().join(common, "lang", "left_semi")
+    chosen = cut(drawn.orderBy("drawn", "mark").limit(CALIBRATION).select("mark"), small=True)
+    calibrating = rows.join(F.broadcast(chosen), "mark").groupBy("mark").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    return rows.join(F.broadcast(chosen), "mark", "left_anti").select("lang", "text"), calibrating.select("lang", "text")
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Models | Joined:
-    """Models from every row with text and language that is not held out.
+    """Models from every row with text and language that is not held out and does not calibrate.
 
     What comes to the driver is bounded: tables of ``MOST_LOADED`` rows and
     ``MOST_LANGUAGES`` languages, else none (``Joined``), and two numbers for each
-    of ``CALIBRATION`` rows, which are chosen by a hash of the id among those that
-    have one.
+    of the ``CALIBRATION`` texts (see ``learnable``). Without any of those the
+    score of a text with letters is one half.
     """
-    learnable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = cut(counted(learnable, text_col, lang_col))
-    rows = learnable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("id is not null")
-    rows = rows.withColumn("mark", F.xxhash64("lang", "text"))
-    chosen = rows.select("id", "mark").orderBy(F.xxhash64("id"), "id", "mark").limit(CALIBRATION).distinct()
-    rows = rows.join(F.broadcast(chosen), ["id", "mark"]).groupBy("id", "mark").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).select("lang", "text")
+    counting, rows = learnable(docs, text_col, lang_col, id_col)
+    counts = cut(counted(counting, "text", "lang"))
     full = cut(tables(counts))
     extent = full.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages")).first()
     if extent.n > MOST_LOADED or extent.languages > MOST_LANGUAGES:
@@ -317,7 +343,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             for p in (0, 1):
                 mine = np.flatnonzero((lang == names.index(name)) & (size == k) & (part == p))
                 order = np.argsort(key[mine])
-                both += [key[mine][order], value[mine][order].astype(np.float32)]
+                both += [key[mine][order], value[mine][order]]
             arrays[k] = tuple(both)
         models.arrays.append(arrays)
     models._forget()
@@ -337,7 +363,7 @@ def identify(docs: DataFrame, models: Models | Joined, text_col: str = "text", i
     if isinstance(models, Joined):
         rows = rows.withColumn("key", text_key("text"))
         found = models.margins(rows.select("key", "text").dropDuplicates(["key"]))
-        score = F.coalesce(1 / (1 + F.exp(-(models.slope * F.col("gap") + models.intercept))), F.lit(0.0))
+        score = F.coalesce(F.floor(DIGITS / (1 + F.exp(-(models.slope * F.col("gap") + models.intercept))) + 0.5) / DIGITS, F.lit(0.0))
         known = rows.drop("text").join(found, "key", "left").withColumn("score", score)
         return known.select("doc_id", "held_out", F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"), "score", (F.col("score") < REJECT_BELOW).alias("rejected"))
 
