@@ -2,14 +2,16 @@
 
 The tokens of a partition's documents, in their order, form one stream. Window
 cuts are chosen by dynamic programming over candidate positions: after a
-document (free), after a sentence (a small penalty), and at a grid of other
-places (a larger one). A window of n tokens costs its padding, ``window - n``,
-so with f(i) the least cost up to position i
+document (free) and after a sentence (a small penalty). Only a stretch that has
+neither for a sixteenth of a window, such as a list without full stops, may be cut
+inside, at a grid of places with a larger penalty, so that it costs no more padding
+than that. A window of n tokens costs its padding, ``window - n``, so with f(i) the
+least cost up to position i
 
     f(j) = penalty(j) + window - j + min over i in [j - window, j) of (f(i) + i)
 
 and the minimum slides: a monotone queue gives every f(j) in constant time. The
-last windows of a partition are powers of two, which need no padding.
+last windows of a partition are powers of two, which need no padding and end anywhere.
 
 Partitions are packed on their own, without a shuffle, in bounded blocks: the
 last, unfinished window of a block is carried into the next one.
@@ -31,8 +33,9 @@ from tokenizers import Tokenizer
 
 from .common import _ODD_SPACE
 
-#: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are.
-SENTENCE, ELSEWHERE, GRID = 8, 24, 48
+#: What it costs to cut a document after a sentence, and elsewhere, in tokens of padding; how far apart the other places are,
+#: and which part of a window a stretch without a boundary must be longer than to have them.
+SENTENCE, ELSEWHERE, GRID, STRETCH = 8, 24, 48, 16
 #: Tokens of a block; words remembered by a task, and by one that gives them back at its end.
 BLOCK, MOST_KEPT, MOST_LENT, LONGEST_KEPT = 1 << 20, 1_200_000, 300_000, 64
 MARK = "\x02"
@@ -111,10 +114,12 @@ def word_ids(vocabulary: str) -> WordIds:
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Increasing positions at which a window may end, and their penalties."""
     penalty = np.full(len(ids) + 1, -1, np.int32)
-    step = min(GRID, window)
-    penalty[step::step] = ELSEWHERE
     penalty[np.flatnonzero(np.isin(ids, sentence_ends)) + 1] = SENTENCE
     penalty[doc_ends] = 0
+    step, longest = min(GRID, window), max(window // STRETCH, 1)
+    bounds = np.append(0, np.flatnonzero(penalty[1:] >= 0) + 1)
+    for k in np.flatnonzero(np.diff(bounds) > longest):
+        penalty[bounds[k] + step : bounds[k + 1] : step] = ELSEWHERE
     at = np.flatnonzero(penalty[1:] >= 0) + 1
     return at, penalty[at]
 

@@ -69,6 +69,35 @@ def test_documents(spark, sf_dir):
     assert check([(r.doc_id, r.text) for r in docs.collect()], rows, 4096) < 0.01
 
 
+def cuts_inside(pieces, docs, words):
+    """Full windows' ends that stand neither after a document nor after a sentence."""
+    ids = {i: np.frombuffer(words.encode([t or ""])[0] + b"\2\0\0\0", "<u4") for i, t in docs}
+    last = {}
+    for r in pieces:
+        if r.sequence_id not in last or last[r.sequence_id].offset < r.offset:
+            last[r.sequence_id] = r
+    size = {k: r.offset + r.length for k, r in last.items()}
+    ends = [r for k, r in last.items() if size[k] & (size[k] - 1) or size[k] == 4096]
+    return [r for r in ends if r.start + r.length < r.doc_tokens and ids[r.doc_id][r.start + r.length - 1] not in words.sentence_ends], len(ends)
+
+
+def test_sentences_are_not_cut(spark):
+    rnd = random.Random(7)
+    sentence = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randrange(3, 90))) + rnd.choice(".!?")
+    texts = [(k, " ".join(sentence() for _ in range(rnd.choice([1, 5, 200])))) for k in range(300)]
+    rows = pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), VOCAB).collect()
+    inside, full = cuts_inside(rows, texts, WordIds(VOCAB))
+    assert full > 100
+    assert not inside
+    assert check(texts, rows, 4096) < 0.01
+
+
+def test_long_texts_without_sentences_are_cut_at_little_padding(spark):
+    texts = [(k, "word " * (3000 + 7 * k)) for k in range(40)] + [(99, "One. " * 300_000)]
+    rows = pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), VOCAB).collect()
+    assert check(texts, rows, 4096) < 0.01
+
+
 def test_small_windows_and_odd_rows(spark):
     texts = [(1, None), (2, ""), (3, "word " * 500), (4, "One. Two! Three? " * 40), (5, "x"), (None, "a b")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, offset int").coalesce(1)
