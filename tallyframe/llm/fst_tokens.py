@@ -21,6 +21,11 @@ states that a short run-up makes likely to (exit state, count). Neighbouring map
 are composed pairwise up a tree, all pairs of a level at once; an exit that is not
 in the next map's domain extends that map by running its chunk from it, so the
 composition is exact whatever the guesses were.
+
+Transitions on the first characters met stand in a table with a column each, those on
+all others in a table of fixed size addressed by a hash of (state, character), where a
+newer transition takes the place of an older one; both are looked up for all spans at
+once, and only transitions that are not there are worked out one by one.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ CHUNK = 512
 LONG, RUN_UP = 4 * CHUNK, 64
 #: Code points handled together, and states kept before the compiled part is dropped and built anew.
 BATCH_CHARS, MAX_STATES, MAX_SYMBOLS = 3_000_000, 120_000, 128
+#: Bits of an address in the table of transitions on characters without a column.
+RARE_BITS = 20
 
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0" + chr(0x1680) + "".join(map(chr, range(0x2000, 0x200B))) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000))
 
@@ -198,6 +205,9 @@ class Transducer:
         self.last = np.zeros(1 << 10, np.int8)
         self.next = np.full((1 << 10, MAX_SYMBOLS), -1, np.int32)
         self.delta = np.zeros((1 << 10, MAX_SYMBOLS), np.int8)
+        self.rare_key = np.full(1 << RARE_BITS, -1, np.int64)
+        self.rare_next = np.zeros(1 << RARE_BITS, np.int32)
+        self.rare_delta = np.zeros(1 << RARE_BITS, np.int8)
         self.start = self.intern(("S", "", self.pieces.root))
 
     def intern(self, state: tuple) -> int:
@@ -260,6 +270,20 @@ class Transducer:
             found = self.column[points]
         return found
 
+    def rare(self, states: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes of the count on characters without a column."""
+        key = (states << 21) | points
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - RARE_BITS)).astype(np.int64)
+        to, n = self.rare_next[slot], self.rare_delta[slot]
+        missing = np.flatnonzero(self.rare_key[slot] != key)
+        if len(missing):
+            distinct, back = np.unique(key[missing], return_inverse=True)
+            found = np.array([self.move(k >> 21, chr(k & 0x1FFFFF)) for k in distinct.tolist()])[back]
+            to[missing], n[missing] = found[:, 0], found[:, 1]
+            some = slot[missing]
+            self.rare_key[some], self.rare_next[some], self.rare_delta[some] = key[missing], to[missing], n[missing]
+        return to, n
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; texts hold no special strings."""
         if len(self.states) > MAX_STATES:
@@ -293,9 +317,9 @@ class Transducer:
             column = symbol.take(at)
             some = slice(None)
             if column.min() < 0:  # characters without a column of their own
-                for lane in np.flatnonzero(column < 0):
-                    now[lane], n = self.move(int(now[lane]), chr(points[at[lane]]))
-                    counts[lane] += n
+                lanes = np.flatnonzero(column < 0)
+                now[lanes], n = self.rare(now[lanes], points[at[lanes]].astype(np.int64))
+                counts[lanes] += n
                 some = np.flatnonzero(column >= 0)
                 column = column[some]
                 if not len(some):

@@ -83,3 +83,14 @@ def test_long_texts_without_resets_through_state_maps(monkeypatch):
     texts = [letters, mixed, "a" * 30_000, "ab" * 9_000, "'" * 7_000, "9" * 5_000, (" " + chr(0xA0)) * 4_000, chr(0x6F22) * 3_000 + "x", "short one", "x" * (fst_tokens.LONG + 1) + " y " + "z" * 5000]
     assert list(count_tokens(texts, VOCAB)) == library(texts)
     assert len(calls) == 10 and max(calls) == 1_000_000
+
+
+@pytest.mark.parametrize("bits", [2, 20])
+def test_characters_without_a_column_share_a_small_table(monkeypatch, bits):
+    monkeypatch.setattr(fst_tokens, "RARE_BITS", bits)
+    monkeypatch.setattr(fst_tokens, "transducer", fst_tokens.lru_cache(maxsize=1)(fst_tokens.Transducer))
+    rnd = random.Random(bits)
+    signs = [*map(chr, range(0x4E00, 0x5100)), *map(chr, range(0x1F600, 0x1F640)), *"ab ,.'", chr(0x3002)]
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(400))) for _ in range(120)] + ["".join(rnd.choices(signs[:500], k=9000))]
+    assert list(count_tokens(texts, VOCAB)) == library(texts)
+    assert list(count_tokens(texts[::-1], VOCAB)) == library(texts[::-1])
