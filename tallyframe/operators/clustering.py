@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import by_key, cut
+from . import groups
 
 
 def components(edges: DataFrame, key: str | list[str], most_rounds: int = 60) -> DataFrame:
@@ -97,14 +100,57 @@ def _touching(pairs: DataFrame, points: DataFrame, at: list[str]) -> DataFrame:
     return near.unionByName(seen).unionByName(rest.where(close).select(*both).distinct())
 
 
-def density_levels(points: DataFrame, key: str, distances: list[float], leasts: list[int]) -> DataFrame:
+#: Points of a group up to which it is clustered within one task, together with others.
+SMALL = 4096
+
+
+def density_levels(points: DataFrame, key: str, distances: list[float], leasts: list[int], small: int = SMALL) -> DataFrame:
     """(key, distance, least, ord, component): density clusters of points (key, ord, x, y) under every distance and every least number.
 
     At a distance and a least number a point with at least so many points within the
     distance, itself among them, is a core; connected cores are a cluster, named by
     its first core; another point joins the first cluster within reach, noise has no
-    row. Settings are rows, so there are as many jobs for a hundred of them as for one,
-    and what they have in common is found once:
+    row. Settings are rows, so there are as many jobs for a hundred of them as for one.
+
+    Groups of up to ``small`` points are sorted by key, one shuffle, and clustered many
+    at a time (:func:`small_levels`); larger ones are spread over tasks by their cells
+    (:func:`levels_by_cells`), with the same result.
+    """
+    points = cut(points.select(key, "ord", "x", "y"))
+    finite = (F.abs(c) < F.lit(float("inf")) for c in ("x", "y"))  # NaN is above all numbers
+    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(F.coalesce(next(finite) & next(finite), F.lit(False))).alias("fine_"))
+    large = cut(sizes.where((F.col("n_") > small) | ~F.col("fine_") | F.col(key).isNull()).select(key))
+    if large.isEmpty():
+        return small_levels(points, key, distances, leasts)
+    some = points.join(large, key, "left_semi")
+    return small_levels(points.join(large, key, "left_anti").where(F.col(key).isNotNull()), key, distances, leasts).unionByName(levels_by_cells(some, key, distances, leasts))
+
+
+def small_levels(points: DataFrame, key: str, distances: list[float], leasts: list[int]) -> DataFrame:
+    """:func:`density_levels` of groups that fit into a task: rows sorted by key, taken in slices of whole groups."""
+    wide, levels = sorted({float(d) for d in distances}), sorted(set(leasts))
+    kinds = dict(points.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, key):
+            x, y = (table[c].to_numpy() for c in ("x", "y"))
+            for distance in wide:
+                a, b = groups.pairs(group, x, y, distance)
+                near = np.bincount(a, minlength=len(x))
+                for least in levels:
+                    found = groups.components(len(x), a, b, least, near)
+                    at = np.flatnonzero(found < len(x))
+                    keys, ords = table[key].take(pa.array(at)), table["ord"].take(pa.array(at))
+                    first = table["ord"].take(pa.array(found[at]))
+                    rows = pa.table({key: keys, "distance": np.full(len(at), distance), "least": np.full(len(at), least, np.int32), "ord": ords, "component": first})
+                    yield from rows.to_batches(max_chunksize=65536)
+
+    placed = by_key(points.select(key, "ord", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), key).sortWithinPartitions(key, "ord")
+    return placed.mapInArrow(fold, f"{key} {kinds[key]}, distance double, least int, ord {kinds['ord']}, component {kinds['ord']}")
+
+
+def levels_by_cells(points: DataFrame, key: str, distances: list[float], leasts: list[int]) -> DataFrame:
+    """:func:`density_levels` of groups of any size; what settings have in common is found once:
 
     * points are gathered in square cells whose diagonal is the distance, so points of
       a cell are within reach of one another; which cells are within reach, in part or

@@ -78,8 +78,10 @@ def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], poli
     told = lambda more: F.xxhash64("frame_id", "h", F.lit(more))
     alike = reg.where("h is not null").groupBy(*side, "policy", "video_id").agg(F.sum(told(1).cast("decimal(38,0)")).cast("string").alias("one"), F.bit_xor(told(2)).cast("string").alias("other"))
     alike = cut(alike.select(*side, "policy", "video_id", F.concat_ws("|", F.col("video_id").cast("string"), "one", "other").alias("same")))
-    shown = alike.groupBy("same", "video_id").agg(F.min(F.struct(*side, "policy")).alias("s")).select("same", "video_id", "s.*")
-    placed = reg.where("h is not null").join(shown, [*side, "policy", "video_id"]).select(F.col("same").alias("key"), "video_id", "frame_id", "h")
+    shown = alike.groupBy("same", "video_id").agg(F.min(F.struct(*side, "policy")).alias("s"))
+    shown = cut(shown.select("same", "video_id", "s.*", F.monotonically_increasing_id().alias("key")))  # a number is shorter than a text in every row
+    alike = cut(alike.join(shown.select("same", "key"), "same").drop("same").withColumnRenamed("key", "same"))
+    placed = reg.where("h is not null").join(shown.drop("same"), [*side, "policy", "video_id"]).select("key", "video_id", "frame_id", "h")
     x, y = project(entries("h"), *center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
     points = det.join(placed, ["video_id", "frame_id"]).select("key", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
     points = cut(points)
