@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Sum of the squared sizes of the groups of one slice, unless a single one is larger: what bounds the pairs held.
-PAIRS_EACH = 1 << 23
+PAIRS_EACH = 1 << 24
 
 
 def slices(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

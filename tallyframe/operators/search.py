@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import center, project
 from ..functions.naming import class_index
-from ..functions.session import cut
+from ..functions.session import by_key, cut
+from . import groups
 from .clustering import density_levels, incremental_levels
 from .filters import DENSITY_THRESHOLDS, checked_arguments
 from .registration import IDENTITY, anchor_places, entries, multi_anchor, preferred_root, roots
@@ -104,39 +106,27 @@ def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], poli
     return scored.groupBy(*side, "policy", *how).agg(F.sum("l1").alias("l1"), F.max("worst").alias("worst"), F.count_if(F.col("l1") == 0).alias("exact"))
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Both directions of all pairs of points at most ``eps`` apart, each point with itself among them."""
-    cells = pd.DataFrame({"at": np.arange(len(x)), "cx": np.floor(x / eps).astype(np.int64), "cy": np.floor(y / eps).astype(np.int64)})
-    found = []
-    for i in (-1, 0, 1):
-        for j in (-1, 0, 1):
-            both = cells.merge(cells.assign(cx=cells["cx"] + i, cy=cells["cy"] + j), on=["cx", "cy"])
-            a, b = both["at_x"].to_numpy(), both["at_y"].to_numpy()
-            near = (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= eps * eps
-            found.append((a[near], b[near]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _counts(kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Clusters by voted class, of points in order with their pairs: as ``density_clusters`` and ``detector_vote``."""
+def _counts(group: np.ndarray, n_groups: int, kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Clusters by group and voted class, of points in order with their pairs: as ``density_clusters`` and ``detector_vote``."""
     n = len(kind)
-    core = np.bincount(a, minlength=n) >= least
-    a, b = a[core[b]], b[core[b]]  # from whatever lies around to cores
-    inner = core[a]
-    label = np.where(core, np.arange(n), n)
-    while True:
-        lower = label.copy()
-        np.minimum.at(lower, a[inner], label[b[inner]])
-        lower[core] = lower[lower[core]]
-        if (lower == label).all():
-            break
-        label = lower
-    np.minimum.at(label, a[~inner], label[b[~inner]])
+    label = groups.components(n, a, b, least)
     member = label < n
-    votes = np.zeros((n, CLASSES))
-    np.add.at(votes, (label[member], kind[member]), weight[member])
+    votes = np.bincount(label[member] * CLASSES + kind[member], weight[member], n * CLASSES).reshape(n, CLASSES)
     votes = votes.round(9)  # equal weights stay equal in whatever order they were added
-    return np.bincount(votes.argmax(axis=1)[votes.sum(axis=1) > 0], minlength=CLASSES)
+    voted = np.flatnonzero(votes.sum(axis=1) > 0)
+    return np.bincount(group[voted] * CLASSES + votes[voted].argmax(axis=1), minlength=n_groups * CLASSES).reshape(n_groups, CLASSES)
+
+
+_TRUE = [f"type{k}" for k in range(1, CLASSES + 1)]
+
+
+def _sorted(det: DataFrame, truth: DataFrame) -> DataFrame:
+    """Detections with their video's truth, the rows of a video one after another in one partition, in order."""
+    kept = det.select("video_id", "ord", class_index(F.col("class_name")).alias("kind"), F.col("confidence").cast("double").alias("confidence"), *(F.col(f"r{c}").cast("double").alias(c) for c in ("x", "y")))
+    for c in ("x", "y"):
+        kept = kept.where(F.abs(c) < F.lit(float("inf")))  # what has no place is near nothing
+    both = kept.join(truth.select("video_id", *_TRUE), "video_id")
+    return by_key(both, "video_id").sortWithinPartitions("video_id", "ord")
 
 
 def threshold_sweep(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> DataFrame:
@@ -145,41 +135,65 @@ def threshold_sweep(det: DataFrame, truth: DataFrame, kind: int, candidates: lis
     The detections (video_id, ord, class_name, confidence, and rx, ry in reference
     coordinates) that reach their class's threshold are clustered by density and
     classed by vote anew for every candidate; classes without a threshold are
-    dropped. One job for all candidates; a video is one group, whose pairs are
-    found once, and candidates between which no confidence lies are counted once.
+    dropped. One job for all candidates; many videos are folded at a time, their pairs
+    are found once, points that are not connected with any of the class are counted
+    once, as are candidates between which no confidence lies. Only sums leave a task.
     """
-    class_, confidence = class_index(F.col("class_name")), F.col("confidence")
+    truth = cut(truth)
+    return _swept(_sorted(det, truth), truth, kind, candidates, thresholds, least, distance)
+
+
+def _swept(rows: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int, distance: float) -> DataFrame:
+    """:func:`threshold_sweep` of rows as :func:`_sorted` leaves them."""
     limits = {k: thresholds[f"type{k}"] for k in range(1, CLASSES + 1) if k != kind and f"type{k}" in thresholds} | {kind: min(candidates)}
-    kept = det.select("video_id", "ord", class_.alias("kind"), confidence.cast("double").alias("confidence"), F.col("rx").alias("x"), F.col("ry").alias("y"))
-    kept = kept.where(" or ".join(f"kind = {k - 1} and confidence >= {limit!r}D" for k, limit in limits.items()))
-    names = [f"p{k}" for k in range(1, CLASSES + 1)]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        kinds, said = frame["kind"].to_numpy(np.int64), frame["confidence"].to_numpy()
-        a, b = _pairs(frame["x"].to_numpy(), frame["y"].to_numpy(), distance)
-        own, known, rows = kinds == kind - 1, {}, []
-        for at, candidate in enumerate(candidates):
-            alive = ~own | (said >= candidate)
-            size = int(alive.sum())
-            if size not in known:
+    kept = rows.where(" or ".join(f"kind = {k - 1} and confidence >= {limit!r}D" for k, limit in limits.items()))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(candidates), 2), np.int64)
+        for table, group in groups.slices(batches, "video_id"):
+            kinds, said, x, y = (table[c].to_numpy() for c in ("kind", "confidence", "x", "y"))
+            n_groups, at = int(group[-1]) + 1, np.flatnonzero(np.diff(group, prepend=-1))
+            true = np.stack([table[c].to_numpy()[at] for c in _TRUE], axis=1)
+            a, b = groups.pairs(group, x, y, distance)
+            whole = groups.first_reached(len(x), a, b)
+            moving = np.isin(whole, whole[kinds == kind - 1])
+            held = ~moving
+
+            def count(alive: np.ndarray) -> np.ndarray:
                 place, both = np.cumsum(alive) - 1, alive[a] & alive[b]
-                known[size] = _counts(kinds[alive], said[alive] ** 2, place[a[both]], place[b[both]], least)
-            rows.append((frame["video_id"].iloc[0], at, *known[size]))
-        return pd.DataFrame(rows, columns=["video_id", "at", *names])
-
-    found = kept.groupBy("video_id").applyInPandas(fold, f"video_id {dict(det.dtypes)['video_id']}, at int, " + ", ".join(f"{n} long" for n in names))
-    places = det.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("at"))
-    both = truth.crossJoin(F.broadcast(places)).join(found, ["video_id", "at"], "left")
-    error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
+                return _counts(group[alive], n_groups, kinds[alive], said[alive] ** 2, place[a[both]], place[b[both]], least)
+
+            still = count(held)
+            # only what can move is looked at again
+            place, both = np.cumsum(moving) - 1, moving[a]
+            a, b, group, kinds, said = place[a[both]], place[b[both]], group[moving], kinds[moving], said[moving]
+            own, known = kinds == kind - 1, {}
+            for k, candidate in enumerate(candidates):
+                alive = ~own | (said >= candidate)
+                size = int(alive.sum())
+                if size not in known:
+                    error = np.abs(true - still - count(alive)) - np.abs(true)
+                    known[size] = int(error.sum()), int(error[:, kind - 1].sum())
+                sums[k] += known[size]
+        yield pa.RecordBatch.from_pydict({"at": np.arange(len(candidates), dtype=np.int32), "every": sums[:, 0], "own": sums[:, 1]})
+
+    # a video without detections has its truth for an error, so the tasks give what theirs change
+    found = kept.mapInArrow(fold, "at int, every long, own long").groupBy("at").agg(F.sum("every").alias("more"), F.sum("own").alias("own_more"))
+    total = truth.agg(F.sum(sum((F.col(t) for t in _TRUE[1:]), F.col(_TRUE[0]))).alias("all_true"), F.sum(f"type{kind}").alias("own_true")).where("all_true is not null")
+    places = rows.sparkSession.range(len(candidates)).select(F.col("id").cast("int").alias("at")).crossJoin(F.broadcast(total))  # one row
+    both = places.join(F.broadcast(found), "at", "left")  # a row a candidate
     named = F.element_at(F.array(*(F.lit(float(c)) for c in candidates)), F.col("at") + 1)
-    return both.groupBy("at").agg(F.sum(sum(error[1:], error[0])).alias("every"), F.sum(error[kind - 1]).alias("own")).select(named.alias("candidate"), "every", "own")
+    return both.select(named.alias("candidate"), (F.col("all_true") + F.coalesce("more", F.lit(0))).alias("every"), (F.col("own_true") + F.coalesce("own_more", F.lit(0))).alias("own"))
+
+
+def _errors(swept: DataFrame, candidates: list[float]) -> dict[float, tuple[int, int]]:
+    found = {r["candidate"]: (r["every"], r["own"]) for r in swept.collect()}  # a row a candidate
+    return {c: found.get(float(c), (0, 0)) for c in candidates}
 
 
 def threshold_errors(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], thresholds: dict[str, float], least: int = 4, distance: float = 40.0) -> dict[float, tuple[int, int]]:
     """``threshold_sweep`` as a dictionary, for a search that goes on with it; candidates without any video have no error."""
-    found = {r["candidate"]: (r["every"], r["own"]) for r in threshold_sweep(det, truth, kind, candidates, thresholds, least, distance).collect()}  # a row a candidate
-    return {c: found.get(float(c), (0, 0)) for c in candidates}
+    return _errors(threshold_sweep(det, truth, kind, candidates, thresholds, least, distance), candidates)
 
 
 def errors_by_threshold(det: DataFrame, truth: DataFrame, kind: int, candidates: list[float], least: int = 4, distance: float = 40.0) -> dict[float, int]:
@@ -188,19 +202,24 @@ def errors_by_threshold(det: DataFrame, truth: DataFrame, kind: int, candidates:
 
 
 def descend(det: DataFrame, truth: DataFrame, start: dict[str, float] | None = None, step: float = 0.01, rounds: int = 3, least: int = 4, distance: float = 40.0) -> DataFrame:
-    """(class_name, threshold, error): each class's threshold in turn moves to the best candidate if the error of all classes is strictly smaller; stops when a round changes nothing."""
+    """(class_name, threshold, error): each class's threshold in turn moves to the best candidate if the error of all classes is strictly smaller; stops when a round changes nothing.
+
+    The detections are sorted by video once; every step reads them where they lie.
+    """
     now = dict(start or DENSITY_THRESHOLDS)
     truth = cut(truth)
+    rows = cut(_sorted(det, truth))
+    errors = lambda kind, some: _errors(_swept(rows, truth, kind, some, now, least, distance), some)
     candidates = [round(k * step, 6) for k in range(1, int(1 / step) + 1) if k * step < 1]
     for _ in range(rounds):
         changed = False
         for kind in range(1, CLASSES + 1):
             name = f"type{kind}"
-            found = threshold_errors(det, truth, kind, list(dict.fromkeys([now[name], *candidates])), now, least, distance)
+            found = errors(kind, list(dict.fromkeys([now[name], *candidates])))
             best = min(candidates, key=lambda c: (found[c][0], c))
             if found[best][0] < found[now[name]][0]:
                 now[name], changed = best, True
         if not changed:
             break
-    error = {f"type{k}": threshold_errors(det, truth, k, [now[f"type{k}"]], now, least, distance)[now[f"type{k}"]][1] for k in range(1, CLASSES + 1)}
+    error = {f"type{k}": errors(k, [now[f"type{k}"]])[now[f"type{k}"]][1] for k in range(1, CLASSES + 1)}
     return det.sparkSession.createDataFrame([(n, float(now[n]), int(error[n] or 0)) for n in sorted(now)], "class_name string, threshold double, error long")

@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tallyframe.operators import clustering, groups
+from tallyframe.operators import clustering, groups, search, voting
 
 
 def test_small_groups_are_clustered_in_one_task_as_by_cells(spark):
@@ -33,3 +34,23 @@ def test_pairs_of_groups_by_brute_force():
         a, b = groups.pairs(group, x, y, distance)
         near = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= distance**2) & (group[:, None] == group)
         assert sorted(zip(a.tolist(), b.tolist())) == [tuple(p) for p in np.argwhere(near).tolist()]
+
+
+def test_threshold_sweep_folds_many_videos_and_gives_sums_only(spark):
+    draw = np.random.default_rng(5)
+    rows = [(v, o, f"type{draw.integers(0, 6)}", int(draw.integers(1, 10)) / 10, float(draw.integers(0, 60)), float(draw.integers(0, 20))) for v, n in enumerate((30, 1, 45)) for o in range(n)]
+    det = spark.createDataFrame(rows, "video_id long, ord long, class_name string, confidence double, rx double, ry double")
+    truth = spark.createDataFrame([(v, 2, 0, 1, 3, 1) for v in range(4)], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    candidates, limits = [0.7, 0.2], {"type2": 0.3, "type3": 0.5, "type5": 0.1}
+    swept = search.threshold_sweep(det, truth, 2, candidates, limits, least=2, distance=4.0)
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    found = {r.candidate: (r.every, r.own) for r in swept.collect()}
+    for candidate in candidates:
+        least = {**limits, "type2": candidate}
+        kept = spark.createDataFrame([r for r in rows if r[2] in least and r[3] >= least[r[2]]], det.schema).withColumnsRenamed({"rx": "x", "ry": "y"}).withColumn("w", F.round(F.col("confidence") * F.col("confidence"), 9))
+        members = kept.join(clustering.density_clusters(kept, "video_id", 4.0, 2), ["video_id", "ord"])
+        counts = voting.dense_counts(voting.detector_vote(members, ["video_id", "cluster_id"], "w"), truth)
+        seen = {r.video_id: [r[f"type{k}"] for k in range(1, 6)] for r in counts.collect()}
+        errors = [[abs(t - p) for t, p in zip((2, 0, 1, 3, 1), seen[v])] for v in range(4)]
+        assert found[candidate] == (sum(map(sum, errors)), sum(e[1] for e in errors))
