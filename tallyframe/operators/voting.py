@@ -92,6 +92,32 @@ def vector_vote(
     return found.withColumn("pred_class", (F.array_position("class_probs", F.array_max("class_probs")) - 1).cast("int"))
 
 
+def vector_votes(sightings: DataFrame, keys: list[str], probs: str, confidence: str, order: str, settings: dict[str, tuple[float, float, bool]], sharpness: str = "sharpness", top: int = 10, best_bonus: float = 2.0) -> DataFrame:
+    """(setting, keys, pred_class): :func:`vector_vote` under several settings by name -- exponent, temperature, whether the best crop votes alone -- in one pass over the sightings."""
+    logs = lambda vector: F.transform(vector, lambda v: F.log(F.greatest(F.least(v, F.lit(1.0)), F.lit(1e-10))))
+    tempered = lambda vector, t: vector if t == 1.0 else F.when(vector.isNotNull(), softmax(logs(vector), t))
+    there, heats = F.col(probs).isNotNull(), sorted({t for _, t, _ in settings.values()})
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(confidence), order))
+    rows = sightings.select(*keys, order, confidence, sharpness, F.col(probs).alias("v_"), (there & (place <= top)).alias("in_"), *(tempered(F.col(probs), t).alias(f"v{n}_") for n, t in enumerate(heats)))
+    weight = lambda exponent: F.when(F.col("in_"), F.pow(F.col(confidence), exponent)).otherwise(0.0)
+    voters = {(e, t) for e, t, alone in settings.values() if not alone}
+    named = lambda e, t: f"e{sorted(voters).index((e, t))}"
+    sums = [F.sum(c).alias(n) for e, t in sorted(voters) for n, c in [(f"{named(e, t)}w", weight(e)), *((f"{named(e, t)}s{k}", F.coalesce(F.col(f"v{heats.index(t)}_")[k], F.lit(0.0)) * weight(e)) for k in range(CLASSES))]]
+    sharpest = F.when(F.col("v_").isNotNull(), F.struct(F.coalesce(F.col(sharpness).cast("double"), F.lit(0.0)), -F.col(order)))
+    summed = rows.groupBy(*keys).agg(*sums, *(F.max_by(f"v{n}_", sharpest).alias(f"best{n}") for n in range(len(heats))), F.max(confidence).alias("most"))
+
+    def told(name: str, exponent: float, temperature: float, alone: bool):
+        best = F.col(f"best{heats.index(temperature)}")
+        bonus = F.when(best.isNotNull(), best_bonus * F.pow("most", exponent)).otherwise(0.0)
+        part = lambda c: F.lit(0.0) if alone else F.col(named(exponent, temperature) + c)
+        whole = part("w") + bonus
+        shares = F.array(*(F.when(whole > 0, (part(f"s{k}") + F.coalesce(best[k], F.lit(0.0)) * bonus) / whole).otherwise(1 / CLASSES) for k in range(CLASSES)))
+        return F.struct(F.lit(name).alias("setting"), shares.alias("class_probs"))
+
+    found = summed.select(*keys, F.explode(F.array(*(told(name, *how) for name, how in settings.items()))).alias("t")).select("t.setting", *keys, "t.class_probs")
+    return found.withColumn("pred_class", (F.array_position("class_probs", F.array_max("class_probs")) - 1).cast("int")).drop("class_probs")
+
+
 def best_crops(sightings: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """The sighting of the sharpest, of the largest and of the surest crop; the first wins ties, null counts least."""
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))

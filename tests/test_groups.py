@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyframe.operators import clustering, groups, search, voting
+from tallyframe.operators import clustering, experiments, groups, search, voting
 
 
 def test_small_groups_are_clustered_in_one_task_as_by_cells(spark):
@@ -54,3 +54,14 @@ def test_threshold_sweep_folds_many_videos_and_gives_sums_only(spark):
         seen = {r.video_id: [r[f"type{k}"] for k in range(1, 6)] for r in counts.collect()}
         errors = [[abs(t - p) for t, p in zip((2, 0, 1, 3, 1), seen[v])] for v in range(4)]
         assert found[candidate] == (sum(map(sum, errors)), sum(e[1] for e in errors))
+
+
+def test_ways_to_vote_in_one_pass(spark):
+    draw = np.random.default_rng(6)
+    rows = [(o % 7, o, int(draw.integers(1, 50)), [float(p) for p in draw.dirichlet([1] * 5)] if o % 5 and o % 7 != 6 else None, float(draw.integers(0, 9)) if o % 3 else None) for o in range(150)]
+    seen = spark.createDataFrame(rows, "c long, ord long, quantity long, probs array<double>, sharpness double")
+    found = voting.vector_votes(seen, ["c"], "probs", "quantity", "ord", experiments.VOTES)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("- Window [") == 1
+    for name, (exponent, temperature, alone) in experiments.VOTES.items():
+        one = voting.vector_vote(seen, ["c"], "probs", "quantity", "ord", exponent=exponent, temperature=temperature, best_alone=alone)
+        assert {r.c: r.pred_class for r in found.where(F.col("setting") == name).collect()} == {r.c: r.pred_class for r in one.collect()}
