@@ -65,3 +65,13 @@ def test_ways_to_vote_in_one_pass(spark):
     for name, (exponent, temperature, alone) in experiments.VOTES.items():
         one = voting.vector_vote(seen, ["c"], "probs", "quantity", "ord", exponent=exponent, temperature=temperature, best_alone=alone)
         assert {r.c: r.pred_class for r in found.where(F.col("setting") == name).collect()} == {r.c: r.pred_class for r in one.collect()}
+
+
+def test_experiments_share_their_clusters(spark, monkeypatch):
+    rows = [(v, o, 10.0 * (o % 3), 0.0, f"type{o % 3 + 1}", 5) for v in range(2) for o in range(9)]
+    points = spark.createDataFrame(rows, "video_id long, ord long, x double, y double, class_name string, quantity long")
+    truth = spark.createDataFrame([(v, 1, 0, 0, 0, 0) for v in range(2)], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    calls, real = [], experiments.density_clusters
+    monkeypatch.setattr(experiments, "density_clusters", lambda *a: calls.append(1) or real(*a))
+    found = {r.experiment: r.l1_types for r in experiments.run(points, truth, ["no_dedup", "density", "density_equal_votes"]).collect()}
+    assert len(calls) == 1 and found == {"no_dedup": 16, "density": 0, "density_equal_votes": 0}
