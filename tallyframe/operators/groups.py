@@ -11,36 +11,47 @@ import pyarrow as pa
 PAIRS_EACH = 1 << 24
 
 
-def slices(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Slices of whole groups, and the number of each row's group within its slice, of batches whose rows of a group follow one another."""
+def _changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether each row but the first differs from the one before it in any of the keys."""
+    differs = np.zeros(max(0, table.num_rows - 1), bool)
+    for key in keys:
+        column = table.column(key) if isinstance(table, pa.RecordBatch) else table[key].combine_chunks()
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        differs |= codes[1:] != codes[:-1]
+    return differs
+
+
+def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = 0, most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Slices of whole groups, and the number of each row's group within its slice, of batches whose rows of a group follow one another.
+
+    Batches are gathered until they have ``rows`` rows. A slice ends before the squared
+    sizes of its groups add up to more than ``PAIRS_EACH``, or, where no pairs are made
+    of a group, before it has more than ``most`` rows.
+    """
+    keys = [key] if isinstance(key, str) else key
     held: list[pa.RecordBatch] = []
 
     def told() -> Iterator[tuple[pa.Table, np.ndarray]]:
         table = pa.Table.from_batches(held)
-        codes = table[key].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        sizes = np.diff(np.append(starts, len(codes)))
+        starts = np.flatnonzero(np.concatenate([[True], _changes(table, keys)]))
+        sizes = np.diff(np.append(starts, table.num_rows))
         at = 0
         while at < len(starts):
-            cost = np.cumsum(sizes[at:].astype(np.float64) ** 2)
-            n = max(1, int(np.searchsorted(cost, PAIRS_EACH, side="right")))
-            first, rows = starts[at], int(sizes[at : at + n].sum())
-            yield table.slice(first, rows), np.repeat(np.arange(len(sizes[at : at + n])), sizes[at : at + n])
+            cost = np.cumsum(sizes[at:].astype(np.float64) ** (1 if most else 2))
+            n = max(1, int(np.searchsorted(cost, most or PAIRS_EACH, side="right")))
+            first, many = starts[at], int(sizes[at : at + n].sum())
+            yield table.slice(first, many), np.repeat(np.arange(len(sizes[at : at + n])), sizes[at : at + n])
             at += n
 
     for batch in batches:
         if not batch.num_rows:
             continue
         # rows of the last group may go on in the next batch
-        last = batch.column(batch.schema.get_field_index(key))
-        same = last.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        change = np.flatnonzero(same[1:] != same[:-1])
-        if held:
-            before = held[-1].column(held[-1].schema.get_field_index(key))[held[-1].num_rows - 1]
-            if before != last[0]:
-                change = np.concatenate([[-1], change])
+        change = np.flatnonzero(_changes(batch, keys))
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in keys):
+            change = np.concatenate([[-1], change])
         cut = int(change[-1]) + 1 if len(change) else None
-        if cut is None:
+        if cut is None or sum(b.num_rows for b in held) + cut < rows:
             held.append(batch)
             continue
         if cut:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import compose
 from ..functions.session import by_key
+from . import groups
 from .matching import nearest_anchor
 from .sampling import even_places
 
@@ -78,34 +81,135 @@ def status(reg: DataFrame, key: str, ratio: float = 0.25) -> DataFrame:
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
+#: Rows that a task takes at a time to register whole videos, unless one has more.
+ROWS_EACH = 1 << 17
+
+
+class Trees:
+    """The pairs of many videos at once, as numpy arrays: the trees of their anchors, and their frames through them.
+
+    Rows have the number of their ``group``, ascending, ``frame``, ``anchor``, the group's
+    ``root``, nine entries ``h`` and an inlier ``ratio``. A tree is built for all groups
+    in steps, one rank of anchors a step; what does not depend on which pairs count is
+    found once. Nodes are the anchors and the root, with ``every`` all frames besides;
+    where no anchor is a frame of a pair there is no tree.
+    """
+
+    def __init__(self, group: np.ndarray, frame: np.ndarray, anchor: np.ndarray, root: np.ndarray, h: np.ndarray, ratio: np.ndarray, every: bool = False):
+        self.h, self.ratio = h, ratio
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        top, n, at_group = root[first], len(first), np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+        values, code = np.unique(np.concatenate([frame, anchor, top]), return_inverse=True)
+        code = np.concatenate([at_group, at_group, np.arange(n)]) * len(values) + code
+        of_frame, of_anchor, of_top = np.split(code, [len(frame), 2 * len(frame)])
+        self.nodes = np.unique(np.concatenate([of_anchor, of_top, of_frame if every else of_top]))
+        self.node_frame, self.node_group = values[self.nodes % len(values)], self.nodes // len(values)
+        self.first = first
+        away = np.abs(self.node_frame - top[self.node_group])
+        order = np.lexsort((self.node_frame, away, self.node_group))
+        rank = np.empty(len(order), np.int64)
+        begins = np.searchsorted(self.node_group, np.arange(n))
+        rank[order] = np.arange(len(order)) - begins[self.node_group]
+        self.anchor_at = np.searchsorted(self.nodes, of_anchor)
+        there = np.minimum(np.searchsorted(self.nodes, of_frame), len(self.nodes) - 1)
+        self.frame_at = np.where(self.nodes[there] == of_frame, there, -1)
+        named = np.full(len(self.nodes), every)
+        named[self.anchor_at] = True
+        inner = (self.frame_at >= 0) & named[self.frame_at]
+        self.roots = np.searchsorted(self.nodes, of_top)[np.unique(at_group[inner])]
+        near = np.abs(frame - anchor)
+        edge = np.flatnonzero(inner)
+        edge = edge[rank[self.anchor_at[edge]] < rank[self.frame_at[edge]]]
+        self.edge = edge[np.lexsort((rank[self.anchor_at[edge]], near[edge], self.frame_at[edge], rank[self.frame_at[edge]]))]
+        ranks = rank[self.frame_at[self.edge]]
+        self.steps = np.split(self.edge, np.flatnonzero(np.diff(ranks)) + 1) if len(ranks) else []
+        self.frames, self.of_frame = np.unique(of_frame, return_inverse=True)
+        self.frame_number, self.frame_group = values[self.frames % len(values)], self.frames // len(values)
+        self.order = np.lexsort((rank[self.anchor_at], near, self.of_frame))
+
+    def tree(self, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each node whether it hangs on the tree of the pairs that count, its transform to the root and its ratio."""
+        done, h, ratio = np.zeros(len(self.nodes), bool), np.zeros((len(self.nodes), 9)), np.zeros(len(self.nodes))
+        done[self.roots], h[self.roots], ratio[self.roots] = True, IDENTITY, 1.0
+        for step in self.steps:
+            some = step[valid[step] & done[self.anchor_at[step]]]
+            some = some[np.diff(self.frame_at[some], prepend=-1) != 0]  # the first of each anchor
+            own, outer = self.frame_at[some], self.anchor_at[some]
+            done[own], h[own], ratio[own] = True, composed(h[outer], self.h[some]), np.fmin(self.ratio[some], ratio[outer])
+        return done, h, ratio
+
+    def through(self, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each frame the node it goes by, -1 for none, its transform and its ratio."""
+        done, h, ratio = self.tree(valid)
+        used = np.full(len(self.frames), -1)
+        found, least = np.zeros((len(self.frames), 9)), np.zeros(len(self.frames))
+        some = self.order[valid[self.order] & done[self.anchor_at[self.order]]]
+        some = some[np.diff(self.of_frame[some], prepend=-1) != 0]
+        at, outer = self.of_frame[some], self.anchor_at[some]
+        used[at], found[at], least[at] = outer, composed(h[outer], self.h[some]), np.fmin(self.ratio[some], ratio[outer])
+        own = np.minimum(np.searchsorted(self.nodes, self.frames), len(self.nodes) - 1)
+        itself = (self.nodes[own] == self.frames) & done[own]
+        used[itself], found[itself], least[itself] = own[itself], h[own[itself]], ratio[own[itself]]
+        return used, found, least
+
+
+def composed(outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Matrix products of rows of nine entries, summed as :func:`~tallyframe.functions.geometry.compose` does."""
+    return np.stack(compose([outer[:, k] for k in range(9)], [inner[:, k] for k in range(9)]), axis=1)
+
+
+def matrices(column: pa.ChunkedArray, there: np.ndarray) -> np.ndarray:
+    """Nine entries a row, zeros where there are none."""
+    h = np.zeros((len(column), 9))
+    h[there] = column.filter(pa.array(there)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 9)
+    return h
+
+
+def listed(h: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Rows of nine entries as lists, null where they are not there."""
+    ends = np.concatenate([[0], np.cumsum(there) * 9]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(h[there].ravel()), mask=pa.array(~there))
+
+
+def _by_trees(pairs: DataFrame, keys: list[str], root: int | str, frames: bool) -> DataFrame:
+    """Whole videos, many a task's slice; ``frames`` asks for all frames, else for anchors."""
+    kinds = dict(pairs.dtypes)
+    fine = F.coalesce(F.col("valid") & F.col("h").isNotNull(), F.lit(False))
+    top = (F.lit(root) if isinstance(root, int) else F.col(root)).cast("long")
+    told = pairs.select(*keys, F.col("frame_id").cast("long").alias("frame_"), F.col("anchor_id").cast("long").alias("anchor_"), top.alias("root_"), F.when(fine, F.col("h").cast("array<double>")).alias("h"), F.col("inlier_ratio").cast("double").alias("ratio_"), fine.alias("fine_"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, keys, ROWS_EACH, ROWS_EACH):
+            valid = table["fine_"].to_numpy()
+            trees = Trees(group, *(table[c].to_numpy() for c in ("frame_", "anchor_", "root_")), matrices(table["h"], valid), table["ratio_"].to_numpy(), not frames)
+            if frames:
+                used, h, ratio = trees.through(valid)
+                fits, at, number = used >= 0, trees.frame_group, trees.frame_number
+                more = {"anchor_id": pa.array(trees.node_frame[used], mask=~fits)}
+            else:
+                fits, h, ratio = trees.tree(valid)
+                at, number, more = trees.node_group, trees.node_frame, {}
+            named = {k: table[k].take(pa.array(trees.first[at])) for k in keys}
+            rows = pa.table(named | {"frame_id": number} | more | {"h": listed(h, fits), "valid": fits, "inlier_ratio": np.where(fits, ratio, 0.0)})
+            yield from rows.to_batches(max_chunksize=65536)
+
+    placed = by_key(told, *keys).sortWithinPartitions(*keys)
+    schema = f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, frame_id long{', anchor_id long' if frames else ''}, h array<double>, valid boolean, inlier_ratio double"
+    found = placed.mapInArrow(fold, schema).withColumn("frame_id", F.col("frame_id").cast(kinds["frame_id"]))
+    return found.withColumn("anchor_id", F.col("anchor_id").cast(kinds["anchor_id"])) if frames else found
+
+
 def anchor_transforms(pairs: DataFrame, key: str | list[str], root: int | str) -> DataFrame:
     """(key, frame_id, h, valid, inlier_ratio): the anchors' transforms to the root, composed outward along a tree.
 
     ``pairs`` has the transforms between anchors (key, frame_id, anchor_id, h, valid,
     inlier_ratio); ``root`` is a frame, or the column that names each video's. Anchors
     are taken in order of their distance to the root; each hangs on the nearest anchor
-    before it that is valid and registers with it, and without any it is invalid. A
-    video's few anchors are one group.
+    before it that is valid and registers with it, and without any it is invalid. Many
+    videos are sorted into a task and folded at a time (:class:`Trees`).
     """
     keys = [key] if isinstance(key, str) else key
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        top = int(frame["root_"].iloc[0])
-        local = {(r.frame_id, r.anchor_id): (np.array(r.h).reshape(3, 3), r.inlier_ratio) for r in frame.itertuples() if r.valid}
-        done = {top: (np.eye(3), 1.0)}
-        names = sorted({*frame["frame_id"], *frame["anchor_id"]} - {top}, key=lambda a: (abs(a - top), a))
-        for a in names:
-            near = sorted((b for b in done if (a, b) in local), key=lambda b: (abs(b - a), abs(b - top), b))
-            if near:
-                (h, ratio), (outer, least) = local[a, near[0]], done[near[0]]
-                done[a] = outer @ h, min(ratio, least)
-        first = frame.iloc[0]
-        rows = [(*(first[k] for k in keys), a, done[a][0].ravel().tolist() if a in done else None, a in done, float(done[a][1]) if a in done else 0.0) for a in [top, *names]]
-        return pd.DataFrame(rows, columns=[*keys, "frame_id", "h", "valid", "inlier_ratio"])
-
-    kinds = dict(pairs.dtypes)
-    told = pairs.withColumn("root_", F.lit(root) if isinstance(root, int) else F.col(root)).select(*keys, "frame_id", "anchor_id", "h", "valid", "inlier_ratio", "root_")
-    return by_key(told, *keys).groupBy(*keys).applyInPandas(fold, f"{', '.join(f'{k} {kinds[k]}' for k in keys)}, frame_id {kinds['frame_id']}, h array<double>, valid boolean, inlier_ratio double")
+    return _by_trees(pairs, keys, root, False)
 
 
 def multi_anchor(pairs: DataFrame, key: str | list[str], root: int | str) -> DataFrame:
@@ -115,21 +219,10 @@ def multi_anchor(pairs: DataFrame, key: str | list[str], root: int | str) -> Dat
     too; ``root`` is a frame, or the column that names each video's. A valid anchor
     keeps its own transform; another frame takes the first anchor, by distance, by
     distance to the root, by number, that is valid and registers with it; without any
-    it is invalid.
+    it is invalid. One shuffle; many videos are folded at a time (:class:`Trees`).
     """
     keys = [key] if isinstance(key, str) else key
-    pairs = pairs.withColumn("root_", F.lit(root) if isinstance(root, int) else F.col(root))
-    anchors_ = pairs.select(*keys, F.col("anchor_id").alias("frame_id")).distinct()
-    to_root = anchor_transforms(pairs.join(anchors_, [*keys, "frame_id"], "left_semi"), keys, "root_")
-    own = to_root.where("valid").select(*keys, F.col("frame_id").alias("anchor_id"), F.col("h").alias("ha"), F.col("inlier_ratio").alias("ia"))
-    both = pairs.where("valid").join(own, [*keys, "anchor_id"])
-    ordered = lambda near, out: F.struct(near.cast("long").alias("near"), out.cast("long").alias("out"), "anchor_id")
-    order = ordered(F.abs(F.col("frame_id") - F.col("anchor_id")), F.abs(F.col("anchor_id") - F.col("root_")))
-    found = both.select(*keys, "frame_id", order.alias("o"), F.struct("anchor_id", F.array(*compose(entries("ha"), entries("h"))).alias("h"), F.least("inlier_ratio", "ia").alias("inlier_ratio")).alias("r"))
-    itself = own.select(*keys, F.col("anchor_id").alias("frame_id"), ordered(F.lit(-1), F.lit(-1)).alias("o"), F.struct("anchor_id", F.col("ha").alias("h"), F.col("ia").alias("inlier_ratio")).alias("r"))
-    best = found.unionByName(itself).groupBy(*keys, "frame_id").agg(F.min_by("r", "o").alias("r"))
-    every = pairs.select(*keys, "frame_id").distinct().join(best, [*keys, "frame_id"], "left")
-    return every.select(*keys, "frame_id", "r.anchor_id", "r.h", F.col("r").isNotNull().alias("valid"), F.coalesce("r.inlier_ratio", F.lit(0.0)).alias("inlier_ratio"))
+    return _by_trees(pairs, keys, root, True)
 
 
 def single_anchor(pairs: DataFrame, key: str, root: int, features: str = "features", least: int = 15) -> DataFrame:
