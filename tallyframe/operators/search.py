@@ -16,7 +16,7 @@ from ..functions.session import by_key, cut
 from . import groups
 from .clustering import density_levels, incremental_levels
 from .filters import DENSITY_THRESHOLDS, checked_arguments
-from .registration import IDENTITY, anchor_places, entries, multi_anchor, preferred_root, roots
+from .registration import IDENTITY, ROWS_EACH, Trees, anchor_places, entries, listed, matrices, preferred_root, roots
 from .voting import CLASSES, detector_vote
 
 
@@ -36,8 +36,8 @@ def sequences(
     features of each frame (feature, key, frame_id, features), frames numbered from 0.
     Anchors are even places with the root among them, the root the ``first`` or the
     ``middle`` frame or, where that has too few features, another anchor of this video.
-    A pair counts if it has enough matches and inliers. Settings are rows: their number
-    changes neither the plan nor the number of jobs.
+    A pair counts if it has enough matches and inliers. A video's pairs are dealt once,
+    whatever the number of settings is, which its fold goes through.
     """
     if min(counts) < 2 or not set(strategies) <= {"first", "middle"}:
         raise ValueError("at least two anchors, and first or middle as a strategy")
@@ -49,10 +49,40 @@ def sequences(
     chosen = placed.select(*setting, "preferred", F.explode(places).alias("anchor_id"))
     known = chosen.join(frames.select("feature", key, F.col("frame_id").alias("anchor_id"), "features"), ["feature", key, "anchor_id"], "left")
     chosen = chosen.drop("preferred").join(roots(known, setting, least=least_features), setting)
-    gated = pairs.join(chosen, ["feature", key, "anchor_id"]).withColumn("g", _literals(ratio=[float(r) for r in ratios], least_matches=matches))
-    fine = (F.col("inlier_ratio") >= F.col("g.ratio")) & (F.col("matches") >= F.col("g.least_matches"))
-    gated = gated.select(*setting, "root", "frame_id", "anchor_id", "h", "inlier_ratio", F.col("g.ratio").alias("ratio"), F.col("g.least_matches").alias("matches"), fine.alias("valid"))
-    return multi_anchor(gated, ["feature", "strategy", "anchors", "ratio", "matches", key], "root").drop("anchor_id", "inlier_ratio")
+    places_ = chosen.select("feature", key, F.col("anchor_id").cast("long").alias("anchor_"), F.col("root").cast("long").alias("root_"), (F.array_position(F.array(*map(F.lit, strategies)), F.col("strategy")) - 1).cast("int").alias("strategy_"), F.col("anchors").cast("int").alias("anchors_"))
+    told = pairs.select("feature", key, F.col("frame_id").cast("long").alias("frame_"), F.col("anchor_id").cast("long").alias("anchor_"), F.col("h").cast("array<double>").alias("h"), F.coalesce(F.col("inlier_ratio").cast("double"), F.lit(float("-inf"))).alias("ratio_"), F.coalesce(F.col("matches").cast("long"), F.lit(-(2**63))).alias("matches_"))
+    told = by_key(told.unionByName(places_, allowMissingColumns=True), "feature", key).sortWithinPartitions("feature", key)
+    kinds = dict(pairs.dtypes)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs and chosen anchors of whole videos; the trees of a choice of anchors are laid out once for all limits of pairs."""
+        for table, group in groups.slices(batches, ["feature", key], ROWS_EACH, ROWS_EACH):
+            is_pair = table["strategy_"].is_null().to_numpy()
+            begins = np.flatnonzero(np.diff(group, prepend=-1))
+            pair_group, chosen_group = group[is_pair], group[~is_pair]
+            of_pairs, of_chosen = table.filter(pa.array(is_pair)), table.filter(pa.array(~is_pair))
+            there = of_pairs["h"].is_valid().to_numpy()
+            h, frame, anchor, ratio, said = matrices(of_pairs["h"], there), *(of_pairs[c].to_numpy() for c in ("frame_", "anchor_", "ratio_", "matches_"))
+            values, code = np.unique(np.concatenate([anchor, of_chosen["anchor_"].to_numpy()]), return_inverse=True)
+            code = np.concatenate([pair_group, chosen_group]) * len(values) + code
+            for nth, count in itertools.product(range(len(strategies)), sorted(set(counts))):
+                mine = (of_chosen["strategy_"].to_numpy() == nth) & (of_chosen["anchors_"].to_numpy() == count)
+                root = np.zeros(len(begins), np.int64)
+                root[chosen_group[mine]] = of_chosen["root_"].to_numpy()[mine]
+                some = np.flatnonzero(np.isin(code[: len(anchor)], code[len(anchor) :][mine]))
+                if not len(some):
+                    continue
+                trees = Trees(pair_group[some], frame[some], anchor[some], root[pair_group[some]], h[some], ratio[some])
+                of = begins[pair_group[some][trees.first[trees.frame_group]]]
+                for least_ratio, least_matches in itertools.product(ratios, matches):
+                    used, found, _ = trees.through(there[some] & ~(ratio[some] < least_ratio) & (said[some] >= least_matches))
+                    fits, size = used >= 0, len(used)
+                    rows = {"feature": table["feature"].take(pa.array(of)), "strategy": pa.array([strategies[nth]]).take(pa.array(np.zeros(size, np.int32))), "anchors": np.full(size, count, np.int32), "ratio": np.full(size, float(least_ratio))}
+                    rows |= {"matches": np.full(size, least_matches, np.int32), key: table[key].take(pa.array(of)), "frame_id": trees.frame_number, "h": listed(found, fits), "valid": fits}
+                    yield from pa.table(rows).to_batches(max_chunksize=65536)
+
+    found = told.mapInArrow(fold, f"feature {kinds['feature']}, strategy string, anchors int, ratio double, matches int, {key} {kinds[key]}, frame_id long, h array<double>, valid boolean")
+    return found.withColumn("frame_id", F.col("frame_id").cast(kinds["frame_id"]))
 
 
 def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], policies: list[str], methods: list[str], distances: list[float], least_seen: list[int]) -> DataFrame:

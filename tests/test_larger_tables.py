@@ -30,3 +30,8 @@ def test_trees_of_many_videos_at_once_by_the_definition(spark, monkeypatch):
     monkeypatch.setattr(registration, "ROWS_EACH", 50)
     for df in (found, registration.multi_anchor(frame, "video_id", "root")):
         assert {(r.video_id, r.frame_id): (r.anchor_id, r.valid, r.h[2] if r.h else None, r.inlier_ratio) for r in df.collect()} == wanted
+
+
+def test_registrations_under_many_settings_take_one_shuffle(spark, sf_dir):
+    plan = catalog.QUERIES["register_settings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
