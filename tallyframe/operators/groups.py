@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..functions.session import by_key
 
 #: Sum of the squared sizes of the groups of one slice, unless a single one is larger: what bounds the pairs held.
 PAIRS_EACH = 1 << 24
@@ -63,6 +66,34 @@ def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int =
         yield from told()
 
 
+#: Rows that :func:`folded` takes at a time.
+ROWS_EACH = 1 << 16
+
+
+def folded(df: DataFrame, keys: list[str], order: str, fold: Callable[[dict[str, list]], list[tuple]], more: dict[str, str]) -> DataFrame:
+    """(keys, more): what ``fold`` makes of each group's columns, lists in ``order``; the columns ``more`` are longs or doubles.
+
+    For many small groups: rows are sorted by key in one shuffle and whole groups are
+    taken from Arrow batches, so a group costs its rows and no frame of its own.
+    """
+    kinds, arrow = dict(df.dtypes), {"long": pa.int64(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in slices(batches, keys, ROWS_EACH, ROWS_EACH):
+            columns = {c: table[c].to_pylist() for c in table.column_names}
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            rows, at = [], []
+            for low, high in zip(starts, [*starts[1:], table.num_rows]):
+                found = fold({c: v[low:high] for c, v in columns.items()})
+                rows += found
+                at += [low] * len(found)
+            told = {c: pa.array([r[n] for r in rows], arrow[t]) for n, (c, t) in enumerate(more.items())}
+            yield from pa.table({k: table[k].take(pa.array(at, pa.int64())) for k in keys} | told).to_batches(max_chunksize=65536)
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} {t}" for c, t in more.items())])
+    return by_key(df, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def _close_up(places: np.ndarray) -> np.ndarray:
     """Whole numbers with gaps of more than two narrowed to two: neighbours stay neighbours, others do not become any."""
     values, at = np.unique(places, return_inverse=True)

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import by_key, cut
+from ..functions.session import cut
+from . import groups
 
 
 def even_places(total: Column, count: int) -> Column:
@@ -126,14 +127,17 @@ def gate_by_segments(
     rule = (least_gap, forced_gap, limit, cumulative)
     kinds = dict(signal.dtypes)
     own = F.floor(F.col("frame_id") / each).cast("long")
-    rows = signal.select(key, "frame_id", F.col("signal").cast("double").alias("signal"), own.alias("segment"))
+    rows = signal.select(key, F.col("frame_id").cast("long").alias("frame_id"), F.col("signal").cast("double").alias("signal"), own.alias("segment"))
     ahead = rows.where(F.pmod("frame_id", F.lit(each)) >= each - forced_gap).withColumn("segment", F.col("segment") + 1)
     pieces = rows.withColumn("before", F.lit(False)).unionByName(ahead.withColumn("before", F.lit(True)))
 
-    def split(frame: pd.DataFrame) -> tuple[list, list, list, list]:
-        frame = frame.sort_values("frame_id")
-        past, now = frame[frame["before"]], frame[~frame["before"]]
-        return past["frame_id"].tolist(), past["signal"].tolist(), now["frame_id"].tolist(), now["signal"].tolist()
+    def split(rows: dict[str, list]) -> tuple[list, list, list, list]:
+        parts: tuple[list, list, list, list] = ([], [], [], [])
+        for f, s, before in zip(rows["frame_id"], rows["signal"], rows["before"]):
+            frames, values = parts[:2] if before else parts[2:]
+            frames.append(f)
+            values.append(s)
+        return parts
 
     def entering(last: int | None, past: list, signals: list) -> tuple:
         """The state of a segment's start, from the last frame taken."""
@@ -145,39 +149,37 @@ def gate_by_segments(
                 total += s if s is not None and math.isfinite(s) else 0.0
         return last, total, 0
 
-    def maps(frame: pd.DataFrame) -> pd.DataFrame:
-        past, signals, frames, values = split(frame)
-        if not frames:
-            return pd.DataFrame([], columns=[key, "segment", "first", "enters", "leaves", "taken"])
-        states = [None, frames[0] - forced_gap, *(f for f in past if frames[0] - f < forced_gap)]
+    def maps(rows: dict[str, list]) -> list[tuple]:
+        past, signals, frames, values = split(rows)
         found = []
-        for last in states:
+        for last in [None, frames[0] - forced_gap, *(f for f in past if frames[0] - f < forced_gap)] if frames else []:
             state, taken = _run(frames, values, entering(last, past, signals), *rule)
-            found.append((frame[key].iloc[0], frame["segment"].iloc[0], frames[0], last, state[0], len(taken)))
-        return pd.DataFrame(found, columns=[key, "segment", "first", "enters", "leaves", "taken"]).astype({"enters": "Int64"})
+            found.append((frames[0], last, state[0], len(taken)))
+        return found
 
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+    def follow(rows: dict[str, list]) -> list[tuple]:
+        by_segment: dict[int, dict] = {}
+        for segment, first, enters, leaves, taken in zip(*(rows[c] for c in ("segment", "first", "enters", "leaves", "taken"))):
+            by_segment.setdefault(segment, {"first": first})[enters] = leaves, taken
         last, count, found = None, 0, []
-        for segment, part in frame.sort_values("segment").groupby("segment"):
-            first = int(part["first"].iloc[0])
-            state = None if last is None else last if first - last < forced_gap else first - forced_gap
-            found.append((frame[key].iloc[0], segment, state, count))
-            row = part[part["enters"].isna() if state is None else part["enters"] == state].iloc[0]
-            last, count = int(row["leaves"]), count + int(row["taken"])
-        return pd.DataFrame(found, columns=[key, "segment", "enters", "count"]).astype({"enters": "Int64"})
-
-    def again(frame: pd.DataFrame) -> pd.DataFrame:
-        past, signals, frames, values = split(frame)
+        for segment, known in by_segment.items():
+            state = None if last is None else last if known["first"] - last < forced_gap else known["first"] - forced_gap
+            found.append((segment, state, count))
+            last, taken = known[state]
+            count += taken
+        return found
+
+    def again(rows: dict[str, list]) -> list[tuple]:
+        past, signals, frames, values = split(rows)
         if not frames:
-            return pd.DataFrame([], columns=[key, "frame_id", "nth"])
-        last = frame["enters"].iloc[0]
-        taken = _run(frames, values, entering(None if pd.isna(last) else int(last), past, signals), *rule)[1]
-        return pd.DataFrame({key: frame[key].iloc[0], "frame_id": taken, "nth": range(int(frame["count"].iloc[0]), int(frame["count"].iloc[0]) + len(taken))})
-
-    told = by_key(pieces, key, "segment").groupBy(key, "segment").applyInPandas(maps, f"{key} {kinds[key]}, segment long, first long, enters long, leaves long, taken long")
-    states = by_key(told, key).groupBy(key).applyInPandas(follow, f"{key} {kinds[key]}, segment long, enters long, count long")
-    known = by_key(pieces.join(cut(states), [key, "segment"]), key, "segment")
-    found = known.groupBy(key, "segment").applyInPandas(again, f"{key} {kinds[key]}, frame_id {kinds['frame_id']}, nth long")
+            return []
+        taken = _run(frames, values, entering(rows["enters"][0], past, signals), *rule)[1]
+        return [(f, rows["count"][0] + n) for n, f in enumerate(taken)]
+
+    told = groups.folded(pieces, [key, "segment"], "frame_id", maps, {"first": "long", "enters": "long", "leaves": "long", "taken": "long"})
+    states = groups.folded(told, [key], "segment", follow, {"segment": "long", "enters": "long", "count": "long"})
+    known = pieces.join(cut(states), [key, "segment"])
+    found = groups.folded(known, [key, "segment"], "frame_id", again, {"frame_id": "long", "nth": "long"}).withColumn("frame_id", F.col("frame_id").cast(kinds["frame_id"]))
     if most is not None:
         found = found.where(F.col("nth") < most)
     found = cut(found.select(key, "frame_id"))

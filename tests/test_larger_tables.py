@@ -1,8 +1,9 @@
 """Steps that must not cost a group at a time."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tallyframe.operators import registration
+from tallyframe.operators import groups, matching, registration, sampling
 from tallyframe.plans import catalog
 
 
@@ -35,3 +36,27 @@ def test_trees_of_many_videos_at_once_by_the_definition(spark, monkeypatch):
 def test_registrations_under_many_settings_take_one_shuffle(spark, sf_dir):
     plan = catalog.QUERIES["register_settings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
+
+
+def test_segments_cost_no_frame_each(spark):
+    signal = spark.createDataFrame([(v, f, float(f % 3)) for v in range(3) for f in range(70)], "video_id long, frame_id long, signal double")
+    assert sampling.gate_by_segments(signal, "video_id", 9.0, each=32).count() == sampling.gate(signal, "video_id", 9.0).count()
+    rows = signal.withColumn("n", F.lit(1))
+    found = groups.folded(rows, ["video_id"], "frame_id", lambda c: [(c["frame_id"][-1], sum(c["signal"]))], {"last": "long", "total": "double"})
+    told = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in told and "InPandas" not in told
+    assert sorted(map(tuple, found.collect())) == [(v, 69, 69.0) for v in range(3)]
+
+
+def test_hamming_search_goes_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CODE_BLOCK", 16)
+    monkeypatch.setattr(matching, "CODES_AT_ONCE", 3)
+    draw = np.random.default_rng(2)
+    codes = [(n, [int(draw.integers(0, 16))]) for n in range(70)]
+    frame = spark.createDataFrame(codes, "vec_id long, code array<long>")
+    found = {(r.q, r.place): (r.b, r.distance) for r in matching.hamming_neighbours(frame.where("vec_id % 2 = 0"), frame, 3, 1).collect()}
+    want = {}
+    for n, (c,) in codes[::2]:
+        ranked = sorted(((c ^ d).bit_count(), m) for m, (d,) in codes if m != n)
+        want.update({(n, place): (m, away) for place, (away, m) in enumerate(ranked[:3], 1)})
+    assert found == want
