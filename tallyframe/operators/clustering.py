@@ -294,27 +294,55 @@ def _overlap(a, b) -> Column:
 CROWD = 2000
 
 
-def suppress(boxes: DataFrame, keys: list[str], limit: float, crowd: int = CROWD) -> DataFrame:
+def suppress(boxes: DataFrame, keys: list[str], limit: float, crowd: int = CROWD, corners: bool = False) -> DataFrame:
     """Greedy suppression within each group of ``keys``: the highest score stays and removes what overlaps by more than ``limit``.
 
     Boxes need ord, score, x1, y1, x2, y2; of equal scores the later ord goes first.
-    Up to ``crowd`` boxes a group are folded as one sorted array, inside the JVM; the
-    groups beyond that go by :func:`suppress_in_rounds`, with the same result.
+    Groups of up to ``crowd`` boxes are folded many at a time within a task; the groups
+    beyond that go by :func:`suppress_in_rounds`, with the same result: (keys,
+    ord, score), and the ``corners`` if they are wanted.
     """
+    named = [*keys, "ord", "score", *(("x1", "y1", "x2", "y2") if corners else ())]
     sizes = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
     large = cut(sizes.where(F.col("n_") > crowd).select(*keys))
     if large.isEmpty():
-        return _folded(boxes, keys, limit)
+        return _folded(boxes, keys, limit).select(*named)
     some = boxes.join(large, keys, "left_semi")
-    return _folded(boxes.join(large, keys, "left_anti"), keys, limit).unionByName(suppress_in_rounds(some, keys, limit))
+    return _folded(boxes.join(large, keys, "left_anti"), keys, limit).unionByName(suppress_in_rounds(some, keys, limit)).select(*named)
+
+
+#: Boxes that a task suppresses at a time.
+BOXES_EACH = 1 << 17
 
 
 def _folded(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    item = F.struct(F.col("score").alias("score"), F.col("ord").alias("ord"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    grouped = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    empty = F.filter("items", lambda i: F.lit(False))
-    kept = F.aggregate("items", empty, lambda state, i: F.when(F.exists(state, lambda k: _overlap(k, i) > limit), state).otherwise(F.array_append(state, i)))
-    return grouped.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.ord", "k.score")
+    """Groups sorted in one shuffle, many suppressed at a time: in each step the best box left of every group stays and removes what it covers of its own."""
+    corners, kinds = ("x1", "y1", "x2", "y2"), dict(boxes.dtypes)
+    known = F.lit(True)
+    for c in corners:
+        known = known & F.col(c).isNotNull()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, keys, BOXES_EACH, BOXES_EACH):
+            whole, box = table["known_"].to_numpy(), {c: table[c].to_numpy() for c in corners}
+            left, kept = np.arange(len(group)), []
+            while len(left):
+                first = np.diff(group[left], prepend=-1) != 0
+                top, other = left[first], left[~first]
+                kept.append(top)
+                best = top[np.cumsum(first)[~first] - 1]
+                here, there = ({c: v[at] for c, v in box.items()} for at in (best, other))
+                with np.errstate(all="ignore"):
+                    w = np.maximum(0.0, np.minimum(here["x2"], there["x2"]) - np.maximum(here["x1"], there["x1"]) + 1)
+                    h = np.maximum(0.0, np.minimum(here["y2"], there["y2"]) - np.maximum(here["y1"], there["y1"]) + 1)
+                    size = [(x["x2"] - x["x1"] + 1) * (x["y2"] - x["y1"] + 1) for x in (here, there)]
+                    covered = w * h / (size[0] + size[1] - w * h) > limit
+                left = other[~(covered & whole[best] & whole[other])]
+            yield from table.drop_columns(["known_"]).take(pa.array(np.sort(np.concatenate(kept)))).to_batches(max_chunksize=65536)
+
+    placed = by_key(boxes.select(*keys, "ord", "score", *(F.col(c).cast("double").alias(c) for c in corners), known.alias("known_")), *keys)
+    placed = placed.sortWithinPartitions(*keys, F.desc("score"), F.desc("ord"))
+    return placed.mapInArrow(fold, ", ".join([*(f"{c} {kinds[c]}" for c in (*keys, "ord", "score")), *(f"{c} double" for c in corners)]))
 
 
 def suppress_in_rounds(boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
@@ -341,4 +369,4 @@ def suppress_in_rounds(boxes: DataFrame, keys: list[str], limit: float) -> DataF
         gone = covered.unionByName(stay.select(*keys, "ord")).distinct()
         left = cut(left.join(gone, [*keys, "ord"], "left_anti"))
         kept = stay if kept is None else kept.unionByName(stay)
-    return boxes.limit(0).select(*keys, "ord", "score") if kept is None else kept.select(*keys, "ord", "score")
+    return (left if kept is None else kept).select(*keys, "ord", "score", *corners)

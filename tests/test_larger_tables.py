@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyframe.operators import groups, matching, registration, sampling
+from tallyframe.operators import clustering, groups, matching, models, registration, sampling
 from tallyframe.plans import catalog
 
 
@@ -60,3 +60,35 @@ def test_hamming_search_goes_over_blocks(spark, monkeypatch):
         ranked = sorted(((c ^ d).bit_count(), m) for m, (d,) in codes if m != n)
         want.update({(n, place): (m, away) for place, (away, m) in enumerate(ranked[:3], 1)})
     assert found == want
+
+
+def test_suppression_of_many_frames_at_once(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BOXES_EACH", 40)
+    draw = np.random.default_rng(8)
+    rows = [(v, k, int(draw.integers(0, 5)), *map(float, (x, y, x + 20, y + 15))) for v in range(9) for k, (x, y) in enumerate(draw.integers(0, 60, (12 + v, 2)))]
+    frame = spark.createDataFrame(rows, "video_id long, ord long, score int, x1 double, y1 double, x2 double, y2 double")
+    found = clustering.suppress(frame, ["video_id"], 0.3, corners=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "collect_list" not in plan
+    want = []
+    for v in range(9):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == v), key=lambda r: (-r[2], -r[1])):
+            over = lambda a: (w := max(0, min(a[5], r[5]) - max(a[3], r[3]) + 1) * max(0, min(a[6], r[6]) - max(a[4], r[4]) + 1)) / (2 * 21 * 16 - w)  # noqa: B023, E731
+            if all(over(a) <= 0.3 for a in kept):
+                kept.append(r)
+        want += kept
+    assert sorted(map(tuple, found.select("video_id", "ord", "score", "x1", "y1", "x2", "y2").collect())) == sorted(want)
+
+
+def test_a_detector_that_takes_many_frames(spark):
+    sizes = []
+
+    class Seen(models.GridDetector):
+        def __call__(self, frames):
+            sizes.append(len(frames))
+            return super().__call__(frames)
+
+    frames = spark.range(50).select("id", F.lit(1).alias("v")).toPandas().rename(columns={"id": "frame_id", "v": "video_id"}).assign(width=100, height=100)
+    apart = [tuple(r) for at in range(0, 50, 16) for r in models.GridDetector()(frames.iloc[at : at + 16]).itertuples(index=False)]
+    assert [tuple(r) for r in Seen()(frames).itertuples(index=False)] == apart and models.GridDetector.batch > 16
