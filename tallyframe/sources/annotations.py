@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.naming import stem
-from ..functions.session import numbered
+from ..functions.session import cut, numbered
 from .files import IMAGE_SUFFIXES, class_names, of_kind
 from .text_files import read_files, write_files
 
@@ -216,25 +216,26 @@ def read(spark: SparkSession, path: str, kind: str, images: DataFrame | None = N
 
     ``yolo`` needs the ``images`` with their sizes; its classes are ``names``, or those
     of ``classes.txt``, ids beyond them ``class_<id>``. Images of ``coco`` files are numbered by their ids, those of ``voc`` and ``cvat``
-    files by file name; ``names`` are the labels that count there.
+    files by file name; ``names`` are the labels that count there. Each file is opened
+    once, whatever is then made of it.
     """
+    if kind not in FROM:
+        raise ValueError(f"one of {', '.join(FROM)} can be read, not {kind}")
+    if kind == "yolo" and images is None:
+        raise ValueError("label files say nothing of their images")
+    files = cut(read_files(spark, path))
     if kind == "yolo":
-        if images is None:
-            raise ValueError("label files say nothing of their images")
-        files = read_files(spark, path)
         lines = files.where("name like '%.txt' and name not like '%classes.txt'").select(stem(F.col("name")).alias("stem"), F.explode(F.split("content", r"\r?\n")).alias("value"))
         listed = files.where("name like '%classes.txt'").select(F.col("content").alias("value")) if names is None else spark.createDataFrame([("\n".join(names),)], "value string")
         used = lines.select(F.regexp_extract("value", r"^\s*(\d+)", 1).try_cast("long").alias("place")).where("place is not null")
         return parse_yolo(lines, images, class_names(listed, used))
     if kind == "coco":
-        return renumbered(coco_tables(read_files(spark, path).where("name like '%.json'"), "content"))
+        return renumbered(coco_tables(files.where("name like '%.json'"), "content"))
     if kind == "voc":
-        return voc_tables(_numbered(read_files(spark, path).where("name like '%.xml'"), "name"), "content", names)
-    if kind == "cvat":
-        images_ = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)(<image\b(?:[^>]*/>|.*?</image>))"), 1)).alias("content")
-        found = read_files(spark, path).where("name like '%.xml'").select("name", images_).withColumn("file", F.regexp_extract("content", r'\bname="([^"]*)"', 1))
-        return cvat_tables(_numbered(found, "file"), "content", names)
-    raise ValueError(f"one of {', '.join(FROM)} can be read, not {kind}")
+        return voc_tables(_numbered(files.where("name like '%.xml'"), "name"), "content", names)
+    images_ = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)(<image\b(?:[^>]*/>|.*?</image>))"), 1)).alias("content")
+    found = files.where("name like '%.xml'").select("name", images_).withColumn("file", F.regexp_extract("content", r'\bname="([^"]*)"', 1))
+    return cvat_tables(_numbered(found, "file"), "content", names)
 
 
 def _numbered(files: DataFrame, order: str) -> DataFrame:

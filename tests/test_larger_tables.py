@@ -1,10 +1,15 @@
 """Steps that must not cost a group at a time."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyframe.functions.session import shared_folder
 from tallyframe.operators import clustering, groups, matching, models, registration, sampling
 from tallyframe.plans import catalog
+from tallyframe.sources import annotations
+from tallyframe.sources.text_files import write_files
 
 
 def test_trees_of_many_videos_at_once_by_the_definition(spark, monkeypatch):
@@ -92,3 +97,13 @@ def test_a_detector_that_takes_many_frames(spark):
     frames = spark.range(50).select("id", F.lit(1).alias("v")).toPandas().rename(columns={"id": "frame_id", "v": "video_id"}).assign(width=100, height=100)
     apart = [tuple(r) for at in range(0, 50, 16) for r in models.GridDetector()(frames.iloc[at : at + 16]).itertuples(index=False)]
     assert [tuple(r) for r in Seen()(frames).itertuples(index=False)] == apart and models.GridDetector.batch > 16
+
+
+def test_annotation_files_are_opened_once(spark):
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    images = spark.createDataFrame([(1, "a.jpg", 10, 10)], "image_id long, file_name string, width int, height int")
+    write_files(spark.createDataFrame([("a.txt", "0 0.5 0.5 0.2 0.2"), ("classes.txt", "nut")], "name string, content string"), folder)
+    data = annotations.read(spark, folder, "yolo", images)
+    plan = data.annotations._jdf.queryExecution().executedPlan().toString()
+    assert "text_files" not in plan and "BatchScan" not in plan
+    assert [r.category for r in data.annotations.collect()] == ["nut"]
