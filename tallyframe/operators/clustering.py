@@ -6,10 +6,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.session import by_key, cut
 from . import groups
@@ -116,14 +116,19 @@ def density_levels(points: DataFrame, key: str, distances: list[float], leasts:
     at a time (:func:`small_levels`); larger ones are spread over tasks by their cells
     (:func:`levels_by_cells`), with the same result.
     """
-    points = cut(points.select(key, "ord", "x", "y"))
-    finite = (F.abs(c) < F.lit(float("inf")) for c in ("x", "y"))  # NaN is above all numbers
-    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(F.coalesce(next(finite) & next(finite), F.lit(False))).alias("fine_"))
+    usual, large = split_by_size(cut(points.select(key, "ord", "x", "y")), key, small)
+    found = small_levels(usual, key, distances, leasts)
+    return found if large is None else found.unionByName(levels_by_cells(large, key, distances, leasts))
+
+
+def split_by_size(points: DataFrame, key: str, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """The points, computed already, of groups that fit into a task, and those of larger groups or of groups with a place that is no number; none if there are no such."""
+    finite = [F.abs(c) < F.lit(float("inf")) for c in ("x", "y")]  # NaN is above all numbers
+    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("n_"), F.min(F.coalesce(finite[0] & finite[1], F.lit(False))).alias("fine_"))
     large = cut(sizes.where((F.col("n_") > small) | ~F.col("fine_") | F.col(key).isNull()).select(key))
     if large.isEmpty():
-        return small_levels(points, key, distances, leasts)
-    some = points.join(large, key, "left_semi")
-    return small_levels(points.join(large, key, "left_anti").where(F.col(key).isNotNull()), key, distances, leasts).unionByName(levels_by_cells(some, key, distances, leasts))
+        return points, None
+    return points.join(large, key, "left_anti").where(F.col(key).isNotNull()), points.join(large, key, "left_semi")
 
 
 def small_levels(points: DataFrame, key: str, distances: list[float], leasts: list[int]) -> DataFrame:
@@ -218,10 +223,48 @@ def levels_by_cells(points: DataFrame, key: str, distances: list[float], leasts:
     return own.unionByName(border.groupBy(*outer, "least", "ord").agg(F.min("component").alias("component")))
 
 
+def density_members(rows: DataFrame, key: str, eps: float, least: int, small: int = SMALL) -> DataFrame:
+    """The rows (key, ord, x, y and more) that lie in a density cluster, with their ``cluster_id``: numbers by key from 0, in order of the first core.
+
+    Rows keep their columns, so none is joined back: they are sorted by key in one
+    shuffle, none if they lie so already, and groups of up to ``small`` rows are clustered
+    many at a time as :func:`small_levels` does. Rows of larger groups, or of groups with
+    a place that is no number, go through as they are and are clustered by
+    :func:`levels_by_cells`, with the same result. What is found is computed once, into
+    the checkpoint folder.
+    """
+    columns, distance = rows.columns, float(eps)
+    whole = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    finite = [F.abs(c) < F.lit(float("inf")) for c in ("x", "y")]  # NaN is above all numbers
+    apart = (F.count(F.lit(1)).over(whole) > small) | ~F.min(F.coalesce(finite[0] & finite[1], F.lit(False))).over(whole)
+    placed = by_key(rows.where(F.col(key).isNotNull()), key).withColumn("apart_", apart).sortWithinPartitions(key, "ord")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, key, aside="apart_"):
+            if group is None:
+                yield from table.append_column("cluster_id", pa.nulls(table.num_rows, pa.int64())).to_batches()
+                continue
+            x, y = (table[c].cast(pa.float64()).to_numpy() for c in ("x", "y"))
+            found = groups.components(len(x), *groups.pairs(group, x, y, distance), least)
+            at = np.flatnonzero(found < len(x))
+            names, number = np.unique(found[at], return_inverse=True)
+            number -= np.searchsorted(names, np.flatnonzero(np.diff(group, prepend=-1)))[group[at]]
+            yield from table.take(pa.array(at)).append_column("cluster_id", pa.array(number, pa.int64())).to_batches(max_chunksize=65536)
+
+    kinds = T.StructType([*(T.StructField(f.name, f.dataType) for f in placed.schema), T.StructField("cluster_id", T.LongType())])
+    seen = Observation()
+    found = cut(placed.mapInArrow(fold, kinds).observe(seen, F.count_if("apart_").alias("n")))
+    near = found.where(~F.col("apart_")).select(*columns, "cluster_id")
+    if not seen.get["n"]:
+        return near
+    far = found.where("apart_").select(*columns)
+    levels = levels_by_cells(far, key, [distance], [least]).select(key, "ord", (F.dense_rank().over(Window.partitionBy(key).orderBy("component")) - 1).cast("long").alias("cluster_id"))
+    return near.unionByName(far.join(levels, [key, "ord"]).select(*columns, "cluster_id"))
+
+
 def density_clusters(points: DataFrame, key: str, eps: float, least: int) -> DataFrame:
-    """(key, ord, cluster_id) of points (key, ord, x, y) by :func:`density_levels` at one setting; clusters are numbered from 0 by their first core."""
-    found = density_levels(points, key, [eps], [least]).select(key, "ord", "component")
-    return found.withColumn("cluster_id", (F.dense_rank().over(Window.partitionBy(key).orderBy("component")) - 1).cast("long")).drop("component")
+    """(key, ord, cluster_id) of points (key, ord, x, y) by :func:`density_members`; clusters are numbered from 0 by their first core."""
+    return density_members(points.select(key, "ord", "x", "y"), key, eps, least).select(key, "ord", "cluster_id")
 
 
 def running_means(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
@@ -260,21 +303,61 @@ def running_means(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
     return found
 
 
+def running_means_of_groups(group: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float, small: int = SMALL) -> np.ndarray:
+    """:func:`running_means` of each of many groups, their numbers ascending: the next point of all groups of up to ``small`` points is placed at once."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(starts, len(group)))
+    found = np.empty(len(group), np.int64)
+    for low, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
+        found[low : low + size] = running_means(x[low : low + size], y[low : low + size], distance)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] <= small]  # groups that have a point left come first
+    starts, left = starts[order], -sizes[order]
+    clusters = np.zeros(len(order), np.int64)
+    sums, means, n = np.zeros((2, len(order), 8)), np.full((2, len(order), 8), np.inf), np.zeros((len(order), 8))
+    for k in range(-int(left[0]) if len(left) else 0):
+        active = int(np.searchsorted(left, -k, side="left"))
+        rows, at = np.arange(active), starts[:active] + k
+        u, v = x[at], y[at]
+        many = max(1, int(clusters[:active].max()))
+        du, dv = u[:, None] - means[0, :active, :many], v[:, None] - means[1, :active, :many]
+        away = np.sqrt(du * du + dv * dv)
+        best = away.argmin(axis=1)
+        own = np.where(away[rows, best] <= distance, best, clusters[:active])
+        new = own == clusters[:active]
+        clusters[:active] += new
+        if own.max() >= n.shape[1]:
+            wider = ((0, 0), (0, n.shape[1]))
+            n, sums, means = np.pad(n, wider), np.pad(sums, ((0, 0), *wider)), np.pad(means, ((0, 0), *wider), constant_values=np.inf)
+        n[rows, own] += 1
+        for c, value in enumerate((u, v)):
+            sums[c, rows, own] += value
+            means[c, rows, own] = sums[c, rows, own] / n[rows, own]
+        found[at] = own
+    return found
+
+
 def incremental_levels(points: DataFrame, key: str, distances: list[float]) -> DataFrame:
     """(key, distance, ord, cluster_id, size): :func:`running_means` of points (key, ord, x, y), in the order of ``ord``, at every distance.
 
-    One video and distance is one group, as its order is the operation; all of them are
-    one job. Every least number of sightings is a filter on ``size``.
+    Videos are sorted into tasks once and many are folded at a time, at all distances;
+    a video is one group, as its order is the operation. Every least number of sightings
+    is a filter on ``size``.
     """
+    kinds, wide = dict(points.dtypes), sorted({float(d) for d in distances})
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        found = running_means(frame["x"].to_numpy(np.float64), frame["y"].to_numpy(np.float64), float(frame["distance"].iloc[0]))
-        return pd.DataFrame({key: frame[key], "distance": frame["distance"], "ord": frame["ord"], "cluster_id": found, "size": np.bincount(found)[found]})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, key):
+            x, y = (table[c].to_numpy() for c in ("x", "y"))
+            first = np.flatnonzero(np.diff(group, prepend=-1))[group]
+            for distance in wide:
+                found = running_means_of_groups(group, x, y, distance)
+                size = np.bincount(first + found)[first + found]
+                rows = pa.table({key: table[key], "distance": np.full(len(x), distance), "ord": table["ord"], "cluster_id": found, "size": size})
+                yield from rows.to_batches(max_chunksize=65536)
 
-    kinds = dict(points.dtypes)
-    spread = points.select(key, "ord", "x", "y", F.explode(F.array(*(F.lit(float(d)) for d in sorted(set(distances))))).alias("distance"))
-    return by_key(spread, key, "distance").groupBy(key, "distance").applyInPandas(fold, f"{key} {kinds[key]}, distance double, ord {kinds['ord']}, cluster_id long, size long")
+    placed = by_key(points.select(key, "ord", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), key).sortWithinPartitions(key, "ord")
+    return placed.mapInArrow(fold, f"{key} {kinds[key]}, distance double, ord {kinds['ord']}, cluster_id long, size long")
 
 
 def incremental_clusters(points: DataFrame, key: str, distance: float, least: int = 1) -> DataFrame:

@@ -33,9 +33,11 @@ def registered(det: DataFrame, reg: DataFrame, policy: str = "skip") -> DataFram
     """Detections with their frame's transform ``h``.
 
     Rows of frames with an invalid transform are dropped (``skip``, and ``tracker``,
-    which behaves alike) or keep their place (``identity``).
+    which behaves alike) or keep their place (``identity``). The transforms go with the
+    number of frames and are never broadcast, however small they are guessed; where both
+    tables lie by video already, as after a window or a distinct, no row is moved.
     """
-    keys = ["video_id", "frame_id"]
+    keys, reg = ["video_id", "frame_id"], reg.hint("merge")
     if policy in ("skip", "tracker"):
         return det.join(reg.where("valid"), keys)
     if policy != "identity":

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.session import by_key
@@ -24,12 +25,13 @@ def _changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return differs
 
 
-def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = 0, most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = 0, most: int | None = None, aside: str | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
     """Slices of whole groups, and the number of each row's group within its slice, of batches whose rows of a group follow one another.
 
     Batches are gathered until they have ``rows`` rows. A slice ends before the squared
     sizes of its groups add up to more than ``PAIRS_EACH``, or, where no pairs are made
-    of a group, before it has more than ``most`` rows.
+    of a group, before it has more than ``most`` rows. Rows whose groups the column
+    ``aside`` marks are not gathered: they come as they are, without numbers.
     """
     keys = [key] if isinstance(key, str) else key
     held: list[pa.RecordBatch] = []
@@ -47,6 +49,9 @@ def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int =
             at += n
 
     for batch in batches:
+        if aside and batch.column(aside).true_count:
+            yield pa.Table.from_batches([batch.filter(batch.column(aside))]), None
+            batch = batch.filter(pc.invert(batch.column(aside)))
         if not batch.num_rows:
             continue
         # rows of the last group may go on in the next batch

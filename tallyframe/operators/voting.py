@@ -14,14 +14,16 @@ CLASSES = 5
 def detector_vote(sightings: DataFrame, keys: list[str], weight: str, name: str = "class_name") -> DataFrame:
     """(keys, pred_class, share): the class of most weight; the lowest class wins ties.
 
-    Unknown names do not vote; a cluster without positive weight gets class -1.
+    Unknown names do not vote; a cluster without positive weight gets class -1. The
+    weights of all classes are summed in one grouping.
     """
     votes = sightings.withColumn("class_", class_index(F.col(name)))
-    known = F.when(F.col("class_") >= 0, F.col(weight)).otherwise(0)
-    sums = votes.groupBy(*keys, "class_").agg(F.sum(known).alias("w"))
-    best = sums.groupBy(*keys).agg(F.sum("w").alias("total"), F.max(F.struct("w", (-F.col("class_")).alias("c"))).alias("best"))
-    voted = F.col("total") > 0
-    return best.select(*keys, F.when(voted, -F.col("best.c")).otherwise(-1).alias("pred_class"), F.when(voted, F.col("best.w") / F.col("total")).alias("share"))
+    sums = votes.groupBy(*keys).agg(*(F.sum(F.when(F.col("class_") == k, F.col(weight))).alias(f"w{k}_") for k in range(CLASSES)))
+    total = sum((F.coalesce(f"w{k}_", F.lit(0)) for k in range(1, CLASSES)), F.coalesce("w0_", F.lit(0)))
+    best = F.array_max(F.array(*(F.struct(F.col(f"w{k}_").alias("w"), F.lit(-k).alias("c")) for k in range(CLASSES))))
+    found = sums.select(*keys, total.alias("total_"), best.alias("best_"))
+    voted = F.col("total_") > 0
+    return found.select(*keys, F.when(voted, -F.col("best_.c")).otherwise(-1).alias("pred_class"), F.when(voted, F.col("best_.w") / F.col("total_")).alias("share"))
 
 
 def weighted_probabilities(sightings: DataFrame, keys: list[str], class_of: str, confidence: str, order: list, sharpness: str = "sharpness", top: int = 10, best_bonus: float = 2.0, exponent: float = 2.0) -> DataFrame:

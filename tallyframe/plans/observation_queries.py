@@ -37,15 +37,14 @@ def placed(spark: SparkSession, sf_dir: str, policy: str = "skip") -> DataFrame:
     return both.withColumn("x", x).withColumn("y", y).drop("h")
 
 
-def objects(spark: SparkSession, sf_dir: str, eps: float = 40.0, least: int = 4) -> DataFrame:
-    """Detections with the cluster they belong to."""
-    points = placed(spark, sf_dir)
-    found = clustering.density_clusters(points.select("video_id", "ord", "x", "y"), "video_id", eps, least)
-    return points.join(found, ["video_id", "ord"])
+def objects(spark: SparkSession, sf_dir: str, columns: list[str], eps: float = 40.0, least: int = 4) -> DataFrame:
+    """Detections, with these of their columns, and the cluster they belong to."""
+    points = placed(spark, sf_dir).select("video_id", "ord", "x", "y", *columns)
+    return clustering.density_members(points, "video_id", eps, least)
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voted = voting.detector_vote(objects(spark, sf_dir).withColumn("w", F.col("quantity") * F.col("quantity")), ["video_id", "cluster_id"], "w")
+    voted = voting.detector_vote(objects(spark, sf_dir, ["class_name", "quantity"]).withColumn("w", F.col("quantity") * F.col("quantity")), ["video_id", "cluster_id"], "w")
     return voting.dense_counts(voted, registrations(spark, sf_dir).select("video_id"))
 
 
@@ -181,7 +180,7 @@ SELECT video_id, (dense_rank() OVER (PARTITION BY video_id ORDER BY first)) - 1
 arg_max(ord, ((x2 - x1) * (y2 - y1), -ord)) AS largest_ord, arg_max(ord, (confidence, -ord)) AS best_ord, count(DISTINCT frame_id) AS n_frames, min(frame_id) AS first_frame
 FROM o WHERE n >= 4 GROUP BY video_id, obj_id, first""")
 def cluster_summary(spark, sf_dir):
-    rows = voting.cluster_summary(objects(spark, sf_dir), ["video_id", "cluster_id"])
+    rows = voting.cluster_summary(objects(spark, sf_dir, ["frame_id", "confidence", "x1", "y1", "x2", "y2"]), ["video_id", "cluster_id"])
     return rows.withColumn("center_x", _r(F.col("center_x"))).withColumn("center_y", _r(F.col("center_y")))
 
 

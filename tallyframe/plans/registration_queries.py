@@ -118,7 +118,7 @@ OBJECTS = """o AS (SELECT *, count(*) OVER (PARTITION BY video_id, obj_id) AS n,
 @query(f"""WITH {KEPT_SQL}, {OBJECTS}, f AS (SELECT DISTINCT video_id, obj_id, first, frame_id FROM o WHERE n >= 4), c AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY first) - 1 AS cluster_id FROM f)
 SELECT video_id, cluster_id, string_agg(frame_id::VARCHAR, ',' ORDER BY frame_id) AS frame_ids FROM c GROUP BY ALL""")
 def cluster_frames(spark, sf_dir):
-    found = voting.frames_of_clusters(objects(spark, sf_dir), ["video_id", "cluster_id"])
+    found = voting.frames_of_clusters(objects(spark, sf_dir, ["frame_id"]), ["video_id", "cluster_id"])
     return found.select("video_id", "cluster_id", F.array_join(F.transform("frame_ids", lambda f: f.cast("string")), ",").alias("frame_ids"))
 
 
@@ -258,7 +258,7 @@ def video_summary_files(spark, sf_dir):
     kinds = detections(spark, sf_dir).groupBy(*keys, "class_name").agg(F.count(F.lit(1)).alias("n"))
     seen = kinds.groupBy(*keys).agg(F.sum("n").alias("n_detections"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "n")))).alias("class_histogram"))
     frames = registrations(spark, sf_dir).join(seen, keys, "left").withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
-    clusters = voting.cluster_summary(objects(spark, sf_dir), ["video_id", "cluster_id"])
+    clusters = voting.cluster_summary(objects(spark, sf_dir, ["frame_id", "confidence", "x1", "y1", "x2", "y2"]), ["video_id", "cluster_id"])
     reports.save_summaries(counted(spark, sf_dir), frames, clusters, path)
     files = read_files(spark, path).select(F.substring_index("name", "/", 1).alias("video"), F.substring_index("name", "/", -1).alias("file"), "content")
     told = "struct<detection:struct<total_detections:bigint,overall_class_histogram:map<string,bigint>>,registration:struct<valid_frames:bigint,invalid_frames:bigint>,dedup:struct<n_clusters:int>,counting:struct<total:bigint>,frames:array<struct<frame_id:bigint>>>"

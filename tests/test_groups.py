@@ -75,3 +75,37 @@ def test_experiments_share_their_clusters(spark, monkeypatch):
     monkeypatch.setattr(experiments, "density_clusters", lambda *a: calls.append(1) or real(*a))
     found = {r.experiment: r.l1_types for r in experiments.run(points, truth, ["no_dedup", "density", "density_equal_votes"]).collect()}
     assert len(calls) == 1 and found == {"no_dedup": 16, "density": 0, "density_equal_votes": 0}
+
+
+def test_running_means_of_many_groups_are_those_one_by_one():
+    draw = np.random.default_rng(7)
+    group = np.repeat(np.arange(8), draw.integers(1, 50, 8))
+    x, y = draw.integers(0, 30, len(group)).astype(float), draw.integers(0, 12, len(group)).astype(float)
+    for distance in (1.5, 4.0, 9.0):
+        want = np.concatenate([clustering.running_means(x[group == k], y[group == k], distance) for k in range(8)]).tolist()
+        assert clustering.running_means_of_groups(group, x, y, distance).tolist() == want == clustering.running_means_of_groups(group, x, y, distance, small=12).tolist()
+
+
+def test_members_keep_their_columns_and_are_not_joined_back(spark):
+    draw = np.random.default_rng(8)
+    rows = [(f"v{v}", o, float(x), float(y), f"n{o}") for v, n in enumerate((1, 7, 40, 60)) for o, (x, y) in enumerate(draw.integers(-12, 12, (n, 2)))]
+    points = spark.createDataFrame([*rows, (None, 0, 0.0, 0.0, "n")], "v string, ord long, x double, y double, name string").repartition(3)
+    told = lambda df: sorted(map(tuple, df.select("v", "ord", "x", "y", "name", "cluster_id").collect()))
+    found = clustering.density_members(points, "v", 3.0, 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r[0] for r in told(found)} == {"v2", "v3"}
+    assert {r[:2] + r[5:] for r in told(found)} == {tuple(r) for r in clustering.density_clusters(points, "v", 3.0, 4).collect()}
+
+
+def test_a_video_of_detections_is_dealt_once_and_transforms_are_not_broadcast(spark, sf_dir):
+    from tallyframe.plans.observation_queries import placed
+
+    plan = placed(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_votes_are_summed_in_one_grouping(spark):
+    rows = [(1, "type2", 3), (1, "type1", 3), (1, "type0", 9), (2, "type0", 5), (3, "type5", 0), (3, "type4", 0), (4, "type3", None), (4, "type5", 1)]
+    found = voting.detector_vote(spark.createDataFrame(rows, "c int, class_name string, w int"), ["c"], "w")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.c: (r.pred_class, r.share) for r in found.collect()} == {1: (0, 0.5), 2: (-1, None), 3: (-1, None), 4: (4, 1.0)}
