@@ -14,7 +14,7 @@ from ..functions.geometry import center, project
 from ..functions.naming import class_index
 from ..functions.session import by_key, cut
 from . import groups
-from .clustering import density_levels, incremental_levels
+from .clustering import incremental_levels, levels_by_cells, running_means_of_groups, split_by_size
 from .filters import DENSITY_THRESHOLDS, checked_arguments
 from .registration import IDENTITY, ROWS_EACH, Trees, anchor_places, entries, listed, matrices, preferred_root, roots
 from .voting import CLASSES, detector_vote
@@ -47,8 +47,8 @@ def sequences(
     places = F.coalesce(*(F.when(F.col("anchors") == c, anchor_places(F.col("total"), c, F.col("preferred"))) for c in counts))
     setting = ["feature", "strategy", "anchors", key]
     chosen = placed.select(*setting, "preferred", F.explode(places).alias("anchor_id"))
-    known = chosen.join(frames.select("feature", key, F.col("frame_id").alias("anchor_id"), "features"), ["feature", key, "anchor_id"], "left")
-    chosen = chosen.drop("preferred").join(roots(known, setting, least=least_features), setting)
+    known = chosen.join(frames.select("feature", key, F.col("frame_id").alias("anchor_id"), "features").hint("merge"), ["feature", key, "anchor_id"], "left")
+    chosen = chosen.drop("preferred").join(roots(known, setting, least=least_features).hint("merge"), setting)
     places_ = chosen.select("feature", key, F.col("anchor_id").cast("long").alias("anchor_"), F.col("root").cast("long").alias("root_"), (F.array_position(F.array(*map(F.lit, strategies)), F.col("strategy")) - 1).cast("int").alias("strategy_"), F.col("anchors").cast("int").alias("anchors_"))
     told = pairs.select("feature", key, F.col("frame_id").cast("long").alias("frame_"), F.col("anchor_id").cast("long").alias("anchor_"), F.col("h").cast("array<double>").alias("h"), F.coalesce(F.col("inlier_ratio").cast("double"), F.lit(float("-inf"))).alias("ratio_"), F.coalesce(F.col("matches").cast("long"), F.lit(-(2**63))).alias("matches_"))
     told = by_key(told.unionByName(places_, allowMissingColumns=True), "feature", key).sortWithinPartitions("feature", key)
@@ -95,9 +95,12 @@ def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], poli
     counted, and the counts are held against ``truth``.
 
     Nothing is run anew for a setting: settings that register a video alike share its
-    points, told by two independent sums of hashes over its transforms; distances and
-    least numbers come from :func:`~tallyframe.operators.clustering.density_levels`
-    and :func:`~tallyframe.operators.clustering.incremental_levels` as rows.
+    points, told by two independent sums of hashes over its transforms. Videos are
+    clustered and voted many at a time under every method, distance and least number, and
+    give a task's counts, no rows of members; those of more than ``clustering.SMALL``
+    points go by :func:`~tallyframe.operators.clustering.levels_by_cells` and
+    :func:`~tallyframe.operators.clustering.incremental_levels`. No table of transforms
+    or points is broadcast.
     """
     if not set(methods) <= {"density", "incremental"} or not set(policies) <= {"skip", "tracker", "identity"}:
         raise ValueError("unknown method or policy")
@@ -112,34 +115,69 @@ def grid(det: DataFrame, reg: DataFrame, truth: DataFrame, side: list[str], poli
     alike = cut(alike.select(*side, "policy", "video_id", F.concat_ws("|", F.col("video_id").cast("string"), "one", "other").alias("same")))
     shown = alike.groupBy("same", "video_id").agg(F.min(F.struct(*side, "policy")).alias("s"))
     shown = cut(shown.select("same", "video_id", "s.*", F.monotonically_increasing_id().alias("key")))  # a number is shorter than a text in every row
-    alike = cut(alike.join(shown.select("same", "key"), "same").drop("same").withColumnRenamed("key", "same"))
-    placed = reg.where("h is not null").join(shown.drop("same"), [*side, "policy", "video_id"]).select("key", "video_id", "frame_id", "h")
+    alike = cut(alike.join(shown.select("same", "key").hint("merge"), "same").drop("same").withColumnRenamed("key", "same"))
+    placed = reg.where("h is not null").join(shown.drop("same").hint("merge"), [*side, "policy", "video_id"]).select("key", "video_id", "frame_id", "h")
     x, y = project(entries("h"), *center(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
-    points = det.join(placed, ["video_id", "frame_id"]).select("key", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
-    points = cut(points)
-    plain, clusters = points.select("key", "ord", "x", "y"), []
-    if "density" in methods:
-        clusters.append(density_levels(plain, "key", distances, least_seen).select("key", "ord", F.lit("density").alias("method"), "distance", "least", F.col("component").alias("cluster")))
-    if "incremental" in methods:
-        folded = incremental_levels(plain, "key", distances).withColumn("least", F.explode(F.array(*map(F.lit, least_seen)))).where("size >= least")
-        clusters.append(folded.select("key", "ord", F.lit("incremental").alias("method"), "distance", "least", F.col("cluster_id").alias("cluster")))
-    found = clusters[0] if len(clusters) == 1 else clusters[0].unionByName(clusters[1])
-    how = ["method", "distance", "least"]
-    voted = detector_vote(points.join(found, ["key", "ord"]), ["key", *how, "cluster"], "w")
-    counts = voted.groupBy(F.col("key").alias("same"), *how).agg(*(F.count_if(F.col("pred_class") == k).alias(f"p{k + 1}") for k in range(CLASSES)))
+    points = det.join(placed.hint("merge"), ["video_id", "frame_id"]).select("key", "ord", "class_name", "w", x.alias("x"), y.alias("y")).where("x is not null")
+    usual, large = split_by_size(cut(points), "key")
+    counts, how = _tallied(usual, methods, distances, least_seen), ["method", "distance", "least"]
+    if large is not None:
+        plain, clusters = large.select("key", "ord", "x", "y"), []
+        if "density" in methods:
+            clusters.append(levels_by_cells(plain, "key", distances, least_seen).select("key", "ord", F.lit("density").alias("method"), "distance", "least", F.col("component").alias("cluster")))
+        if "incremental" in methods:
+            folded = incremental_levels(plain, "key", distances).withColumn("least", F.explode(F.array(*map(F.lit, least_seen)))).where("size >= least")
+            clusters.append(folded.select("key", "ord", F.lit("incremental").alias("method"), "distance", "least", F.col("cluster_id").alias("cluster")))
+        found = clusters[0] if len(clusters) == 1 else clusters[0].unionByName(clusters[1])
+        voted = detector_vote(large.join(found, ["key", "ord"]), ["key", *how, "cluster"], "w")
+        more = voted.groupBy("key", *how).agg(*(F.count_if(F.col("pred_class") == k).alias(f"p{k + 1}") for k in range(CLASSES)))
+        counts = counts.unionByName(more)
+    counts = counts.withColumnRenamed("key", "same")
     settings = F.broadcast(reg.select(*side, "policy").distinct())  # the values of the lists
-    wanted = truth.join(settings).join(alike, [*side, "policy", "video_id"], "left")
+    wanted = truth.join(settings).join(alike.hint("merge"), [*side, "policy", "video_id"], "left")
     wanted = wanted.withColumn("how", _literals(method=methods, distance=[float(d) for d in distances], least=least_seen))
     wanted = wanted.select(*side, "policy", "same", *(f"type{k}" for k in range(1, CLASSES + 1)), "how.*")
     error = [F.abs(F.col(f"type{k}") - F.coalesce(f"p{k}", F.lit(0))) for k in range(1, CLASSES + 1)]
-    scored = wanted.join(counts, ["same", *how], "left").select(*side, "policy", *how, sum(error[1:], error[0]).alias("l1"), F.greatest(*error).alias("worst"))
+    scored = wanted.join(counts.hint("merge"), ["same", *how], "left").select(*side, "policy", *how, sum(error[1:], error[0]).alias("l1"), F.greatest(*error).alias("worst"))
     return scored.groupBy(*side, "policy", *how).agg(F.sum("l1").alias("l1"), F.max("worst").alias("worst"), F.count_if(F.col("l1") == 0).alias("exact"))
 
 
-def _counts(group: np.ndarray, n_groups: int, kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Clusters by group and voted class, of points in order with their pairs: as ``density_clusters`` and ``detector_vote``."""
+def _tallied(points: DataFrame, methods: list[str], distances: list[float], leasts: list[int]) -> DataFrame:
+    """(key, method, distance, least, p1 to p5): the clusters of each class by vote, of groups that fit into a task under every setting."""
+    wide, levels = sorted({float(d) for d in distances}), sorted(set(leasts))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in groups.slices(batches, "key"):
+            kind, weight, x, y = (table[c].to_numpy() for c in ("kind", "w", "x", "y"))
+            weight, kind = np.where(kind < 0, 0.0, weight), np.maximum(kind, 0)  # unknown names do not vote
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            n, keys = len(kind), table["key"].take(pa.array(first))
+
+            def told(method: str, distance: float, least: int, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+                found = _votes(group, len(first), kind, weight, label)
+                rows = {"key": keys, "method": pa.array([method] * len(first)), "distance": np.full(len(first), distance), "least": np.full(len(first), least, np.int32)}
+                yield from pa.table(rows | {f"p{k + 1}": found[:, k] for k in range(CLASSES)}).to_batches()
+
+            for distance in wide:
+                if "density" in methods:
+                    a, b = groups.pairs(group, x, y, distance)
+                    near = np.bincount(a, minlength=n)
+                    for least in levels:
+                        yield from told("density", distance, least, groups.components(n, a, b, least, near))
+                if "incremental" in methods:
+                    own = first[group] + running_means_of_groups(group, x, y, distance)
+                    size = np.bincount(own, minlength=n)[own]
+                    for least in levels:
+                        yield from told("incremental", distance, least, np.where(size >= least, own, n))
+
+    rows = points.select("key", "ord", class_index(F.col("class_name")).alias("kind"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("w", "x", "y")))
+    counts = ", ".join(f"p{k + 1} long" for k in range(CLASSES))
+    return by_key(rows, "key").sortWithinPartitions("key", "ord").mapInArrow(fold, f"key {dict(points.dtypes)['key']}, method string, distance double, least int, {counts}")
+
+
+def _votes(group: np.ndarray, n_groups: int, kind: np.ndarray, weight: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Clusters by group and voted class, as ``detector_vote``; a point's label is the number of a point of its group that names the cluster, or the number of all points for none."""
     n = len(kind)
-    label = groups.components(n, a, b, least)
     member = label < n
     votes = np.bincount(label[member] * CLASSES + kind[member], weight[member], n * CLASSES).reshape(n, CLASSES)
     votes = votes.round(9)  # equal weights stay equal in whatever order they were added
@@ -147,6 +185,11 @@ def _counts(group: np.ndarray, n_groups: int, kind: np.ndarray, weight: np.ndarr
     return np.bincount(group[voted] * CLASSES + votes[voted].argmax(axis=1), minlength=n_groups * CLASSES).reshape(n_groups, CLASSES)
 
 
+def _counts(group: np.ndarray, n_groups: int, kind: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Clusters by group and voted class, of points in order with their pairs: as ``density_clusters`` and ``detector_vote``."""
+    return _votes(group, n_groups, kind, weight, groups.components(len(kind), a, b, least))
+
+
 _TRUE = [f"type{k}" for k in range(1, CLASSES + 1)]
 
 

@@ -109,3 +109,14 @@ def test_votes_are_summed_in_one_grouping(spark):
     found = voting.detector_vote(spark.createDataFrame(rows, "c int, class_name string, w int"), ["c"], "w")
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {r.c: (r.pred_class, r.share) for r in found.collect()} == {1: (0, 0.5), 2: (-1, None), 3: (-1, None), 4: (4, 1.0)}
+
+
+def test_a_grid_gives_counts_of_groups_and_no_members(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    rows = [(v, o % 5, o, f"type{draw.integers(0, 6)}", int(draw.integers(1, 9)), float(x), float(y), float(x), float(y)) for v, n in enumerate((30, 3, 45)) for o, (x, y) in enumerate(draw.integers(0, 25, (n, 2)))]
+    det = spark.createDataFrame(rows, "video_id long, frame_id long, ord long, class_name string, w long, x1 double, y1 double, x2 double, y2 double")
+    reg = spark.createDataFrame([(r, v, f, [1.0, 0.0, f * r, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], f != 2) for r in (0.0, 3.0) for v in range(4) for f in range(5)], "ratio double, video_id long, frame_id long, h array<double>, valid boolean")
+    truth = spark.createDataFrame([(v, 2, 0, 1, 3, 1) for v in range(4)], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    monkeypatch.setattr(search, "detector_vote", None)  # members of ordinary groups are not voted row by row
+    found = search.grid(det, reg, truth, ["ratio"], ["skip", "identity"], ["density", "incremental"], [4.0], [1, 3])
+    assert found.count() == 16
