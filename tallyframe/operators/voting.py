@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import softmax
 from ..functions.naming import class_index, label
+from ..functions.session import by_key
 
 CLASSES = 5
 
@@ -33,13 +34,18 @@ def weighted_probabilities(sightings: DataFrame, keys: list[str], class_of: str,
     Sightings vote with their confidence to ``exponent``; the sharpest crop, the first
     of several, votes once more with ``best_bonus`` times the highest confidence's
     weight, whether or not it is among the most confident. No sharpness is no crop to choose.
+    ``order`` names columns that tell the sightings of a cluster apart.
     """
+    rows = sightings.select(*keys, F.col(class_of).alias("class"), F.col(confidence).alias("said_"), F.col(sharpness).alias("sharp_"), (F.col(order[0]) if len(order) == 1 and isinstance(order[0], str) else F.struct(*order)).alias("at_"))
+    rows = by_key(rows, *keys)  # as many tasks as there are partitions, so that none sorts several
     whole = Window.partitionBy(*keys)
-    placed = sightings.withColumn("place_", F.row_number().over(whole.orderBy(F.desc(confidence), *order)))
-    sharpest = F.row_number().over(whole.orderBy(F.desc_nulls_last(sharpness), *order))
-    placed = placed.withColumn("best_", (sharpest == 1) & F.col(sharpness).isNotNull()).withColumn("most_", F.max(confidence).over(whole))
-    weight = F.when(F.col("place_") <= top, F.pow(F.col(confidence), exponent)).otherwise(0.0) + F.when(F.col("best_"), best_bonus * F.pow("most_", exponent)).otherwise(0.0)
-    sums = placed.where(F.col("best_") | (F.col("place_") <= top)).groupBy(*keys, F.col(class_of).alias("class")).agg(F.sum(weight).alias("w"))
+    ranked = whole.orderBy(F.desc("said_"), "at_")  # one sort for all of them
+    every = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = rows.withColumn("place_", F.row_number().over(ranked)).withColumn("most_", F.max("said_").over(every)).withColumn("sharpest_", F.max("sharp_").over(every))
+    first = F.min(F.when(F.col("sharp_") == F.col("sharpest_"), F.col("at_"))).over(every)
+    placed = placed.withColumn("first_", first).withColumn("best_", F.coalesce((F.col("sharp_") == F.col("sharpest_")) & (F.col("at_") == F.col("first_")), F.lit(False)))
+    weight = F.when(F.col("place_") <= top, F.pow("said_", exponent)).otherwise(0.0) + F.when(F.col("best_"), best_bonus * F.pow("most_", exponent)).otherwise(0.0)
+    sums = placed.where(F.col("best_") | (F.col("place_") <= top)).groupBy(*keys, "class").agg(F.sum(weight).alias("w"))
     return sums.withColumn("probability", F.col("w") / F.sum("w").over(whole)).drop("w")
 
 
@@ -59,7 +65,7 @@ def cluster_summary(sightings: DataFrame, keys: list[str], order: str = "ord") -
         F.avg("y").alias("center_y"),
         F.max_by(order, F.struct(size, -F.col(order))).alias("largest_ord"),
         F.max_by(order, F.struct("confidence", -F.col(order))).alias("best_ord"),
-        F.count_distinct("frame_id").alias("n_frames"),
+        F.size(F.collect_set("frame_id")).cast("long").alias("n_frames"),  # a distinct count would move a row a frame
         F.min("frame_id").alias("first_frame"),
     )
 

@@ -241,6 +241,16 @@ def test_votes_by_names_give_the_sharpest_its_bonus(spark):
     assert found.keys() == want.keys() and all(np.isclose(found[k], want[k]) for k in want)
 
 
+def test_votes_by_names_sort_once(spark):
+    rows = [(1, 2, "a", 1.0, 7.0), (1, 1, "b", 0.5, 7.0), (1, 0, "c", 0.5, None)]
+    frame = spark.createDataFrame(rows, "c int, ord int, name string, confidence double, sharpness double")
+    found = voting.weighted_probabilities(frame, ["c"], "name", "confidence", ["ord"])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    # of two that are equally sharp the first by order has the bonus
+    assert {r["class"]: round(r.probability * 3.5, 6) for r in found.collect()} == {"a": 1.0, "b": 2.25, "c": 0.25}
+
+
 def test_levels_share_counts_and_links(spark):
     """Several distances and least numbers at once, crowded and sparse cells beside one another."""
     rng = np.random.default_rng(11)
