@@ -43,9 +43,13 @@ def objects(spark: SparkSession, sf_dir: str, columns: list[str], eps: float = 4
     return clustering.density_members(points, "video_id", eps, least)
 
 
+def tallied(members: DataFrame, reg: DataFrame) -> DataFrame:
+    voted = voting.detector_vote(members.withColumn("w", F.col("quantity") * F.col("quantity")), ["video_id", "cluster_id"], "w")
+    return voting.dense_counts(voted, reg.select("video_id"))
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voted = voting.detector_vote(objects(spark, sf_dir, ["class_name", "quantity"]).withColumn("w", F.col("quantity") * F.col("quantity")), ["video_id", "cluster_id"], "w")
-    return voting.dense_counts(voted, registrations(spark, sf_dir).select("video_id"))
+    return tallied(objects(spark, sf_dir, ["class_name", "quantity"]), registrations(spark, sf_dir))
 
 
 COUNTED_SQL = f"""{KEPT_SQL},

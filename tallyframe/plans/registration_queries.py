@@ -14,7 +14,7 @@ from ..sources import reports
 from ..sources.text_files import read_files
 from .fixtures import DET, REG, detections, registrations
 from .named import book
-from .observation_queries import COUNTED_SQL, KEPT_SQL, _running_sql, counted, objects, placed
+from .observation_queries import COUNTED_SQL, KEPT_SQL, _running_sql, counted, objects, placed, tallied
 
 QUERIES, ORACLE, query = book()
 
@@ -258,8 +258,9 @@ def video_summary_files(spark, sf_dir):
     kinds = detections(spark, sf_dir).groupBy(*keys, "class_name").agg(F.count(F.lit(1)).alias("n"))
     seen = kinds.groupBy(*keys).agg(F.sum("n").alias("n_detections"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_name", "n")))).alias("class_histogram"))
     frames = registrations(spark, sf_dir).join(seen, keys, "left").withColumn("n_detections", F.coalesce("n_detections", F.lit(0)))
-    clusters = voting.cluster_summary(objects(spark, sf_dir, ["frame_id", "confidence", "x1", "y1", "x2", "y2"]), ["video_id", "cluster_id"])
-    reports.save_summaries(counted(spark, sf_dir), frames, clusters, path)
+    members = objects(spark, sf_dir, ["frame_id", "class_name", "confidence", "quantity", "x1", "y1", "x2", "y2"])  # found once for both
+    clusters = voting.cluster_summary(members, ["video_id", "cluster_id"])
+    reports.save_summaries(tallied(members, registrations(spark, sf_dir)), frames, clusters, path)
     files = read_files(spark, path).select(F.substring_index("name", "/", 1).alias("video"), F.substring_index("name", "/", -1).alias("file"), "content")
     told = "struct<detection:struct<total_detections:bigint,overall_class_histogram:map<string,bigint>>,registration:struct<valid_frames:bigint,invalid_frames:bigint>,dedup:struct<n_clusters:int>,counting:struct<total:bigint>,frames:array<struct<frame_id:bigint>>>"
     both = files.groupBy("video").agg(F.max(F.when(F.col("file") == "counts.txt", F.col("content"))).alias("counts"), F.from_json(F.max(F.when(F.col("file") == "summary.json", F.col("content"))), told).alias("s"))

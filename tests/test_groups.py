@@ -120,3 +120,12 @@ def test_a_grid_gives_counts_of_groups_and_no_members(spark, monkeypatch):
     monkeypatch.setattr(search, "detector_vote", None)  # members of ordinary groups are not voted row by row
     found = search.grid(det, reg, truth, ["ratio"], ["skip", "identity"], ["density", "incremental"], [4.0], [1, 3])
     assert found.count() == 16
+
+
+def test_a_summary_of_clusters_moves_a_row_a_cluster(spark):
+    rows = [(1, o, o // 2, 0.5, float(o), 0.0, 0.0, 0.0, 4.0, 4.0) for o in range(6)]
+    seen = spark.createDataFrame(rows, "c int, ord int, frame_id int, confidence double, x double, y double, x1 double, y1 double, x2 double, y2 double")
+    found = voting.cluster_summary(seen, ["c"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    row = found.first()
+    assert (row.n_observations, row.n_frames, row.largest_ord, row.first_frame) == (6, 3, 0, 0)
