@@ -267,17 +267,26 @@ def density_clusters(points: DataFrame, key: str, eps: float, least: int) -> Dat
     return density_members(points.select(key, "ord", "x", "y"), key, eps, least).select(key, "ord", "cluster_id")
 
 
-def running_means(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
+def running_means(x: np.ndarray, y: np.ndarray, distance: float, sums: list[list[float]] | None = None) -> np.ndarray:
     """The cluster of each point, in order: the nearest running mean at most ``distance`` away, the earliest of several, or a new one.
 
     Means are kept in square cells of that side and change their cell as they move, so
-    a point looks at the means of nine cells, however many clusters there are.
+    a point looks at the means of nine cells, however many clusters there are. ``sums``
+    are those of x, of y and the number of points of clusters to start with, and are
+    brought up to date. A point without a finite place is a cluster of its own.
     """
-    sums: list[list[float]] = []  # of x, of y, points
+    sums = [] if sums is None else sums
     cells: dict[tuple[int, int], set[int]] = {}
     found = np.empty(len(x), np.int64)
     cell = lambda u, v: (math.floor(u / distance), math.floor(v / distance))
+    for c, (sx, sy, n) in enumerate(sums):
+        if math.isfinite(sx) and math.isfinite(sy):
+            cells.setdefault(cell(sx / n, sy / n), set()).add(c)
     for k, (u, v) in enumerate(zip(x.tolist(), y.tolist())):
+        if not (math.isfinite(u) and math.isfinite(v)):
+            found[k] = len(sums)
+            sums.append([u, v, 1])
+            continue
         cx, cy = cell(u, v)
         best, near = -1, math.inf
         for at in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
@@ -303,25 +312,38 @@ def running_means(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
     return found
 
 
-def running_means_of_groups(group: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float, small: int = SMALL) -> np.ndarray:
-    """:func:`running_means` of each of many groups, their numbers ascending: the next point of all groups of up to ``small`` points is placed at once."""
+def running_means_of_groups(group: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float, small: int = SMALL, held: list[np.ndarray] | None = None) -> np.ndarray:
+    """:func:`running_means` of each of many groups, their numbers ascending: the next point of all groups of up to ``small`` points is placed at once.
+
+    ``held`` has for each group the clusters it starts with, a row each for the sums of
+    x, of y and the number of points, and is brought up to date; its clusters count as points.
+    """
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(np.append(starts, len(group)))
+    had = np.array([h.shape[1] for h in held], np.int64) if held else np.zeros(len(starts), np.int64)
     found = np.empty(len(group), np.int64)
-    for low, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
-        found[low : low + size] = running_means(x[low : low + size], y[low : low + size], distance)
+    for g in np.flatnonzero(sizes + had > small).tolist():
+        low, size, sums = starts[g], sizes[g], held[g].T.tolist() if held else []
+        found[low : low + size] = running_means(x[low : low + size], y[low : low + size], distance, sums)
+        if held:
+            held[g] = np.array(sums).T
     order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] <= small]  # groups that have a point left come first
-    starts, left = starts[order], -sizes[order]
-    clusters = np.zeros(len(order), np.int64)
-    sums, means, n = np.zeros((2, len(order), 8)), np.full((2, len(order), 8), np.inf), np.zeros((len(order), 8))
+    order = order[(sizes + had)[order] <= small]  # groups that have a point left come first
+    starts, left, clusters = starts[order], -sizes[order], had[order]
+    wide = max(8, int(clusters.max(initial=0)))
+    sums, means, n = np.zeros((2, len(order), wide)), np.full((2, len(order), wide), np.inf), np.zeros((len(order), wide))
+    for row, g in enumerate(order.tolist() if held else []):
+        sums[:, row, : had[g]], n[row, : had[g]] = held[g][:2], held[g][2]
+    np.divide(sums, n, out=means, where=n > 0)
     for k in range(-int(left[0]) if len(left) else 0):
         active = int(np.searchsorted(left, -k, side="left"))
         rows, at = np.arange(active), starts[:active] + k
         u, v = x[at], y[at]
         many = max(1, int(clusters[:active].max()))
-        du, dv = u[:, None] - means[0, :active, :many], v[:, None] - means[1, :active, :many]
+        with np.errstate(invalid="ignore"):
+            du, dv = u[:, None] - means[0, :active, :many], v[:, None] - means[1, :active, :many]
         away = np.sqrt(du * du + dv * dv)
+        away[np.isnan(away)] = np.inf  # of a place that is not finite
         best = away.argmin(axis=1)
         own = np.where(away[rows, best] <= distance, best, clusters[:active])
         new = own == clusters[:active]
@@ -334,6 +356,8 @@ def running_means_of_groups(group: np.ndarray, x: np.ndarray, y: np.ndarray, dis
             sums[c, rows, own] += value
             means[c, rows, own] = sums[c, rows, own] / n[rows, own]
         found[at] = own
+    for row, g in enumerate(order.tolist() if held else []):
+        held[g] = np.concatenate([sums[:, row, : clusters[row]], n[None, row, : clusters[row]]])
     return found
 
 
