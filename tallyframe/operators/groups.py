@@ -15,7 +15,7 @@ from ..functions.session import by_key
 PAIRS_EACH = 1 << 24
 
 
-def _changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+def changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     """Whether each row but the first differs from the one before it in any of the keys."""
     differs = np.zeros(max(0, table.num_rows - 1), bool)
     for key in keys:
@@ -25,24 +25,27 @@ def _changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return differs
 
 
-def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = 0, most: int | None = None, aside: str | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int = 0, most: int | None = None, aside: str | None = None, weight: str | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
     """Slices of whole groups, and the number of each row's group within its slice, of batches whose rows of a group follow one another.
 
     Batches are gathered until they have ``rows`` rows. A slice ends before the squared
     sizes of its groups add up to more than ``PAIRS_EACH``, or, where no pairs are made
     of a group, before it has more than ``most`` rows. Rows whose groups the column
-    ``aside`` marks are not gathered: they come as they are, without numbers.
+    ``aside`` marks are not gathered: they come as they are, without numbers. A row
+    counts as many rows as the column ``weight`` says, if there is one.
     """
     keys = [key] if isinstance(key, str) else key
     held: list[pa.RecordBatch] = []
+    size = lambda batch: batch.num_rows if weight is None else pc.sum(batch.column(weight), min_count=0).as_py()
 
     def told() -> Iterator[tuple[pa.Table, np.ndarray]]:
         table = pa.Table.from_batches(held)
-        starts = np.flatnonzero(np.concatenate([[True], _changes(table, keys)]))
+        starts = np.flatnonzero(np.concatenate([[True], changes(table, keys)]))
         sizes = np.diff(np.append(starts, table.num_rows))
+        costs = (sizes if weight is None else np.add.reduceat(table[weight].to_numpy(), starts)).astype(np.float64) ** (1 if most else 2)
         at = 0
         while at < len(starts):
-            cost = np.cumsum(sizes[at:].astype(np.float64) ** (1 if most else 2))
+            cost = np.cumsum(costs[at:])
             n = max(1, int(np.searchsorted(cost, most or PAIRS_EACH, side="right")))
             first, many = starts[at], int(sizes[at : at + n].sum())
             yield table.slice(first, many), np.repeat(np.arange(len(sizes[at : at + n])), sizes[at : at + n])
@@ -55,11 +58,11 @@ def slices(batches: Iterator[pa.RecordBatch], key: str | list[str], rows: int =
         if not batch.num_rows:
             continue
         # rows of the last group may go on in the next batch
-        change = np.flatnonzero(_changes(batch, keys))
+        change = np.flatnonzero(changes(batch, keys))
         if held and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in keys):
             change = np.concatenate([[-1], change])
         cut = int(change[-1]) + 1 if len(change) else None
-        if cut is None or sum(b.num_rows for b in held) + cut < rows:
+        if cut is None or sum(map(size, held)) + size(batch.slice(0, cut)) < rows:
             held.append(batch)
             continue
         if cut:

@@ -359,6 +359,4 @@ FROM er GROUP BY ALL""".replace("kept_all USING (video_id, f)", "(SELECT *, fram
 def param_grid_all_lists(spark, sf_dir):
     """All eight lists of the search vary: 256 settings, each registered, clustered, voted and scored."""
     det = filters.above_threshold(detections(spark, sf_dir), filters.DENSITY_THRESHOLDS).withColumn("w", F.col("quantity") * F.col("quantity"))
-    reg = search.sequences(*feature_pairs(spark, sf_dir), STRATEGIES, ANCHORS, RATIOS, MATCHES)
-    found = search.grid(det, reg, counted(spark, sf_dir), ["feature", "strategy", "anchors", "ratio", "matches"], ["skip"], ["density", "incremental"], DISTANCES, LEASTS)
-    return found.drop("policy")
+    return search.grid_of_pairs(det, *feature_pairs(spark, sf_dir), counted(spark, sf_dir), STRATEGIES, ANCHORS, RATIOS, MATCHES, ["density", "incremental"], DISTANCES, LEASTS)

@@ -129,3 +129,44 @@ def test_a_summary_of_clusters_moves_a_row_a_cluster(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     row = found.first()
     assert (row.n_observations, row.n_frames, row.largest_ord, row.first_frame) == (6, 3, 0, 0)
+
+
+def _small_search(spark):
+    draw = np.random.default_rng(12)
+    rows = [(v, int(draw.integers(0, 6)), o, f"type{draw.integers(0, 6)}", int(draw.integers(1, 9)), float(x), float(y), float(x), float(y)) for v, n in enumerate((30, 3, 45, 0, 8)) for o, (x, y) in enumerate(draw.integers(0, 25, (n, 2)))]
+    det = spark.createDataFrame(rows, "video_id long, frame_id long, ord long, class_name string, w long, x1 double, y1 double, x2 double, y2 double")
+    shift = lambda by: [1.0, 0.0, float(by), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0] if by else None
+    told = [(t, v, f, a, shift(draw.integers(0, 5)), float(draw.integers(1, 9)) / 10, int(draw.integers(5, 30))) for t in "ab" for v in range(6) for f in range(6) for a in range(6) if (t, v) != ("b", 1)]
+    pairs = spark.createDataFrame(told, "feature string, video_id long, frame_id long, anchor_id long, h array<double>, inlier_ratio double, matches long")
+    frames = spark.createDataFrame([(t, v, f, int(draw.integers(5, 30))) for t in "ab" for v in range(6) for f in range(6)], "feature string, video_id long, frame_id long, features long")
+    truth = spark.createDataFrame([(v, 2, 0, 1, 3, v) for v in range(8)], "video_id long, type1 long, type2 long, type3 long, type4 long, type5 long")
+    return det, pairs, frames, truth
+
+
+def test_a_grid_of_pairs_moves_neither_transforms_nor_points_under_a_setting(spark, monkeypatch):
+    det, pairs, frames, truth = _small_search(spark)
+    lists, ways, side = (["first", "middle"], [2, 4], [0.25, 0.6], [6, 15]), (["density", "incremental"], [4.0, 9.0], [1, 3]), ["feature", "strategy", "anchors", "ratio", "matches"]
+    whole = search.grid(det, search.sequences(pairs, frames, *lists), truth, side, ["skip"], *ways).drop("policy")
+    want, columns = sorted(map(tuple, whole.collect())), whole.columns
+    # by the other path for videos of more than twenty detections, and of a place that is no number
+    assert sorted(map(tuple, search.grid_of_pairs(det, pairs, frames, truth, *lists, *ways, small=20).select(*columns).collect())) == want
+    lost = pairs.withColumn("h", F.when(F.expr("video_id = 4 and h is not null and feature = 'a'"), F.array(*map(F.lit, [float("inf"), *[0.0] * 7, 1.0]))).otherwise(F.col("h")))
+    odd = search.grid(det, search.sequences(lost, frames, *lists), truth, side, ["skip"], *ways).drop("policy")
+    assert sorted(map(tuple, search.grid_of_pairs(det, lost, frames, truth, *lists, *ways).select(*columns).collect())) == sorted(map(tuple, odd.collect()))
+    assert len(want) == 256
+    monkeypatch.setattr(search, "grid", None)
+    monkeypatch.setattr(search, "sequences", None)
+    monkeypatch.setattr(groups, "PAIRS_EACH", 500)
+    monkeypatch.setattr(search, "ROWS_EACH", 40)
+    assert sorted(map(tuple, search.grid_of_pairs(det, pairs, frames, truth, *lists, *ways).select(*columns).collect())) == want
+    assert search.grid_of_pairs(det, pairs, frames, truth.limit(0), *lists, *ways).count() == 0
+    assert {r.l1 for r in search.grid_of_pairs(det.limit(0), pairs, frames, truth, *lists, *ways).collect()} == {6 * 8 + 28}
+    assert search.grid_of_pairs(det, pairs.limit(0), frames, truth, *lists, *ways).count() == 0
+
+
+def test_the_search_over_all_lists_goes_by_pairs(spark, sf_dir, monkeypatch):
+    from tallyframe.plans import catalog
+
+    monkeypatch.setattr(search, "grid", None)
+    monkeypatch.setattr(search, "sequences", None)
+    assert catalog.QUERIES["param_grid_all_lists"](spark, sf_dir).count() == 256
