@@ -175,7 +175,7 @@ def grid_of_pairs(
 
     Neither transforms nor points under a setting become rows. What a video has, its
     pairs, its places of anchors, its detections and its truth, meets in a task in one
-    shuffle, numbers of rows that follow one another compressed into one; there whole
+    shuffle, the numbers of many rows compressed into one; there whole
     videos, many at a time, are registered, placed, clustered, voted and held against
     their truth under every setting, those that place a video alike once, and only a
     task's sums leave it. Detections of videos with more than ``small`` of them are not
@@ -276,7 +276,7 @@ def _row_batch(types: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
 
 
 def _packed(rows: DataFrame, keys: list[str], numbers: list[str], aside: str | None = None) -> DataFrame:
-    """(keys, n_, packed_): rows that follow one another with equal keys as one, their ``numbers`` (longs or doubles, none null) compressed; without them where ``aside`` says so."""
+    """(keys, n_, packed_): rows of a batch with equal keys as one, their ``numbers`` (longs or doubles, none null) compressed; without them where ``aside`` says so."""
     kinds = dict(rows.dtypes)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +284,7 @@ def _packed(rows: DataFrame, keys: list[str], numbers: list[str], aside: str | N
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.take(pa.array(np.lexsort([batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys])))
             ends = np.append(np.flatnonzero(groups.changes(batch, keys)) + 1, batch.num_rows)
             starts = np.concatenate([[0], ends[:-1]])
             every = np.stack([batch.column(c).to_numpy().view(np.int64) for c in numbers])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, naming
-from ..functions.session import shared_folder
+from ..functions.session import by_key, shared_folder
 from ..operators import clustering, experiments, filters, matching, models, registration, search, voting
 from ..sources import reports
 from ..sources.text_files import read_files
@@ -288,7 +288,8 @@ DISTANCES, LEASTS = [6.0, 40.0], [3, 4]
 
 def feature_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Transforms between all frames of a video by feature type, and the features of each frame; the second type's shifts are off by up to four pixels."""
-    reg = registrations(spark, sf_dir).select("video_id", "frame_id", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(k).alias("t")) for k, n in enumerate(FEATURES)))).alias("s"))
+    reg = by_key(registrations(spark, sf_dir).select("video_id", "frame_id"), F.xxhash64("video_id"))  # rows multiply from here on, whatever few bytes they come from
+    reg = reg.select("video_id", "frame_id", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(k).alias("t")) for k, n in enumerate(FEATURES)))).alias("s"))
     v, f, a, t = F.col("video_id"), F.col("frame_id"), F.col("anchor_id"), F.col("t")
     reg = reg.select("video_id", "frame_id", "s.feature", "s.t")
     frames = reg.select("feature", "video_id", "frame_id", ((3 * v + 7 * f + 5 * t) % 40).alias("features"))
