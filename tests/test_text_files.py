@@ -1,11 +1,12 @@
 import os
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.session import shared_folder
-from tallyframe.sources import annotations, reports
+from tallyframe.sources import annotations, reports, text_files
 from tallyframe.sources.text_files import read_files, write_files
 
 
@@ -87,3 +88,49 @@ def test_time_file(spark, folder):
     assert reports.load_time(spark, folder) == 0.0
     with pytest.raises(Exception):
         reports.load_time(spark, folder + "-none")
+
+
+def test_the_driver_hands_on_folders_and_holds_no_list_of_files(spark, folder, monkeypatch):
+    frame = spark.range(300).select(F.concat(F.lit("v"), F.col("id") % 3, F.lit("/"), "id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("content"))
+    moved = []
+    for each in (8, 1024):
+        monkeypatch.setattr(text_files, "FILES_EACH", each)
+        monkeypatch.setattr(text_files, "FEW", 0)
+        monkeypatch.setattr(text_files, "MOST_PARTITIONS", 5)
+        writer = text_files._Writer(folder, False, f"job{each}")
+        told = writer.write(iter(frame.toArrow().to_batches(max_chunksize=70)))
+        writer.commit([told, None])
+        moved.append((told.parts, len(there(folder)) - 301))  # the commit leaves them where they are
+        writer.abort([told])
+        assert there(folder) == []
+    assert moved == [(38, 0), (1, 0)]
+    driver, empty = os.getpid(), text_files._emptied
+    monkeypatch.setattr(text_files, "_emptied", lambda *a: pytest.fail("by the driver") if os.getpid() == driver else empty(*a))
+    write_files(frame.repartition(3), folder)
+    assert len(there(folder)) == 300
+    reader = text_files._Reader(folder, [])
+    monkeypatch.setattr(text_files, "FILES_EACH", 8)
+    parts = reader.partitions()
+    assert len(parts) == 5 and all(isinstance(n, bytes) for p in parts for n in p.names)
+    assert sorted(n for p in parts for n, _ in reader.read(p)) == there(folder)
+    twice = text_files._Reader(folder, ["v1", "v1", "none"])
+    assert sorted(n for p in twice.partitions() for n, _ in twice.read(p)) == [n for n in there(folder) if n.startswith("v1/")]
+
+
+def test_a_task_that_still_writes_does_not_bring_a_dropped_job_back(spark, folder):
+    writer = text_files._Writer(folder, False, None)
+
+    def rows():
+        for k in range(3):
+            if k == 1:
+                writer.abort([])
+            yield pa.RecordBatch.from_pydict({"name": [f"a/{k}.txt"], "content": ["x"]})
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert there(folder) == []
+    again = text_files._Writer(folder, True, None)
+    again.commit([again.write(iter([pa.RecordBatch.from_pydict({"name": ["a/b/1.txt"], "content": [None]})]))])
+    assert there(folder) == ["a/b/1.txt"]
