@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import numbered, shared_folder
 from ..sources import annotations as a
-from ..sources.text_files import write_files
+from ..sources.text_files import remove_files, write_files
 from .fixtures import table
 from .named import book
 
@@ -217,7 +217,7 @@ def _cvat_files(data: a.Dataset, path: str) -> None:
 
 
 def _converted(spark, sf_dir, kind: str):
-    """The set as files of one kind, converted to each of three, and read back from there."""
+    """The set as files of one kind, converted to each of three, and read back from there; what was read is kept elsewhere, so files go when they are no more needed."""
     data, names = dataset(spark, sf_dir), ["q0t0", "q0t1", "q1t0", "q1t1"]
     source, found = _folder(spark), None
     if kind == "cvat":
@@ -227,7 +227,10 @@ def _converted(spark, sf_dir, kind: str):
     for to in a.TO:
         target = _folder(spark)
         a.convert(spark, source, target, kind, to, data.images, None if kind == "yolo" else names)
+        if to == a.TO[-1]:
+            remove_files(spark, source)
         back = a.read(spark, target, to, data.images)
+        remove_files(spark, target)
         rows = back.annotations.join(back.images, "image_id").select(F.lit(to).alias("target"), "file_name", "category", *(F.rint(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
         found = rows if found is None else found.unionByName(rows)
     return found

@@ -14,12 +14,14 @@ and executors both reach it. A name may have folders in it, but not lead outside
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import os
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -72,6 +74,16 @@ def _names(system: fs.FileSystem, base: str, under: list[str]) -> Iterator[str]:
                 yield name
 
 
+def _packed(names: Iterator[str]) -> Iterator[bytes]:
+    """Names, many compressed into one text."""
+    while held := list(itertools.islice(names, FILES_EACH)):
+        yield zlib.compress("\0".join(held).encode(), 1)
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    return zlib.decompress(packed).decode().split("\0")
+
+
 def _emptied(path: str, folder: str) -> None:
     """The files in a sub-folder of an attempt go to their places; those that another run of the task has moved are there."""
     system, base = _opened(path)
@@ -176,22 +188,14 @@ class _Reader(DataSourceReader):
         self.path, self.under = path, under
 
     def partitions(self) -> list[_Files]:
-        system, base = _opened(self.path)
-        packed, held = [], []
-        for name in _names(system, base, self.under):
-            held.append(name)
-            if len(held) == FILES_EACH:
-                packed.append(zlib.compress("\0".join(held).encode(), 1))
-                held = []
-        if held:
-            packed.append(zlib.compress("\0".join(held).encode(), 1))
+        packed = list(_packed(_names(*_opened(self.path), self.under)))
         each = max(1, math.ceil(len(packed) / MOST_PARTITIONS))
         return [_Files(packed[k : k + each]) for k in range(0, len(packed), each)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple[str, str]]:
         system, base = _opened(self.path)
         for packed in partition.names:
-            for name in zlib.decompress(packed).decode().split("\0"):
+            for name in _unpacked(packed):
                 with system.open_input_stream(f"{base}/{name}", compression=None) as text:
                     yield name, text.read().decode("utf-8", "replace")
 
@@ -228,20 +232,39 @@ def write_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
             for folder in folders:
                 _emptied(path, folder)
         else:
-            parts = min(len(folders), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-            spark.createDataFrame([(f,) for f in folders], "folder string").repartition(parts).mapInArrow(_emptier(path), "n int").agg(F.sum("n")).collect()  # one row
+            _by_tasks(spark, folders, "string", functools.partial(_emptied, path))
     finally:
         _dropped(path, job)
 
 
-def _emptier(path: str):
-    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_tasks(spark: SparkSession, things: list, kind: str, do: Callable) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                _emptied(path, folder)
+            for thing in batch.column("thing").to_pylist():
+                do(thing)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32())})
 
-    return empty
+    parts = max(1, min(len(things), int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    spark.createDataFrame([(t,) for t in things], f"thing {kind}").repartition(parts).mapInArrow(run, "n int").agg(F.sum("n")).collect()  # one row
+
+
+def _deleted(path: str, packed: bytes) -> None:
+    """The files of these names go; those that another run of the task has deleted are gone."""
+    system, base = _opened(path)
+    for name in _unpacked(packed):
+        try:
+            system.delete_file(f"{base}/{name}")
+        except FileNotFoundError:
+            pass
+
+
+def remove_files(spark: SparkSession, path: str) -> None:
+    """A folder of such files goes with all that is in it, the files by tasks; for what a job has written for itself and read again."""
+    system, base = _opened(path)
+    packed = list(_packed(_names(system, base, [])))
+    if len(packed) > FEW:
+        _by_tasks(spark, packed, "binary", functools.partial(_deleted, path))
+    system.delete_dir(base)
 
 
 def read_files(spark: SparkSession, path: str, under: list[str] | None = None) -> DataFrame:

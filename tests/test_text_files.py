@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.session import shared_folder
+from tallyframe.plans import annotation_queries
 from tallyframe.sources import annotations, reports, text_files
 from tallyframe.sources.text_files import read_files, write_files
 
@@ -134,3 +135,16 @@ def test_a_task_that_still_writes_does_not_bring_a_dropped_job_back(spark, folde
     again = text_files._Writer(folder, True, None)
     again.commit([again.write(iter([pa.RecordBatch.from_pydict({"name": ["a/b/1.txt"], "content": [None]})]))])
     assert there(folder) == ["a/b/1.txt"]
+
+
+def test_files_of_a_job_go_when_they_are_read(spark, folder, sf_dir, monkeypatch):
+    frame = spark.range(60).select(F.concat(F.lit("v"), F.col("id") % 3, F.lit("/"), "id", F.lit(".txt")).alias("name"), F.lit("x").alias("content"))
+    monkeypatch.setattr(text_files, "FILES_EACH", 8)
+    driver, delete = os.getpid(), text_files._deleted
+    monkeypatch.setattr(text_files, "_deleted", lambda *a: pytest.fail("by the driver") if os.getpid() == driver else delete(*a))
+    write_files(frame, folder)
+    text_files.remove_files(spark, folder)
+    assert not os.path.exists(folder)
+    monkeypatch.setattr(annotation_queries, "_folder", lambda _: f"{folder}/{uuid.uuid4().hex}")
+    found = annotation_queries.convert_from_yolo(spark, sf_dir)
+    assert there(folder) == [] and found.groupBy("target").count().count() == 3
